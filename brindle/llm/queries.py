@@ -6,15 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.llm import embedding_dedup as embeddings
+from brindle.llm import language_id as languages
+from brindle.llm import sharding
 from brindle.llm import substring_dedup as substrings
 from brindle.llm import suffix_dedup as suffixes
+from brindle.llm import toxicity as toxic
 from brindle.tables import table
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.identify(table(spark, folder, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxic.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.substring_dedup(table(spark, folder, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
+def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_slots(table(spark, folder, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.suffix_dedup(table(spark, folder, "documents"))
 

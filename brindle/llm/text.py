@@ -43,6 +43,8 @@ _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_PUNCT = np.ones(256, bool)
+_PUNCT[128:] = _PUNCT[48:58] = _PUNCT[65:91] = _PUNCT[97:123] = False
 _powers = {}
 
 
@@ -91,14 +93,14 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def words(column: pa.Array, lower: bool = False) -> Words:
-    """Splits and hashes all texts of a column; ``lower`` folds A-Z only."""
+def words(column: pa.Array, lower: bool = False, plain: bool = False) -> Words:
+    """Splits and hashes all texts of a column; ``lower`` folds A-Z only; ``plain`` also splits at ASCII punctuation."""
     data, off = flat(column)
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(data, none, none, np.zeros(0, U64), np.zeros(len(off), np.int64))
-    solid = ~_SPACE[data]
+    solid = ~(_PUNCT if plain else _SPACE)[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     inner = off[1:-1]
@@ -113,6 +115,11 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     return Words(data, start, end, _word_hashes(data, start, end, _BYTE_LOWER if lower else _BYTE), np.searchsorted(start, off))
 
 
+def prefix_hashes(w: Words, size: int, lower: bool = False) -> np.ndarray:
+    """Hashes of the first ``size`` bytes of each word; of the whole word where it is shorter."""
+    return _word_hashes(w.data, w.start, np.minimum(w.end, w.start + size), _BYTE_LOWER if lower else _BYTE)
+
+
 def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
     out = np.empty(len(start), U64)
     a = 0
