@@ -57,8 +57,9 @@ def unpack_keys(raw: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(U64)
 
 
-def distinct(keys: np.ndarray, width: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def distinct(keys: np.ndarray | tuple, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys, cut to ``width`` bytes, and how often (or with what weight) they occur."""
+    keys, weights = keys if isinstance(keys, tuple) else (keys, None)
     keys = keys & ~U64((1 << 8 * (8 - width)) - 1)
     if weights is None:
         return np.unique(keys, return_counts=True)
@@ -81,7 +82,7 @@ def key_counts(
 ) -> DataFrame:
     """Runs ``finish(bucket, keys, counts)`` on each bucket of documents.
 
-    ``keys_of(bucket)`` gives every key occurrence of a bucket; ``keys`` are its distinct keys in order
+    ``keys_of(bucket)`` gives every key occurrence of a bucket, or keys and weights; ``keys`` are its distinct keys in order
     (cut as by ``key_width``, which ``lookup`` repeats), ``counts`` their occurrences in all documents, or with ``flags``
     whether there are two at least.  ``bytes_per_byte``: bytes of keys for each input byte, to size the key ranges.
     """
@@ -133,6 +134,83 @@ def key_counts(
     return rows.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(meet, schema)
 
 
+MEMBER_CELL = "part int, bucket int, keys binary, counts binary, rows binary"
+
+
+def key_members(
+    docs: DataFrame,
+    keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]],
+    finish: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], pa.Table],
+    schema: str,
+    bytes_per_byte: float = 1.0,
+    bucket_bytes: int = 1 << 20,
+) -> DataFrame:
+    """As ``key_counts``, but each key that occurs twice is also answered with its first holder.
+
+    ``keys_of(bucket)`` gives keys and the row of each (rows of a bucket must come in an order that the documents decide);
+    ``finish(bucket, keys, counts, holders)`` gets holders as ``bucket << 32 | row``, -1 where a key occurs once.
+    """
+    rows = bucketed(docs, bucket_bytes)
+    total = plan_bytes(docs)
+    parts, width = max(64, math.ceil(total * bytes_per_byte / (8 << 20))), key_width(total)
+    tail = U64((1 << 8 * (8 - width)) - 1)
+
+    def own(table: pa.Table):
+        keys, row = keys_of(table)
+        order = np.lexsort((row, keys & ~tail))
+        keys, row = (keys & ~tail)[order], row[order]
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        return keys[at], np.diff(np.append(at, len(keys))), row[at]
+
+    def send(table: pa.Table) -> pa.Table:
+        keys, counts, row = own(table)
+        bounds = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
+        full = np.flatnonzero(np.diff(bounds))
+        spans = [(bounds[p], bounds[p + 1]) for p in full]
+        return pa.table({
+            "part": pa.array(full, pa.int32()),
+            "bucket": pa.array(np.full(len(full), table.column("bucket")[0].as_py()), pa.int32()),
+            "keys": pa.array([pack_keys(keys[a:b], width) for a, b in spans], pa.binary()),
+            "counts": pa.array([counts[a:b].astype("<i4").tobytes() for a, b in spans], pa.binary()),
+            "rows": pa.array([row[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary()),
+        })
+
+    def add(table: pa.Table) -> pa.Table:
+        keys = [unpack_keys(x.as_py(), width) for x in table.column("keys")]
+        sizes = [len(x) for x in keys]
+        counts = np.concatenate([np.frombuffer(x.as_py(), "<i4") for x in table.column("counts")])
+        row = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("rows")]).astype(np.int64)
+        holder = np.repeat(table.column("bucket").to_numpy().astype(np.int64), sizes) << 32 | row
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(at, counts, len(found)).astype(np.int64)
+        first = np.full(len(found), np.iinfo(np.int64).max)
+        np.minimum.at(first, at, holder)
+        reply, a = [], 0
+        for size in sizes:
+            mine = at[a : a + size]
+            twice = n[mine] > 1
+            reply.append(np.packbits(twice).tobytes() + n[mine[twice]].astype("<i4").tobytes() + first[mine[twice]].astype("<i8").tobytes())
+            a += size
+        return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "reply": pa.array(reply, pa.binary())})
+
+    def meet(table: pa.Table, replies: pa.Table) -> pa.Table:
+        keys = own(table)[0] if table.num_rows else np.zeros(0, U64)
+        counts, holders = np.ones(len(keys), np.int64), np.full(len(keys), -1)
+        bounds = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
+        if (np.diff(bounds) > 0).sum() != replies.num_rows:
+            raise RuntimeError("answers do not match the keys of their bucket")
+        for part, raw in zip(replies.column("part").to_pylist(), replies.column("reply").to_pylist(), strict=True):
+            a, b = bounds[part], bounds[part + 1]
+            flags = (b - a + 7) // 8
+            hit = a + np.flatnonzero(np.unpackbits(np.frombuffer(raw[:flags], np.uint8))[: b - a])
+            counts[hit] = np.frombuffer(raw[flags : flags + 4 * len(hit)], "<i4")
+            holders[hit] = np.frombuffer(raw[flags + 4 * len(hit) :], "<i8")
+        return finish(table, keys, counts, holders)
+
+    replies = rows.groupBy("bucket").applyInArrow(send, MEMBER_CELL).groupBy("part").applyInArrow(add, REPLY)
+    return rows.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(meet, schema)
+
+
 def lookup(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray, width: int) -> np.ndarray:
     """Counts of ``asked`` keys, all of which are among ``keys``."""
     return counts[np.searchsorted(keys, asked & ~U64((1 << 8 * (8 - width)) - 1))]

@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from brindle.llm import decontamination
 from brindle.llm import embedding_dedup as embeddings
 from brindle.llm import language_id as languages
+from brindle.llm import lm_score as lm
+from brindle.llm import ngram_jaccard as jaccard
 from brindle.llm import sharding
 from brindle.llm import substring_dedup as substrings
 from brindle.llm import suffix_dedup as suffixes
@@ -15,6 +19,10 @@ from brindle.llm import toxicity as toxic
 from brindle.tables import table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, folder, "documents"))
+
+
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return languages.identify(table(spark, folder, "documents"))
 
@@ -23,6 +31,14 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxic.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op4_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.lm_score(table(spark, folder, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.substring_dedup(table(spark, folder, "documents"))
 
@@ -36,7 +52,9 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return suffixes.suffix_dedup(table(spark, folder, "documents"))
+    """One row for each repeated span; documents without one have no row."""
+    found = suffixes.suffix_dedup(table(spark, folder, "documents"))
+    return found.select("doc_id", F.explode("spans").alias("span")).select("doc_id", F.col("span.first").alias("first_word"), F.col("span.words").alias("n_words"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
