@@ -49,7 +49,7 @@ class Contexts:
             at = np.flatnonzero(new)
             self.begin, last = starts[at], starts[np.append(at[1:], len(starts)) - 1]
             self.end, self.shift = last + window, owner[at] - self.begin
-            self.key = self.grams[owner[at]]
+            self.key = T.mix(self.grams[owner[at]])  # least hashes lie together: spread them again
         else:
             self.begin = self.end = self.shift = np.zeros(0, np.int64)
             self.key = np.zeros(0, U64)
