@@ -105,8 +105,8 @@ def _items(rows: list, window: int, literal: int, least: int) -> dict:
     return {"hash": hashes, "item": item, "place": place, "size": size, "strict": strict, "first": t.first, "kind": t.kind, "value": t.value, "slot": t.slot, "ids": [r["item_id"] for r in rows]}
 
 
-def _aligned(items: dict, t: Template, doc: int, at: np.ndarray, which: np.ndarray) -> list[tuple[int, int, int]]:
-    """(item, covered tokens, windows) of one document, from its window matches: ``at`` positions, ``which`` rows of items."""
+def _aligned(items: dict, t: Template, at: np.ndarray, which: np.ndarray, begin: int) -> list[tuple[int, int, int]]:
+    """(item, covered tokens, windows) of the document that begins at token ``begin``, from matches at its tokens ``at`` with rows ``which`` of items."""
     found: dict[int, tuple[int, int]] = {}
     by: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for p, k in zip(at.tolist(), which.tolist(), strict=True):
@@ -118,7 +118,7 @@ def _aligned(items: dict, t: Template, doc: int, at: np.ndarray, which: np.ndarr
         good = 0
         for place, k in sorted(windows):
             span = np.arange(place, place + int(items["size"][k]))
-            kind, mine, theirs = t.kind[shift + span], items["value"][base + span], t.value[shift + span]
+            kind, mine, theirs = t.kind[begin + shift + span], items["value"][base + span], t.value[begin + shift + span]
             slot = items["slot"][base + span]
             if (kind != items["kind"][base + span]).any() or items["strict"][k] and (mine != theirs)[slot > 0].any():
                 continue
@@ -134,36 +134,46 @@ def _aligned(items: dict, t: Template, doc: int, at: np.ndarray, which: np.ndarr
     return [(item, c, g) for item, (c, g) in found.items()]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, literal: int = 4, least: int = 5, block_windows: int = 1_000_000) -> DataFrame:
-    """``doc_id, item_id, covered, windows`` for each document row and item that contaminates it."""
-    spark = docs.sparkSession
+def _blocks(docs: DataFrame, benchmark: DataFrame, window: int, literal: int, least: int, block_windows: int):
+    """Broadcasts of the searched items, each of about ``block_windows`` windows at most."""
     items = benchmark.where("text is not null").select("item_id", "text")
     words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = max(1, math.ceil(words / block_windows))
-    out = None
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64(F.lit(5), "item_id"), F.lit(blocks)) == b).collect() if blocks > 1 else items.collect()
-        shared = spark.sparkContext.broadcast(_items(rows, window, literal, least))
+        yield docs.sparkSession.sparkContext.broadcast(_items(rows, window, literal, least))
+
+
+def _found(column: pa.Array, items: dict) -> list[tuple[int, int, int, int]]:
+    """(row, item, covered tokens, windows) of all texts of a column."""
+    t = Template(column)
+    hits: dict[int, list] = {}
+    table = items["hash"]
+    if len(table) and len(t.kind):
+        for n in np.unique(items["size"]).tolist():
+            h = T.runs(t.kind, n, salt=n)
+            low = np.searchsorted(table, h)
+            hit = np.flatnonzero(table[np.minimum(low, len(table) - 1)] == h)
+            hit = hit[T.inside(t.first, n, len(t.kind))[hit]] if len(hit) else hit
+            for p in hit.tolist():
+                d = int(np.searchsorted(t.first, p, "right")) - 1
+                k = int(low[p])
+                while k < len(table) and table[k] == h[p]:
+                    hits.setdefault(d, []).append((p, k))
+                    k += 1
+    return [(d, i, c, g) for d, pairs in hits.items() for i, c, g in _aligned(items, t, np.array([p for p, _ in pairs]) - t.first[d], np.array([k for _, k in pairs]), int(t.first[d]))]
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, literal: int = 4, least: int = 5, block_windows: int = 1_000_000) -> DataFrame:
+    """``doc_id, item_id, covered, windows`` for each document row and item that contaminates it."""
+    out = None
+    for shared in _blocks(docs, benchmark, window, literal, least, block_windows):
 
         def look(batches, shared=shared):
-            found = shared.value
+            items = shared.value
             for batch in T.batches(batches):
-                t = Template(batch.column("text"))
-                hits: dict[int, list] = {}
-                if len(found["hash"]) and len(t.kind):
-                    for n in np.unique(found["size"]).tolist():
-                        h = T.runs(t.kind, n, salt=n)
-                        low = np.searchsorted(found["hash"], h)
-                        hit = np.flatnonzero(found["hash"][np.minimum(low, len(found["hash"]) - 1)] == h)
-                        hit = hit[T.inside(t.first, n, len(t.kind))[hit]] if len(hit) else hit
-                        for p in hit.tolist():
-                            d = int(np.searchsorted(t.first, p, "right")) - 1
-                            k = int(low[p])
-                            while k < len(found["hash"]) and found["hash"][k] == h[p]:
-                                hits.setdefault(d, []).append((p, k))
-                                k += 1
                 ids = batch.column("doc_id").to_pylist()
-                got = [(ids[d], found["ids"][i], c, g) for d, pairs in hits.items() for i, c, g in _aligned(found, t, d, np.array([p for p, _ in pairs]), np.array([k for _, k in pairs]))]
+                got = [(ids[d], items["ids"][i], c, g) for d, i, c, g in _found(batch.column("text"), items)]
                 columns = list(zip(*got, strict=True)) or [[], [], [], []]
                 yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], names=["doc_id", "item_id", "covered", "windows"])
 
@@ -177,6 +187,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return matches(docs, benchmark).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("covered").alias("covered"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated ones."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, literal: int = 4, least: int = 5, block_windows: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` that no item contaminates; decided where the texts are, so none moves."""
+    out = docs
+    for shared in _blocks(docs, benchmark, window, literal, least, block_windows):
+
+        def clean(batches, shared=shared):
+            for batch in T.batches(batches):
+                keep = np.ones(batch.num_rows, bool)
+                keep[[d for d, *_ in _found(batch.column("text"), shared.value)]] = False
+                yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(clean, docs.schema)
+    return out

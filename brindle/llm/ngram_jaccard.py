@@ -374,3 +374,12 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4,
     sizes = docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n_shingles long")
     own = classes(docs, n, threshold).withColumnRenamed("id", "doc_id")
     return sizes.join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """``docs`` without all but the least ``doc_id`` of each class; of rows with the same id and text one stays."""
+    losers = classes(docs, n, threshold).where("id <> component").select(F.col("id").alias("doc_id"))
+    kept = docs.join(losers, "doc_id", "left_anti").select(docs.columns)
+    mark = "__digest"
+    # Already dealt by doc_id, so this moves nothing again.
+    return kept.withColumn(mark, F.xxhash64("text")).dropDuplicates(["doc_id", mark]).drop(mark)

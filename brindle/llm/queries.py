@@ -11,6 +11,7 @@ from brindle.llm import decontamination
 from brindle.llm import embedding_dedup as embeddings
 from brindle.llm import language_id as languages
 from brindle.llm import lm_score as lm
+from brindle.llm import mixing
 from brindle.llm import ngram_jaccard as jaccard
 from brindle.llm import sharding
 from brindle.llm import substring_dedup as substrings
@@ -47,6 +48,10 @@ def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_slots(table(spark, folder, "documents"))
 

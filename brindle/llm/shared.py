@@ -3,17 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cuts lineage in ``spark.checkpoint.dir``; only where that is unset (one machine, tests), in a temporary folder."""
-    session = df.sparkSession
+    folder(df.sparkSession)
+    return df.checkpoint(eager)
+
+
+def folder(session: SparkSession) -> str:
+    """The shared folder, where checkpoints go."""
     context = session.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(setting(session) or tempfile.mkdtemp(prefix="brindle-checkpoints-"))
-    return df.checkpoint(eager)
+    return context.getCheckpointDir()
+
+
+def rewritten(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again."""
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def setting(session: SparkSession) -> str | None:
