@@ -48,15 +48,28 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :]).tobytes()
+    """Sorted keys byte plane by byte plane: the high planes are runs, which the shuffle's compression removes."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].T).tobytes()
 
 
 def unpack_keys(raw: bytes, width: int) -> np.ndarray:
     out = np.zeros((len(raw) // width, 8), np.uint8)
-    out[:, 8 - width :] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    out[:, 8 - width :] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
     return out.reshape(-1).view("<u8").astype(U64)
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """A byte for each count; those of 255 or more follow as 64-bit numbers."""
+    large = counts >= 255
+    return np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype("<i8").tobytes()
+
+
+def unpack_counts(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw[:n], np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw[n:], "<i8")
+    return out
+
+
 def distinct(keys: np.ndarray | tuple, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys, cut to ``width`` bytes, and how often (or with what weight) they occur."""
     keys, weights = keys if isinstance(keys, tuple) else (keys, None)
@@ -100,16 +113,16 @@ def key_counts(
             "part": pa.array(full, pa.int32()),
             "bucket": pa.array(np.full(len(full), bucket), pa.int32()),
             "keys": pa.array([pack_keys(keys[a:b], width) for a, b in spans], pa.binary()),
-            "counts": pa.array([counts[a:b].astype("<i4").tobytes() for a, b in spans], pa.binary()),
+            "counts": pa.array([pack_counts(counts[a:b]) for a, b in spans], pa.binary()),
         })
 
     def add(table: pa.Table) -> pa.Table:
         keys = [unpack_keys(x.as_py(), width) for x in table.column("keys")]
-        counts = [np.frombuffer(x.as_py(), "<i4") for x in table.column("counts")]
+        counts = [unpack_counts(x.as_py(), len(k)) for x, k in zip(table.column("counts"), keys, strict=True)]
         found, at = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)[at]
         cuts = np.cumsum([len(x) for x in keys])[:-1]
-        pack = (lambda x: np.packbits(x > 1).tobytes()) if flags else (lambda x: x.astype("<u4").tobytes())
+        pack = (lambda x: np.packbits(x > 1).tobytes()) if flags else pack_counts
         return pa.table({
             "bucket": table.column("bucket"), "part": table.column("part"),
             "reply": pa.array([pack(x) for x in np.split(sums, cuts)], pa.binary()),
@@ -119,15 +132,15 @@ def key_counts(
         keys, _ = distinct(keys_of(table), width) if table.num_rows else (np.zeros(0, U64), None)
         order = np.argsort(replies.column("part").to_numpy())
         raw = replies.column("reply").to_pylist()
+        sizes = np.bincount(part_of(keys, parts), minlength=parts)
+        sizes = sizes[sizes > 0]
+        if len(sizes) != len(raw):
+            raise RuntimeError("answers do not match the keys of their bucket")
         if flags:
-            sizes = np.bincount(part_of(keys, parts), minlength=parts)
-            sizes = sizes[sizes > 0]
             got = [np.unpackbits(np.frombuffer(raw[i], np.uint8))[:n].astype(np.int64) + 1 for i, n in zip(order, sizes, strict=True)]
         else:
-            got = [np.frombuffer(raw[i], "<u4").astype(np.int64) for i in order]
+            got = [unpack_counts(raw[i], n) for i, n in zip(order, sizes, strict=True)]
         counts = np.concatenate(got) if got else np.zeros(0, np.int64)
-        if len(counts) != len(keys):
-            raise RuntimeError("answers do not match the keys of their bucket")
         return finish(table, keys, counts)
 
     replies = rows.groupBy("bucket").applyInArrow(send, CELL).groupBy("part").applyInArrow(add, REPLY)
@@ -171,15 +184,15 @@ def key_members(
             "part": pa.array(full, pa.int32()),
             "bucket": pa.array(np.full(len(full), table.column("bucket")[0].as_py()), pa.int32()),
             "keys": pa.array([pack_keys(keys[a:b], width) for a, b in spans], pa.binary()),
-            "counts": pa.array([counts[a:b].astype("<i4").tobytes() for a, b in spans], pa.binary()),
-            "rows": pa.array([row[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary()),
+            "counts": pa.array([pack_counts(counts[a:b]) for a, b in spans], pa.binary()),
+            "rows": pa.array([np.ascontiguousarray(row[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a, b in spans], pa.binary()),
         })
 
     def add(table: pa.Table) -> pa.Table:
         keys = [unpack_keys(x.as_py(), width) for x in table.column("keys")]
         sizes = [len(x) for x in keys]
-        counts = np.concatenate([np.frombuffer(x.as_py(), "<i4") for x in table.column("counts")])
-        row = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("rows")]).astype(np.int64)
+        counts = np.concatenate([unpack_counts(x.as_py(), n) for x, n in zip(table.column("counts"), sizes, strict=True)])
+        row = np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(4, -1).T).view("<u4").ravel() for x in table.column("rows")]).astype(np.int64)
         holder = np.repeat(table.column("bucket").to_numpy().astype(np.int64), sizes) << 32 | row
         found, at = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(at, counts, len(found)).astype(np.int64)
@@ -189,7 +202,7 @@ def key_members(
         for size in sizes:
             mine = at[a : a + size]
             twice = n[mine] > 1
-            reply.append(np.packbits(twice).tobytes() + n[mine[twice]].astype("<i4").tobytes() + first[mine[twice]].astype("<i8").tobytes())
+            reply.append(np.packbits(twice).tobytes() + first[mine[twice]].astype("<i8").tobytes() + pack_counts(n[mine[twice]]))
             a += size
         return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "reply": pa.array(reply, pa.binary())})
 
@@ -203,8 +216,8 @@ def key_members(
             a, b = bounds[part], bounds[part + 1]
             flags = (b - a + 7) // 8
             hit = a + np.flatnonzero(np.unpackbits(np.frombuffer(raw[:flags], np.uint8))[: b - a])
-            counts[hit] = np.frombuffer(raw[flags : flags + 4 * len(hit)], "<i4")
-            holders[hit] = np.frombuffer(raw[flags + 4 * len(hit) :], "<i8")
+            holders[hit] = np.frombuffer(raw[flags : flags + 8 * len(hit)], "<i8")
+            counts[hit] = unpack_counts(raw[flags + 8 * len(hit) :], len(hit))
         return finish(table, keys, counts, holders)
 
     replies = rows.groupBy("bucket").applyInArrow(send, MEMBER_CELL).groupBy("part").applyInArrow(add, REPLY)
