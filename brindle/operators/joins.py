@@ -31,22 +31,24 @@ def within_interval(points: DataFrame, intervals: DataFrame, on: list[str], at:
     return joined.select("p.*", *(rest if how in ("inner", "left") else []))
 
 
-def as_of(facts: DataFrame, events: DataFrame, on: list[str], at: str, event_at: str, tolerance, take: list[str]) -> DataFrame:
-    """The last event at or before each fact, no further back than ``tolerance``; facts without one have nulls."""
-    f = facts.withColumn("_row", F.monotonically_increasing_id())
+def as_of(facts: DataFrame, events: DataFrame, on: list[str], at: str, event_at: str, tolerance, take: list[str], key: list[str]) -> DataFrame:
+    """The last event at or before each fact, no further back than ``tolerance``; facts without one have nulls. ``key`` identifies a fact.
+
+    Facts meet the events of their key only, and the best is kept by a map-side aggregation.
+    """
     e = events.select(*on, F.col(event_at).alias("_event_at"), *take)
     near = (F.col("_event_at") <= F.col(at)) & (F.col(at) - F.col("_event_at") <= tolerance)
-    best = f.select("_row", *on, at).join(e, on).where(near).groupBy("_row").agg(F.max_by(F.struct("_event_at", *take), F.struct("_event_at", *take)).alias("best"))
-    return f.join(best, "_row", "left").select(*facts.columns, F.col("best._event_at").alias(f"matched_{event_at}"), *(F.col(f"best.{c}").alias(c) for c in take))
+    best = facts.select(*dict.fromkeys([*key, *on, at])).join(e, on).where(near).groupBy(*key).agg(F.max_by(F.struct("_event_at", *take), F.struct("_event_at", *take)).alias("best"))
+    return facts.join(best, key, "left").select(*facts.columns, F.col("best._event_at").alias(f"matched_{event_at}"), *(F.col(f"best.{c}").alias(c) for c in take))
 
 
-def piecewise(offsets: DataFrame, spans: DataFrame, on: list[str], offset: str) -> DataFrame:
+def piecewise(offsets: DataFrame, spans: DataFrame, on: list[str], offset: str, key: list[str]) -> DataFrame:
     """``mapped``: where an offset of a text lies in its module, by spans (text_offset, module_at, len); in a gap, the end of the span before."""
-    o = offsets.withColumn("_row", F.monotonically_increasing_id())
     s = spans.select(*on, "text_offset", "module_at", F.col("len").alias("_len"))
-    hit = o.join(s, on).where(F.col("text_offset") <= F.col(offset)).groupBy("_row").agg(F.max_by(F.struct("text_offset", "module_at", "_len"), "text_offset").alias("s"))
+    narrow = offsets.select(*dict.fromkeys([*key, *on, offset]))
+    hit = narrow.join(s, on).where(F.col("text_offset") <= F.col(offset)).groupBy(*key).agg(F.max_by(F.struct("text_offset", "module_at", "_len"), "text_offset").alias("s"))
     mapped = F.col("s.module_at") + F.least(F.col(offset) - F.col("s.text_offset"), F.col("s._len"))
-    return o.join(hit, "_row", "left").select(*offsets.columns, mapped.alias("mapped"))
+    return offsets.join(hit, key, "left").select(*offsets.columns, mapped.alias("mapped"))
 
 
 def first_with_prefix(needles: DataFrame, catalog: DataFrame, needle: str, key: str) -> DataFrame:

@@ -166,7 +166,7 @@ def asof_tolerance(spark, folder):
     e = table(spark, folder, "events")
     views = e.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("event_id").alias("event_id"))
     bought = e.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "user_id", "ts")
-    return J.as_of(bought, views, ["user_id"], "ts", "ts", F.expr("interval 1 hour"), ["event_id"]).select("purchase_id", "user_id", "event_id", "matched_ts")
+    return J.as_of(bought, views, ["user_id"], "ts", "ts", F.expr("interval 1 hour"), ["event_id"], key=["purchase_id"]).select("purchase_id", "user_id", "event_id", "matched_ts")
 
 
 @query("""with l as (select l_orderkey, l_linenumber, cast(l_quantity as bigint) as len, sum(cast(l_quantity as bigint)) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity rows unbounded preceding) as upto from lineitem),
@@ -180,7 +180,7 @@ def piecewise_offset(spark, folder):
     lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("len"))
     spans = lines.withColumn("before", upto - F.col("len")).select("o_orderkey", (F.col("before") * 2).alias("text_offset"), (F.col("before") * 3 + 7).alias("module_at"), "len")
     offsets = table(spark, folder, "orders").select("o_orderkey", (F.col("o_orderkey") % 100).alias("off"))
-    return J.piecewise(offsets, spans, ["o_orderkey"], "off")
+    return J.piecewise(offsets, spans, ["o_orderkey"], "off", key=["o_orderkey"])
 
 
 @query("""with needles as (select * from (values ('a'), ('b'), ('blue'), ('brand#1'), ('zz')) as n(needle)), k as (select distinct lower(p_name) as key from part union select distinct lower(p_brand) from part)
