@@ -90,71 +90,120 @@ def sets_of(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Bucket:
-    """Documents of a bucket in an order that their ids and texts decide, their sets, and the first row with each set."""
+    """Documents of a bucket in an order that their ids and texts decide."""
 
-    def __init__(self, table: pa.Table, n: int):
+    def __init__(self, table: pa.Table):
         ids = table.column("doc_id")
         self.null = np.array(ids.is_null())
         self.ids = ids.fill_null(0).to_numpy()
-        h, first = sets_of(table.column("text"), n)
-        size = np.diff(first)
-        sums = np.zeros(len(h) + 1, U64)
-        np.cumsum(T.mix(h), out=sums[1:])
-        self.digest = sums[first[1:]] - sums[first[:-1]]
-        self.order = np.lexsort((size, self.digest, self.ids, self.null))
-        self.h, self.first, self.size = h, first, size
+        order = np.lexsort((self.ids, self.null))
+        same = (self.ids[order][1:] == self.ids[order][:-1]) & (self.null[order][1:] == self.null[order][:-1])
+        if same.any():  # rows that share an id: by text
+            texts = table.column("text").to_pylist()
+            order = np.array(sorted(range(len(order)), key=lambda i: (self.null[i], self.ids[i], texts[i] or "")))
+        self.ids, self.null, self.text = self.ids[order], self.null[order], table.column("text").take(pa.array(order))
+
+
+class Sets:
+    """Sets of the texts of a bucket, and the first row with each set."""
+
+    def __init__(self, b: Bucket, n: int):
+        self.h, self.first = sets_of(b.text, n)
+        self.size = np.diff(self.first)
+        sums = np.zeros(len(self.h) + 1, U64)
+        np.cumsum(T.mix(self.h), out=sums[1:])
+        self.digest = T.mix(sums[self.first[1:]] - sums[self.first[:-1]] + self.size.astype(U64))
+        rows = np.flatnonzero(~b.null & (self.size > 0))
+        _, first, at = np.unique(self.digest[rows], return_index=True, return_inverse=True)
+        lead = rows[first][at]
+        self.kept = rows[lead == rows]
+        self.copies = np.stack([rows[lead != rows], lead[lead != rows]], axis=1)
 
     def set(self, row: int) -> np.ndarray:
-        d = self.order[row]
-        return self.h[self.first[d] : self.first[d + 1]]
-
-    def kept(self) -> tuple[list[int], list[tuple[int, int]]]:
-        """Rows with a set of their own, and (row, first row with that set) of the others. Rows with null ids or empty sets are in neither."""
-        seen: dict[bytes, int] = {}
-        rows, copies = [], []
-        for row in range(len(self.order)):
-            d = self.order[row]
-            if self.null[d] or not self.size[d]:
-                continue
-            key = self.set(row).tobytes()
-            if key in seen:
-                copies.append((row, seen[key]))
-            else:
-                seen[key] = row
-                rows.append(row)
-        return rows, copies
-
-
-def signatures(x: np.ndarray, bands: Bands, cache: dict):
-    """Signatures of a set: (keys, parts that are empty, parts that similar sets must share) for each band and level."""
-    for c in bands.of(len(x)):
-        if c not in cache:
-            cache[c] = bands.parts(c)
-        n, k = cache[c]
-        for level in range(LEVELS):
-            salt = U64(c * LEVELS + level + 1)
-            part = ((T.mix(x + salt * U64(0x9E3779B9)) >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            p = part[order]
-            at = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-            head = T.mix(p[at].astype(U64) + (salt << U64(32)))
-            keys = T.mix(np.add.reduceat(T.mix(x[order] ^ U64(0xA5A5A5A5)), at) + head)
-            empty = n - len(at)
-            if level == LEVELS - 1 and empty >= n - k:
-                missing = np.setdiff1d(np.arange(n), p[at])
-                keys = np.append(keys, T.mix(T.mix(missing.astype(U64) + (salt << U64(32))) + U64(7)))
-                empty = 0
-            yield keys, empty, n - k
-            if empty < n - k:
-                break
+        return self.h[self.first[row] : self.first[row + 1]]
+
+
+#: Added to the digest of a set to get the key that equal sets share.
+EQUAL = U64(0x51ED270B9F1C3A77)
+
+
+def signatures(s: Sets, bands: Bands) -> tuple[np.ndarray, ...]:
+    """Keys of all kept sets of a bucket, the row of each, and its unit (a set in one band and level); for each unit the number of its parts
+    that are empty, and how many parts similar sets must share. The first unit of a set is its digest."""
+    keys, row, unit, empties, musts, cache = [], [], [], [], [], {}
+    for r in s.kept.tolist():
+        x = s.set(r)
+        keys.append(T.mix(s.digest[r : r + 1] + EQUAL))
+        row.append(r)
+        unit.append(1)
+        empties.append(0)
+        musts.append(0)
+        for c in bands.of(len(x)):
+            if c not in cache:
+                cache[c] = bands.parts(c)
+            n, k = cache[c]
+            for level in range(LEVELS):
+                salt = c * LEVELS + level + 1
+                part = ((T.mix(x + U64(salt * 0x9E3779B9)) >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
+                # Sums over a part need no order within it.
+                sums = np.zeros(n, U64)
+                np.add.at(sums, part, T.mix(x ^ U64(0xA5A5A5A5)))
+                full = np.bincount(part, minlength=n) > 0
+                at = np.flatnonzero(full)
+                got = T.mix(sums[at] + T.mix(at.astype(U64) + U64(salt << 32)))
+                empty = n - len(at)
+                if level == LEVELS - 1 and empty >= n - k:
+                    missing = np.flatnonzero(~full)
+                    got = np.append(got, T.mix(T.mix(missing.astype(U64) + U64(salt << 32)) + U64(7)))
+                    empty = 0
+                keys.append(got)
+                row.append(r)
+                unit.append(len(got))
+                empties.append(empty)
+                musts.append(n - k)
+                if empty < n - k:
+                    break
+    sizes = np.array(unit, np.int64)
+    return (
+        np.concatenate(keys) if keys else np.zeros(0, U64), np.repeat(np.array(row, np.int64), sizes), np.repeat(np.arange(len(sizes)), sizes),
+        np.array(empties, np.int64), np.array(musts, np.int64),
+    )
 
 
 def bitmap(x: np.ndarray) -> bytes:
-    """Parity of the number of elements that hash to each of BITS places."""
-    n = np.bincount((T.mix(x) % U64(BITS)).astype(np.int64), minlength=BITS)
+    """Parity of the number of elements that hash to each place; twice as many places as elements, a power of two, 1024 at least."""
+    places = max(BITS, 1 << (2 * len(x) - 1).bit_length())
+    n = np.bincount((T.mix(x) & U64(places - 1)).astype(np.int64), minlength=places)
     return np.packbits((n & 1).astype(np.uint8)).tobytes()
 
 
+def least_distances(maps: list[bytes]) -> np.ndarray:
+    """For each two sets a bound below the size of their symmetric difference. A bitmap of twice the places folds to the smaller one."""
+    size = np.array([len(m) for m in maps])
+    out = np.zeros((len(maps), len(maps)))
+    for places in np.unique(size):
+        at = np.flatnonzero(size >= places)
+        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(maps[i], np.uint8).reshape(-1, places), axis=0) for i in at])
+        m = np.unpackbits(bits, axis=1).astype(np.float32)
+        ones = m.sum(axis=1)
+        apart = ones[:, None] + ones[None, :] - 2 * (m @ m.T)
+        mine = size[at] == places
+        pick = mine[:, None] | mine[None, :]
+        block = out[np.ix_(at, at)]
+        block[pick] = apart[pick]
+        out[np.ix_(at, at)] = block
+    return out
+
+
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def arrow(schema: str, rows: list[tuple]) -> pa.Table:
+    fields = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
+    return pa.table({name: pa.array(c, _KINDS[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
+
+
 def forest(similar: np.ndarray) -> np.ndarray:
     """Least member that each can reach in a symmetric matrix."""
     root = np.arange(len(similar))
@@ -190,62 +239,73 @@ def linked(sets: list[np.ndarray], t: Fraction) -> np.ndarray:
     return both * t.denominator >= union * t.numerator
 
 
+#: ``pieces``: how many pieces a group has; 0 links ids a and b; -1 id a has b n-grams; -2 equal sets, led by the holder.
 MEMBER = "shard int, holder long, pieces int, piece int, node long, bucket int, size int, bits binary, a long, b long"
-ASKED = "bucket int, grp long, pieces int, piece int, node long, holds boolean"
-WHOLE = "shard int, grp long, pieces int, piece int, node long, holds boolean, doc_id long, grams binary"
+ASKED = "bucket int, grp long, pieces int, piece int, node long, holds boolean, a long, b long"
+WHOLE = "shard int, grp long, pieces int, piece int, node long, holds boolean, doc_id long, grams binary, a long, b long"
 LINK = "a long, b long, grp long, pieces int, piece int, node long, doc_id long, grams binary"
 
 
-def links(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), bucket_bytes: int = 1 << 20) -> DataFrame:
-    """``a, b``: links that connect exactly the documents that similarity connects."""
+def links(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), bucket_bytes: int = 1 << 20, hot_at: int = HOT, piece_of: int = PIECE) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, n_shingles`` of each row, and ``a, b``: links that connect exactly the documents that similarity connects."""
     bands = Bands(threshold)
     total = cells.plan_bytes(docs)
     shards, width = max(64, math.ceil(total / (1 << 20))), cells.key_width(total)
     tail = U64((1 << 8 * (8 - width)) - 1)
 
     def keys_of(table: pa.Table):
-        b, cache = Bucket(table, n), {}
-        keys, rows = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-        for row in b.kept()[0]:
-            for got, _, _ in signatures(b.set(row), bands, cache):
-                keys.append(got)
-                rows.append(np.full(len(got), row))
-        return np.concatenate(keys), np.concatenate(rows)
+        keys, row, *_ = signatures(Sets(Bucket(table), n), bands)
+        return keys, row
 
-    def shard_of(*parts) -> int:
-        x = U64(0)
+    def shard_of(*parts) -> np.ndarray:
+        x = np.zeros(np.broadcast(*parts).shape, U64)
         for p in parts:
-            x = T.mix(np.array([(int(p) & (1 << 64) - 1) ^ int(x)], U64))[0]
-        return int(x % U64(shards))
+            x = T.mix(x ^ np.asarray(p, np.int64).astype(U64))
+        return (x % U64(shards)).astype(np.int32)
 
     def members(table: pa.Table, keys: np.ndarray, counts: np.ndarray, holders: np.ndarray) -> pa.Table:
-        out = []
-        if table.num_rows:
-            b, cache = Bucket(table, n), {}
-            bucket = table.column("bucket")[0].as_py()
-            rows, copies = b.kept()
-            for row, first in copies:
-                out.append((0, 0, 0, 0, 0, 0, 0, None, int(b.ids[b.order[row]]), int(b.ids[b.order[first]])))
-            for row in rows:
-                x, node = b.set(row), bucket << 32 | row
-                asked = set()
-                for got, empty, must in signatures(x, bands, cache):
-                    at = np.searchsorted(keys, got & ~tail)
-                    count, holder = counts[at], holders[at]
-                    hot = count > HOT
-                    use = (count > 1) & (~hot | (empty + hot.sum() >= must))
-                    use |= (count > 1) & (holder == node)
-                    for h, c in zip(holder[use].tolist(), count[use].tolist(), strict=True):
-                        asked.add((h, 1 if c <= HOT else 1 << math.ceil(math.log2(c / PIECE))))
-                if asked:
-                    bits = bitmap(x)
-                    for h, pieces in asked:
-                        own = range(pieces) if h == node else [int(T.mix(np.array([node], U64))[0] % U64(pieces))]
-                        out += [(shard_of(h, pieces, p), h, pieces, p, node, bucket, len(x), bits if pieces == 1 else None, None, None) for p in own]
-        columns = list(zip(*out, strict=True)) or [[]] * 10
-        names = [x.split()[0] for x in MEMBER.split(", ")]
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.table({k: pa.array(c, t) for k, c, t in zip(names, columns, kinds, strict=True)})
+        if not table.num_rows:
+            return arrow(MEMBER, [])
+        b = Bucket(table)
+        s = Sets(b, n)
+        bucket = table.column("bucket")[0].as_py()
+        ids = [None if null else i for i, null in zip(b.ids.tolist(), b.null.tolist(), strict=True)]
+        spread = shard_of(bucket, np.arange(len(ids))).tolist()
+        # holder, pieces, piece, node, bucket, size, bits, a, b, shard
+        rows = [(0, -1, 0, 0, bucket, 0, None, i, m, sh) for i, m, sh in zip(ids, s.size.tolist(), spread, strict=True)]
+        rows += [(0, 0, 0, 0, bucket, 0, None, ids[r], ids[first], spread[r]) for r, first in s.copies.tolist()]
+        got, row, unit, empty, must = signatures(s, bands)
+        if len(got):
+            at = np.searchsorted(keys, got & ~tail)
+            count, holder = counts[at], holders[at]
+            node = np.int64(bucket) << 32 | row
+            # A set that an earlier one equals is linked with it, and takes no part otherwise.
+            lead = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]) & (must[unit] == 0))
+            later = lead[(count[lead] > 1) & (holder[lead] != node[lead])]
+            equal = np.zeros(len(s.size), bool)
+            equal[row[later]] = True
+            heads = lead[count[lead] > 1]
+            for i, sh in zip(heads.tolist(), shard_of(holder[heads], -2).tolist(), strict=True):
+                rows.append((int(holder[i]), -2, 0, int(node[i]), bucket, 0, None, None, None, sh))
+            hot = count > hot_at
+            hots = np.bincount(unit, hot, len(must)).astype(np.int64)
+            use = (count > 1) & (must[unit] > 0) & ~equal[row] & (~hot | ((empty + hots) >= must)[unit] | (holder == node))
+            pieces = np.where(count > hot_at, 1 << np.ceil(np.log2(np.maximum(count, 1) / piece_of)).astype(np.int64).clip(0), 1)
+            asked = np.unique(np.stack([row[use], holder[use], pieces[use]], axis=1), axis=0)
+            own = T.mix(np.int64(bucket).astype(U64) << U64(32) | asked[:, 0].astype(U64))
+            bits: dict[int, bytes] = {}
+            for (r, h, m), o in zip(asked.tolist(), own.tolist(), strict=True):
+                me = bucket << 32 | r
+                if m == 1 and r not in bits:
+                    bits[r] = bitmap(s.set(r))
+                for p in range(m) if h == me else (o % m,):
+                    rows.append((h, m, p, me, bucket, int(s.size[r]), bits[r] if m == 1 else None, None, None, None))
+            todo = [i for i, x in enumerate(rows) if x[9] is None]
+            if todo:
+                sh = shard_of(*(np.array([rows[i][c] for i in todo], np.int64) for c in (0, 1, 2)))
+                for i, x in zip(todo, sh.tolist(), strict=True):
+                    rows[i] = (*rows[i][:9], x)
+        return arrow(MEMBER, [(x[9], *x[:9]) for x in rows])
 
     def groups_of(table: pa.Table, *names: str):
         columns = [table.column(x).to_numpy() for x in names]
@@ -256,17 +316,21 @@ def links(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), buc
 
     def candidates(table: pa.Table) -> pa.Table:
         holder, pieces, piece, node, bucket, size = (table.column(c).to_numpy() for c in ("holder", "pieces", "piece", "node", "bucket", "size"))
-        bits = table.column("bits").to_pylist()
+        bits, a, b = (table.column(c).to_pylist() for c in ("bits", "a", "b"))
         out = []
         for g in groups_of(table, "holder", "pieces", "piece"):
+            if pieces[g[0]] in (0, -1):  # these only pass through
+                out += [(int(bucket[i]), 0, int(pieces[i]), 0, 0, False, a[i], b[i]) for i in g]
+                continue
+            if pieces[g[0]] == -2:
+                out += [(int(bucket[i]), int(holder[i]), -2, 0, int(node[i]), bool(node[i] == holder[i]), None, None) for i in g]
+                continue
             if pieces[g[0]] > 1:
-                out += [(int(bucket[i]), int(holder[i]), int(pieces[i]), int(piece[i]), int(node[i]), bool(node[i] == holder[i])) for i in g]
+                out += [(int(bucket[i]), int(holder[i]), int(pieces[i]), int(piece[i]), int(node[i]), bool(node[i] == holder[i]), None, None) for i in g]
                 continue
             if len(g) < 2:
                 continue
-            m = np.unpackbits(np.frombuffer(b"".join(bits[i] for i in g), np.uint8).reshape(len(g), -1), axis=1).astype(np.float32)
-            ones = m.sum(axis=1)
-            apart = ones[:, None] + ones[None, :] - 2 * (m @ m.T)
+            apart = least_distances([bits[i] for i in g])
             s = size[g].astype(np.int64)
             both = s[:, None] + s[None, :]
             t = threshold
@@ -277,48 +341,51 @@ def links(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), buc
                 same = g[root == r]
                 if len(same) > 1:
                     grp = int(T.mix(np.array([int(holder[g[0]]) ^ (int(node[g[r]]) << 1)], U64)).astype(np.int64)[0])
-                    out += [(int(bucket[i]), grp, 1, 0, int(node[i]), False) for i in same]
-        columns = list(zip(*out, strict=True)) or [[]] * 6
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
-        return pa.table({x.split()[0]: pa.array(c, k) for x, c, k in zip(ASKED.split(", "), columns, kinds, strict=True)})
+                    out += [(int(bucket[i]), grp, 1, 0, int(node[i]), False, None, None) for i in same]
+        return arrow(ASKED, out)
 
     def whole(table: pa.Table, asked: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return arrow(WHOLE, [])
+        b = Bucket(table)
+        rows = list(zip(*(asked.column(c).to_pylist() for c in ("grp", "pieces", "piece", "node", "holds", "a", "b")), strict=True))
+        need = sorted({r[3] & 0xFFFFFFFF for r in rows if r[1] > 0})
+        h, first = sets_of(b.text.take(pa.array(need, pa.int64())), n)
+        place = {r: i for i, r in enumerate(need)}
+        shard = shard_of(*(np.array([(r[c] or 0) for r in rows], np.int64) for c in (0, 1, 2, 5)))
         out = []
-        if asked.num_rows:
-            ids, texts = table.column("doc_id"), table.column("text")
-            b = Bucket(pa.table({"doc_id": ids, "text": texts}), n)
-            grams: dict[int, bytes] = {}
-            for grp, pieces, piece, node, holds in zip(*(asked.column(c).to_pylist() for c in ("grp", "pieces", "piece", "node", "holds")), strict=True):
-                row = node & 0xFFFFFFFF
-                if row not in grams:
-                    grams[row] = b.set(row).tobytes()
-                out.append((shard_of(grp, pieces, piece), grp, pieces, piece, node, holds, int(b.ids[b.order[row]]), grams[row]))
-        columns = list(zip(*out, strict=True)) or [[]] * 8
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
-        return pa.table({x.split()[0]: pa.array(c, k) for x, c, k in zip(WHOLE.split(", "), columns, kinds, strict=True)})
-
-    def link_table(out: list) -> pa.Table:
-        columns = list(zip(*out, strict=True)) or [[]] * 8
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.table({x.split()[0]: pa.array(c, k) for x, c, k in zip(LINK.split(", "), columns, kinds, strict=True)})
+        for (grp, pieces, piece, node, holds, x, y), sh in zip(rows, shard.tolist(), strict=True):
+            r = node & 0xFFFFFFFF
+            grams = h[first[place[r]] : first[place[r] + 1]].tobytes() if pieces > 0 else None
+            out.append((sh, grp, pieces, piece, node, holds, None if pieces in (0, -1) else int(b.ids[r]), grams, x, y))
+        return arrow(WHOLE, out)
 
     def verify(table: pa.Table) -> pa.Table:
-        """Spanning links of each group; of salted groups also the sets that don't link up with the holder."""
-        ids, nodes = table.column("doc_id").to_numpy(), table.column("node").to_numpy()
+        """Spanning links of each group; of salted groups also the sets, and whether they link up with the holder."""
+        nodes = table.column("node").to_numpy()
         grp, pieces, piece, holds = (table.column(c).to_pylist() for c in ("grp", "pieces", "piece", "holds"))
-        raw = table.column("grams")
+        raw, a, b = table.column("grams"), table.column("a").to_pylist(), table.column("b").to_pylist()
+        ids = table.column("doc_id").to_pylist()
         out = []
         for g in groups_of(table, "grp", "pieces", "piece"):
+            kind = pieces[g[0]]
+            if kind in (0, -1):
+                out += [(a[i], b[i], None, kind, None, None, None, None) for i in g]
+                continue
+            if kind == -2:
+                lead = next(ids[i] for i in g if holds[i])
+                out += [(ids[i], lead, None, 0, None, None, None, None) for i in g if ids[i] != lead]
+                continue
             g = g[np.unique(nodes[g], return_index=True)[1]]
             if len(g) < 2:
                 continue
             sets = [np.frombuffer(raw[int(i)].as_py(), U64) for i in g]
             root = forest(linked(sets, threshold))
-            out += [(int(ids[g[i]]), int(ids[g[root[i]]]), None, None, None, None, None, None) for i in range(len(g)) if root[i] != i]
+            out += [(int(ids[g[i]]), int(ids[g[root[i]]]), None, 0, None, None, None, None) for i in range(len(g)) if root[i] != i]
             if pieces[g[0]] > 1:
                 main = [root[i] for i in range(len(g)) if holds[g[i]]]
-                out += [(None, None, grp[j], pieces[j], piece[j], int(nodes[j]), int(ids[j]), sets[i].tobytes()) for i, j in enumerate(g) if root[i] not in main]
-        return link_table(out)
+                out += [(None, int(root[i] not in main), grp[j], pieces[j], piece[j], int(nodes[j]), int(ids[j]), sets[i].tobytes()) for i, j in enumerate(g)]
+        return arrow(LINK, out)
 
     base = cells.key_members(docs, keys_of, members, MEMBER, bytes_per_byte=1.2, bucket_bytes=bucket_bytes)
     rows = cells.bucketed(docs, bucket_bytes)
@@ -326,23 +393,23 @@ def links(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), buc
     def sets_for(asked: DataFrame) -> DataFrame:
         return rows.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(whole, WHOLE)
 
-    # One pass over the members gives candidate groups; direct links between equal sets of a bucket come along.
-    tagged = checkpoint(base)
-    asked = tagged.where("a is null").groupBy("shard").applyInArrow(candidates, ASKED)
+    asked = base.groupBy("shard").applyInArrow(candidates, ASKED)
+    # One job, so that all passes over the texts read one exchange.
     found = checkpoint(sets_for(asked).groupBy("shard").applyInArrow(verify, LINK))
-    out = tagged.where("a is not null").select("a", "b").unionByName(found.where("a is not null").select("a", "b"))
-    apart = found.where("a is null").drop("a", "b")
+    out = found.where("pieces = 0 and a <> b").select("a", "b")
+    # Sets of salted groups; b: whether they did not link up with the holder.
+    salted = found.where("pieces > 1").drop("a")
+    apart = salted.where("b = 1").drop("b")
     if not apart.isEmpty():
-        out = out.unionByName(_across(sets_for(tagged.where("a is null and pieces > 1").select(
-            "bucket", F.col("holder").alias("grp"), "pieces", "piece", "node", (F.col("node") == F.col("holder")).alias("holds"))), apart, threshold))
-    return out.where("a <> b")
+        out = out.unionByName(_across(salted.drop("b"), apart, threshold).where("a <> b"))
+    return found.where("pieces = -1").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles")), out
 
 
 def _across(every: DataFrame, apart: DataFrame, t: Fraction) -> DataFrame:
     """Links between sets that did not link up in their piece and the other pieces of their group, a pair of pieces at a time."""
     blocks = apart.select("grp", "pieces", F.col("piece").alias("own")).distinct()
     others = every.join(blocks, ["grp", "pieces"]).where("piece <> own").select("grp", "pieces", "own", "piece", "doc_id", "grams")
-    asking = apart.select("grp", "pieces", F.col("piece").alias("own"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "doc_id", "grams").where("piece <> own")
+    asking = apart.select(F.col("grp").alias("grp"), F.col("pieces").alias("pieces"), F.col("piece").alias("own"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("doc_id").alias("doc_id"), F.col("grams").alias("grams")).where("piece <> own")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = [], []
@@ -360,19 +427,13 @@ def _across(every: DataFrame, apart: DataFrame, t: Fraction) -> DataFrame:
 
 def classes(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """``id, component`` of the documents that have links."""
-    return components(links(docs, n, threshold))
+    return components(links(docs, n, threshold)[1])
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``."""
-
-    def count(batches):
-        for batch in T.batches(batches):
-            _, first = sets_of(batch.column("text"), n)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(first), pa.int64())], names=["doc_id", "n_shingles"])
-
-    sizes = docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n_shingles long")
-    own = classes(docs, n, threshold).withColumnRenamed("id", "doc_id")
+    sizes, found = links(docs, n, threshold)
+    own = components(found).withColumnRenamed("id", "doc_id")
     return sizes.join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
