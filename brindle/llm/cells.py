@@ -11,6 +11,7 @@ documents are shuffled once (both passes read the same exchange).
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -22,8 +23,12 @@ U64 = np.uint64
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Bytes that the optimiser expects to read for ``df``: file sizes, without a job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes that ``df`` reads: file sizes where the plan is a scan without joins, which needs no job; else the bytes of its texts."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    text = str(plan.toString())
+    if "Relation" in text and not re.search(r"Join|LogicalRDD|Generate|Expand", text):
+        return max(1, int(str(plan.stats().sizeInBytes())))
+    return max(1, df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
 def n_buckets(df: DataFrame, bucket_bytes: int = 1 << 20) -> int:
