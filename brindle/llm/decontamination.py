@@ -69,8 +69,10 @@ class Template:
         slot = np.where(number, 1, np.where(unit, 3, np.where(name, 2, 0))).astype(np.int8)
         kind = np.where(slot == 1, NUMBER, np.where(slot == 2, NAME, np.where(slot == 3, UNIT, w.hash)))
         # Numbers with separators and names of several words are one slot.
+        gap = w.start[1:] - w.end[:-1] == 1
+        between = w.data[w.end[:-1]]
         joined = np.zeros(n, bool)
-        joined[1:] = (slot[1:] == slot[:-1]) & ((slot[1:] == 1) | (slot[1:] == 2)) & ~opens[1:]
+        joined[1:] = (slot[1:] == slot[:-1]) & gap & ((slot[1:] == 1) & ((between == 46) | (between == 44)) | (slot[1:] == 2) & (between == 32) & ~opens[1:])
         joined[w.first[:-1][w.first[:-1] < n]] = False
         head = np.flatnonzero(~joined)
         mixed = T.mix(w.hash + (np.arange(n) - head[np.searchsorted(head, np.arange(n), "right") - 1]).astype(np.uint64))
