@@ -1,0 +1,451 @@
+"""The training-data operators against plain versions on small tables with all the odd cases."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from brindle.llm import cells, components, decontamination, embedding_dedup, language_id, lm_score, mixing, ngram_jaccard, passages, sharding, substring_dedup, suffix_dedup, toxicity
+from brindle.llm import text as T
+
+SEPARATE = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, bucket string, score string, shard string, n string, key string"
+
+
+def words(t):
+    return SEPARATE.findall(t or "")
+
+
+def corpus(seed=1):
+    """Copies, near copies, shared passages, repeated words, short, empty and null texts, odd spaces, repeated rows and null ids."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}é" for i in range(300)]
+    make = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    passage, base = make(60), make(70)
+    texts = [make(rng.choice([1, 3, 4, 5, 6, 40, 120])) for _ in range(50)]
+    texts += [make(20) + "\n" + passage + "\t" + make(25) for _ in range(12)]
+    for _ in range(25):
+        w = base.split()
+        for _ in range(rng.choice([0, 1, 2, 4])):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        texts.append(" ".join(w))
+    texts += ["same " * 90, "", "   ", "a b", "A  B\n", "x y", " ", base.upper(), "9 8 7", make(3000)]
+    rows = [(i * 7 % 1009 + 1, t) for i, t in enumerate(texts)]
+    return [*rows, (5000, None), rows[3], (5001, rows[3][1])]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "s", 0, "b", "c", "d", "e", "f") for i, t in corpus()]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_words_match_the_pattern():
+    texts = [t for _, t in corpus()]
+    w = T.words(pa.array(texts, pa.string()))
+    assert [int(x) for x in np.diff(w.first)] == [len(words(t)) for t in texts]
+    flat = [x for t in texts for x in words(t)]
+    assert [w.data[a:b].tobytes().decode() for a, b in zip(w.start, w.end, strict=True)] == flat
+    by = defaultdict(set)
+    for x, h in zip(flat, w.hash.tolist(), strict=True):
+        by[x].add(h)
+    assert all(len(h) == 1 for h in by.values()) and len({h for s in by.values() for h in s}) == len(by)
+    low = T.words(pa.array(["ABé É", None]), lower=True)
+    assert low.hash[0] == T.words(pa.array(["abé"])).hash[0] and low.hash[1] == T.words(pa.array(["É"])).hash[0]
+
+
+def test_chunked_hashes(monkeypatch):
+    column = pa.array(["aa bbb " * 500, "c" * 900, ""])
+    whole, runs = T.words(column).hash, T.runs(T.words(column).hash, 7)
+    monkeypatch.setattr(T, "CHUNK", 64)
+    assert (T.words(column).hash == whole).all() and (T.runs(whole, 7) == runs).all()
+
+
+def test_cells_round_trip():
+    keys, counts = cells.distinct(T.mix(np.arange(5000, dtype=np.uint64)), 6)
+    assert (cells.unpack_keys(cells.pack_keys(keys, 6), 6) == keys).all()
+    n = np.array([0, 1, 254, 255, 10**12])
+    assert (cells.unpack_counts(cells.pack_counts(n), 5) == n).all() and counts.sum() == 5000
+
+
+def plain_windows(rows, size):
+    seen = Counter()
+    for _, t in rows:
+        w = words(t)
+        seen.update(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
+    out = []
+    for d, t in rows:
+        w = words(t)
+        gone = [False] * len(w)
+        for i in range(len(w) - size + 1):
+            if seen[tuple(w[i : i + size])] > 1:
+                gone[i : i + size] = [True] * size
+        out.append((d, w, gone))
+    return out
+
+
+@pytest.mark.parametrize("hot", [2000, 4])
+def test_substring_dedup(docs, hot):
+    want = Counter((d, len(w), sum(g), hashlib.sha256(" ".join(x for x, y in zip(w, g, strict=True) if not y).encode()).hexdigest()) for d, w, g in plain_windows(corpus(), 35))
+    got = passages.repeated(docs, 35, 18, substring_dedup.resolver(35), passages.finish_rows, passages.FINISHED, hot=hot)
+    assert Counter(map(tuple, got.collect())) == want
+
+
+def test_clean_texts(docs):
+    want = Counter((d, " ".join(x for x, y in zip(w, g, strict=True) if not y)) for d, w, g in plain_windows(corpus(), 35))
+    assert Counter(map(tuple, substring_dedup.clean_texts(docs).collect())) == want
+
+
+def test_suffix_dedup(docs):
+    want = Counter()
+    for d, w, g in plain_windows(corpus(), 50):
+        spans, i = [], 0
+        while i < len(g):
+            j = i
+            while j < len(g) and g[j] == g[i]:
+                j += 1
+            if g[i]:
+                spans.append((i, j - i))
+            i = j
+        want[d, len(w), sum(g), tuple(spans)] += 1
+    got = Counter((r.doc_id, r.n_words, r.n_repeated, tuple((s["first"], s["words"]) for s in r.spans)) for r in suffix_dedup.suffix_dedup(docs).collect())
+    assert got == want
+
+
+def test_automaton_counts_runs():
+    rng = random.Random(5)
+    texts = [[rng.choice("ab") for _ in range(rng.randrange(3, 30))] for _ in range(12)]
+    weights = [rng.choice([1, 1, 2]) for _ in texts]
+    s = substring_dedup.SuffixAutomaton()
+    for t, n in zip(texts, weights, strict=True):
+        s.add(t, n)
+    s.close()
+    seen = Counter()
+    for t, n in zip(texts, weights, strict=True):
+        for i in range(len(t) - 4):
+            seen[tuple(t[i : i + 5])] += n
+    for t in texts:
+        assert s.repeats(t, 5) == [seen[tuple(t[i : i + 5])] > 1 for i in range(len(t) - 4)]
+
+
+def plain_classes(rows):
+    sets = {}
+    for d, t in rows:
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.setdefault(d, []).append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    root = {d: d for d in sets}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    flat = [(d, s) for d, many in sets.items() for s in many if s]
+    for i, (a, x) in enumerate(flat):
+        for b, y in flat[:i]:
+            if 100 * len(x & y) >= 80 * len(x | y):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return Counter((d, len(s), find(d)) for d, many in sets.items() for s in many)
+
+
+def test_jaccard_join(docs):
+    assert Counter(map(tuple, ngram_jaccard.jaccard_join(docs).collect())) == plain_classes(corpus())
+
+
+def test_jaccard_join_splits_hot_groups(spark, docs):
+    want = {d: c for d, _, c in plain_classes(corpus())}
+    sizes, links = ngram_jaccard.links(docs, hot_at=5, piece_of=2)
+    own = {r.id: r.component for r in components.components(links).collect()}
+    assert {r.doc_id: own.get(r.doc_id, r.doc_id) for r in sizes.collect()} == want
+
+
+def test_jaccard_join_null_ids(spark):
+    d = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f"), (1, "A B C D E F")], "doc_id long, text string")
+    assert Counter(map(tuple, ngram_jaccard.jaccard_join(d).collect())) == Counter({(None, 2, None): 2, (2, 2, 1): 1, (1, 2, 1): 1})
+
+
+def test_bands_hold_all_similar_sizes():
+    bands = ngram_jaccard.Bands(Fraction(4, 5))
+    for r in range(1, 400):
+        for s in range(r, 5 * r // 4 + 1):
+            common = set(bands.of(r)) & set(bands.of(s))
+            assert any(bands.parts(c)[1] >= (r + s) // 9 for c in common)
+
+
+def test_parity_bitmaps_never_exceed_the_distance():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (3, 500, 700, 900, 3000)]
+    sets.append(np.union1d(sets[1][:400], sets[2]))
+    low = ngram_jaccard.least_distances([ngram_jaccard.bitmap(x) for x in sets])
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            assert low[i, j] <= len(np.setxor1d(x, y))
+
+
+def test_lm_score(docs):
+    rows = corpus()
+    for order in (2, 3):
+        c = [Counter() for _ in range(order)]
+        for _, t in rows:
+            w = words(t)
+            for n in range(order):
+                c[n].update(tuple(w[i : i + n + 1]) for i in range(len(w) - n))
+        total = sum(c[0].values())
+        want = Counter()
+        for d, t in rows:
+            w = words(t)
+            own = [Counter(tuple(w[i : i + n + 1]) for i in range(len(w) - n)) for n in range(order)]
+            other = lambda g: c[len(g) - 1][g] - own[len(g) - 1][g]  # noqa: B023, E731
+            score = 0.0
+            for i in range(len(w)):
+                factor = 1.0
+                for n in range(min(order, i + 1), 0, -1):
+                    g = tuple(w[i - n + 1 : i + 1])
+                    if n == 1:
+                        score += math.log(factor * (other(g) / (total - len(w)) if other(g) else 0.4 / (total - len(w) + 1)))
+                    elif other(g):
+                        score += math.log(factor * other(g) / other(g[:-1]))
+                        break
+                    else:
+                        factor *= 0.4
+            want[d, len(w), round(score, 6) if w else None, sum(not other((x,)) for x in w)] += 1
+        got = Counter((r.doc_id, r.n_words, None if r.log_score is None else round(r.log_score, 6), r.unseen) for r in lm_score.lm_score(docs, order).collect())
+        assert got == want
+
+
+def test_sharding(docs):
+    rows = sharding.shard_slots(docs).collect()
+    want = sorted((d, zlib.crc32((t or "").encode()), len((t or "").encode()) + 1) for d, t in corpus())
+    total, before, slots = sum(x[2] for x in want), 0, Counter()
+    expected = Counter()
+    for d, crc, size in want:
+        shard = min(15, before * 16 // total)
+        expected[d, size, crc, "bytes", shard, slots[shard], None] += 1
+        slots[shard] += 1
+        before += size
+    assert Counter(map(tuple, rows)) == expected
+    with_shard = sharding.with_shard(docs)
+    assert with_shard.columns == docs.columns and Counter((r.doc_id, r.shard) for r in with_shard.collect()) == Counter((r.doc_id, r.shard) for r in rows)
+
+
+def test_near_duplicates(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 16))
+    near = x[:60] + rng.normal(size=(60, 16)) * 0.15
+    hot = x[0] + rng.normal(size=(80, 16)) * 0.05
+    every = np.concatenate([x, near, hot, x[:20]]).astype(np.float32)
+    labels = np.concatenate([rng.integers(0, 3, 300), rng.integers(0, 3, 60), np.zeros(80), rng.integers(0, 3, 20)]).astype(int)
+    rows = [(i * 3, v.tolist(), int(k), "extra") for i, (v, k) in enumerate(zip(every, labels, strict=True))]
+    odd = [(9000, None, 0, ""), (9001, [0.0] * 16, 0, ""), (9002, [float("nan")] * 16, 0, ""), (9003, rows[0][1], None, ""), (9004, [], 0, ""), (9005, [1.0, None] * 8, 0, ""), (9006, [float("inf")] * 16, 0, ""), (9007, [1.0, 0.0], 0, ""), (None, rows[0][1], 0, "")]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int, cell string")
+    good = {i: (np.array(v, np.float32).astype(float), k) for i, v, k, _ in rows} | {9007: (np.array([1.0, 0.0]), 0)}
+    n, root = Counter(), {i: i for i in [*good, *(r[0] for r in odd)]}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    keys = sorted(good)
+    for a in keys:
+        for b in keys:
+            (u, k), (v, m) = good[a], good[b]
+            if a < b and k == m and len(u) == len(v) and u @ v / math.sqrt((u @ u) * (v @ v)) >= 0.93:
+                n[a] += 1
+                n[b] += 1
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    want = {i: (n[i], find(i), find(i) == i) for i in root if i is not None} | {None: (0, None, False)}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df, block=16, per_cell=64).collect()}
+    linked = sum(v[0] for v in want.values())
+    assert sum(v[0] for v in got.values()) >= 0.9 * linked and all(got[i][0] <= want[i][0] for i in want)
+    assert got == want
+
+
+def test_components_of_chains(spark):
+    links = [(i, i + 1) for i in range(0, 40)] + [(100, 200), (200, 150), (7, 7), (None, 3)] + [(500, i) for i in range(501, 560)]
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 150: 100, 200: 100} | {i: 500 for i in range(500, 560)}
+
+
+LANGUAGES = {"aa": "banana karawa tamara salama", "bb": "thrun krelsh vorn twelth", "cc": "ñío éluë çàt ôrêz"}
+
+
+def sentence(rng, lang, n=40):
+    parts = LANGUAGES[lang].split()
+    return " ".join(rng.choice(parts)[: rng.randrange(3, 8)] for _ in range(n))
+
+
+def test_language_id(spark):
+    rng = random.Random(8)
+    rows = [(i, sentence(rng, lang), lang if i % 11 else None, 1.0) for i in range(360) for lang in [rng.choice(list(LANGUAGES))]]
+    truth = {i: lang for i, _, lang, _ in rows}
+    rows += [(1000, None, "aa", 0.0), (1001, "", "bb", 0.0), (1002, "12 !! 34", "cc", 0.0), (1003, "qqzz xxjj wwqq zzyy " * 20, None, 0.0), (None, "banana", "aa", 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    got = {r.doc_id: r for r in language_id.identify(df).collect()}
+    assert len(got) == len(rows)
+    hold = [i for i in truth if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert {i for i in got if got[i].held_out} == {i for i in got if i is not None and zlib.crc32(str(i).encode()) % 3 == 1}
+    assert all(got[i].lang_pred == truth[i] for i in hold if truth[i]) and not any(got[i].rejected for i in hold)
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 and got[i].rejected for i in (1000, 1001, 1002))
+    assert got[1003].rejected and all(0 <= r.score <= 1 for r in got.values())
+    kept = language_id.known(df, language_id.fit(df, ~language_id.held_out()))
+    assert kept.columns == df.columns and kept.count() == len(rows) - 4
+
+
+def test_kneser_ney_sums_to_one():
+    rng = np.random.default_rng(1)
+    c = rng.integers(1, 9, 4000).astype(np.uint32)
+    packed, n = np.unique(c[:-3] << 24 | c[1:-2] << 16 | c[2:-1] << 8 | c[3:], return_counts=True)
+    model = language_id.KneserNey(packed, n)
+    context = packed[:50] & ~np.uint32(255)
+    p = np.exp(model.log_probability((context[:, None] | np.arange(256, dtype=np.uint32)[None, :]).ravel())).reshape(50, 256).sum(axis=1)
+    assert np.abs(p - 1).max() < 1e-9
+
+
+def plain_segments(v):
+    out = []
+
+    def split(a, b):
+        best = None
+        for i in range(a, b):
+            s = 0.0
+            for j in range(i, b):
+                s += v[j]
+                if s > 1e-12 and (best is None or s > best[2] + 1e-12):
+                    best = (i, j, s)
+        if best:
+            out.append(best)
+            split(a, best[0])
+            split(best[1] + 1, b)
+
+    split(0, len(v))
+    return sorted(out)
+
+
+def test_maximal_segments():
+    rng = random.Random(2)
+    for _ in range(200):
+        n = rng.randrange(1, 24)
+        at = sorted(rng.sample(range(n), rng.randrange(1, n + 1)))
+        score = [rng.choice([-1.0, 1.25, 2.0, 0.75]) + rng.randrange(1000) / 65536 for _ in at]
+        v = [-0.5] * n
+        for i, s in zip(at, score, strict=True):
+            v[i] = s
+        assert sorted(toxicity.maximal_segments(at, score, 0.5)) == plain_segments(v)
+
+
+def test_toxicity(spark):
+    rng = random.Random(3)
+    calm, bad = [f"word{i}" for i in range(200)], ["scoundrel", "wretch", "villain"]
+    rows, labels = [], []
+    for i in range(900):
+        w = [rng.choice(calm) for _ in range(60)]
+        toxic = rng.random() < 0.25
+        for _ in range(4 if toxic else 0):
+            w.insert(rng.randrange(len(w)), rng.choice(bad))
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    extra = [(2000, None), (2001, ""), (2002, "Scoundrel! wretch, VILLAIN scoundrel"), (None, "word1")]
+    df = spark.createDataFrame(rows + extra, "doc_id long, text string")
+    lab = spark.createDataFrame([*labels, (1, None), labels[2], (None, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(df, lab).collect()}
+    hold = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert {i for i in got if got[i].held_out} >= set(hold) and sum(got[i].predicted == labels[i][1] for i in hold) >= 0.98 * len(hold)
+    assert got[2002].predicted == 1 and len(got[2002].segments) >= 1 and got[2000].score == got[2001].score and got[2001].predicted == 0
+    assert all(r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in got.values())
+
+
+def test_decontamination(spark):
+    item = "If John buys 5 apples for 2 dollars each then how much does she pay in total"
+    items = spark.createDataFrame([(10, item), (11, None), (12, "hi"), (13, "2 + 2 = 4 and 3 + 3 = 6 so"), (10, item)], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [
+            (1, "Some words. " + item + " more words"), (2, "So If Maria Lopez buys 12 apples for 3 euros each then how much does she pay in total ok"), (3, "if it rains the street is wet and nobody goes out"), (4, None), (5, ""),
+            (6, "If John buys 5 apples for 2 dollars each."), (7, "x If John buys 5 apples for 2 dollars each then y"), (None, item), (8, "2 + 2 = 5 and 3 + 3 = 7 so"), (9, "we know 2 + 2 = 4 and 3 + 3 = 6 so well"),
+        ],
+        "doc_id long, text string",
+    )
+    got = {(r.doc_id, r.item_id) for r in decontamination.matches(docs, items).collect()}
+    assert {(1, 10), (2, 10), (None, 10), (9, 13)} <= got and not {3, 4, 5, 8} & {d for d, _ in got}
+    kept = {r.doc_id for r in decontamination.decontaminate(docs, items).collect()}
+    assert kept == {1, 2, 3, 4, 5, 6, 7, 8, 9, None} - {d for d, _ in got}
+    blocks = {(r.doc_id, r.item_id) for r in decontamination.matches(docs, items, block_windows=10).collect()}
+    assert blocks == got
+
+
+def test_slots_must_be_consistent(spark):
+    items = spark.createDataFrame([(1, "if Ann has 3 pears and then Ann eats 3 pears with her old friend today")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "if Bob has 7 pears and then Bob eats 7 pears with her old friend today"), (2, "if Bob has 7 pears and then Tim eats 9 pears with her odd friend today")], "doc_id long, text string")
+    assert {r.doc_id for r in decontamination.matches(docs, items).collect()} == {1}
+
+
+def test_mixing(spark):
+    rng = random.Random(6)
+    kinds = {"clean": ("alpha beta gamma delta", 1, 0), "low": ("junk spam blah filler", 0, 0), "toxic": ("scum idiot moron trash", 1, 1)}
+    rows, labels, truth = [], [], {}
+    for i in range(1200):
+        kind = rng.choices(list(kinds), [6, 2, 2])[0]
+        w, q, t = kinds[kind]
+        rows.append((i, " ".join(rng.choice(w.split()) + str(rng.randrange(9)) for _ in range(50)), "x"))
+        truth[i] = kind
+        if i % 2:
+            labels.append((i, q, t))
+    df = spark.createDataFrame([*rows, (5000, None, "x"), (5001, "", "x"), (None, "alpha1", "x")], "doc_id long, text string, rate string")
+    lab = spark.createDataFrame([*labels, (1, None, None)], "doc_id long, quality int, toxic int")
+    targets = {"clean": 0.8, "low": 0.1, "toxic": 0.1}
+    got = mixing.mixture(df, lab, targets).collect()
+    assert len(got) == len(rows) + 3 and sum(r.domain == truth[r.doc_id] for r in got if r.doc_id in truth) > 0.97 * len(rows)
+    sums = Counter()
+    for r in got:
+        for d, q in zip(("clean", "low", "toxic"), r.posterior, strict=True):
+            sums[d] += r.rate * r.n_tokens * q
+        assert 0 <= r.rate <= 1 and r.copies in (0, 1) and abs(sum(r.posterior) - 1) < 1e-9
+    assert all(abs(sums[d] / sum(sums.values()) - targets[d]) < 0.03 for d in targets)
+    kept = mixing.mix(df, lab, targets)
+    assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.copies)
+
+
+def test_projected_gradient_matches_a_direct_solution():
+    q = np.array([[0.9, 0.1], [0.2, 0.8], [0.5, 0.5]])
+    n, w = np.array([3.0, 5.0, 2.0]), np.array([0.7, 0.3])
+    share = n / n.sum()
+    history, eta, r = [], 0.5, np.ones(3)
+    for _ in range(4000):
+        history.append((share * r) @ q - w)
+        r = mixing.rates(q, history[-1:], eta) if False else np.maximum(0, r - eta * (q @ history[-1] + mixing.RIDGE * (r - 1)))
+    a = (q * share[:, None]).T
+    exact = np.linalg.solve(a.T @ a / 1 + mixing.RIDGE * np.diag(share), a.T @ w + mixing.RIDGE * share)
+    assert np.abs(mixing.rates(q, history, eta) - r).max() < 1e-12 and np.abs(r - np.maximum(exact, 0)).max() < 1e-3
+
+
+def test_empty_tables(spark, nothing):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([], "item_id long, text string")
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    for df in (
+        ngram_jaccard.jaccard_join(nothing), language_id.identify(nothing), toxicity.toxicity(nothing, labels), lm_score.lm_score(nothing), decontamination.contaminated(nothing, items), substring_dedup.substring_dedup(nothing),
+        embedding_dedup.near_duplicates(vectors), mixing.mixture(nothing, labels), sharding.shard_slots(nothing), suffix_dedup.suffix_dedup(nothing), ngram_jaccard.deduplicate(nothing), sharding.with_shard(nothing),
+    ):
+        assert df.count() == 0
+
+
+def test_nothing_to_learn_from(spark, docs):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.score for r in toxicity.toxicity(docs, labels).collect()} == {0.0}
+    assert {(r.rate, r.copies) for r in mixing.mixture(docs, labels).collect()} == {(1.0, 1)}
+    bare = docs.drop("lang").selectExpr("*", "cast(null as string) as lang")
+    assert {r.lang_pred for r in language_id.identify(bare).collect()} == {"und"}

@@ -1,0 +1,41 @@
+"""The stages of the pipeline against plain versions, and the registered queries on the smallest tables."""
+
+import pytest
+from test_operators import corpus, plain_classes
+
+import corpus_pipeline
+from brindle.llm import queries as Q
+
+FOLDER = "/root/testdata/sf0.001"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.mark.parametrize("name", sorted(Q.queries()))
+def test_query(spark, name):
+    df = Q.queries()[name](spark, FOLDER)
+    assert df.count() > 0 or name == "op5_decontamination"
+
+
+def test_stages(spark):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard_join", "benchmark_decontamination", "source_mixing", "sharding"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    ids = {r.doc_id for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns[:5] == COLUMNS
+        kept = {r.doc_id for r in out.collect()}
+        assert kept and kept <= ids
+        docs, ids = spark.createDataFrame(out.collect(), out.schema), kept
+
+
+def test_one_of_each_group(spark):
+    rows = [(i, t, "en", "s", 0) for i, t in corpus()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {d for d, _, c in plain_classes(corpus()) if d == c}
+    kept = corpus_pipeline.one_of_each_group(spark, docs, FOLDER).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(want)
+
+
+def test_run(spark):
+    df = corpus_pipeline.run(spark, FOLDER)
+    assert df.columns == [*COLUMNS, "shard"] and {r.shard for r in df.select("shard").distinct().collect()} <= set(range(16))
