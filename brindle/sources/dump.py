@@ -76,7 +76,7 @@ def object_fields(xml: str) -> tuple[str | None, list[tuple[str, str, str | None
 
 
 def read_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """``path`` (relative to the dump) and ``source`` of the files whose names match; folders of version control are left out."""
+    """``path`` (relative to the dump) and ``source`` of the files whose names match; folders of version control are left out, and files without a byte, which Spark doesn't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     relative = F.regexp_extract("path", r"^(?:[a-z0-9]+:)?/*(.*)$", 1)
     base = F.lit(root.split(":", 1)[-1].strip("/") + "/")

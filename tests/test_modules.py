@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators import facts
 from brindle.plans import module_rules as R
+from tests_catalog import catalog
 
 
 def rows(source, kind=None):
@@ -45,19 +46,6 @@ def test_deleted_and_binary():
     assert rows("А();\0") == [] and rows("") == [] and rows('"не закрыто') == []
 
 
-def catalog(spark):
-    types = spark.createDataFrame([("цвет", "Цвет", True), ("структура", "Структура", False), ("запрос", "Запрос", False), ("справочникменеджер.<имя справочника>", "СправочникМенеджер.<Имя справочника>", False), ("справочникименеджер", "СправочникиМенеджер", False)], "type_lower string, type_name string, is_enum boolean")
-    members = spark.createDataFrame(
-        [("цвет", "красный", "Красный", "enum_value"), ("цвет", "red", "Red", "enum_value"), ("запрос", "выполнить", "Выполнить", "method"), ("справочникименеджер", "типвсессылки", "ТипВсеСсылки", "method")]
-        + [("справочникменеджер.<имя справочника>", x.lower(), x, "method") for x in ("НайтиПоКоду", "НайтиПоРеквизиту", "ПустаяСсылка")],
-        "type_lower string, member_lower string, member_name string, kind string",
-    )
-    one = [([("Текст", True)],)]
-    methods = spark.createDataFrame([("сообщить", "Сообщить", one), ("стрнайти", "СтрНайти", [([("А", True), ("Б", True), ("В", False)],)]), ("сстранное", "ССтранное", [])], "method_lower string, method_name string, signatures array<struct<parameters: array<struct<name: string, required: boolean>>>>")
-    properties = spark.createDataFrame([("справочники", True, "`СправочникиМенеджер`", "global"), ("рабочаядата", False, "Дата", "global"), ("параметры", True, "Структура", "form")], "property_lower string, readonly boolean, type_name string, scope string")
-    return R.Catalog(types, members, methods, properties)
-
-
 def source(spark, collections=("Catalogs", "CommonModules"), variables=("параметрыприложения",)):
     objects = spark.createDataFrame([("Catalogs", "номенклатура"), ("CommonModules", "общегоназначения")], "collection string, name_lower string")
     known = spark.createDataFrame([(c,) for c in collections], "collection string") if collections is not None else None
