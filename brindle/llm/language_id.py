@@ -169,8 +169,14 @@ def crc_of_id() -> Column:
 def sample_of(docs: DataFrame, may_learn: Column, per_language: int) -> DataFrame:
     """``lang, text, nth`` of a bounded number of labelled documents of each language."""
     ids = docs.where(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
+    # Of a language with many documents only those with a small hash can be drawn: about four times as many as are wanted, so that
+    # no language is one large group when they are ranked.
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(4.0 * per_language + 400) / F.col("n"))
+    place = F.xxhash64(F.lit(11), "doc_id").cast("double") / float(1 << 64) + 0.5
+    ids = ids.join(F.broadcast(sizes), "lang").where(place <= share).select("doc_id", "lang")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id"))
-    ids = ids.withColumn("nth", nth).where(F.col("nth") <= per_language)  # Spark limits each group before it shuffles
+    ids = ids.withColumn("nth", nth).where(F.col("nth") <= per_language)
     return docs.select("doc_id", "lang", "text").where("text is not null").join(F.broadcast(ids), ["doc_id", "lang"])
 
 
@@ -244,34 +250,52 @@ def _calibrate(shared):
 SHARPNESS = 8.0  # letters' worth of entropy difference that count for the score
 
 
+def _judge(m: dict, scorer: Scorer, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, entropy (NaN without letters) and whether it is rejected, for each text."""
+    size, names = len(column), m["languages"]
+    pred, score, bits, reject = np.array(["und"] * size, object), np.zeros(size), np.full(size, np.nan), np.ones(size, bool)
+    if names:
+        entropy, n, has = _entropies(m, scorer, column)
+        best = np.argmin(entropy, axis=1)
+        low = entropy[np.arange(size), best]
+        weight = np.exp(-SHARPNESS * (entropy - low[:, None]))
+        mean, wide, each, limit = (np.array(x)[best] for x in zip(*m["limits"], strict=True))
+        z = (low - mean) / np.sqrt(wide**2 + each**2 / np.maximum(n, 1))
+        pred[has] = np.array(names, object)[best[has]]
+        score[has] = (1 / weight.sum(axis=1))[has]
+        bits[has] = low[has]
+        reject = ~has | (z > limit)
+    return pred, score, bits, reject
+
+
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with ``lang_pred, score, entropy, rejected`` (columns of those names are replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "entropy", "rejected")]
 
     def run(batches):
-        m = shared.value
-        scorer, names = Scorer(m["models"]), m["languages"]
+        scorer = Scorer(shared.value["models"])
         for batch in T.batches(batches):
-            size = batch.num_rows
-            pred, score, bits, reject = np.array(["und"] * size, object), np.zeros(size), np.full(size, np.nan), np.ones(size, bool)
-            if names:
-                entropy, n, has = _entropies(m, scorer, batch.column("text"))
-                best = np.argmin(entropy, axis=1)
-                low = entropy[np.arange(size), best]
-                weight = np.exp(-SHARPNESS * (entropy - low[:, None]))
-                mean, wide, each, limit = (np.array(x)[best] for x in zip(*m["limits"], strict=True))
-                z = (low - mean) / np.sqrt(wide**2 + each**2 / np.maximum(n, 1))
-                pred[has] = np.array(names, object)[best[has]]
-                score[has] = (1 / weight.sum(axis=1))[has]
-                bits[has] = low[has]
-                reject = ~has | (z > limit)
+            pred, score, bits, reject = _judge(shared.value, scorer, batch.column("text"))
             yield pa.record_batch([*batch.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(bits, mask=np.isnan(bits)), pa.array(reject)], names=[*batch.schema.names, "lang_pred", "score", "entropy", "rejected"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return docs.select(*keep).mapInArrow(run, f"{schema}, lang_pred string, score double, entropy double, rejected boolean")
 
 
+def known(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of ``docs`` that aren't rejected, with their own columns only."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        scorer = Scorer(shared.value["models"])
+        for batch in T.batches(batches):
+            reject = _judge(shared.value, scorer, batch.column("text"))[3]
+            yield batch.filter(pa.array(~reject))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(modulus: int = 3, rest: int = 1) -> Column:
     """Whether the remainder of the id's checksum is ``rest``; false for a null id."""
     return F.coalesce(crc_of_id() % modulus == rest, F.lit(False))

@@ -16,7 +16,7 @@ from brindle.tables import table
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models don't reject; they are fitted on documents with a language."""
     model = language_id.fit(docs, F.lit(True))
-    return language_id.predict(docs, model).where("not rejected").select(docs.columns)
+    return language_id.known(docs, model)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
