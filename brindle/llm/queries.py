@@ -13,7 +13,7 @@ from brindle.llm import language_id as languages
 from brindle.llm import lm_score as lm
 from brindle.llm import mixing
 from brindle.llm import ngram_jaccard as jaccard
-from brindle.llm import sharding
+from brindle.llm import oracles, sharding
 from brindle.llm import substring_dedup as substrings
 from brindle.llm import suffix_dedup as suffixes
 from brindle.llm import toxicity as toxic
@@ -33,7 +33,9 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_lm_score(spark: SparkSession, folder: str) -> DataFrame:
-    return lm.lm_score(table(spark, folder, "documents"))
+    """Sums are rounded: engines add in different orders."""
+    scored = lm.lm_score(table(spark, folder, "documents"))
+    return scored.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
 
 
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,4 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_ngram_jaccard_join": oracles.JACCARD_JOIN, "op4_lm_score": oracles.LM_SCORE, "op6_substring_dedup": oracles.SUBSTRING_DEDUP,
+        "op7_embedding_dedup": oracles.NEAR_DUPLICATES, "op9_sharding": oracles.SHARDING,
+    }
