@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators import facts
 from brindle.operators import joins as J
-from brindle.plans import module_rules, query_rules, sdbl
+from brindle.plans import module_rules, query_rules, query_text
 
 
 def validate(modules: DataFrame, catalog: module_rules.Catalog, source: module_rules.Source | None = None, objects: DataFrame | None = None, object_fields: DataFrame | None = None, **options) -> DataFrame:
@@ -15,7 +15,7 @@ def validate(modules: DataFrame, catalog: module_rules.Catalog, source: module_r
     found = facts.extract(modules)
     code = module_rules.check(found, catalog, source, **options).select("module_id", "line", "col", "kind", "confidence", "name")
     texts = found.where("kind = 'query'").select(F.concat_ws("/", F.col("module_id").cast("string"), F.col("emit_ord").cast("string")).alias("text_id"), F.col("name").alias("text"), "module_id", "line", "col", "extra")
-    bad = query_rules.check(sdbl.parse(texts), objects, object_fields).join(texts.drop("text"), "text_id")
+    bad = query_rules.check(query_text.parse(texts), objects, object_fields).join(texts.drop("text"), "text_id")
     pieces = texts.select("text_id", F.explode(F.split("extra", ",")).alias("piece")).withColumn("piece", F.split("piece", ":"))
     spans = pieces.select("text_id", F.col("piece")[0].cast("long").alias("text_offset"), F.col("piece")[1].cast("long").alias("module_at"), F.col("piece")[2].cast("long").alias("len"))
     placed = J.piecewise(bad.select("text_id", "module_id", "offset", "kind", "confidence", F.coalesce("detail", F.lit("")).alias("name")).distinct(), spans, ["text_id"], "offset", key=["text_id", "offset", "kind", "name"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import facts
-from brindle.plans import query_rules, sdbl
+from brindle.plans import query_rules, query_text
 from brindle.sources import html
 from brindle.tables import table
 
@@ -54,7 +54,7 @@ FIELDS = [
 
 
 def parsed_texts(spark: SparkSession) -> DataFrame:
-    return sdbl.parse(spark.createDataFrame([(a, b) for a, b, _ in TEXTS], "text_id string, text string"))
+    return query_text.parse(spark.createDataFrame([(a, b) for a, b, _ in TEXTS], "text_id string, text string"))
 
 
 def known_objects(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -72,9 +72,9 @@ def query_rule_findings(spark: SparkSession, folder: str) -> DataFrame:
     return found.unionByName(parsed.where("not understood").select("text_id", F.lit("not understood").alias("kind")))
 
 
-def sdbl_sources(spark: SparkSession, folder: str) -> DataFrame:
+def query_text_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Number of sources and joins that the front end finds in each text that it understands."""
-    s = sdbl.relation(parsed_texts(spark), "sources")
+    s = query_text.relation(parsed_texts(spark), "sources")
     return s.groupBy("text_id").agg(F.count("*").alias("n_sources"), F.count("join_kind").alias("n_joins"), F.count_if(F.col("table_kind") == "meta").alias("n_meta"))
 
 
@@ -110,10 +110,10 @@ def module_facts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (query_rule_findings, sdbl_sources, html_text, html_chapters, module_facts)}
+QUERIES = {f.__name__: f for f in (query_rule_findings, query_text_sources, html_text, html_chapters, module_facts)}
 SQL = {
     "query_rule_findings": f"select text_id, kind from {_quoted([(a, c) for a, _, c in TEXTS if c])} as t(text_id, kind)",
-    "sdbl_sources": "select text_id, n_sources::bigint as n_sources, n_joins::bigint as n_joins, n_meta::bigint as n_meta from (values " + ", ".join(f"('{k}', {a}, {b}, {c})" for k, (a, b, c) in _COUNTS.items()) + ") as t(text_id, n_sources, n_joins, n_meta)",
+    "query_text_sources": "select text_id, n_sources::bigint as n_sources, n_joins::bigint as n_joins, n_meta::bigint as n_meta from (values " + ", ".join(f"('{k}', {a}, {b}, {c})" for k, (a, b, c) in _COUNTS.items()) + ") as t(text_id, n_sources, n_joins, n_meta)",
     "module_facts": """select doc_id as module_id, 'П' || doc_id as proc, 3::bigint as n_args, 'Массив' as new_type,
 strlen('Процедура П' || doc_id || '(А, Знач Б = 1) Экспорт' || chr(10) || '// ' || regexp_replace(text, '\\s+', ' ', 'g') || chr(10) || 'Х = Новый Массив; ')::bigint as call_byte, 19::bigint as call_col, 3::bigint as call_line, 4::bigint as n_facts from documents""",
 }

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.plans import sdbl
+from brindle.plans import query_text
 
 # Fields that are indexed everywhere, and fields that only movements have.
 INDEXED = "ссылка ref код code наименование description владелец owner родитель parent дата date номер number период period регистратор recorder номерстроки linenumber счетдт счеткт".split()
@@ -40,12 +40,12 @@ def join_with_subquery(sources: DataFrame, key: str) -> DataFrame:
 
 
 def _meta(sources: DataFrame) -> DataFrame:
-    return sources.where("table_kind = 'meta'").withColumns({"collection": sdbl.collection_of(F.col("meta_kind")), "name_lower": F.lower("name"), "sub_upper": F.upper("sub_table")})
+    return sources.where("table_kind = 'meta'").withColumns({"collection": query_text.collection_of(F.col("meta_kind")), "name_lower": F.lower("name"), "sub_upper": F.upper("sub_table")})
 
 
 def physical_register_table(sources: DataFrame, fields: DataFrame, objects: DataFrame, object_fields: DataFrame, key: str) -> DataFrame:
     """Balance registers that are read physically although nothing but dimensions and resources is needed."""
-    meta = _meta(sources).where(sdbl.is_register(F.col("meta_kind")) & F.col("sub_table").isNull() & ~_template(F.col("name")) & F.col("alias").isNotNull())
+    meta = _meta(sources).where(query_text.is_register(F.col("meta_kind")) & F.col("sub_table").isNull() & ~_template(F.col("name")) & F.col("alias").isNotNull())
     balance = meta.join(objects.where("register_type = 'Balance'").select("collection", "name_lower"), ["collection", "name_lower"])
     used = fields.where("part in ('select', 'where', 'on')").select(
         key, "query", F.lower(F.element_at(F.split("path", r"\."), -1)).alias("field_lower"),
@@ -60,8 +60,8 @@ def physical_register_table(sources: DataFrame, fields: DataFrame, objects: Data
 
 def virtual_table_without_filter(sources: DataFrame, fields: DataFrame, objects: DataFrame | None, object_fields: DataFrame | None, key: str) -> DataFrame:
     """Virtual tables whose filter slot is empty, or has fields of which none is a dimension. A slot of parameters only may filter by anything."""
-    slots = F.create_map(*(x for name, slot in sdbl.VIRTUAL_SLOT.items() if slot for x in (F.lit(name), F.lit(slot))))
-    meta = _meta(sources).where(sdbl.is_register(F.col("meta_kind")) & F.col("sub_table").isNotNull()).withColumn("filter_slot", slots[F.col("sub_upper")]).where("filter_slot is not null")
+    slots = F.create_map(*(x for name, slot in query_text.VIRTUAL_SLOT.items() if slot for x in (F.lit(name), F.lit(slot))))
+    meta = _meta(sources).where(query_text.is_register(F.col("meta_kind")) & F.col("sub_table").isNotNull()).withColumn("filter_slot", slots[F.col("sub_upper")]).where("filter_slot is not null")
     empty = F.coalesce(F.try_element_at("empty_slots", F.col("filter_slot") + 1), F.lit(True))
     found = _found(meta.where(empty), "offset", "virtual_table_without_filter", "low", "name", key)
     if objects is None or object_fields is None:
@@ -76,7 +76,7 @@ def virtual_table_without_filter(sources: DataFrame, fields: DataFrame, objects:
 
 def join_on_unindexed_field(sources: DataFrame, fields: DataFrame, objects: DataFrame, object_fields: DataFrame, key: str) -> DataFrame:
     """Joined objects of whose own fields in the condition some are known and none is indexed."""
-    meta = _meta(sources).where(F.col("has_on") & F.col("join_kind").isNotNull() & ~sdbl.is_register(F.col("meta_kind")) & F.col("alias").isNotNull() & ~_template(F.col("name")))
+    meta = _meta(sources).where(F.col("has_on") & F.col("join_kind").isNotNull() & ~query_text.is_register(F.col("meta_kind")) & F.col("alias").isNotNull() & ~_template(F.col("name")))
     meta = meta.join(objects.select("collection", "name_lower").distinct(), ["collection", "name_lower"])
     path = F.split("path", r"\.")
     used = fields.where("part = 'on'").where(F.size(path) == 2).select(key, "source", F.lower(path[0]).alias("alias_lower"), F.lower(path[1]).alias("field_lower"), F.col("offset").alias("at"), F.col("path"))
@@ -93,7 +93,7 @@ def join_on_unindexed_field(sources: DataFrame, fields: DataFrame, objects: Data
 
 def check(parsed: DataFrame, objects: DataFrame | None = None, object_fields: DataFrame | None = None, key: str = "text_id") -> DataFrame:
     """All findings on parsed texts."""
-    queries, sources, fields = (sdbl.relation(parsed, x, key) for x in ("queries", "sources", "fields"))
+    queries, sources, fields = (query_text.relation(parsed, x, key) for x in ("queries", "sources", "fields"))
     found = temp_table_without_index(queries, sources, key).unionByName(or_in_join_condition(sources, key)).unionByName(join_with_subquery(sources, key))
     found = found.unionByName(virtual_table_without_filter(sources, fields, objects, object_fields, key))
     if objects is not None and object_fields is not None:

@@ -2,11 +2,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle import fixture_queries as Q
-from brindle.plans import query_rules, sdbl
+from brindle.plans import query_rules, query_text
 
 
 def read(text):
-    return sdbl.Reader(text)
+    return query_text.Reader(text)
 
 
 @pytest.mark.parametrize(("text", "n"), [("ВЫБРАТЬ 1; ВЫБРАТЬ 2; УНИЧТОЖИТЬ ВТ", 3), (";;SELECT 1;;", 1), ("ВЫБРАТЬ 1 ОБЪЕДИНИТЬ ВЫБРАТЬ 2", 2)])
@@ -16,12 +16,12 @@ def test_packages(text, n):
 
 @pytest.mark.parametrize("text", ["", ";", "ГДЕ А", "ВЫБРАТЬ 1 ИЗ (ВЫБРАТЬ 2", "ВЫБРАТЬ 1 ИЗ Т(1)", "SELECT 1 FROM A LEFT B", "ВЫБРАТЬ 1 ПОМЕСТИТЬ #Т", "ВЫБРАТЬ 1 ИЗ " + "(ВЫБРАТЬ 1 ИЗ " * 40])
 def test_not_understood(text):
-    with pytest.raises(sdbl.NotUnderstood):
+    with pytest.raises(query_text.NotUnderstood):
         read(text)
 
 
 def test_tokens():
-    assert [(k, b) for k, _, b in sdbl.tokens('ВЫБРАТЬ "а""б" // к\n &П 1.5 сгруппировать ПО')] == [("SELECT", 0), ("text", 15), ("param", 31), ("number", 35), ("GROUP BY", 39)]
+    assert [(k, b) for k, _, b in query_text.tokens('ВЫБРАТЬ "а""б" // к\n &П 1.5 сгруппировать ПО')] == [("SELECT", 0), ("text", 15), ("param", 31), ("number", 35), ("GROUP BY", 39)]
 
 
 def test_names_beside_dots():
@@ -43,6 +43,6 @@ def test_unknown_source_is_silent(spark):
 
 def test_or_finding_position(spark):
     text = "ВЫБРАТЬ 1\nИЗ Справочник.А КАК А\nЛЕВОЕ СОЕДИНЕНИЕ Справочник.Б КАК Б ПО А.Х = Б.Х ИЛИ А.У = Б.У"
-    parsed = sdbl.parse(spark.createDataFrame([("t", text)], "text_id string, text string"))
+    parsed = query_text.parse(spark.createDataFrame([("t", text)], "text_id string, text string"))
     (row,) = query_rules.check(parsed).where(F.col("kind") == "or_in_join_condition").collect()
     assert text.encode()[: row.offset].decode().count("\n") == 2
