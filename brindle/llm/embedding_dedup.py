@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.components import components
-from brindle.llm.shared import checkpoint
+from brindle.llm.shared import checkpoint, least_hashed
 
 SAMPLE = 16384
 
@@ -91,7 +91,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, reach: int = 4,
     # Equal vectors of a label are one, under the least id.
     distinct = checkpoint(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("weight")))
     n = distinct.count()
-    drawn = distinct.orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toPandas()["embedding"]
+    drawn = least_hashed(distinct.select("id", "embedding"), "id", sample, 31).select("embedding").toPandas()["embedding"]
     by_size: dict[int, list] = {}
     for v in drawn:
         by_size.setdefault(len(v), []).append(v)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import text as T
-from brindle.llm.shared import checkpoint
+from brindle.llm.shared import checkpoint, least_hashed
 
 SAMPLE = 16_000
 SLOTS = 1 << 17
@@ -122,7 +122,7 @@ def regress(at: np.ndarray, first: np.ndarray, own: np.ndarray, n_features: int,
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """Domains, class shares, feature slots and their weights, temperature."""
     rows = labels.where("doc_id is not null").select("doc_id", domain_of().alias("domain")).where("domain is not null")
-    ids = rows.orderBy(F.xxhash64(F.lit(19), "doc_id"), "doc_id", "domain").limit(sample).groupBy("doc_id").agg(F.max("domain").alias("domain"))
+    ids = least_hashed(rows, "doc_id", sample, 19).groupBy("doc_id").agg(F.max("domain").alias("domain"))
     # Equal texts are one piece of evidence.
     drawn = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("text").agg(F.max("domain").alias("domain"))
     drawn = drawn.withColumn("fit", F.pmod(F.xxhash64(F.lit(23), "text"), F.lit(4)) < 3)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -31,3 +32,14 @@ def rewritten(df: DataFrame, name: str) -> DataFrame:
 
 def setting(session: SparkSession) -> str | None:
     return session.conf.get("spark.checkpoint.dir", None)
+
+
+def least_hashed(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """The ``n`` rows with the least hash of ``key``, the same whatever the partitions.
+
+    Only rows with a hash small enough to be among them are sorted: a count of all rows says how small (four times as many as wanted pass).
+    """
+    total = rows.count()
+    place = F.xxhash64(F.lit(seed), key).cast("double") / float(1 << 64) + 0.5
+    near = rows.where(place <= min(1.0, (4 * n + 400) / max(1, total)))
+    return near.orderBy(F.xxhash64(F.lit(seed), key), *rows.columns).limit(n)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import text as T
 from brindle.llm.language_id import held_out
+from brindle.llm.shared import least_hashed
 
 SAMPLE = 24_000
 MAX_TOKENS = 50_000
@@ -75,8 +76,7 @@ def features(w: T.Words) -> list[np.ndarray]:
 
 def _sample(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int) -> DataFrame:
     rows = labels.where(may_learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    order = (F.xxhash64(F.lit(13), "doc_id"), F.col("doc_id"))
-    ids = rows.orderBy(*order).limit(sample).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = least_hashed(rows, "doc_id", sample, 13).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # Copies would count as evidence again: equal texts are one.
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
     return texts.withColumn("fit", F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(3)) < 2)
