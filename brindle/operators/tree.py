@@ -28,3 +28,16 @@ def paths(nodes: DataFrame, node: str, parent: str, order: str, name: str, throu
             break
         out = out.unionByName(level)
     return out
+
+
+def trail(nodes: DataFrame, node: str, parent: str, max_depth: int = 64) -> DataFrame:
+    """``node, trail``: ids from the top (parent 0) down to each node that the root reaches."""
+    links = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
+    level = links.where("parent = 0").select("node", F.array("node").alias("trail"))
+    out = level
+    for _ in range(max_depth):
+        level = links.join(level.select(F.col("node").alias("parent"), F.col("trail").alias("above")), "parent").select("node", F.concat("above", F.array("node")).alias("trail"))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out
