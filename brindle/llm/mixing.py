@@ -4,9 +4,9 @@ Domains are the classes of the labelled table (quality and toxicity).  A softmax
 token prefixes that tell the domains apart best and over the shape of the text (share of different tokens, of capitals, of signs, length of tokens), fitted on a
 bounded sample of labelled documents (``SAMPLE`` rows, those with the least hash of their id) and tempered on a part of the sample that it wasn't fitted on, gives each document a posterior over domains.  Nonnegative document rates r then minimise
 
-    1/2 sum_d (sum_i r_i n_i q_id / N - w_d)^2  +  mu/2 sum_i n_i / N (r_i - 1)^2
+    1/2 sum_d (sum_i r_i n_i q_id / N - w_d)^2 / p_d  +  mu/2 sum_i n_i / N (r_i - 1)^2
 
-(n tokens, q posteriors, w target weights): expected domain tokens meet their targets, and rates stay near 1 where targets
+(n tokens, q posteriors, w target weights, p expected shares at rate 1, so that rare domains converge as fast as frequent ones): expected domain tokens meet their targets, and rates stay near 1 where targets
 leave a choice.  It is solved by projected gradient steps.  A step needs one small vector of domain totals, summed on the executors over a narrow
 table; rates are never stored, as each is a function of the document's posterior and the vectors so far.
 Rates are divided by the largest rate of a pure domain, so none is above 1: ``copies`` keeps a document (1) or not (0), by a hash of its id and text.
@@ -30,7 +30,7 @@ SAMPLE = 16_000
 SLOTS = 1 << 17
 PREFIX = 5
 RIDGE = 0.01
-STEPS = 60
+STEPS = 30
 BINS = 16
 SHAPES = 4
 CHOSEN = 1024
@@ -227,14 +227,15 @@ def solve(narrow: DataFrame, weights: np.ndarray, steps: int = STEPS) -> dict:
 
     first = totals([], 0.0)
     total = max(first[0], 1.0)
-    gram = first[1 + d :].reshape(d, d) / total
+    share = np.maximum(first[1 : 1 + d] / total, 1e-6)
+    gram = first[1 + d :].reshape(d, d) / total / np.sqrt(np.outer(share, share))
     eta = 1.0 / (float(np.linalg.eigvalsh(gram).max()) + RIDGE)
     history: list[np.ndarray] = []
     reached = first[1 : 1 + d] / total
     for _ in range(steps):
-        history.append(reached - weights)
+        history.append((reached - weights) / share)
         now = totals(history, eta)[1 : 1 + d] / total
-        if np.abs(now - reached).max() < 1e-6:
+        if np.abs(now - reached).max() < 1e-5:
             reached = now
             break
         reached = now
