@@ -5,6 +5,10 @@ into its ``reach`` nearest cells, so that a pair is missed only if no cell is ne
 with a weight.  A cell is compared block by block: a cell of more than ``block`` vectors is dealt into blocks by a hash, and
 each pair of blocks is one task, whatever the size of the cell.  A pair of vectors counts in the first cell that they share.
 
+Dense spots would make cells large and their comparison quadratic.  Where a hundredth of the sample lies within half the threshold angle of one of its
+vectors, that vector leads a tight group: all members are linked with each other without a comparison, by the triangle inequality, and only the
+vectors around a group are compared with its members, block by block.  There are a hundred leaders at most.
+
 Defined results: vectors that are null, zero, empty, or hold null or non-finite components, and rows with null label or null ``vec_id``,
 link with nothing (0 links, own component; ``kept`` is false for a null id).  ``vec_id`` is the identity of a vector: rows that
 repeat an id get one result each, the same.  Vectors of different lengths are never compared.
@@ -36,6 +40,23 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray
     return c
 
 
+def leaders(x: np.ndarray, threshold: float, share: float = 0.01, least: int = 32) -> np.ndarray:
+    """Rows of x (unit vectors) around each of which a ``share`` of all rows, and ``least`` rows, lie within half the threshold angle; no row is counted twice."""
+    inner = np.cos(np.arccos(threshold) / 2 - 1e-6)
+    n = np.zeros(len(x), np.int64)
+    for a in range(0, len(x), 1024):
+        n[a : a + 1024] = (x[a : a + 1024] @ x.T >= inner).sum(axis=1)
+    need, free, out = max(least, share * len(x)), np.ones(len(x), bool), []
+    for i in np.argsort(-n, kind="stable"):
+        if n[i] < need:
+            break
+        own = (x @ x[i] >= inner) & free
+        if free[i] and own.sum() >= need:
+            out.append(i)
+            free &= ~own
+    return x[out]
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(column, pa.ChunkedArray):
@@ -96,22 +117,30 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, reach: int = 4,
     for v in drawn:
         by_size.setdefault(len(v), []).append(v)
     centres = {d: k_means(_unit(np.array(v, np.float64)), max(1, min(max_cells, n // per_cell, len(v)))) for d, v in by_size.items()}
-    shared = spark.sparkContext.broadcast(centres)  # at most max_cells centroids for each vector length in the sample
+    tight = {d: leaders(_unit(np.array(v, np.float64)), threshold) for d, v in by_size.items()}
+    half = np.arccos(threshold) / 2 - 1e-6
+    inner, outer = float(np.cos(half)), float(np.cos(np.arccos(threshold) + half + 1e-6))
+    shared = spark.sparkContext.broadcast((centres, tight))  # at most max_cells centroids and 100 leaders for each vector length in the sample
 
     def assign(batches):
         for batch in batches:
             sizes = np.asarray(batch.column("embedding").value_lengths())
             for d in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == d))
-                x, c = _unit(_matrix(part.column("embedding"))), shared.value.get(int(d))
+                x, c, lead = _unit(_matrix(part.column("embedding"))), shared.value[0].get(int(d)), shared.value[1].get(int(d))
+                near = x @ lead.T if lead is not None and len(lead) else np.zeros((len(x), 0))
+                inside = near >= inner
+                own = np.where(inside.any(axis=1), inside.argmax(axis=1), -1) if near.shape[1] else np.full(len(x), -1)
+                # A member visits only groups before its own, so that two groups meet once.
+                visits = [np.flatnonzero((v >= outer) & ((np.arange(len(v)) < o) | (o < 0))).astype(np.int32) for v, o in zip(near, own, strict=True)]
                 top = np.zeros((len(x), 1), np.int64) if c is None else np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :reach]
                 cells = [np.sort(t).astype(np.int32) for t in top]
-                yield pa.record_batch([part.column("id"), part.column("weight"), part.column("label"), part.column("embedding"), pa.array(cells, pa.list_(pa.int32()))], names=["id", "weight", "label", "embedding", "cells"])
+                yield pa.record_batch([part.column("id"), part.column("weight"), part.column("label"), part.column("embedding"), pa.array(cells, pa.list_(pa.int32())), pa.array(own, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], names=["id", "weight", "label", "embedding", "cells", "leader", "visits"])
 
     label = distinct.schema["label"].dataType.simpleString()
     kind = distinct.schema["embedding"].dataType.simpleString()
-    placed = checkpoint(distinct.select("id", "weight", "label", "embedding").mapInArrow(assign, f"id long, weight long, label {label}, embedding {kind}, cells array<int>"))
-    keyed = placed.select("*", F.explode("cells").alias("cell"), F.size("embedding").alias("dims"))
+    placed = checkpoint(distinct.select("id", "weight", "label", "embedding").mapInArrow(assign, f"id long, weight long, label {label}, embedding {kind}, cells array<int>, leader int, visits array<int>")).withColumn("dims", F.size("embedding"))
+    keyed = placed.where("leader < 0").select("*", F.explode("cells").alias("cell"))
     sizes = checkpoint(keyed.groupBy("label", "dims", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
     dealt = keyed.join(sizes, ["label", "dims", "cell"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
@@ -127,7 +156,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, reach: int = 4,
         hit = np.flatnonzero((count > 0) | (root != np.arange(len(root))))
         return pa.table({"id": ids[hit], "n": count[hit], "root": ids[root[hit]]})
 
-    found = checkpoint(pairs.groupBy("label", "dims", "cell", "low", "high").applyInArrow(compare, "id long, n long, root long"))
+    def around(table: pa.Table) -> pa.Table:
+        """Links between visitors and a block of members of a tight group."""
+        ids, weight, guest = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "weight", "guest"))
+        x = _matrix(table.column("embedding"))
+        order = np.argsort(ids)
+        ids, weight, guest, x = ids[order], weight[order], guest[order].astype(bool), x[order]
+        count, root = links_within(ids, weight, x, np.zeros((len(ids), 1), np.int32), 0, np.flatnonzero(guest), np.flatnonzero(~guest), threshold, False)
+        hit = np.flatnonzero((count > 0) | (root != np.arange(len(root))))
+        return pa.table({"id": ids[hit], "n": count[hit], "root": ids[root[hit]]})
+
+    within = pairs.groupBy("label", "dims", "cell", "low", "high").applyInArrow(compare, "id long, n long, root long")
+    group = ["label", "dims", "leader"]
+    totals = checkpoint(placed.where("leader >= 0").groupBy(*group).agg(F.min("id").alias("root"), F.sum("weight").alias("total"), F.ceil(F.count("*") / block).cast("int").alias("blocks")))
+    inmates = placed.where("leader >= 0").join(totals, group)
+    tied = inmates.select("id", (F.col("total") - F.col("weight")).alias("n"), "root")
+    columns = [*group, "id", "weight", "embedding"]
+    members = inmates.select(*columns, F.lit(False).alias("guest"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("piece"))
+    guests = placed.select("id", "weight", "label", "dims", "embedding", F.explode("visits").alias("leader")).join(totals, group)
+    guests = guests.select(*columns, F.lit(True).alias("guest"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("piece"))
+    beside = members.unionByName(guests).groupBy(*group, "piece").applyInArrow(around, "id long, n long, root long")
+    found = checkpoint(within.unionByName(tied).unionByName(beside))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b"))
     # A copy has the links of its vector, and those to the other copies.
