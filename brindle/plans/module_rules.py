@@ -48,6 +48,8 @@ class Source:
     collections: DataFrame | None  # collection: those it can answer for; None: for none
     exports: DataFrame | None = None  # method_lower of global exports
     variables: DataFrame | None = None  # name_lower of exported global variables; None: can't tell
+    owner_exports: DataFrame | None = None  # module_id, method_lower: what the owner of a form module exports; None: nothing
+    healthy: bool = True  # a source that fails refuses the whole validation
 
 
 def _found(rows: DataFrame, kind: str, confidence: str | Column, name: str = "name", suggestion: str | None = None) -> DataFrame:
@@ -108,6 +110,8 @@ def unknown_calls(facts: DataFrame, c: Catalog, source: Source | None, strict: b
     out = _found(told.where("told is not null"), "unknown_global_method", F.col("told"), suggestion="nearest")
     if strict and source is not None and source.exports is not None:
         rest = J.unknown(told.where("told is null"), source.exports, ["method_lower"])
+        if source.owner_exports is not None:
+            rest = rest.join(source.owner_exports, ["module_id", "method_lower"], "left_anti")
         out = out.unionByName(_found(rest, "undeclared_method", F.when(F.col("elsewhere"), "low").otherwise("high")))
     return out
 
@@ -189,6 +193,8 @@ def variable_types(facts: DataFrame) -> DataFrame:
 
 def check(facts: DataFrame, c: Catalog, source: Source | None = None, level: int = 1, strict: bool = True, profile: str = "full") -> DataFrame:
     """All findings, in the order of a module: line, column, then rule. ``strict`` profile keeps those of high confidence at level 1."""
+    if source is not None and not source.healthy:
+        raise RuntimeError("the source of symbols does not answer: nothing is validated")
     level = 1 if profile == "strict" else max(1, min(3, level))
     parts = [unknown_directive(facts), unknown_enum_value(facts, c), unknown_type_member(facts, c, variable_types(facts) if level > 1 else None), unknown_new_type(facts, c), wrong_argument_count(facts, c), unknown_calls(facts, c, source, strict), shadowed_context_name(facts, c)]
     if source is not None:

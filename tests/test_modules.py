@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators import facts
@@ -82,6 +83,15 @@ def test_unknown_answers_are_silent(spark):
     assert [k for k, *_ in findings(spark, bound, source(spark))] == ["shadowed_context_name"]
 
 
+def test_owner_exports_and_health(spark):
+    s = source(spark)
+    s.owner_exports = spark.createDataFrame([(1, "необъявлена")], "module_id long, method_lower string")
+    assert findings(spark, "НеОбъявлена(); Другая();", s) == [("undeclared_method", "high", "Другая", None)]
+    s.healthy = False
+    with pytest.raises(RuntimeError):
+        findings(spark, "А();", s)
+
+
 def test_no_context_procedures(spark):
     assert [k for k, *_ in findings(spark, "&НаСервереБезКонтекста\nПроцедура П()\n Параметры = 1;\nКонецПроцедуры")] == []
     assert F is not None
