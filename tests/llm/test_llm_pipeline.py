@@ -1,7 +1,7 @@
 """The stages of the pipeline against plain versions, and the registered queries on the smallest tables."""
 
 import pytest
-from test_operators import corpus, plain_classes
+from test_llm_operators import corpus, plain_classes
 
 import corpus_pipeline
 from brindle.llm import queries as Q
