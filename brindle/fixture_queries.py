@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators import facts
 from brindle.plans import query_rules, query_text
+from brindle.session import ship
 from brindle.sources import html
 from brindle.tables import table
 
@@ -54,6 +55,7 @@ FIELDS = [
 
 
 def parsed_texts(spark: SparkSession) -> DataFrame:
+    ship(spark)
     return query_text.parse(spark.createDataFrame([(a, b) for a, b, _ in TEXTS], "text_id string, text string"))
 
 

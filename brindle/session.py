@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Settings that hold at any size; sizes of partitions are left to adaptive execution.
@@ -17,3 +21,13 @@ DEFAULTS = {
 def session(name: str = "brindle", master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(name).config(map=DEFAULTS | settings)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application: they need not have it on their path."""
+    context = spark.sparkContext
+    if not getattr(context, "_brindle_shipped", False):
+        package = Path(__file__).resolve().parent
+        if package.is_dir():
+            context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='brindle-')}/brindle", "zip", package.parent, package.name))
+        context._brindle_shipped = True
