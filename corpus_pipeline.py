@@ -10,17 +10,20 @@ from pyspark.sql import functions as F
 
 from brindle.llm import decontamination, language_id, mixing, ngram_jaccard, sharding
 from brindle.llm.shared import rewritten
+from brindle.session import ship
 from brindle.tables import table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models don't reject; they are fitted on documents with a language."""
+    ship(spark)
     model = language_id.fit(docs, F.lit(True))
     return language_id.known(docs, model)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least document of each group of near-duplicates."""
+    ship(spark)
     return ngram_jaccard.deduplicate(docs)
 
 
