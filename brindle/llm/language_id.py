@@ -3,17 +3,21 @@
 For each language a 4-gram model over character classes is kept as sorted arrays of packed n-grams with their
 discounted probabilities, and of contexts with their back-off weights; a probability is a chain of binary searches.
 A document gets the language of lowest cross-entropy per character over its whole text, and is rejected if that entropy is far above
-what texts of that language and length show in a calibration sample.
+what texts of that language and length show in a calibration sample: above its 99.5 % quantile and 8 spreads, or 16 spreads at most, so that
+stray documents of the sample don't set the limit.  Languages with fewer than 20 calibration documents take spreads and limit of all
+languages together; one without any (a single labelled document) also takes the highest usual entropy of the others.
 
 Models are fitted on a bounded sample of labelled documents: ``per_language`` for the model and as many for calibration, those
 with the least hash of their id.  n-grams of the sample are counted on the executors; the driver gets distinct n-grams only.
 
 Defined results: a text that is null or has no letter, or any text if nothing could be learned, is ``und`` with score 0 and rejected;
+without any calibration document in any language only those are rejected;
 ties go to the language that sorts first; rows with null ``doc_id`` are scored and never learned from; rows with null ``lang`` likewise.
 """
 
 from __future__ import annotations
 
+import math
 from functools import cache
 
 import numpy as np
@@ -26,6 +30,8 @@ from brindle.llm import text as T
 ORDER = 4
 BREAK, RARE = 1, 2  # classes of non-letters and of letters beyond the alphabet
 PER_LANGUAGE = 2000
+STRAY = 0.005  # share of a language's calibration documents that may be noise or wrongly labelled
+LIMITS = (8.0, 16.0)  # least and largest rejection limit, in spreads
 
 
 @cache
@@ -214,21 +220,47 @@ def fit(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE) ->
     if names:
         spread = drawn.where(F.col("nth") % 2 == 0).select("text", "lang").mapInArrow(_calibrate(docs.sparkSession.sparkContext.broadcast(model)), "lang int, entropy double, n long").toArrow()
         own, entropy, size = spread.column("lang").to_numpy(), spread.column("entropy").to_numpy(), spread.column("n").to_numpy()
-        limits = []
-        for i in range(len(names)):
-            e, m = entropy[own == i], size[own == i]
-            if len(e) < 20:
-                limits.append((0.0, 1.0, 1.0, np.inf))
-                continue
-            long = e[m >= np.median(m)]
-            mean, wide = np.median(long), max(1e-3, 1.4826 * np.median(np.abs(long - np.median(long))))
-            each = np.median(np.abs(e - mean) * np.sqrt(m)) * 1.4826
-            z = (e - mean) / np.sqrt(wide**2 + each**2 / m)
-            limits.append((mean, wide, each, max(8.0, 1.25 * z.max())))
-        model["limits"] = limits
+        model["limits"] = limits_of(own, entropy, size, len(names))
     return model
 
 
+def _spread(e: np.ndarray, m: np.ndarray, mean: float, least: int) -> tuple[float, float, float]:
+    """Spread of long texts, spread that a letter adds, and rejection limit, from entropies ``e`` of texts with ``m`` n-grams."""
+    long = e[m >= np.median(m)]
+    wide = max(1e-3, 1.4826 * np.median(np.abs(long - np.median(long))))
+    each = np.median(np.abs(e - mean) * np.sqrt(m)) * 1.4826
+    z = np.sort((e - mean) / np.sqrt(wide**2 + each**2 / m))
+    # The worst documents (one at least) don't count: they may be noise or wrongly labelled.
+    worst = max(1, math.ceil(STRAY * len(z)))
+    return wide, each, float(np.clip(z[-1 - worst], *LIMITS)) if len(z) >= least else LIMITS[0]
+
+
+def limits_of(own: np.ndarray, entropy: np.ndarray, size: np.ndarray, languages: int, least: int = 20) -> list[tuple[float, float, float, float]]:
+    """Usual entropy, spreads and rejection limit of each language; one with fewer than ``least`` documents takes spreads and limit of all together."""
+    if not len(own):
+        return [(0.0, 1.0, 1.0, np.inf)] * languages
+    means = np.full(languages, np.nan)
+    for i in np.unique(own):
+        e, m = entropy[own == i], size[own == i]
+        means[i] = np.median(e[m >= np.median(m)])
+    counts = np.bincount(own, minlength=languages)
+    # Languages with enough documents say what is usual; if there is none, all do.
+    rich = counts[own] >= least
+    rich = rich if rich.any() else np.ones(len(own), bool)
+    pooled = _spread(entropy[rich] - means[own[rich]], size[rich], 0.0, least)
+    usual = float(means[np.unique(own[rich])].max())
+    limits = []
+    for i in range(languages):
+        e, m = entropy[own == i], size[own == i]
+        if len(e) >= least:
+            limits.append((float(means[i]), *_spread(e, m, means[i], least)))
+            continue
+        # Models of few documents fit unevenly: their own spread counts if it is larger.
+        wide = max(pooled[0], 1.4826 * float(np.median(np.abs(e - means[i])))) if len(e) else pooled[0]
+        limits.append((float(means[i]) if len(e) else usual, wide, *pooled[1:]))
+    return limits
+
+
 def _entropies(model, scorer: Scorer, column: pa.Array):
     packed, doc, has = grams(column, model["table"])
     sums, n = scorer.sums(packed, doc, len(has))

@@ -306,6 +306,37 @@ def test_language_id(spark):
     assert kept.columns == df.columns and kept.count() == len(rows) - 4
 
 
+UNLEARNED = "qqzz xxjj wwqq zzyy "
+
+
+def test_stray_calibration_documents_do_not_lift_limits(spark):
+    """One mislabelled calibration document, and a language with few documents: a language nobody learned is still rejected."""
+    rng = random.Random(12)
+    rows = [(i, sentence(rng, lang), lang) for i in range(260) for lang in [rng.choice(["aa", "bb"])]]
+    rows += [(i, sentence(rng, "cc"), "cc") for i in range(300, 312)]
+    schema = "doc_id long, text string, lang string"
+    drawn = language_id.sample_of(spark.createDataFrame(rows, schema), language_id.F.lit(True), 4000)
+    stray = min(r.doc_id for r in drawn.where("lang = 'aa' and nth % 2 = 0").collect())  # those calibrate
+    rows = [(i, UNLEARNED * 20 if i == stray else t, lang) for i, t, lang in rows]
+    df = spark.createDataFrame([*rows, (500, "vyxx jqqz ywwz " * 25, None), (501, UNLEARNED * 9, None)], schema)
+    model = language_id.fit(df, language_id.F.lit(True))
+    assert all(math.isfinite(limit[3]) for limit in model["limits"])
+    got = {r.doc_id: r.rejected for r in language_id.predict(df, model).collect()}
+    assert got[500] and got[501] and got[stray] and not any(got[i] for i, *_ in rows if i != stray)
+
+
+def test_limits_ignore_stray_documents():
+    rng = np.random.default_rng(3)
+    own = np.repeat([0, 1, 2], [300, 30, 6])
+    entropy, size = rng.normal(1.5, 0.02, len(own)), np.full(len(own), 2000)
+    clean = language_id.limits_of(own, entropy, size, 4)
+    entropy[[5, 305]] = 5.0
+    stray = language_id.limits_of(own, entropy, size, 4)
+    for mean, wide, each, limit in [*clean, *stray]:
+        assert (5.0 - mean) / math.sqrt(wide**2 + each**2 / 2000) > limit
+    assert all(limit[3] == 8.0 for limit in clean)
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(1)
     c = rng.integers(1, 9, 4000).astype(np.uint32)
