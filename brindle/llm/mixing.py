@@ -9,7 +9,9 @@ bounded sample of labelled documents (``SAMPLE`` rows, those with the least hash
 (n tokens, q posteriors, w target weights, p expected shares at rate 1, so that rare domains converge as fast as frequent ones): expected domain tokens meet their targets, and rates stay near 1 where targets
 leave a choice.  It is solved by projected gradient steps.  A step needs one small vector of domain totals, summed on the executors over a narrow
 table; rates are never stored, as each is a function of the document's posterior and the vectors so far.
-Rates are divided by the largest rate of a pure domain, so none is above 1: ``copies`` keeps a document (1) or not (0), by a hash of its id and text.
+With ``repeat`` rates stay as they are, also above 1: ``copies`` is their whole part, and one more by a hash of id and text as often as the rest says.
+Without it documents are kept or dropped only.  The domain with the largest target is then kept whole: rates are divided by its rate, and a domain
+that is rarer beside it than its target gets what is there as its target (or the others would be thinned to make up for documents that don't exist).
 
 Defined results: a text without tokens has the class shares as its posterior and adds no tokens to any domain; without usable labels there is one domain
 and every rate is 1; if several label rows share a ``doc_id``, the highest class counts; null labels teach nothing; each row is a document
@@ -202,7 +204,14 @@ def rates(q: np.ndarray, steps: list[np.ndarray], eta: float) -> np.ndarray:
     return r
 
 
-def solve(narrow: DataFrame, weights: np.ndarray, steps: int = STEPS) -> dict:
+def reachable(weights: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Targets that can be met without repeating documents, while the domain with the largest target is kept whole."""
+    main = int(weights.argmax())
+    kept = share * np.minimum(1.0, weights / share / (weights[main] / share[main]))
+    return kept / kept.sum()
+
+
+def solve(narrow: DataFrame, weights: np.ndarray, steps: int = STEPS, repeat: bool = False) -> dict:
     """Projected gradient over ``narrow(n, q)``; the state is one vector for each step."""
     d = len(weights)
 
@@ -228,6 +237,9 @@ def solve(narrow: DataFrame, weights: np.ndarray, steps: int = STEPS) -> dict:
     first = totals([], 0.0)
     total = max(first[0], 1.0)
     share = np.maximum(first[1 : 1 + d] / total, 1e-6)
+    main = int(weights.argmax())
+    if not repeat:
+        weights = reachable(weights, share)
     gram = first[1 + d :].reshape(d, d) / total / np.sqrt(np.outer(share, share))
     eta = 1.0 / (float(np.linalg.eigvalsh(gram).max()) + RIDGE)
     history: list[np.ndarray] = []
@@ -239,11 +251,11 @@ def solve(narrow: DataFrame, weights: np.ndarray, steps: int = STEPS) -> dict:
             reached = now
             break
         reached = now
-    top = max(1e-12, float(rates(np.eye(d), history, eta).max()))
+    top = 1.0 if repeat else max(1e-12, float(rates(np.eye(d)[[main]], history, eta)[0]))
     return {"history": history, "eta": eta, "top": top, "reached": reached}
 
 
-def fit_mixture(docs: DataFrame, labels: DataFrame, targets: dict | None = None) -> tuple[dict, dict, DataFrame]:
+def fit_mixture(docs: DataFrame, labels: DataFrame, targets: dict | None = None, repeat: bool = False) -> tuple[dict, dict, DataFrame]:
     """The classifier, the solution, and the narrow table ``doc_id, n, q, u`` (u: what a document's rate is compared with)."""
     model = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # CHOSEN weights for each domain
@@ -254,7 +266,7 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, targets: dict | None = None)
             yield pa.record_batch([batch.column("doc_id"), batch.column("u"), pa.array(n, pa.int64()), pa.array(list(q), pa.list_(pa.float64()))], names=["doc_id", "u", "n", "q"])
 
     narrow = checkpoint(docs.select("doc_id", "text", chance().alias("u")).mapInArrow(classify, "doc_id long, u double, n long, q array<double>"))
-    return model, solve(narrow, target_weights(model, targets or TARGETS)), narrow
+    return model, solve(narrow, target_weights(model, targets or TARGETS), repeat=repeat), narrow
 
 
 def chance() -> Column:
@@ -262,19 +274,19 @@ def chance() -> Column:
     return (F.pmod(F.xxhash64(F.lit(29), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)).cast("double")
 
 
-def mixture(docs: DataFrame, labels: DataFrame, targets: dict | None = None) -> DataFrame:
+def mixture(docs: DataFrame, labels: DataFrame, targets: dict | None = None, repeat: bool = False) -> DataFrame:
     """``doc_id, n_tokens, domain, posterior, rate, copies`` for each row of ``docs``."""
-    model, fitted, narrow = fit_mixture(docs, labels, targets)
+    model, fitted, narrow = fit_mixture(docs, labels, targets, repeat)
     names, d = model["domains"], len(model["domains"])
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 q = batch.column("q").flatten().to_numpy().reshape(-1, d)
-                r = np.minimum(1.0, rates(q, fitted["history"], fitted["eta"]) / fitted["top"])
+                r = np.minimum(np.inf if repeat else 1.0, rates(q, fitted["history"], fitted["eta"]) / fitted["top"])
                 yield pa.record_batch([
                     batch.column("doc_id"), batch.column("n"), pa.array([names[i] for i in q.argmax(axis=1)], pa.string()), batch.column("q"), pa.array(r),
-                    pa.array((batch.column("u").to_numpy() < r).astype(np.int32)),
+                    pa.array((np.floor(r) + (batch.column("u").to_numpy() < r - np.floor(r))).astype(np.int32)),
                 ], names=["doc_id", "n_tokens", "domain", "posterior", "rate", "copies"])
 
     return narrow.mapInArrow(run, "doc_id long, n_tokens long, domain string, posterior array<double>, rate double, copies int")

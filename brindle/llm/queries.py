@@ -51,7 +51,7 @@ def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "labels"), repeat=True)
 
 
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:

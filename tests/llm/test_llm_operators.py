@@ -450,6 +450,26 @@ def test_mixing(spark):
     assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.copies)
 
 
+def test_mixing_with_a_rare_domain(spark):
+    """Toxic documents are 1 %, their target is 8 %: no clean document may go for it; with ``repeat`` the targets are met."""
+    rng = random.Random(9)
+    kinds = {"clean": ("alpha beta gamma delta", 1, 0), "low": ("junk spam blah filler", 0, 0), "toxic": ("scum idiot moron trash", 1, 1)}
+    truth = {i: "toxic" if i % 100 == 7 else "low" if i % 5 == 0 else "clean" for i in range(1500)}
+    rows = [(i, " ".join(rng.choice(kinds[k][0].split()) + str(rng.randrange(9)) for _ in range(50))) for i, k in truth.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, *kinds[k][1:]) for i, k in truth.items()], "doc_id long, quality int, toxic int")
+    targets = {"clean": 0.84, "low": 0.08, "toxic": 0.08}
+    kept, there = Counter(truth[r.doc_id] for r in mixing.mix(df, lab, targets).collect()), Counter(truth.values())
+    assert kept["clean"] >= 0.97 * there["clean"] and kept["toxic"] >= 0.8 * there["toxic"] and kept["low"] < 0.7 * there["low"]
+    got = mixing.mixture(df, lab, targets, repeat=True).collect()
+    sums = Counter()
+    for r in got:
+        sums[truth[r.doc_id]] += r.copies * r.n_tokens
+        assert math.floor(r.rate) <= r.copies <= math.ceil(r.rate)
+    assert all(abs(sums[d] / sum(sums.values()) - targets[d]) < 0.03 for d in targets)
+    assert sum(r.copies > 0 for r in got if truth[r.doc_id] == "clean") >= 0.97 * there["clean"]
+
+
 def test_projected_gradient_matches_a_direct_solution():
     q = np.array([[0.9, 0.1], [0.2, 0.8], [0.5, 0.5]])
     n, w = np.array([3.0, 5.0, 2.0]), np.array([0.7, 0.3])
