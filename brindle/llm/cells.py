@@ -162,15 +162,16 @@ def key_members(
     schema: str,
     bytes_per_byte: float = 1.0,
     bucket_bytes: int = 1 << 20,
+    width: int | None = None,
 ) -> DataFrame:
     """As ``key_counts``, but each key that occurs twice is also answered with its first holder.
 
     ``keys_of(bucket)`` gives keys and the row of each (rows of a bucket must come in an order that the documents decide);
-    ``finish(bucket, keys, counts, holders)`` gets holders as ``bucket << 32 | row``, -1 where a key occurs once.
+    ``finish(bucket, keys, counts, holders)`` gets holders as ``bucket << 32 | row``, -1 where a key occurs once.  ``width``: bytes kept of a key, if not those of ``key_width``.
     """
     rows = bucketed(docs, bucket_bytes)
     total = plan_bytes(docs)
-    parts, width = max(64, math.ceil(total * bytes_per_byte / (8 << 20))), key_width(total)
+    parts, width = max(64, math.ceil(total * bytes_per_byte / (8 << 20))), width or key_width(total)
     tail = U64((1 << 8 * (8 - width)) - 1)
 
     def own(table: pa.Table):

@@ -129,11 +129,12 @@ EQUAL = U64(0x51ED270B9F1C3A77)
 
 def signatures(s: Sets, bands: Bands) -> tuple[np.ndarray, ...]:
     """Keys of all kept sets of a bucket, the row of each, and its unit (a set in one band and level); for each unit the number of its parts
-    that are empty, and how many parts similar sets must share. The first unit of a set is its digest."""
+    that are empty, and how many parts similar sets must share. The first unit of a set is its digest. Keys of digests are odd, those of parts
+    even: equal sets are linked by their digest alone, so no part may take its place."""
     keys, row, unit, empties, musts, cache = [], [], [], [], [], {}
     for r in s.kept.tolist():
         x = s.set(r)
-        keys.append(T.mix(s.digest[r : r + 1] + EQUAL))
+        keys.append(T.mix(s.digest[r : r + 1] + EQUAL) | U64(1))
         row.append(r)
         unit.append(1)
         empties.append(0)
@@ -156,7 +157,7 @@ def signatures(s: Sets, bands: Bands) -> tuple[np.ndarray, ...]:
                     missing = np.flatnonzero(~full)
                     got = np.append(got, T.mix(T.mix(missing.astype(U64) + U64(salt << 32)) + U64(7)))
                     empty = 0
-                keys.append(got)
+                keys.append(got & ~U64(1))
                 row.append(r)
                 unit.append(len(got))
                 empties.append(empty)
@@ -250,8 +251,7 @@ def links(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), buc
     """``doc_id, n_shingles`` of each row, and ``a, b``: links that connect exactly the documents that similarity connects."""
     bands = Bands(threshold)
     total = cells.plan_bytes(docs)
-    shards, width = max(64, math.ceil(total / (1 << 20))), cells.key_width(total)
-    tail = U64((1 << 8 * (8 - width)) - 1)
+    shards = max(64, math.ceil(total / (1 << 20)))
 
     def keys_of(table: pa.Table):
         keys, row, *_ = signatures(Sets(Bucket(table), n), bands)
@@ -276,7 +276,7 @@ def links(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), buc
         rows += [(0, 0, 0, 0, bucket, 0, None, ids[r], ids[first], spread[r]) for r, first in s.copies.tolist()]
         got, row, unit, empty, must = signatures(s, bands)
         if len(got):
-            at = np.searchsorted(keys, got & ~tail)
+            at = np.searchsorted(keys, got)
             count, holder = counts[at], holders[at]
             node = np.int64(bucket) << 32 | row
             # A set that an earlier one equals is linked with it, and takes no part otherwise.
@@ -387,7 +387,7 @@ def links(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), buc
                 out += [(None, int(root[i] not in main), grp[j], pieces[j], piece[j], int(nodes[j]), int(ids[j]), sets[i].tobytes()) for i, j in enumerate(g)]
         return arrow(LINK, out)
 
-    base = cells.key_members(docs, keys_of, members, MEMBER, bytes_per_byte=1.2, bucket_bytes=bucket_bytes)
+    base = cells.key_members(docs, keys_of, members, MEMBER, bytes_per_byte=1.2, bucket_bytes=bucket_bytes, width=8)
     rows = cells.bucketed(docs, bucket_bytes)
 
     def sets_for(asked: DataFrame) -> DataFrame:

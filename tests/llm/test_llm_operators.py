@@ -172,6 +172,16 @@ def test_jaccard_join_splits_hot_groups(spark, docs):
     assert {r.doc_id: own.get(r.doc_id, r.doc_id) for r in sizes.collect()} == want
 
 
+def test_jaccard_join_keeps_digests_apart(docs, monkeypatch):
+    """Digests link sets unseen, so they must not meet part signatures, also where other operators cut their keys."""
+    monkeypatch.setattr(cells, "key_width", lambda total: 2)
+    assert Counter(map(tuple, ngram_jaccard.jaccard_join(docs).collect())) == plain_classes(corpus())
+    ids = [i for i, t in corpus() if t]
+    b = ngram_jaccard.Bucket(pa.table({"doc_id": ids, "text": [t for _, t in corpus() if t]}))
+    keys, _, unit, _, must = ngram_jaccard.signatures(ngram_jaccard.Sets(b, 5), ngram_jaccard.Bands(Fraction(4, 5)))
+    assert ((keys & np.uint64(1) == 1) == (must[unit] == 0)).all()
+
+
 def test_jaccard_join_null_ids(spark):
     d = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f"), (1, "A B C D E F")], "doc_id long, text string")
     assert Counter(map(tuple, ngram_jaccard.jaccard_join(d).collect())) == Counter({(None, 2, None): 2, (2, 2, 1): 1, (1, 2, 1): 1})
