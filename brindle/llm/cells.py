@@ -1,17 +1,20 @@
 """Counts of 64-bit keys over all documents, answered back to the documents.
 
-Documents are dealt into buckets by a hash of their id.  A bucket sends its distinct
-keys, with their counts, as one packed row ("cell") for each range of keys; whoever
-owns a range adds up its cells and answers each cell; a bucket's answers meet its
-documents again.  However frequent a key is, a bucket sends it once, so no key makes
-a task large; what moves is a few bytes for each distinct key of a bucket, and the
-documents are shuffled once (both passes read the same exchange).
+Documents are dealt into buckets of a fixed number of text bytes by a hash of their id.  A bucket sends its distinct keys, with their counts, as one
+packed row ("cell") for each range of keys; whoever owns a range adds up its cells and answers each cell; a bucket's answers meet its documents
+again.  However frequent a key is, a bucket sends it once, so no key makes a task large; what moves is a few bytes for each distinct key
+of a bucket, and the documents are shuffled once (both passes read the same exchange).
+
+Keys are whole: 64 bits at every size.  Buckets hold ``BUCKET`` bytes of text and ranges ``PART`` bytes of keys, at every size, so a task's memory
+does not grow with the input.  With B buckets and P ranges there are up to B * P cells, which would grow with the square of the input.  So where
+B * P is above ``DIRECT``, cells go through halls: a hall takes the keys of one coarse range from one group of buckets, is itself a bucket towards the
+owners of the ranges within its coarse range, and hands the answers back.  There are about sqrt(P) coarse ranges, so cells grow with the
+1.5th power of the input, and a cell keeps hundreds of keys up to some 100 TB.  Counts are the same either way.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable
 
 import numpy as np
@@ -20,216 +23,254 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+BUCKET = 2 << 20
+PART = 16 << 20
+DIRECT = 1 << 27
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Bytes that ``df`` reads: file sizes where the plan is a scan without joins, which needs no job; else the bytes of its texts."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    text = str(plan.toString())
-    if "Relation" in text and not re.search(r"Join|LogicalRDD|Generate|Expand", text):
-        return max(1, int(str(plan.stats().sizeInBytes())))
+def text_bytes(df: DataFrame) -> int:
+    """Bytes of all texts."""
     return max(1, df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
-def n_buckets(df: DataFrame, bucket_bytes: int = 1 << 20) -> int:
-    """Buckets of about ``bucket_bytes`` input bytes; beyond 16384 buckets they grow, up to 64 MB."""
-    total = plan_bytes(df)
-    return max(1, math.ceil(total / min(64 << 20, max(bucket_bytes, total // 16384))))
+def bucketed(docs: DataFrame, total: int, bucket_bytes: int = BUCKET) -> DataFrame:
+    """``doc_id, text, bucket``: ready for groupBy("bucket"). ``total``: bytes of all texts."""
+    n = max(1, math.ceil(total / bucket_bytes))
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(n)).cast("long").alias("bucket"))
 
 
-def bucketed(docs: DataFrame, bucket_bytes: int = 1 << 20) -> DataFrame:
-    """``doc_id, text, bucket``: ready for groupBy("bucket")."""
-    n = n_buckets(docs, bucket_bytes)
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(n)).cast("int").alias("bucket"))
+def place_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Which of ``parts`` equal ranges each key lies in."""
+    high, low = keys >> U64(32), keys & U64(0xFFFFFFFF)
+    n = U64(parts)
+    return ((high * n + (low * n >> U64(32))) >> U64(32)).astype(np.int64)
 
 
-def key_width(total_bytes: int) -> int:
-    """Bytes kept of a key, so that a key meets another by chance about once in a million."""
-    return min(8, max(6, math.ceil((math.log2(max(2, total_bytes)) + 20) / 8)))
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as Elias and Fano do: low bits side by side, and the steps of the rest as a bitmap; about 2 bits a key more than needed."""
+    n = len(keys)
+    x = keys - keys[0]
+    width = max(0, (int(x[-1]) // n).bit_length() - 1)
+    high = (x >> U64(width)).astype(np.int64) + np.arange(n)
+    steps = np.zeros(int(high[-1]) + 1, bool)
+    steps[high] = True
+    low = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(n, 8), axis=1)[:, 64 - width :]
+    return np.array([n, width, keys[0]], "<u8").tobytes() + np.packbits(low).tobytes() + np.packbits(steps).tobytes()
 
 
-def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
+def unpack_keys(raw: bytes) -> np.ndarray:
+    n, width, first = np.frombuffer(raw[:24], "<u8").tolist()
+    cut = 24 + (n * width + 7) // 8
+    low = np.zeros((n, 64), np.uint8)
+    low[:, 64 - width :] = np.unpackbits(np.frombuffer(raw[24:cut], np.uint8))[: n * width].reshape(n, width)
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(raw[cut:], np.uint8)))[:n] - np.arange(n)
+    return (np.packbits(low, axis=1).view(">u8").ravel().astype(U64) | high.astype(U64) << U64(width)) + U64(first)
 
 
-def pack_keys(keys: np.ndarray, width: int) -> bytes:
-    """Sorted keys byte plane by byte plane: the high planes are runs, which the shuffle's compression removes."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].T).tobytes()
+def pack_numbers(x: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane: planes that hardly change are removed by the shuffle's compression."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def unpack_keys(raw: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(raw) // width, 8), np.uint8)
-    out[:, 8 - width :] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
-    return out.reshape(-1).view("<u8").astype(U64)
+def unpack_numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """A byte for each count; those of 255 or more follow as 64-bit numbers."""
-    large = counts >= 255
-    return np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype("<i8").tobytes()
+    """A bit for each count that isn't 1, then a byte for each of those; those of 255 or more follow as 64-bit numbers."""
+    odd = counts != 1
+    rest = counts[odd]
+    large = rest >= 255
+    return np.packbits(odd).tobytes() + np.where(large, 255, rest).astype(np.uint8).tobytes() + rest[large].astype("<i8").tobytes()
 
 
 def unpack_counts(raw: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(raw[:n], np.uint8).astype(np.int64)
-    out[out == 255] = np.frombuffer(raw[n:], "<i8")
+    flags = (n + 7) // 8
+    odd = np.flatnonzero(np.unpackbits(np.frombuffer(raw[:flags], np.uint8))[:n])
+    rest = np.frombuffer(raw[flags : flags + len(odd)], np.uint8).astype(np.int64)
+    rest[rest == 255] = np.frombuffer(raw[flags + len(odd) :], "<i8")
+    out = np.ones(n, np.int64)
+    out[odd] = rest
     return out
 
 
-def distinct(keys: np.ndarray | tuple, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys, cut to ``width`` bytes, and how often (or with what weight) they occur."""
-    keys, weights = keys if isinstance(keys, tuple) else (keys, None)
-    keys = keys & ~U64((1 << 8 * (8 - width)) - 1)
-    if weights is None:
-        return np.unique(keys, return_counts=True)
-    found, at = np.unique(keys, return_inverse=True)
-    return found, np.bincount(at, weights, len(found)).astype(np.int64)
+class Keys:
+    """Sorted distinct keys, how often each occurs, and with ``members`` its first holder (``bucket << 32 | row``)."""
 
+    def __init__(self, keys: np.ndarray, counts: np.ndarray | None = None, holders: np.ndarray | None = None):
+        if holders is not None:
+            order = np.lexsort((holders, keys))
+            keys, holders = keys[order], holders[order]
+            counts = counts[order] if counts is not None else None
+        elif counts is None:
+            keys = np.sort(keys)
+        else:
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[order]
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        self.keys = keys[at]
+        self.counts = np.diff(np.append(at, len(keys))) if counts is None else np.add.reduceat(counts.astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+        self.holders = holders[at] if holders is not None else None
+
+
+CELL = "part long, bucket long, keys binary, counts binary, holders binary"
+REPLY = "bucket long, part long, reply binary"
+
+
+def _cells(own: Keys, bucket: int, bounds: np.ndarray, parts: np.ndarray) -> pa.Table:
+    """One row for each range (``bounds``: where each begins in the keys) that has keys."""
+    full = np.flatnonzero(np.diff(bounds))
+    spans = [(bounds[p], bounds[p + 1]) for p in full]
+    holders = [None] * len(full) if own.holders is None else [pack_numbers(own.holders[a:b]) for a, b in spans]
+    return pa.table({
+        "part": pa.array(parts[full], pa.int64()), "bucket": pa.array(np.full(len(full), bucket), pa.int64()), "keys": pa.array([pack_keys(own.keys[a:b]) for a, b in spans], pa.binary()),
+        "counts": pa.array([pack_counts(own.counts[a:b]) for a, b in spans], pa.binary()), "holders": pa.array(holders, pa.binary()),
+    })
+
+
+def _bounds(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of ``parts`` equal ranges begins in sorted keys."""
+    full, first = np.unique(place_of(keys, parts), return_index=True)
+    out = np.searchsorted(full, np.arange(parts + 1))
+    return np.append(first, len(keys))[out]
+
+
+def _merged(table: pa.Table) -> tuple[Keys, list[np.ndarray]]:
+    """The keys of all cells together, and the keys of each cell."""
+    keys = [unpack_keys(x.as_py()) for x in table.column("keys")]
+    counts = [unpack_counts(x.as_py(), len(k)) for x, k in zip(table.column("counts"), keys, strict=True)]
+    held = [unpack_numbers(x.as_py()) for x in table.column("holders") if x.is_valid]
+    return Keys(np.concatenate(keys), np.concatenate(counts), np.concatenate(held) if held else None), keys
+
+
+def _reply(counts: np.ndarray, holders: np.ndarray | None, flags: bool) -> bytes:
+    """Which keys occur twice at least; unless only that is asked for, their counts, and their first holders."""
+    twice = counts > 1
+    raw = np.packbits(twice).tobytes()
+    if flags:
+        return raw
+    held = b"" if holders is None else holders[twice].astype("<i8").tobytes()
+    return raw + held + pack_counts(counts[twice])
+
+
+def _answers(own: Keys, bounds: np.ndarray, replies: pa.Table, members: bool, flags: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the keys in all documents (with ``flags`` 1 or 2), and holders (-1 for keys that occur once)."""
+    counts, holders = np.ones(len(own.keys), np.int64), np.full(len(own.keys), -1)
+    if (np.diff(bounds) > 0).sum() != replies.num_rows:
+        raise RuntimeError("answers do not match the keys of their bucket")
+    for part, raw in zip(replies.column("part").to_pylist(), replies.column("reply").to_pylist(), strict=True):
+        a, b = bounds[part], bounds[part + 1]
+        size = (b - a + 7) // 8
+        hit = a + np.flatnonzero(np.unpackbits(np.frombuffer(raw[:size], np.uint8))[: b - a])
+        if flags:
+            counts[hit] = 2
+            continue
+        if members:
+            holders[hit] = np.frombuffer(raw[size : size + 8 * len(hit)], "<i8")
+            size += 8 * len(hit)
+        counts[hit] = unpack_counts(raw[size:], len(hit))
+    return counts, holders
+
+
+def _replies(own: Keys, every: list[np.ndarray], counts: np.ndarray, holders: np.ndarray | None, flags: bool) -> list[bytes]:
+    out = []
+    for keys in every:
+        at = np.searchsorted(own.keys, keys)
+        out.append(_reply(counts[at], None if holders is None else holders[at], flags))
+    return out
 
-CELL = "part int, bucket int, keys binary, counts binary"
-REPLY = "bucket int, part int, reply binary"
 
+class Ranges:
+    """How many buckets and key ranges there are, and whether cells go through halls."""
 
-def key_counts(
-    docs: DataFrame,
-    keys_of: Callable[[pa.Table], np.ndarray],
-    finish: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table],
-    schema: str,
-    bytes_per_byte: float = 0.5,
-    flags: bool = False,
-    bucket_bytes: int = 1 << 20,
-) -> DataFrame:
-    """Runs ``finish(bucket, keys, counts)`` on each bucket of documents.
+    def __init__(self, total: int, bytes_per_byte: float, bucket_bytes: int = BUCKET, direct: int | None = None):
+        """``total``: bytes of all texts; ``bytes_per_byte``: of keys for each of text."""
+        buckets, parts = max(1, math.ceil(total / bucket_bytes)), max(64, math.ceil(total * bytes_per_byte / PART))
+        self.halls = buckets * parts > (DIRECT if direct is None else direct)
+        self.coarse = max(2, math.isqrt(parts)) if self.halls else parts
+        self.fine = self.groups = -(-parts // self.coarse)
 
-    ``keys_of(bucket)`` gives every key occurrence of a bucket, or keys and weights; ``keys`` are its distinct keys in order
-    (cut as by ``key_width``, which ``lookup`` repeats), ``counts`` their occurrences in all documents, or with ``flags``
-    whether there are two at least.  ``bytes_per_byte``: bytes of keys for each input byte, to size the key ranges.
-    """
-    rows = bucketed(docs, bucket_bytes)
-    total = plan_bytes(docs)
-    parts, width = max(64, math.ceil(total * bytes_per_byte / (8 << 20))), key_width(total)
+    def bounds(self, keys: np.ndarray) -> np.ndarray:
+        """Where the ranges that a bucket tells apart begin in its keys."""
+        return _bounds(keys, self.coarse)
 
-    def send(table: pa.Table) -> pa.Table:
-        keys, counts = distinct(keys_of(table), width)
-        bounds = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
-        full = np.flatnonzero(np.diff(bounds))
-        bucket = table.column("bucket")[0].as_py()
-        spans = [(bounds[p], bounds[p + 1]) for p in full]
-        return pa.table({
-            "part": pa.array(full, pa.int32()),
-            "bucket": pa.array(np.full(len(full), bucket), pa.int32()),
-            "keys": pa.array([pack_keys(keys[a:b], width) for a, b in spans], pa.binary()),
-            "counts": pa.array([pack_counts(counts[a:b]) for a, b in spans], pa.binary()),
-        })
+
+def asked(sent: DataFrame, ranges: Ranges, members: bool = False, flags: bool = False) -> DataFrame:
+    """Answers (``REPLY``) to the cells that buckets send."""
 
     def add(table: pa.Table) -> pa.Table:
-        keys = [unpack_keys(x.as_py(), width) for x in table.column("keys")]
-        counts = [unpack_counts(x.as_py(), len(k)) for x, k in zip(table.column("counts"), keys, strict=True)]
-        found, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)[at]
-        cuts = np.cumsum([len(x) for x in keys])[:-1]
-        pack = (lambda x: np.packbits(x > 1).tobytes()) if flags else pack_counts
-        return pa.table({
-            "bucket": table.column("bucket"), "part": table.column("part"),
-            "reply": pa.array([pack(x) for x in np.split(sums, cuts)], pa.binary()),
-        })
+        own, every = _merged(table)
+        return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "reply": pa.array(_replies(own, every, own.counts, own.holders, flags), pa.binary())})
 
-    def meet(table: pa.Table, replies: pa.Table) -> pa.Table:
-        keys, _ = distinct(keys_of(table), width) if table.num_rows else (np.zeros(0, U64), None)
-        order = np.argsort(replies.column("part").to_numpy())
-        raw = replies.column("reply").to_pylist()
-        sizes = np.bincount(part_of(keys, parts), minlength=parts)
-        sizes = sizes[sizes > 0]
-        if len(sizes) != len(raw):
-            raise RuntimeError("answers do not match the keys of their bucket")
-        if flags:
-            got = [np.unpackbits(np.frombuffer(raw[i], np.uint8))[:n].astype(np.int64) + 1 for i, n in zip(order, sizes, strict=True)]
-        else:
-            got = [unpack_counts(raw[i], n) for i, n in zip(order, sizes, strict=True)]
-        counts = np.concatenate(got) if got else np.zeros(0, np.int64)
-        return finish(table, keys, counts)
+    def within(keys: np.ndarray) -> np.ndarray:
+        """Bounds of the fine ranges in keys of one coarse range."""
+        return _bounds(keys, ranges.coarse * ranges.fine)
 
-    replies = rows.groupBy("bucket").applyInArrow(send, CELL).groupBy("part").applyInArrow(add, REPLY)
-    return rows.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(meet, schema)
+    def forward(table: pa.Table) -> pa.Table:
+        own, _ = _merged(table)
+        return _cells(own, table.column("part")[0].as_py(), within(own.keys), np.arange(ranges.coarse * ranges.fine))
+
+    def back(table: pa.Table, replies: pa.Table) -> pa.Table:
+        own, every = _merged(table)
+        counts, holders = _answers(own, within(own.keys), replies, members, flags)
+        part = table.column("hall").to_numpy() % ranges.coarse
+        return pa.table({"bucket": table.column("bucket"), "part": pa.array(part, pa.int64()), "reply": pa.array(_replies(own, every, counts, holders if members else None, flags), pa.binary())})
+
+    if not ranges.halls:
+        return sent.groupBy("part").applyInArrow(add, REPLY)
+    told = sent.groupBy("part").applyInArrow(forward, CELL).groupBy("part").applyInArrow(add, REPLY)
+    told = told.select(F.col("bucket").alias("hall"), "part", "reply").groupBy("hall")
+    return sent.withColumnRenamed("part", "hall").groupBy("hall").cogroup(told).applyInArrow(back, REPLY)
 
 
-MEMBER_CELL = "part int, bucket int, keys binary, counts binary, rows binary"
+def cells_of(own: Keys, bucket: int, ranges: Ranges) -> pa.Table:
+    """What a bucket sends: ``CELL`` rows for ``asked``."""
+    first = (bucket % ranges.groups) * ranges.coarse if ranges.halls else 0
+    return _cells(own, bucket, ranges.bounds(own.keys), first + np.arange(ranges.coarse))
 
 
-def key_members(
+def answers(own: Keys, replies: pa.Table, ranges: Ranges, members: bool = False, flags: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """What a bucket was answered: counts of its keys in all documents (with ``flags`` 2 for all above 1), and holders (-1 for keys that occur once)."""
+    return _answers(own, ranges.bounds(own.keys), replies, members, flags)
+
+
+def key_counts(
     docs: DataFrame,
-    keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]],
+    total: int,
+    keys_of: Callable[[pa.Table], tuple],
     finish: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], pa.Table],
     schema: str,
-    bytes_per_byte: float = 1.0,
-    bucket_bytes: int = 1 << 20,
-    width: int | None = None,
+    bytes_per_byte: float,
+    members: bool = False,
+    flags: bool = False,
+    bucket_bytes: int = BUCKET,
+    direct: int | None = None,
 ) -> DataFrame:
-    """As ``key_counts``, but each key that occurs twice is also answered with its first holder.
+    """Runs ``finish(bucket, keys, counts, holders)`` on each bucket of documents.
 
-    ``keys_of(bucket)`` gives keys and the row of each (rows of a bucket must come in an order that the documents decide);
-    ``finish(bucket, keys, counts, holders)`` gets holders as ``bucket << 32 | row``, -1 where a key occurs once.  ``width``: bytes kept of a key, if not those of ``key_width``.
+    ``keys_of(bucket)`` gives all keys of a bucket, their weights (None: 1 each), and with ``members`` the row of each (rows must come in an order that
+    the documents decide).  ``keys`` are its distinct keys in order, ``counts`` their weights in all documents, ``holders`` the first
+    ``bucket << 32 | row`` that has a key (see ``answers``).
     """
-    rows = bucketed(docs, bucket_bytes)
-    total = plan_bytes(docs)
-    parts, width = max(64, math.ceil(total * bytes_per_byte / (8 << 20))), width or key_width(total)
-    tail = U64((1 << 8 * (8 - width)) - 1)
-
-    def own(table: pa.Table):
-        keys, row = keys_of(table)
-        order = np.lexsort((row, keys & ~tail))
-        keys, row = (keys & ~tail)[order], row[order]
-        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        return keys[at], np.diff(np.append(at, len(keys))), row[at]
+    rows, ranges = bucketed(docs, total, bucket_bytes), Ranges(total, bytes_per_byte, bucket_bytes, direct)
 
-    def send(table: pa.Table) -> pa.Table:
-        keys, counts, row = own(table)
-        bounds = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
-        full = np.flatnonzero(np.diff(bounds))
-        spans = [(bounds[p], bounds[p + 1]) for p in full]
-        return pa.table({
-            "part": pa.array(full, pa.int32()),
-            "bucket": pa.array(np.full(len(full), table.column("bucket")[0].as_py()), pa.int32()),
-            "keys": pa.array([pack_keys(keys[a:b], width) for a, b in spans], pa.binary()),
-            "counts": pa.array([pack_counts(counts[a:b]) for a, b in spans], pa.binary()),
-            "rows": pa.array([np.ascontiguousarray(row[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a, b in spans], pa.binary()),
-        })
+    def own_of(table: pa.Table) -> Keys:
+        if not table.num_rows:
+            return Keys(np.zeros(0, U64), holders=np.zeros(0, np.int64) if members else None)
+        keys, weights, row = keys_of(table)
+        return Keys(keys, weights, np.int64(table.column("bucket")[0].as_py()) << 32 | row if members else None)
 
-    def add(table: pa.Table) -> pa.Table:
-        keys = [unpack_keys(x.as_py(), width) for x in table.column("keys")]
-        sizes = [len(x) for x in keys]
-        counts = np.concatenate([unpack_counts(x.as_py(), n) for x, n in zip(table.column("counts"), sizes, strict=True)])
-        row = np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(4, -1).T).view("<u4").ravel() for x in table.column("rows")]).astype(np.int64)
-        holder = np.repeat(table.column("bucket").to_numpy().astype(np.int64), sizes) << 32 | row
-        found, at = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(at, counts, len(found)).astype(np.int64)
-        first = np.full(len(found), np.iinfo(np.int64).max)
-        np.minimum.at(first, at, holder)
-        reply, a = [], 0
-        for size in sizes:
-            mine = at[a : a + size]
-            twice = n[mine] > 1
-            reply.append(np.packbits(twice).tobytes() + first[mine[twice]].astype("<i8").tobytes() + pack_counts(n[mine[twice]]))
-            a += size
-        return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "reply": pa.array(reply, pa.binary())})
+    def send(table: pa.Table) -> pa.Table:
+        return cells_of(own_of(table), table.column("bucket")[0].as_py(), ranges)
 
     def meet(table: pa.Table, replies: pa.Table) -> pa.Table:
-        keys = own(table)[0] if table.num_rows else np.zeros(0, U64)
-        counts, holders = np.ones(len(keys), np.int64), np.full(len(keys), -1)
-        bounds = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
-        if (np.diff(bounds) > 0).sum() != replies.num_rows:
-            raise RuntimeError("answers do not match the keys of their bucket")
-        for part, raw in zip(replies.column("part").to_pylist(), replies.column("reply").to_pylist(), strict=True):
-            a, b = bounds[part], bounds[part + 1]
-            flags = (b - a + 7) // 8
-            hit = a + np.flatnonzero(np.unpackbits(np.frombuffer(raw[:flags], np.uint8))[: b - a])
-            holders[hit] = np.frombuffer(raw[flags : flags + 8 * len(hit)], "<i8")
-            counts[hit] = unpack_counts(raw[flags + 8 * len(hit) :], len(hit))
-        return finish(table, keys, counts, holders)
-
-    replies = rows.groupBy("bucket").applyInArrow(send, MEMBER_CELL).groupBy("part").applyInArrow(add, REPLY)
+        own = own_of(table)
+        return finish(table, own.keys, *answers(own, replies, ranges, members, flags))
+
+    replies = asked(rows.groupBy("bucket").applyInArrow(send, CELL), ranges, members, flags)
     return rows.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(meet, schema)
 
 
-def lookup(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray, width: int) -> np.ndarray:
+def lookup(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarray:
     """Counts of ``asked`` keys, all of which are among ``keys``."""
-    return counts[np.searchsorted(keys, asked & ~U64((1 << 8 * (8 - width)) - 1))]
+    return counts[np.searchsorted(keys, asked)]

@@ -11,10 +11,14 @@ contents of one part are one signature.  Two things would make signatures useles
 
 Every signature that occurs twice names its first holder, and all who share it meet in the holder's group; so similar sets always meet.
 Groups of hot signatures are dealt into salted pieces, each of which also gets the holder; what does not link up with
-the holder in its piece is compared with the other pieces block by block.  In small groups, parity bitmaps (whose distance never
-exceeds that of the sets) rule out most candidates before any set moves.  Links are decided on whole sets.
+the holder in its piece is compared with the other pieces block by block.  A group of a set with P signatures has ``HOT`` * P members at most.
+It is compared in blocks of ``TILE`` members: parity bitmaps (whose distance never exceeds that of the sets) rule out most candidates before any
+set moves, the bitmaps of a large group are folded to ``FOLD`` bytes in all, and blocks whose sizes can't be similar, or whose members
+are known to hang together, are passed over.  Links are decided on whole sets.
 
-Equal sets within a bucket of documents are one.  Links within a group are returned as a spanning forest, so copies never become all pairs.
+Equal sets within a bucket of documents are one, and equal sets of different buckets are linked by digests of 64 bits, if their sizes and a second digest of
+64 bits agree; if any don't, all is done anew under another salt.  Links within a group are returned as a spanning forest, so copies never
+become all pairs.
 
 Defined results: a text without words or null text has an empty set and links with nothing; a text of fewer than n words is one n-gram;
 rows that share a ``doc_id`` are one vertex; rows with null ``doc_id`` have null components; further columns are ignored.
@@ -33,13 +37,16 @@ from pyspark.sql import functions as F
 from brindle.llm import cells
 from brindle.llm import text as T
 from brindle.llm.components import components
-from brindle.llm.shared import checkpoint
+from brindle.llm.shared import checkpoint, unused
 
 U64 = np.uint64
 HOT = 256
 PIECE = 128
 LEVELS = 4
 BITS = 1024
+EQUALS = 4096
+TILE = 512
+FOLD = 128 << 20
 
 
 class Bands:
@@ -107,18 +114,23 @@ class Bucket:
 class Sets:
     """Sets of the texts of a bucket, and the first row with each set."""
 
-    def __init__(self, b: Bucket, n: int):
+    def __init__(self, b: Bucket, n: int, salt: int = 0, digest_bits: int = 64):
         self.h, self.first = sets_of(b.text, n)
         self.size = np.diff(self.first)
-        sums = np.zeros(len(self.h) + 1, U64)
-        np.cumsum(T.mix(self.h), out=sums[1:])
-        self.digest = T.mix(sums[self.first[1:]] - sums[self.first[:-1]] + self.size.astype(U64))
+        self.digest, self.second = (self._digests(2 * salt + i) for i in (1, 2))
+        self.digest &= U64((1 << digest_bits) - 1)
         rows = np.flatnonzero(~b.null & (self.size > 0))
-        _, first, at = np.unique(self.digest[rows], return_index=True, return_inverse=True)
-        lead = rows[first][at]
+        both = np.stack([self.digest[rows], self.second[rows]], axis=1)
+        _, first, at = np.unique(both, axis=0, return_index=True, return_inverse=True)
+        lead = rows[first][at.ravel()]
         self.kept = rows[lead == rows]
         self.copies = np.stack([rows[lead != rows], lead[lead != rows]], axis=1)
 
+    def _digests(self, salt: int) -> np.ndarray:
+        sums = np.zeros(len(self.h) + 1, U64)
+        np.cumsum(T.mix(self.h + U64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), out=sums[1:])
+        return T.mix(sums[self.first[1:]] - sums[self.first[:-1]] + self.size.astype(U64))
+
     def set(self, row: int) -> np.ndarray:
         return self.h[self.first[row] : self.first[row + 1]]
 
@@ -178,22 +190,15 @@ def bitmap(x: np.ndarray) -> bytes:
     return np.packbits((n & 1).astype(np.uint8)).tobytes()
 
 
-def least_distances(maps: list[bytes]) -> np.ndarray:
-    """For each two sets a bound below the size of their symmetric difference. A bitmap of twice the places folds to the smaller one."""
-    size = np.array([len(m) for m in maps])
-    out = np.zeros((len(maps), len(maps)))
-    for places in np.unique(size):
-        at = np.flatnonzero(size >= places)
-        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(maps[i], np.uint8).reshape(-1, places), axis=0) for i in at])
-        m = np.unpackbits(bits, axis=1).astype(np.float32)
-        ones = m.sum(axis=1)
-        apart = ones[:, None] + ones[None, :] - 2 * (m @ m.T)
-        mine = size[at] == places
-        pick = mine[:, None] | mine[None, :]
-        block = out[np.ix_(at, at)]
-        block[pick] = apart[pick]
-        out[np.ix_(at, at)] = block
-    return out
+def folded(raw: bytes, size: int) -> np.ndarray:
+    """A bitmap of ``size`` bytes from one that is as long or longer by a power of two: still no farther from others than the sets are."""
+    return np.bitwise_xor.reduce(np.frombuffer(raw, np.uint8).reshape(-1, size), axis=0)
+
+
+def least_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each two bitmaps (rows of a and b, of one length) a bound below the size of the symmetric difference of their sets."""
+    x, y = (np.unpackbits(m, axis=1).astype(np.float32) for m in (a, b))
+    return x.sum(axis=1)[:, None] + y.sum(axis=1)[None, :] - 2 * (x @ y.T)
 
 
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
@@ -205,57 +210,137 @@ def arrow(schema: str, rows: list[tuple]) -> pa.Table:
     return pa.table({name: pa.array(c, _KINDS[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
 
 
-def forest(similar: np.ndarray) -> np.ndarray:
-    """Least member that each can reach in a symmetric matrix."""
-    root = np.arange(len(similar))
-    while True:
-        low = np.where(similar, root[None, :], len(root)).min(axis=1)
-        new = np.minimum(root, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
+class Forest:
+    """Members that hang together; each names the least of them that is known so far."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            i = int(self.root[i])
+        return i
+
+    def settle(self) -> np.ndarray:
+        while (self.root != self.root[self.root]).any():
+            self.root = self.root[self.root]
+        return self.root
+
+    def absorb(self, rows: np.ndarray, cols: np.ndarray, alike: np.ndarray) -> None:
+        """Joins what a block of comparisons (rows by columns) links."""
+        far = len(self.root)
+        a, b = old = self.root[rows], self.root[cols]
+        while True:
+            c = np.minimum(a, np.where(alike, b[None, :], far).min(axis=1))
+            d = np.minimum(b, np.where(alike, c[:, None], far).min(axis=0))
+            if (c == a).all() and (d == b).all():
+                break
+            a, b = c, d
+        for was, now in set(zip(np.append(*old).tolist(), np.append(a, b).tolist(), strict=True)):
+            x, y = sorted((self.find(was), self.find(now)))
+            self.root[y] = x
+        self.settle()
+
+
+def blocks(forest: Forest, size: np.ndarray, t: Fraction, tile: int = TILE):
+    """Pairs of blocks of members that may hold links not yet known: of sizes that can be similar, and not all in one tree."""
+    order = np.lexsort((size, forest.root)) if len(size) > tile else np.arange(len(size))
+    parts = [order[i : i + tile] for i in range(0, len(order), tile)]
+    for i, a in enumerate(parts):
+        for b in parts[i:]:
+            low, high = sorted(((size[a].min(), size[a].max()), (size[b].min(), size[b].max())))
+            if low[1] * t.denominator < high[0] * t.numerator:
+                continue
+            roots = forest.root[np.append(a, b)]
+            if (roots != roots[0]).any():
+                yield a, b
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of a bounded number of sets."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of two bounded lists of sets."""
+    found, at = np.unique(np.concatenate(a + b), return_inverse=True)
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in a + b])
     order = np.argsort(at, kind="stable")
     at, owner = at[order], owner[order]
-    out = np.zeros((len(sets), len(sets)))
-    step = 4096
-    for a in range(0, int(at[-1]) + 1, step):
-        lo, hi = np.searchsorted(at, (a, a + step))
-        m = np.zeros((len(sets), step), np.float32)
-        m[owner[lo:hi], at[lo:hi] - a] = 1
-        out += m @ m.T
+    out = np.zeros((len(a), len(b)))
+    for low in range(0, len(found), step):
+        i, j = np.searchsorted(at, (low, low + step))
+        m = np.zeros((len(a) + len(b), step), np.float32)
+        m[owner[i:j], at[i:j] - low] = 1
+        out += m[: len(a)] @ m[len(a) :].T
     return out
 
 
-def linked(sets: list[np.ndarray], t: Fraction) -> np.ndarray:
-    size = np.array([len(s) for s in sets])
-    both = overlaps(sets)
-    union = size[:, None] + size[None, :] - both
-    return both * t.denominator >= union * t.numerator
-
-
-#: ``pieces``: how many pieces a group has; 0 links ids a and b; -1 id a has b n-grams; -2 equal sets, led by the holder.
-MEMBER = "shard int, holder long, pieces int, piece int, node long, bucket int, size int, bits binary, a long, b long"
-ASKED = "bucket int, grp long, pieces int, piece int, node long, holds boolean, a long, b long"
+def relatives(sets: list[np.ndarray], t: Fraction, tile: int = TILE) -> np.ndarray:
+    """The least set that each is connected with by similarity. Of many, those that are like one of a few leaders need no comparison with each other."""
+    size, forest = np.array([len(x) for x in sets]), Forest(len(sets))
+    alike = lambda both, x, y: both * t.denominator >= (size[x][:, None] + size[y][None, :] - both) * t.numerator
+    rest = np.argsort(size, kind="stable")
+    for _ in range(8):
+        if len(rest) <= tile:
+            break
+        lead, every = rest[len(rest) // 2 : len(rest) // 2 + 1], np.concatenate([sets[i] for i in rest])
+        one = sets[lead[0]]
+        inside = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+        both = np.add.reduceat(inside.astype(np.int64), np.cumsum(size[rest]) - size[rest])
+        hit = alike(both[None, :], lead, rest)
+        forest.absorb(lead, rest, hit)
+        rest = rest[~hit[0]]
+    for a, b in blocks(forest, size, t, tile):
+        forest.absorb(a, b, alike(overlaps([sets[i] for i in a], [sets[i] for i in b]), a, b))
+    return forest.root
+
+
+def near(maps: list[bytes], size: np.ndarray, t: Fraction, tile: int = TILE) -> np.ndarray:
+    """The least member that each may be connected with, as far as bitmaps can tell."""
+    most = max(BITS // 8, 1 << (FOLD // len(maps)).bit_length() - 1)
+    length = np.minimum([len(m) for m in maps], most)
+    forest = Forest(len(maps))
+    for a, b in blocks(forest, size, t, tile):
+        low = int(min(length[a].min(), length[b].min()))
+        x = np.stack([folded(maps[i], low) for i in a])
+        apart = least_distances(x, x if a is b else np.stack([folded(maps[i], low) for i in b]))
+        p, q = size[a][:, None], size[b][None, :]
+        alike = apart * (t.numerator + t.denominator) <= (p + q) * (t.denominator - t.numerator)
+        forest.absorb(a, b, alike & (np.minimum(p, q) * t.denominator >= np.maximum(p, q) * t.numerator))
+    return forest.root
+
+
+#: ``pieces``: how many pieces a group has; 0 links ids a and b; -1 id a has b n-grams; -2 id a has the holder's digest, ``bits`` being the second
+#: one; -3 sets with one digest differ.
+MEMBER = "shard int, holder long, pieces int, piece int, node long, bucket long, size int, bits binary, a long, b long"
+ASKED = "bucket long, grp long, pieces int, piece int, node long, holds boolean, a long, b long"
 WHOLE = "shard int, grp long, pieces int, piece int, node long, holds boolean, doc_id long, grams binary, a long, b long"
 LINK = "a long, b long, grp long, pieces int, piece int, node long, doc_id long, grams binary"
 
 
-def links(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), bucket_bytes: int = 1 << 20, hot_at: int = HOT, piece_of: int = PIECE) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, n_shingles`` of each row, and ``a, b``: links that connect exactly the documents that similarity connects."""
+def links(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), bucket_bytes: int = cells.BUCKET, hot_at: int = HOT, piece_of: int = PIECE, digest_bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, n_shingles`` of each row, and ``a, b``: links that connect exactly the documents that similarity connects. Fewer ``digest_bits`` only make a new salt likelier."""
+    total = cells.text_bytes(docs)
+    for salt in range(8):
+        found = _found(docs, n, threshold, total, bucket_bytes, hot_at, piece_of, salt, digest_bits)
+        kinds = {r[0] for r in found.where("pieces = -3 or pieces > 1").select(F.signum("pieces")).distinct().collect()}
+        if -1 not in kinds:
+            break
+    else:
+        raise RuntimeError("no salt tells different sets apart")
+    out = found.where("pieces = 0 and a <> b").select("a", "b")
+    if kinds:
+        # Sets of salted groups; b: whether they did not link up with the holder.
+        salted = found.where("pieces > 1").drop("a")
+        apart = salted.where("b = 1").drop("b")
+        out = out.unionByName(_across(salted.drop("b"), apart, threshold).where("a <> b"))
+    return found.where("pieces = -1").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles")), out
+
+
+def _found(docs: DataFrame, n: int, threshold: Fraction, total: int, bucket_bytes: int, hot_at: int, piece_of: int, salt: int, digest_bits: int) -> DataFrame:
+    """Rows of ``LINK``, checkpointed."""
     bands = Bands(threshold)
-    total = cells.plan_bytes(docs)
     shards = max(64, math.ceil(total / (1 << 20)))
 
-    def keys_of(table: pa.Table):
-        keys, row, *_ = signatures(Sets(Bucket(table), n), bands)
-        return keys, row
+    def keys_of(table: pa.Table) -> tuple:
+        keys, row, *_ = signatures(Sets(Bucket(table), n, salt, digest_bits), bands)
+        return keys, None, row
 
     def shard_of(*parts) -> np.ndarray:
         x = np.zeros(np.broadcast(*parts).shape, U64)
@@ -267,7 +352,7 @@ def links(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), buc
         if not table.num_rows:
             return arrow(MEMBER, [])
         b = Bucket(table)
-        s = Sets(b, n)
+        s = Sets(b, n, salt, digest_bits)
         bucket = table.column("bucket")[0].as_py()
         ids = [None if null else i for i, null in zip(b.ids.tolist(), b.null.tolist(), strict=True)]
         spread = shard_of(bucket, np.arange(len(ids))).tolist()
@@ -285,8 +370,11 @@ def links(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), buc
             equal = np.zeros(len(s.size), bool)
             equal[row[later]] = True
             heads = lead[count[lead] > 1]
-            for i, sh in zip(heads.tolist(), shard_of(holder[heads], -2).tolist(), strict=True):
-                rows.append((int(holder[i]), -2, 0, int(node[i]), bucket, 0, None, None, None, sh))
+            for i, c in zip(heads.tolist(), count[heads].tolist()):
+                r, m, h, me = int(row[i]), -(-c // EQUALS), int(holder[i]), int(node[i])
+                # Many equal sets are dealt into pieces, to each of which the holder goes.
+                for p in range(m) if h == me else (int(T.mix(node[i : i + 1].astype(U64))[0] % U64(m)),):
+                    rows.append((h, -2, p, me, bucket, int(s.size[r]), s.second[r : r + 1].tobytes(), ids[r], None, None))
             hot = count > hot_at
             hots = np.bincount(unit, hot, len(must)).astype(np.int64)
             use = (count > 1) & (must[unit] > 0) & ~equal[row] & (~hot | ((empty + hots) >= must)[unit] | (holder == node))
@@ -300,6 +388,7 @@ def links(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), buc
                     bits[r] = bitmap(s.set(r))
                 for p in range(m) if h == me else (o % m,):
                     rows.append((h, m, p, me, bucket, int(s.size[r]), bits[r] if m == 1 else None, None, None, None))
+            # Groups are spread by their holder, pieces and piece.
             todo = [i for i, x in enumerate(rows) if x[9] is None]
             if todo:
                 sh = shard_of(*(np.array([rows[i][c] for i in todo], np.int64) for c in (0, 1, 2)))
@@ -319,24 +408,19 @@ def links(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), buc
         bits, a, b = (table.column(c).to_pylist() for c in ("bits", "a", "b"))
         out = []
         for g in groups_of(table, "holder", "pieces", "piece"):
-            if pieces[g[0]] in (0, -1):  # these only pass through
+            if pieces[g[0]] in (0, -1, -3):  # these only pass through
                 out += [(int(bucket[i]), 0, int(pieces[i]), 0, 0, False, a[i], b[i]) for i in g]
                 continue
             if pieces[g[0]] == -2:
-                out += [(int(bucket[i]), int(holder[i]), -2, 0, int(node[i]), bool(node[i] == holder[i]), None, None) for i in g]
+                lead = next(i for i in g if node[i] == holder[i])
+                out += [(int(bucket[i]), 0, 0 if bits[i] == bits[lead] and size[i] == size[lead] else -3, 0, 0, False, a[i], a[lead]) for i in g if i != lead]
                 continue
             if pieces[g[0]] > 1:
                 out += [(int(bucket[i]), int(holder[i]), int(pieces[i]), int(piece[i]), int(node[i]), bool(node[i] == holder[i]), None, None) for i in g]
                 continue
             if len(g) < 2:
                 continue
-            apart = least_distances([bits[i] for i in g])
-            s = size[g].astype(np.int64)
-            both = s[:, None] + s[None, :]
-            t = threshold
-            near = apart * (t.numerator + t.denominator) <= both * (t.denominator - t.numerator)
-            near &= np.minimum(s[:, None], s[None, :]) * t.denominator >= np.maximum(s[:, None], s[None, :]) * t.numerator
-            root = forest(near)
+            root = near([bits[i] for i in g], size[g].astype(np.int64), threshold)
             for r in np.unique(root):
                 same = g[root == r]
                 if len(same) > 1:
@@ -357,7 +441,7 @@ def links(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), buc
         for (grp, pieces, piece, node, holds, x, y), sh in zip(rows, shard.tolist(), strict=True):
             r = node & 0xFFFFFFFF
             grams = h[first[place[r]] : first[place[r] + 1]].tobytes() if pieces > 0 else None
-            out.append((sh, grp, pieces, piece, node, holds, None if pieces in (0, -1) else int(b.ids[r]), grams, x, y))
+            out.append((sh, grp, pieces, piece, node, holds, int(b.ids[r]) if pieces > 0 else None, grams, x, y))
         return arrow(WHOLE, out)
 
     def verify(table: pa.Table) -> pa.Table:
@@ -369,40 +453,29 @@ def links(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), buc
         out = []
         for g in groups_of(table, "grp", "pieces", "piece"):
             kind = pieces[g[0]]
-            if kind in (0, -1):
+            if kind <= 0:
                 out += [(a[i], b[i], None, kind, None, None, None, None) for i in g]
                 continue
-            if kind == -2:
-                lead = next(ids[i] for i in g if holds[i])
-                out += [(ids[i], lead, None, 0, None, None, None, None) for i in g if ids[i] != lead]
-                continue
             g = g[np.unique(nodes[g], return_index=True)[1]]
             if len(g) < 2:
                 continue
             sets = [np.frombuffer(raw[int(i)].as_py(), U64) for i in g]
-            root = forest(linked(sets, threshold))
+            root = relatives(sets, threshold)
             out += [(int(ids[g[i]]), int(ids[g[root[i]]]), None, 0, None, None, None, None) for i in range(len(g)) if root[i] != i]
             if pieces[g[0]] > 1:
                 main = [root[i] for i in range(len(g)) if holds[g[i]]]
                 out += [(None, int(root[i] not in main), grp[j], pieces[j], piece[j], int(nodes[j]), int(ids[j]), sets[i].tobytes()) for i, j in enumerate(g)]
         return arrow(LINK, out)
 
-    base = cells.key_members(docs, keys_of, members, MEMBER, bytes_per_byte=1.2, bucket_bytes=bucket_bytes, width=8)
-    rows = cells.bucketed(docs, bucket_bytes)
+    base = cells.key_counts(docs, total, keys_of, members, MEMBER, bytes_per_byte=1.2, members=True, bucket_bytes=bucket_bytes)
+    rows = cells.bucketed(docs, total, bucket_bytes)
 
     def sets_for(asked: DataFrame) -> DataFrame:
         return rows.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(whole, WHOLE)
 
     asked = base.groupBy("shard").applyInArrow(candidates, ASKED)
     # One job, so that all passes over the texts read one exchange.
-    found = checkpoint(sets_for(asked).groupBy("shard").applyInArrow(verify, LINK))
-    out = found.where("pieces = 0 and a <> b").select("a", "b")
-    # Sets of salted groups; b: whether they did not link up with the holder.
-    salted = found.where("pieces > 1").drop("a")
-    apart = salted.where("b = 1").drop("b")
-    if not apart.isEmpty():
-        out = out.unionByName(_across(salted.drop("b"), apart, threshold).where("a <> b"))
-    return found.where("pieces = -1").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles")), out
+    return checkpoint(sets_for(asked).groupBy("shard").applyInArrow(verify, LINK))
 
 
 def _across(every: DataFrame, apart: DataFrame, t: Fraction) -> DataFrame:
@@ -416,7 +489,7 @@ def _across(every: DataFrame, apart: DataFrame, t: Fraction) -> DataFrame:
         if left.num_rows and right.num_rows:
             ids = np.append(left.column("doc_id").to_numpy(), right.column("doc_id").to_numpy())
             sets = [np.frombuffer(x.as_py(), U64) for c in (left, right) for x in c.column("grams")]
-            root = forest(linked(sets, t))
+            root = relatives(sets, t)
             at = np.flatnonzero(root != np.arange(len(root)))
             a, b = ids[at], ids[root[at]]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -441,6 +514,6 @@ def deduplicate(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5
     """``docs`` without all but the least ``doc_id`` of each class; of rows with the same id and text one stays."""
     losers = classes(docs, n, threshold).where("id <> component").select(F.col("id").alias("doc_id"))
     kept = docs.join(losers, "doc_id", "left_anti").select(docs.columns)
-    mark = "__digest"
+    mark = unused(docs, "digest")
     # Already dealt by doc_id, so this moves nothing again.
     return kept.withColumn(mark, F.xxhash64("text")).dropDuplicates(["doc_id", mark]).drop(mark)

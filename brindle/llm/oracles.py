@@ -36,16 +36,29 @@ select vec_id, coalesce(n.n, 0)::bigint as n_links, coalesce(root, vec_id) as co
 
 LM_SCORE = f"""with {_DOCS},
 t as (select rid, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d),
-p as (select rid, i, word, lag(word) over (partition by rid order by i) as before from t),
+p as (select rid, i, word as w3, lag(word) over q as w2, lag(word, 2) over q as w1 from t window q as (partition by rid order by i)),
 total as (select count(*) as n from t),
-c1 as (select word, count(*) as n from t group by word), o1 as (select rid, word, count(*) as n from t group by rid, word),
-c2 as (select before, word, count(*) as n from p where before is not null group by before, word), o2 as (select rid, before, word, count(*) as n from p where before is not null group by rid, before, word),
-x as (select p.rid, p.i, c1.n - o1.n as uni, coalesce(c2.n - o2.n, 0) as bi, coalesce(b1.n - b0.n, 0) as ctx, p.before, total.n - len(d.w) as others
- from p join d using (rid) cross join total join c1 using (word) join o1 on o1.rid = p.rid and o1.word = p.word left join c2 on c2.before = p.before and c2.word = p.word
- left join o2 on o2.rid = p.rid and o2.before = p.before and o2.word = p.word left join c1 b1 on b1.word = p.before left join o1 b0 on b0.rid = p.rid and b0.word = p.before),
-s as (select rid, ln(case when bi > 0 then bi / ctx::double else (case when before is null then 1.0 else 0.4 end) * (case when uni > 0 then uni / others::double else 0.4 / (others + 1) end) end) as s, uni from x),
-g as (select rid, sum(s) as s, count(*) filter (where uni <= 0) as unseen from s group by rid)
-select d.doc_id, len(w)::bigint as n_words, round(g.s, 4) as log_score, round(g.s / nullif(len(w), 0), 6) as mean_log_score, coalesce(unseen, 0)::bigint as unseen from d left join g using (rid)"""
+g as (select rid, w3 as a, null as b, null as c from p union all select rid, w2, w3, null from p where w2 is not null union all select rid, w1, w2, w3 from p where w1 is not null),
+own as (select rid, a, b, c, count(*) as n from g group by all), every as (select a, b, c, sum(n) as n from own group by all),
+o as (select rid, own.a, own.b, own.c, every.n - own.n as n from own join every on own.a = every.a and own.b is not distinct from every.b and own.c is not distinct from every.c),
+o1 as (select rid, a, n from o where b is null), o2 as (select rid, a, b, n from o where b is not null and c is null), o3 as (select rid, a, b, c, n from o where c is not null),
+x as (select p.rid, u.n as uni, coalesce(bi.n, 0) as bi, coalesce(tri.n, 0) as tri, cu.n as c1, cb.n as c2, w1, w2, total.n - len(d.w) as others
+ from p join d using (rid) cross join total join o1 u on u.rid = p.rid and u.a = w3 left join o2 bi on bi.rid = p.rid and bi.a = w2 and bi.b = w3 left join o3 tri on tri.rid = p.rid and tri.a = w1 and tri.b = w2 and tri.c = w3
+ left join o1 cu on cu.rid = p.rid and cu.a = w2 left join o2 cb on cb.rid = p.rid and cb.a = w1 and cb.b = w2),
+s as (select rid, uni, ln(case when tri > 0 then tri / c2::double else (case when w1 is null then 1.0 else 0.4 end) * (case when bi > 0 then bi / c1::double
+ else (case when w2 is null then 1.0 else 0.4 end) * (case when uni > 0 then uni / others::double else 0.4 / (others + 1) end) end) end) as s from x),
+r as (select rid, sum(s) as s, count(*) filter (where uni <= 0) as unseen from s group by rid)
+select d.doc_id, len(w)::bigint as n_words, round(r.s, 4) as log_score, round(r.s / nullif(len(w), 0), 6) as mean_log_score, coalesce(unseen, 0)::bigint as unseen from d left join r using (rid)"""
+
+#: Rows of a word span for each passage of 50 words that occurs twice at least, joined where they overlap or touch.
+REPEATED_SPANS = rf"""with {_DOCS},
+starts as (select rid, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50),
+win as (select starts.rid, i, array_to_string(w[i:i + 49], ' ') as x from starts join d using (rid)),
+twice as (select x from win group by x having count(*) > 1),
+hit as (select rid, i from win join twice using (x)),
+runs as (select rid, i, case when i - lag(i) over q <= 50 then 0 else 1 end as new from hit window q as (partition by rid order by i)),
+spans as (select rid, i, sum(new) over (partition by rid order by i) as run from runs)
+select doc_id, min(i)::bigint - 1 as first_word, max(i)::bigint + 50 - min(i)::bigint as n_words from spans join d using (rid) group by rid, doc_id, run"""
 
 #: CRC-32 over bytes, with its table made from the polynomial.
 _CRC = """crc as (select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: case when c % 2 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t),

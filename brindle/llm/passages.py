@@ -9,6 +9,9 @@ Equal windows have equal owners at equal offsets, so only windows whose owner oc
    is split: each of its windows travels alone and is routed by its own hash.
 3. A resolver, given all contexts of its anchors, says which windows occur twice; it compares words, not hashes.
 4. Answers meet the documents again, bucket by bucket.
+
+Hashes only choose who is compared with whom: contexts count as one only where their words are equal.  An answer names a context by the place of its
+first occurrence in the bucket, whose rows are brought into an order that ids and texts decide.
 """
 
 from __future__ import annotations
@@ -18,14 +21,17 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from brindle.llm import cells
 from brindle.llm import text as T
 
 U64 = np.uint64
-CONTEXT = "shard int, key long, chash long, bucket int, n int, shift int, ctx string"
-ANSWER = "bucket int, chash binary, size binary, mask binary"
+CONTEXT = "shard long, key long, bucket long, place long, n long, shift int, ctx string"
+ANSWER = "bucket long, place binary, size binary, mask binary"
+#: Bytes of contexts that one resolving task gets.
+SHARD = 1 << 20
 
 
 class Contexts:
@@ -35,6 +41,7 @@ class Contexts:
         self.window, self.k, self.words = window, k, T.words(column)
         w, m = self.words, window - k + 1
         total = len(w.hash)
+        self._join()
         self.grams = T.runs(w.hash, k, salt=k)
         starts = np.flatnonzero(T.inside(w.first, window, total))
         if len(starts):
@@ -54,30 +61,26 @@ class Contexts:
             self.begin = self.end = self.shift = np.zeros(0, np.int64)
             self.key = np.zeros(0, U64)
 
-    def chosen(self, keys: np.ndarray, counts: np.ndarray, width: int, hot: int) -> None:
+    def chosen(self, keys: np.ndarray, counts: np.ndarray, hot: int) -> None:
         """Keeps the contexts of anchors that occur twice, and takes those of hot anchors apart."""
-        n = cells.lookup(keys, counts, self.key, width) if len(self.key) else np.zeros(0, np.int64)
+        n = cells.lookup(keys, counts, self.key) if len(self.key) else np.zeros(0, np.int64)
         calm, apart = (n > 1) & (n <= hot), np.flatnonzero(n > hot)
         begin, end, shift, key = self.begin[calm], self.end[calm], self.shift[calm], self.key[calm]
         if len(apart):
-            each = self.end[apart] - self.begin[apart] - self.window + 1
-            step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-            one = np.repeat(self.begin[apart], each) + step
+            one, each, step = self.singles(apart)
             begin, end = np.append(begin, one), np.append(end, one + self.window)
             shift = np.append(shift, np.repeat(self.shift[apart], each) - step)
             key = np.append(key, T.runs(self.words.hash, self.window, salt=1)[one])
         self.begin, self.end, self.shift, self.key = begin, end, shift, key
-        self._hash()
 
-    def _hash(self) -> None:
-        h = self.words.hash
-        sums = np.zeros(len(h) + 1, U64)
-        np.cumsum(h * T.powers(len(h)), out=sums[1:])
-        size = (self.end - self.begin).astype(U64)
-        self.chash = T.mix((sums[self.end] - sums[self.begin]) * T.powers(len(h) + 1, True)[self.begin] + size)
+    def singles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows of contexts one by one: where each begins; how many each context has; the number of each in its context."""
+        each = self.end[which] - self.begin[which] - self.window + 1
+        step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        return np.repeat(self.begin[which], each) + step, each, step
 
-    def text(self) -> tuple[np.ndarray, np.ndarray]:
-        """All words joined by one space, and where each word begins there."""
+    def _join(self) -> None:
+        """``flat``: all words, each followed by a space; ``text_at``: where each word begins there."""
         w = self.words
         size = w.end - w.start
         at = np.zeros(len(size) + 1, np.int64)
@@ -85,7 +88,12 @@ class Contexts:
         out = np.full(at[-1], 32, np.uint8)
         source = np.repeat(w.start - (np.cumsum(size) - size), size) + np.arange(size.sum())
         out[source - np.repeat(w.start, size) + np.repeat(at[:-1], size)] = w.data[source]
-        return out, at
+        self.flat, self.text_at = out, at
+
+
+def _ordered(table: pa.Table) -> pa.Table:
+    """Rows by id, those with one id by text."""
+    return table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")])) if table.num_rows > 1 else table
 
 
 def repeated(
@@ -96,41 +104,42 @@ def repeated(
     finish: Callable[[pa.Table, T.Words, np.ndarray], pa.Table],
     schema: str,
     hot: int = 2000,
-    bucket_bytes: int = 1 << 20,
+    bucket_bytes: int = cells.BUCKET,
 ) -> DataFrame:
     """``finish(bucket, words, covered)`` for each bucket; ``covered``: words of windows that occur elsewhere too.
 
     ``resolver(groups)`` gets, for each anchor, its distinct contexts as ``(words, shift, n)`` and returns, for each group
     and context, a bool for each window.
     """
-    total = cells.plan_bytes(docs)
-    shards, width = max(64, math.ceil(total / (1 << 20))), cells.key_width(total)
-
-    def anchors(table: pa.Table) -> np.ndarray:
-        return Contexts(table.column("text"), window, k).key
-
-    def found(table: pa.Table, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
-        c = Contexts(table.column("text"), window, k)
-        c.chosen(keys, counts, width, hot)
-        _, first, n = np.unique(c.chash, return_index=True, return_counts=True)
-        out, at = c.text()
-        raw = out.tobytes()
-        spans = zip(at[c.begin[first]].tolist(), (at[c.end[first]] - 1).tolist(), strict=True)
-        key = c.key[first]
+    total = cells.text_bytes(docs)
+    shards = max(64, math.ceil(total / SHARD))
+
+    def anchors(table: pa.Table) -> tuple:
+        return Contexts(table.column("text"), window, k).key, None, None
+
+    def found(table: pa.Table, keys: np.ndarray, counts: np.ndarray, _) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py() if table.num_rows else 0
+        c = Contexts(_ordered(table).column("text"), window, k)
+        c.chosen(keys, counts, hot)
+        raw, at = c.flat.tobytes(), c.text_at
+        # Contexts with equal words are sent once, under the first of them.
+        first: dict[tuple[int, bytes], list[int]] = {}
+        for i, (key, a, b) in enumerate(zip(c.key.tolist(), at[c.begin].tolist(), (at[c.end] - 1).tolist(), strict=True)):
+            first.setdefault((key, raw[a:b]), [i, 0])[1] += 1
+        i = np.array([x for x, _ in first.values()], np.int64)
         return pa.table({
-            "shard": pa.array((key % U64(shards)).astype(np.int32)), "key": pa.array(key.astype(np.int64)), "chash": pa.array(c.chash[first].astype(np.int64)),
-            "bucket": pa.array(np.full(len(first), table.column("bucket")[0].as_py() if table.num_rows else 0, np.int32)), "n": pa.array(n, pa.int32()),
-            "shift": pa.array(c.shift[first], pa.int32()), "ctx": pa.array([raw[a:b] for a, b in spans], pa.binary()).cast(pa.string()),
+            "shard": pa.array((c.key[i] % U64(shards)).astype(np.int64)), "key": pa.array(c.key[i].astype(np.int64)), "bucket": pa.array(np.full(len(i), bucket), pa.int64()),
+            "place": pa.array(c.begin[i], pa.int64()), "n": pa.array([n for _, n in first.values()], pa.int64()), "shift": pa.array(c.shift[i], pa.int32()),
+            "ctx": pa.array([t for _, t in first], pa.binary()).cast(pa.string()),
         })
 
     def resolve(table: pa.Table) -> pa.Table:
         # Rows with one anchor and one text are one context, wherever they come from.
-        key, chash = table.column("key").to_numpy(), table.column("chash").to_numpy()
-        order = np.lexsort((chash, key))
-        n, shift, ctx, bucket = table.column("n").to_numpy(), table.column("shift").to_numpy(), table.column("ctx"), table.column("bucket").to_numpy()
+        key, place, bucket, n, shift = (table.column(x).to_numpy() for x in ("key", "place", "bucket", "n", "shift"))
+        ctx = table.column("ctx")
         ctx = ctx.combine_chunks() if isinstance(ctx, pa.ChunkedArray) else ctx
         groups, members, before = [], [], None
-        for i in order.tolist():
+        for i in np.lexsort((place, bucket, key)).tolist():
             if key[i] != before:
                 groups.append({})
                 before = key[i]
@@ -154,59 +163,65 @@ def repeated(
                 for (_, _, at), got in zip(g.values(), next(answers), strict=True):
                     masks[at] = got
         rows: dict[int, tuple] = {}
-        for at, ids in enumerate(members):
-            if any(masks[at]):
-                packed = np.packbits(masks[at])
+        for mask, ids in zip(masks, members, strict=True):
+            if any(mask):
+                packed = np.packbits(mask)
                 for i in ids:
                     h, s, m = rows.setdefault(int(bucket[i]), ([], [], []))
-                    h.append(chash[i])
-                    s.append(len(packed))
+                    h.append(place[i])
+                    s.append(len(mask))
                     m.append(packed)
         return pa.table({
-            "bucket": pa.array(list(rows), pa.int32()), "chash": pa.array([np.array(h, "<i8").tobytes() for h, _, _ in rows.values()], pa.binary()),
+            "bucket": pa.array(list(rows), pa.int64()), "place": pa.array([np.array(h, "<i8").tobytes() for h, _, _ in rows.values()], pa.binary()),
             "size": pa.array([np.array(s, "<i2").tobytes() for _, s, _ in rows.values()], pa.binary()), "mask": pa.array([np.concatenate(m).tobytes() for _, _, m in rows.values()], pa.binary()),
         })
 
     def meet(table: pa.Table, answers: pa.Table) -> pa.Table:
-        w = T.words(table.column("text")) if table.num_rows else T.words(pa.array([], pa.string()))
-        edge = np.zeros(len(w.hash) + 1, np.int64)
-        if answers.num_rows:
-            c = Contexts(table.column("text"), window, k)
-            _hot_aware(c, answers, edge)
-        return finish(table, w, np.cumsum(edge)[:-1] > 0)
-
-    def _hot_aware(c: Contexts, answers: pa.Table, edge: np.ndarray) -> None:
-        h = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in answers.column("chash")]).astype(U64)
-        size = np.concatenate([np.frombuffer(x.as_py(), "<i2") for x in answers.column("size")]).astype(np.int64)
-        mask = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in answers.column("mask")])
-        off = np.cumsum(size) - size
-        order = np.argsort(h)
-        h, size, off = h[order], size[order], off[order]
-        whole = (c.begin, c.end)
-        # As whole contexts, and as the single windows that a hot anchor's contexts were taken into.
-        for apart in (False, True):
-            c.begin, c.end = whole
-            if apart:
-                each = c.end - c.begin - window + 1
-                step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                c.begin = np.repeat(c.begin, each) + step
-                c.end = c.begin + window
-            c._hash()
-            at = np.minimum(np.searchsorted(h, c.chash), len(h) - 1)
-            hit = np.flatnonzero(h[at] == c.chash)
-            n = c.end[hit] - c.begin[hit] - window + 1
-            src = np.repeat(off[at[hit]] * 8, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            start = np.repeat(c.begin[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            start = start[np.unpackbits(mask)[src] > 0]
-            np.add.at(edge, start, 1)
-            np.add.at(edge, start + window, -1)
-
-    contexts = cells.key_counts(docs, anchors, found, CONTEXT, bytes_per_byte=0.3, bucket_bytes=bucket_bytes)
+        table = _ordered(table)
+        c = Contexts(table.column("text") if table.num_rows else pa.array([], pa.string()), window, k)
+        edge = np.zeros(len(c.words.hash) + 1, np.int64)
+        if answers.num_rows and len(c.begin):
+            _mark(c, answers, edge)
+        return finish(table, c.words, np.cumsum(edge)[:-1] > 0)
+
+    contexts = cells.key_counts(docs, total, anchors, found, CONTEXT, bytes_per_byte=0.3, bucket_bytes=bucket_bytes)
     answers = contexts.groupBy("shard").applyInArrow(resolve, ANSWER)
-    rows = cells.bucketed(docs, bucket_bytes)
+    rows = cells.bucketed(docs, total, bucket_bytes)
     return rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(meet, schema)
 
 
+def _mark(c: Contexts, answers: pa.Table, edge: np.ndarray) -> None:
+    """Adds to ``edge`` where windows that repeat begin, and takes off where they end."""
+    read = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in answers.column(name)])
+    place, size, mask = read("place", "<i8"), read("size", "<i2").astype(np.int64), np.unpackbits(read("mask", np.uint8))
+    off = 8 * (np.cumsum((size + 7) // 8) - (size + 7) // 8)
+    window, raw, at = c.window, c.flat.tobytes(), c.text_at
+    window_hash = T.runs(c.words.hash, window, salt=2)
+
+    def hashes(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of spans of n windows, at most as many as a window has words: the first and the last window hold all words."""
+        return T.joined(window_hash[begin], window_hash[begin + n - 1] + n.astype(U64))
+
+    def text(begin: int, n: int) -> bytes:
+        return raw[at[begin] : at[begin + n + window - 1] - 1]
+
+    told = {text(p, n): i for i, (p, n) in enumerate(zip(place.tolist(), size.tolist(), strict=True))}
+    known = np.sort(hashes(place, size))
+    whole = (c.begin, c.end - c.begin - window + 1)
+    one = c.singles(np.arange(len(c.begin)))[0] if (size == 1).any() else np.zeros(0, np.int64)
+    # As whole contexts, and as the single windows that a hot anchor's contexts were taken into.
+    for begin, n in (whole, (one, np.ones(len(one), np.int64))):
+        h = hashes(begin, n)
+        hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
+        own = np.array([told.get(text(p, m), -1) for p, m in zip(begin[hit].tolist(), n[hit].tolist(), strict=True)], np.int64)
+        hit, own = hit[own >= 0], own[own >= 0]
+        step = np.arange(n[hit].sum()) - np.repeat(np.cumsum(n[hit]) - n[hit], n[hit])
+        start = np.repeat(begin[hit], n[hit]) + step
+        start = start[mask[np.repeat(off[own], n[hit]) + step] > 0]
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + window, -1)
+
+
 def finish_rows(table: pa.Table, w: T.Words, covered: np.ndarray) -> pa.Table:
     """doc_id, n_words, n_removed, kept_sha256 of each document of a bucket."""
     import hashlib

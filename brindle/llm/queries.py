@@ -71,5 +71,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": oracles.JACCARD_JOIN, "op4_lm_score": oracles.LM_SCORE, "op6_substring_dedup": oracles.SUBSTRING_DEDUP,
-        "op7_embedding_dedup": oracles.NEAR_DUPLICATES, "op9_sharding": oracles.SHARDING,
+        "op7_embedding_dedup": oracles.NEAR_DUPLICATES, "op9_sharding": oracles.SHARDING, "op10_suffix_dedup": oracles.REPEATED_SPANS,
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cuts lineage in ``spark.checkpoint.dir``; only where that is unset (one machine, tests), in a temporary folder."""
+    """Cuts lineage in ``spark.checkpoint.dir``; only where that is unset and all runs on one machine (tests), in a temporary folder."""
     folder(df.sparkSession)
     return df.checkpoint(eager)
 
@@ -19,10 +20,21 @@ def folder(session: SparkSession) -> str:
     """The shared folder, where checkpoints go."""
     context = session.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(setting(session) or tempfile.mkdtemp(prefix="brindle-checkpoints-"))
+        shared = setting(session)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="brindle-checkpoints-"))
     return context.getCheckpointDir()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def rewritten(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -1,8 +1,10 @@
 """Vectorised word handling over Arrow string columns.
 
-A word is a maximal run of bytes other than space and ``\\x09-\\x0D``.  Every word
-gets a 64-bit hash that depends on its bytes alone, so equal words have equal
-hashes in every task, and runs of words are hashed from prefix sums in O(1) each.
+A word is a maximal run of bytes other than space and ``\\x09-\\x0D``.  Every word gets a 64-bit hash that depends on its bytes alone, so equal
+words have equal hashes in every task: its bytes are taken eight at a time, each block is mixed with its place in the word by a function that is
+not linear in it, and the mixed blocks are added up.  Runs of words are hashed by putting hashes of shorter runs together, half and half, again
+mixed at every step.  No step is a polynomial in bytes or words, whose differences cancel for texts of regular build (modulo 2**64 those of
+Thue and Morse cancel for every base).
 """
 
 from __future__ import annotations
@@ -14,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-#: Bytes hashed at a time: bounds the 8-bytes-a-byte arrays however long a text is.
+#: Words or blocks hashed at a time: bounds the arrays of 8 bytes for each, however long a text is.
 CHUNK = 1 << 20
-_MULT = U64(0x9E3779B97F4A7C15)
+_STEP = U64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
 
 
@@ -29,35 +31,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _inverse(odd: int) -> int:
-    x = odd
-    for _ in range(6):
-        x = x * (2 - odd * x) & _MASK
-    return x
+def joined(left: np.ndarray, right: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of a pair of hashes, in order; one to one in each of them."""
+    x = (left ^ (left >> U64(29))) * _STEP + U64(seed * 0xD6E8FEB86659FD93 + 1 & _MASK)
+    return mix((x ^ (x >> U64(32))) + right)
 
 
-_INV = U64(_inverse(int(_MULT)))
-_BYTE = mix(np.arange(1, 257, dtype=U64) * _MULT)
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_LOWER = _BYTE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _PUNCT = np.ones(256, bool)
 _PUNCT[128:] = _PUNCT[48:58] = _PUNCT[65:91] = _PUNCT[97:123] = False
-_powers = {}
-
-
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """The first n powers of the hash base (or of its inverse) modulo 2**64; kept between calls."""
-    have = _powers.get(inverse)
-    if have is None or len(have) < n:
-        have = np.full(max(n, CHUNK + 64), _INV if inverse else _MULT, U64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if n <= 8 * CHUNK:
-            _powers[inverse] = have
-    return have[:n]
+#: Bits of the first n bytes of a block.
+_FRONT = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 @dataclass
@@ -112,29 +99,49 @@ def words(column: pa.Array, lower: bool = False, plain: bool = False) -> Words:
     inner = inner[inner > 0] - 1
     ends[inner] = solid[inner]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return Words(data, start, end, _word_hashes(data, start, end, _BYTE_LOWER if lower else _BYTE), np.searchsorted(start, off))
+    return Words(data, start, end, _word_hashes(data, start, end, lower), np.searchsorted(start, off))
 
 
 def prefix_hashes(w: Words, size: int, lower: bool = False) -> np.ndarray:
     """Hashes of the first ``size`` bytes of each word; of the whole word where it is shorter."""
-    return _word_hashes(w.data, w.start, np.minimum(w.end, w.start + size), _BYTE_LOWER if lower else _BYTE)
+    return _word_hashes(w.data, w.start, np.minimum(w.end, w.start + size), lower)
 
 
-def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+    """Sum over the blocks of a word of the mixed block, and the length; all words at once, ``CHUNK`` blocks at a time."""
+    data = np.concatenate([_LOWER[data] if lower else data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.sliding_window_view(data, 8)
+    size = end - start
+    blocks = (size + 7) // 8
+    upto = np.cumsum(blocks)
     out = np.empty(len(start), U64)
     a = 0
     while a < len(start):
-        low = start[a]
-        b = max(a + 1, int(np.searchsorted(end, low + CHUNK, "right")))
-        high = end[b - 1]
-        sums = np.zeros(high - low + 1, U64)
-        np.cumsum(table[data[low:high]] * powers(high - low), out=sums[1:])
-        s, e = start[a:b] - low, end[a:b] - low
-        out[a:b] = mix((sums[e] - sums[s]) * powers(high - low + 1, True)[s])
+        done = upto[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(upto, done + CHUNK, "right")))
+        n = blocks[a:b]
+        if n.max() == 1:
+            sums = _blocks(eight, start[a:b], size[a:b], U64(0))
+        elif b == a + 1 and n[0] > CHUNK:  # one huge word
+            sums = np.zeros(1, U64)
+            for c in range(0, int(n[0]), CHUNK):
+                place = np.arange(c, min(int(n[0]), c + CHUNK))
+                sums += _blocks(eight, start[a] + 8 * place, size[a] - 8 * place, place.astype(U64)).sum()
+        else:
+            first = np.cumsum(n) - n
+            place = np.arange(int(n.sum())) - np.repeat(first, n)
+            sums = np.add.reduceat(_blocks(eight, np.repeat(start[a:b], n) + 8 * place, np.repeat(size[a:b], n) - 8 * place, place.astype(U64)), first)
+        out[a:b] = mix(sums + size[a:b].astype(U64) * _STEP)
         a = b
     return out
 
 
+def _blocks(eight: np.ndarray, at: np.ndarray, left: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The mixed blocks that begin at ``at``, of words with ``left`` bytes from there on; ``place``: number of the block in its word."""
+    raw = eight[at].view("<u8").ravel() & _FRONT[np.minimum(left, 8)]
+    return mix(mix(raw + U64(0x2545F4914F6CDD1D)) + (place + U64(1)) * _STEP)
+
+
 def runs(word_hash: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     """Hash of every ``size`` consecutive words, regardless of text borders (see ``inside``)."""
     m = len(word_hash)
@@ -143,13 +150,22 @@ def runs(word_hash: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     out = np.empty(m - size + 1, U64)
     for a in range(0, m - size + 1, CHUNK):
         b = min(m - size + 1, a + CHUNK)
-        part = word_hash[a : b + size - 1]
-        sums = np.zeros(len(part) + 1, U64)
-        np.cumsum(part * powers(len(part)), out=sums[1:])
-        out[a:b] = mix((sums[size:] - sums[:-size]) * powers(b - a, True) + U64(salt * int(_MULT) & _MASK))
+        out[a:b] = _runs(word_hash[a : b + size - 1], size, salt)
     return out
 
 
+def _runs(h: np.ndarray, size: int, salt: int) -> np.ndarray:
+    """By the bits of ``size`` from the top: twice as many words are two halves side by side, one more word is put behind."""
+    have, now = 1, mix(h + U64(salt * int(_STEP) & _MASK))
+    for bit in bin(size)[3:]:
+        now = joined(now[: len(now) - have], now[have:], have)
+        have *= 2
+        if bit == "1":
+            now = joined(now[:-1], h[have:], have)
+            have += 1
+    return now
+
+
 def inside(first: np.ndarray, size: int, total: int) -> np.ndarray:
     """Whether the run of ``size`` words that begins at each word stays within its text."""
     m = max(0, total - size + 1)

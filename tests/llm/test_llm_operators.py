@@ -74,10 +74,61 @@ def test_chunked_hashes(monkeypatch):
 
 
 def test_cells_round_trip():
-    keys, counts = cells.distinct(T.mix(np.arange(5000, dtype=np.uint64)), 6)
-    assert (cells.unpack_keys(cells.pack_keys(keys, 6), 6) == keys).all()
+    raw = T.mix(np.arange(5000, dtype=np.uint64)) % np.uint64(3000) << np.uint64(50)
+    own = cells.Keys(raw)
+    assert (cells.unpack_keys(cells.pack_keys(own.keys)) == own.keys).all() and dict(zip(own.keys.tolist(), own.counts.tolist(), strict=True)) == Counter(raw.tolist())
     n = np.array([0, 1, 254, 255, 10**12])
-    assert (cells.unpack_counts(cells.pack_counts(n), 5) == n).all() and counts.sum() == 5000
+    assert (cells.unpack_counts(cells.pack_counts(n), 5) == n).all()
+    assert all(p == k * 1000 >> 64 for p, k in zip(cells.place_of(own.keys, 1000).tolist(), own.keys.tolist(), strict=True))
+
+
+def thue_morse(n, a="a", b="b"):
+    """Two words of 2**n letters whose difference, as a polynomial with any odd base, is 0 modulo 2**64 for n of 10 and more."""
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_of_regular_build_have_hashes_of_their_own():
+    found = set()
+    for n in range(13):
+        found |= set(T.words(pa.array(thue_morse(n))).hash.tolist())
+    assert len(found) == 26
+    x, y = T.words(pa.array([" ".join(t) for t in thue_morse(10)])).hash.reshape(2, -1)
+    assert len({int(T.runs(h, 1024)[0]) for h in (x, y)}) == 2
+    assert len({int(T.runs(np.array(h, np.uint64), len(h))[0]) for h in ([1, 2, 3], [1, 3, 2], [2, 1, 3], [3, 2, 1], [1, 2], [2, 1])}) == 6
+
+
+def test_texts_of_regular_build(spark):
+    """Windows and sets that differ in one word only, a word of Thue and Morse, neither repeat nor link."""
+    x, y = thue_morse(10)
+    common = " ".join(f"w{i}" for i in range(34))
+    d = spark.createDataFrame([(1, f"{common} {x}"), (2, f"{common} {y}"), (3, f"a b c d {x}"), (4, f"a b c d {y}")], "doc_id long, text string")
+    assert {r.n_removed for r in substring_dedup.substring_dedup(d).collect()} == {0}
+    assert {(r.doc_id, r.component_id) for r in ngram_jaccard.jaccard_join(d.where("doc_id > 2")).collect()} == {(3, 3), (4, 4)}
+
+
+@pytest.mark.parametrize("direct", [cells.DIRECT, 1])
+@pytest.mark.parametrize("members", [False, True])
+def test_key_counts_with_and_without_halls(spark, docs, direct, members):
+    def keys_of(t):
+        t = passages._ordered(t)
+        w = T.words(t.column("text"))
+        return w.hash, None, w.doc
+
+    def finish(t, keys, counts, holders):
+        bucket = t.column("bucket")[0].as_py() if t.num_rows else 0
+        return pa.table({"bucket": np.full(len(keys), bucket), "key": keys.astype(np.int64), "n": counts, "holder": holders})
+
+    got = cells.key_counts(docs, cells.text_bytes(docs), keys_of, finish, "bucket long, key long, n long, holder long", 2.0, members=members, bucket_bytes=2000, direct=direct).collect()
+    want = Counter(h for _, t in corpus() for h in T.words(pa.array([t or ""])).hash.tolist())
+    first = {}
+    for r in got:
+        key = r.key & (1 << 64) - 1
+        assert r.n == want[key]
+        first.setdefault(key, set()).add(r.holder)
+    assert set(first) == set(want) and all(len(v) == 1 for v in first.values())
+    assert not members or all((v == {-1}) == (want[k] == 1) for k, v in first.items())
 
 
 def plain_windows(rows, size):
@@ -172,16 +223,68 @@ def test_jaccard_join_splits_hot_groups(spark, docs):
     assert {r.doc_id: own.get(r.doc_id, r.doc_id) for r in sizes.collect()} == want
 
 
-def test_jaccard_join_keeps_digests_apart(docs, monkeypatch):
-    """Digests link sets unseen, so they must not meet part signatures, also where other operators cut their keys."""
-    monkeypatch.setattr(cells, "key_width", lambda total: 2)
-    assert Counter(map(tuple, ngram_jaccard.jaccard_join(docs).collect())) == plain_classes(corpus())
+def test_jaccard_join_keeps_digests_apart():
+    """Digests link sets by 128 bits and not by their elements, so they must not meet part signatures."""
     ids = [i for i, t in corpus() if t]
     b = ngram_jaccard.Bucket(pa.table({"doc_id": ids, "text": [t for _, t in corpus() if t]}))
     keys, _, unit, _, must = ngram_jaccard.signatures(ngram_jaccard.Sets(b, 5), ngram_jaccard.Bands(Fraction(4, 5)))
     assert ((keys & np.uint64(1) == 1) == (must[unit] == 0)).all()
 
 
+def test_jaccard_join_starts_anew_where_digests_meet(spark, monkeypatch):
+    """Different sets with one digest (here of 5 bits) must not be linked, nor lose their links."""
+    rows = [(i, f"w{i // 3} x") for i in range(18)] + [(100 + i, f"a{i} b c d e f g") for i in range(4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    salts, plain = [], ngram_jaccard._found
+    monkeypatch.setattr(ngram_jaccard, "_found", lambda *a: (salts.append(a[-2]), plain(*a))[1])
+    sizes, links = ngram_jaccard.links(d, digest_bits=5)
+    own = {r.id: r.component for r in components.components(links).collect()}
+    assert Counter((r.doc_id, r.n_shingles, own.get(r.doc_id, r.doc_id)) for r in sizes.collect()) == plain_classes(rows) and len(salts) > 1
+
+
+def test_relatives_of_many_sets():
+    """In blocks, with leaders, and in one block: always the classes of brute force."""
+    rng = np.random.default_rng(11)
+    base = [np.unique(rng.integers(0, 1 << 40, n).astype(np.uint64)) for n in (30, 200, 210, 900)]
+    sets = []
+    for _ in range(160):
+        x = base[rng.integers(4)].copy()
+        x[rng.integers(0, len(x), int(rng.integers(0, len(x) // 5)))] = rng.integers(0, 1 << 40)
+        sets.append(np.unique(x))
+    t = Fraction(4, 5)
+    whole = ngram_jaccard.relatives(sets, t)
+    root = {i: i for i in range(160)}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i in range(160):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both * 5 >= (len(sets[i]) + len(sets[j]) - both) * 4:
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    assert whole.tolist() == [find(i) for i in range(160)]
+    for tile in (7, 40, 100):
+        assert (ngram_jaccard.relatives(sets, t, tile) == whole).all()
+        could = ngram_jaccard.near([ngram_jaccard.bitmap(x) for x in sets], np.array([len(x) for x in sets]), t, tile)
+        assert all(could[i] == could[whole[i]] for i in range(160))
+
+
+def test_jaccard_join_of_half_shared_texts(spark):
+    """One long text, and many that share half of it each and hardly anything else: large groups, few links."""
+    rng = random.Random(21)
+    base = [f"b{i}" for i in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 700):
+        at = rng.randrange(200)
+        rows.append((i, " ".join(base[at : at + 200] + [f"o{i}_{j}" for j in range(rng.choice([0, 20, 60]))])))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, ngram_jaccard.jaccard_join(d).collect())) == plain_classes(rows)
+
+
 def test_jaccard_join_null_ids(spark):
     d = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f"), (1, "A B C D E F")], "doc_id long, text string")
     assert Counter(map(tuple, ngram_jaccard.jaccard_join(d).collect())) == Counter({(None, 2, None): 2, (2, 2, 1): 1, (1, 2, 1): 1})
@@ -199,15 +302,17 @@ def test_parity_bitmaps_never_exceed_the_distance():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (3, 500, 700, 900, 3000)]
     sets.append(np.union1d(sets[1][:400], sets[2]))
-    low = ngram_jaccard.least_distances([ngram_jaccard.bitmap(x) for x in sets])
+    maps = [ngram_jaccard.bitmap(x) for x in sets]
     for i, x in enumerate(sets):
         for j, y in enumerate(sets):
-            assert low[i, j] <= len(np.setxor1d(x, y))
+            for size in {128, min(len(maps[i]), len(maps[j]))}:
+                low = ngram_jaccard.least_distances(ngram_jaccard.folded(maps[i], size)[None, :], ngram_jaccard.folded(maps[j], size)[None, :])
+                assert low[0, 0] <= len(np.setxor1d(x, y))
 
 
 def test_lm_score(docs):
     rows = corpus()
-    for order in (2, 3):
+    for order in (1, 2, 3, 4):
         c = [Counter() for _ in range(order)]
         for _, t in rows:
             w = words(t)
@@ -232,8 +337,10 @@ def test_lm_score(docs):
                     else:
                         factor *= 0.4
             want[d, len(w), round(score, 6) if w else None, sum(not other((x,)) for x in w)] += 1
-        got = Counter((r.doc_id, r.n_words, None if r.log_score is None else round(r.log_score, 6), r.unseen) for r in lm_score.lm_score(docs, order).collect())
+        got = Counter((r.doc_id, r.n_words, None if r.log_score is None else round(r.log_score, 6), r.unseen) for r in lm_score.lm_score(docs, order, bucket_bytes=4000).collect())
         assert got == want
+    plain = Counter((r.doc_id, r.n_words, None if r.log_score is None else round(r.log_score, 6), r.unseen) for r in lm_score.n_gram_scores(docs, 4).collect())
+    assert plain == want
 
 
 def test_sharding(docs):

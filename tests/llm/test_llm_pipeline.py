@@ -39,3 +39,13 @@ def test_one_of_each_group(spark):
 def test_run(spark):
     df = corpus_pipeline.run(spark, FOLDER)
     assert df.columns == [*COLUMNS, "shard"] and {r.shard for r in df.select("shard").distinct().collect()} <= set(range(16))
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_query_against_sql(spark, name):
+    from oracle import duck, spark_rows
+
+    assert spark_rows(Q.queries()[name](spark, SF)) == duck(Q.oracle_sql()[name], SF)
