@@ -1,18 +1,20 @@
 """Language identification with interpolated Kneser-Ney models over characters.
 
-For each language a 4-gram model over character classes is kept as sorted arrays of packed n-grams with their
-discounted probabilities, and of contexts with their back-off weights; a probability is a chain of binary searches.
+For each language a 4-gram model over lower-case letters (every letter is a symbol of its own, every run of other characters one break) is kept as sorted
+arrays of packed n-grams with their discounted probabilities, and of contexts with their back-off weights; a probability is a chain of binary searches.
 A document gets the language of lowest cross-entropy per character over its whole text, and is rejected if that entropy is far above
 what texts of that language and length show in a calibration sample: above its 99.5 % quantile and 8 spreads, or 16 spreads at most, so that
 stray documents of the sample don't set the limit.  Languages with fewer than 20 calibration documents take spreads and limit of all
 languages together; one without any (a single labelled document) also takes the highest usual entropy of the others.
 
-Models are fitted on a bounded sample of labelled documents: ``per_language`` for the model and as many for calibration, those
-with the least hash of their id.  n-grams of the sample are counted on the executors; the driver gets distinct n-grams only.
+Models are fitted on a bounded sample of labelled documents: of each language ``per_language`` for the model and as many for calibration at most, those
+with the least hash of their id in each of ``SLICES`` slices of the hash's range, and the ``most_languages`` languages with most documents.  Documents that share
+an id count once.  n-grams of the sample are counted on the executors; the driver gets distinct n-grams, and a few numbers for each calibration document.
 
 Defined results: a text that is null or has no letter, or any text if nothing could be learned, is ``und`` with score 0 and rejected;
-without any calibration document in any language only those are rejected;
-ties go to the language that sorts first; rows with null ``doc_id`` are scored and never learned from; rows with null ``lang`` likewise.
+without any calibration document in any language only those are rejected; letters beyond the first 65,536 code points share 2048 symbols;
+ties go to the language that sorts first; rows with null ``doc_id`` are scored and never learned from; rows with null ``lang`` likewise; of documents that share
+an id the first language in order is learned from, and the first text; columns named as those of a result are replaced, others kept.
 """
 
 from __future__ import annotations
@@ -26,17 +28,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import text as T
+from brindle.llm.shared import checkpoint
 
 ORDER = 4
-BREAK, RARE = 1, 2  # classes of non-letters and of letters beyond the alphabet
+BREAK = 1  # symbol of all that is no letter
+SYMBOLS = 1 << 16
 PER_LANGUAGE = 2000
+SLICES = 16
+LANGUAGES = 200
 STRAY = 0.005  # share of a language's calibration documents that may be noise or wrongly labelled
 LIMITS = (8.0, 16.0)  # least and largest rejection limit, in spreads
 
 
 @cache
-def _letters() -> np.ndarray:
-    return np.array([chr(i).isalpha() for i in range(0x10000)])
+def _symbols() -> np.ndarray:
+    """The symbol of each of the first 65,536 code points: a letter's own number, which is 65 at least, else BREAK."""
+    return np.array([i if chr(i).isalpha() else BREAK for i in range(SYMBOLS)], np.uint16)
 
 
 def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -50,25 +57,20 @@ def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), np.array(first)
 
 
-def classes(points: np.ndarray, table: np.ndarray) -> np.ndarray:
-    high = points > 0xFFFF
-    out = table[np.where(high, 32, points)]
+def symbols(points: np.ndarray) -> np.ndarray:
+    high = points >= SYMBOLS
+    out = _symbols()[np.where(high, 32, points)]
     if high.any():
         found, at = np.unique(points[high], return_inverse=True)
-        out[high] = np.array([RARE if chr(i).isalpha() else BREAK for i in found], np.uint8)[at]
+        # Surrogates are no letters: their 2048 numbers are free.
+        out[high] = np.array([0xD800 + i % 2048 if chr(i).isalpha() else BREAK for i in found], np.uint16)[at]
     return out
 
 
-def class_table(alphabet: list[int]) -> np.ndarray:
-    table = np.where(_letters(), RARE, BREAK).astype(np.uint8)
-    table[alphabet] = np.arange(3, 3 + len(alphabet))
-    return table
-
-
-def grams(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed 4-grams of all texts, the text of each, and whether each text has a letter. Runs of non-letters are one break."""
     points, first = code_points(column)
-    c = classes(points, table)
+    c = symbols(points)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] != BREAK) | (c[:-1] != BREAK)
@@ -77,10 +79,10 @@ def grams(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     before = np.zeros(len(c) + 1, np.int64)
     np.cumsum(c != BREAK, out=before[1:])
     has = before[first[1:]] > before[first[:-1]]
-    c, doc = c[keep].astype(np.uint32), doc[keep]
+    c, doc = c[keep].astype(np.uint64), doc[keep]
     if len(c) < ORDER:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64), has
-    packed = c[:-3] << 24 | c[1:-2] << 16 | c[2:-1] << 8 | c[3:]
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), has
+    packed = c[:-3] << np.uint64(48) | c[1:-2] << np.uint64(32) | c[2:-1] << np.uint64(16) | c[3:]
     own = doc[3:] == doc[:-3]
     return packed[own], doc[3:][own], has
 
@@ -96,23 +98,23 @@ class KneserNey:
             codes, n = codes[where], n[where]
             ones, twos = (n == 1).sum(), (n == 2).sum()
             cut = ones / (ones + 2 * twos) if ones and twos else 0.5
-            context, first = np.unique(codes >> np.uint64(8), return_index=True)
+            context, first = np.unique(codes >> np.uint64(16), return_index=True)
             total, kinds = np.add.reduceat(n, first), np.diff(np.append(first, len(n)))
-            at = np.searchsorted(context, codes >> np.uint64(8))
+            at = np.searchsorted(context, codes >> np.uint64(16))
             self.levels.append((codes, np.maximum(n - cut, 0) / total[at], context, cut * kinds / total))
             # Below the highest order, a gram counts once for each symbol that comes before it.
-            shorter = codes & np.uint64((1 << 8 * (order - 1)) - 1)
+            shorter = codes & np.uint64((1 << 16 * (order - 1)) - 1)
             codes, n = np.unique(shorter, return_counts=True)
             n = n.astype(np.float64)
         self.levels.reverse()
 
     def log_probability(self, packed: np.ndarray) -> np.ndarray:
-        p = np.full(len(packed), 1 / 256)
+        p = np.full(len(packed), 1 / SYMBOLS)
         for order, (codes, share, context, weight) in enumerate(self.levels, 1):
-            asked = packed.astype(np.uint64) & np.uint64((1 << 8 * order) - 1)
+            asked = packed & np.uint64((1 << 16 * order) - 1)
             at = np.minimum(np.searchsorted(codes, asked), len(codes) - 1)
-            c = np.minimum(np.searchsorted(context, asked >> np.uint64(8)), len(context) - 1)
-            known = context[c] == asked >> np.uint64(8)
+            c = np.minimum(np.searchsorted(context, asked >> np.uint64(16)), len(context) - 1)
+            known = context[c] == asked >> np.uint64(16)
             p = np.where(codes[at] == asked, share[at], 0.0) + np.where(known, weight[c], 1.0) * p
         return np.log(p)
 
@@ -124,7 +126,7 @@ class Scorer:
 
     def __init__(self, models: list[KneserNey]):
         self.models = models
-        self.codes, self.values = np.zeros(0, np.uint32), np.zeros((0, len(models)))
+        self.codes, self.values = np.zeros(0, np.uint64), np.zeros((0, len(models)))
 
     def sums(self, packed: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
         """Summed log-probabilities for each text and language, and the n-grams of each text."""
@@ -148,62 +150,59 @@ class Scorer:
 
 
 def _distinct(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """np.unique with inverse; by counting where few different halves occur."""
-    halves = np.zeros(1 << 16, bool)
-    high, low = packed >> np.uint32(16), packed & np.uint32(0xFFFF)
-    halves[high] = True
-    halves[low] = True
-    present = np.flatnonzero(halves)
+    """np.unique with inverse; by counting where few different symbols occur."""
+    there = np.zeros(SYMBOLS, bool)
+    parts = [(packed >> np.uint64(16 * i) & np.uint64(0xFFFF)).astype(np.int64) for i in (3, 2, 1, 0)]
+    for p in parts:
+        there[p] = True
+    present = np.flatnonzero(there)
     d = len(present)
-    if d * d > 1 << 24:
+    if d**4 > 1 << 24:
         return np.unique(packed, return_inverse=True)
-    rank = np.zeros(1 << 16, np.int32)
+    rank = np.zeros(SYMBOLS, np.int32)
     rank[present] = np.arange(d)
-    pair = rank[high] * np.int32(d) + rank[low]
-    seen = np.zeros(d * d, bool)
-    seen[pair] = True
+    cell = np.zeros(len(packed), np.int32)
+    for p in parts:
+        cell = cell * np.int32(d) + rank[p]
+    seen = np.zeros(d**4, bool)
+    seen[cell] = True
     full = np.flatnonzero(seen)
-    place = np.zeros(d * d, np.int32)
+    place = np.zeros(d**4, np.int32)
     place[full] = np.arange(len(full))
-    return (present[full // d] << 16 | present[full % d]).astype(np.uint32), place[pair]
+    found, rest = np.zeros(len(full), np.uint64), full
+    for i in range(4):
+        found |= present[rest % d].astype(np.uint64) << np.uint64(16 * i)
+        rest = rest // d
+    return found, place[cell]
 
 
 def crc_of_id() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary"))
 
 
-def sample_of(docs: DataFrame, may_learn: Column, per_language: int) -> DataFrame:
-    """``lang, text, nth`` of a bounded number of labelled documents of each language."""
+def sample_of(docs: DataFrame, may_learn: Column, per_language: int, most_languages: int = LANGUAGES) -> DataFrame:
+    """``doc_id, lang, text, nth`` of a bounded number of labelled documents of each language; ``nth`` counts within a slice."""
     ids = docs.where(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    # Of a language with many documents only those with a small hash can be drawn: about four times as many as are wanted, so that
-    # no language is one large group when they are ranked.
-    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    # Of a language with many documents only those with a small hash can be drawn: about four times as many as are wanted.
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
     share = F.least(F.lit(1.0), F.lit(4.0 * per_language + 400) / F.col("n"))
     place = F.xxhash64(F.lit(11), "doc_id").cast("double") / float(1 << 64) + 0.5
-    ids = ids.join(F.broadcast(sizes), "lang").where(place <= share).select("doc_id", "lang")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id"))
-    ids = ids.withColumn("nth", nth).where(F.col("nth") <= per_language)
-    return docs.select("doc_id", "lang", "text").where("text is not null").join(F.broadcast(ids), ["doc_id", "lang"])
-
+    near = ids.join(F.broadcast(sizes), "lang").where(place <= share).groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    # Ranks are within slices of the hash's range, so that no language is one large group.
+    slices = near.withColumn("slice", F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(SLICES)))
+    nth = F.row_number().over(Window.partitionBy("lang", "slice").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id"))
+    ids = slices.withColumn("nth", nth).where(F.col("nth") <= max(1, per_language // SLICES)).select("doc_id", "lang", "nth")
+    drawn = docs.select("doc_id", "lang", "text").where("text is not null").join(F.broadcast(ids), ["doc_id", "lang"])
+    return drawn.groupBy("doc_id", "lang", "nth").agg(F.min("text").alias("text"))
 
-def fit(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE) -> dict:
-    """Alphabet, models and rejection limits, from at most twice ``per_language`` documents a language."""
-    drawn = sample_of(docs, may_learn, 2 * per_language)
-    letters = drawn.where(F.col("nth") % 2 == 1).select("text")
-
-    def points(batches):
-        for batch in T.batches(batches):
-            found, n = np.unique(code_points(batch.column("text"))[0], return_counts=True)
-            found, n = found[found < 0x10000], n[found < 0x10000]
-            known = _letters()[found]
-            yield pa.record_batch([pa.array(found[known].astype(np.int32)), pa.array(n[known])], names=["point", "n"])
 
-    common = letters.mapInArrow(points, "point int, n long").groupBy("point").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(250)
-    table = class_table([r["point"] for r in common.collect()])
+def fit(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE, most_languages: int = LANGUAGES) -> dict:
+    """Models and rejection limits, from at most twice ``per_language`` documents a language."""
+    drawn = checkpoint(sample_of(docs, may_learn, 2 * per_language, most_languages))
 
     def count(batches):
         for batch in T.batches(batches):
-            packed, doc, _ = grams(batch.column("text"), table)
+            packed, doc, _ = grams(batch.column("text"))
             lang = batch.column("lang").dictionary_encode()
             names, index = lang.dictionary.to_pylist(), lang.indices.to_numpy()
             for i, name in enumerate(names):
@@ -213,10 +212,10 @@ def fit(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE) ->
     counts = drawn.where(F.col("nth") % 2 == 1).select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rows = counts.toArrow()
     lang = np.array(rows.column("lang").to_pylist(), object)
-    gram, n = rows.column("gram").to_numpy().astype(np.uint32), rows.column("n").to_numpy()
+    gram, n = rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
     names = sorted(set(lang))
     models = [KneserNey(gram[lang == name], n[lang == name]) for name in names]
-    model = {"table": table, "languages": names, "models": models, "limits": None}
+    model = {"languages": names, "models": models, "limits": None}
     if names:
         spread = drawn.where(F.col("nth") % 2 == 0).select("text", "lang").mapInArrow(_calibrate(docs.sparkSession.sparkContext.broadcast(model)), "lang int, entropy double, n long").toArrow()
         own, entropy, size = spread.column("lang").to_numpy(), spread.column("entropy").to_numpy(), spread.column("n").to_numpy()
@@ -262,7 +261,7 @@ def limits_of(own: np.ndarray, entropy: np.ndarray, size: np.ndarray, languages:
 
 
 def _entropies(model, scorer: Scorer, column: pa.Array):
-    packed, doc, has = grams(column, model["table"])
+    packed, doc, has = grams(column)
     sums, n = scorer.sums(packed, doc, len(has))
     return -sums / np.maximum(n, 1)[:, None], n, has
 

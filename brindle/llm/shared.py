@@ -55,3 +55,9 @@ def least_hashed(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     place = F.xxhash64(F.lit(seed), key).cast("double") / float(1 << 64) + 0.5
     near = rows.where(place <= min(1.0, (4 * n + 400) / max(1, total)))
     return near.orderBy(F.xxhash64(F.lit(seed), key), *rows.columns).limit(n)
+
+
+def one_text(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``ids`` (bounded, with distinct ``doc_id``) with the ``text`` of each in ``docs``: of documents that share an id, the first text in order."""
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return texts.join(F.broadcast(ids), "doc_id")
