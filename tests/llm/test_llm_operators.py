@@ -456,14 +456,87 @@ def test_limits_ignore_stray_documents():
 
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(1)
-    c = rng.integers(1, 9, 4000).astype(np.uint32)
-    packed, n = np.unique(c[:-3] << 24 | c[1:-2] << 16 | c[2:-1] << 8 | c[3:], return_counts=True)
+    c = rng.integers(1, 9, 4000).astype(np.uint64)
+    packed, n = np.unique(c[:-3] << np.uint64(48) | c[1:-2] << np.uint64(32) | c[2:-1] << np.uint64(16) | c[3:], return_counts=True)
     model = language_id.KneserNey(packed, n)
-    context = packed[:50] & ~np.uint32(255)
-    p = np.exp(model.log_probability((context[:, None] | np.arange(256, dtype=np.uint32)[None, :]).ravel())).reshape(50, 256).sum(axis=1)
+    context = packed[:20] & ~np.uint64(0xFFFF)
+    p = np.exp(model.log_probability((context[:, None] | np.arange(1 << 16, dtype=np.uint64)[None, :]).ravel())).reshape(20, -1).sum(axis=1)
     assert np.abs(p - 1).max() < 1e-9
 
 
+def test_distinct_grams():
+    rng = np.random.default_rng(5)
+    for top in (9, 3000):
+        x = rng.integers(1, top, (4, 500)).astype(np.uint64)
+        packed = x[0] << np.uint64(48) | x[1] << np.uint64(32) | x[2] << np.uint64(16) | x[3]
+        found, at = language_id._distinct(packed)
+        assert (np.sort(found) == np.unique(packed)).all() and (found[at] == packed).all()
+
+
+def plain_symbols(text):
+    """Lower-case letters, one blank for each run of others; three blanks in front of all."""
+    return "   " + re.sub(r"(?s)[\x00]+", " ", "".join(c if c.isalpha() else "\0" for c in text.lower())) if text else "   "
+
+
+def plain_model(texts):
+    counts = [Counter() for _ in range(5)]
+    for t in texts:
+        c = plain_symbols(t)
+        counts[4].update(c[i : i + 4] for i in range(len(c) - 3))
+    for order in (3, 2, 1):
+        counts[order] = Counter(g[1:] for g in counts[order + 1])
+    cut, totals, kinds = {}, {}, {}
+    for order in (1, 2, 3, 4):
+        ones, twos = (sum(n == k for n in counts[order].values()) for k in (1, 2))
+        cut[order] = ones / (ones + 2 * twos) if ones and twos else 0.5
+        totals[order], kinds[order] = Counter(), Counter()
+        for g, n in counts[order].items():
+            totals[order][g[:-1]] += n
+            kinds[order][g[:-1]] += 1
+
+    def probability(gram):
+        p = 1 / 65536
+        for order in (1, 2, 3, 4):
+            g = gram[4 - order :]
+            if totals[order][g[:-1]]:
+                p = (max(counts[order][g] - cut[order], 0) + cut[order] * kinds[order][g[:-1]] * p) / totals[order][g[:-1]]
+        return p
+
+    return probability
+
+
+def test_language_id_against_brute_force(spark):
+    """Predictions, scores and entropies of the whole query, with models that are built from dictionaries."""
+    rng = random.Random(18)
+    rows = [(i, sentence(rng, lang, rng.choice([1, 5, 30])) + rng.choice(["", "!? 12", " 語言"]), lang if i % 7 else None) for i in range(150) for lang in [rng.choice(list(LANGUAGES))]]
+    rows += [(900, "", "aa"), (901, None, "bb"), (902, "7 - 8", "cc"), (903, "банан", None), (None, "banana", "aa"), (5, "ñío", "cc"), (904, "ba\U00010400na", None), (905, "banana " * 5000, "aa")]
+    df = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, lang string, lang_pred string, entropy double")
+    drawn = language_id.sample_of(df, ~language_id.held_out(), 2 * language_id.PER_LANGUAGE).collect()
+    assert {r.doc_id for r in drawn} == {i for i, t, lang in rows if t is not None and lang and i is not None and zlib.crc32(str(i).encode()) % 3 != 1}
+    models = {name: plain_model([r.text for r in drawn if r.lang == name and r.nth % 2]) for name in sorted({r.lang for r in drawn if r.nth % 2})}
+    want = []
+    for i, t, _ in rows:
+        if not t or not any(c.isalpha() for c in t):
+            want.append((i, "und", 0.0, None))
+            continue
+        c = plain_symbols(t)
+        entropy = {name: -sum(math.log(p(c[k : k + 4])) for k in range(len(c) - 3)) / (len(c) - 3) for name, p in models.items()}
+        best = min(entropy, key=lambda name: (entropy[name], name))
+        score = 1 / sum(math.exp(-language_id.SHARPNESS * (e - entropy[best])) for e in entropy.values())
+        want.append((i, best, round(score, 9), round(entropy[best], 9)))
+    got = [(r.doc_id, r.lang_pred, round(r.score, 9), None if r.entropy is None else round(r.entropy, 9)) for r in language_id.identify(df).collect()]
+    assert Counter(got) == Counter(want)
+
+
+def test_sample_of_repeated_ids_is_bounded(spark):
+    rows = [(1, f"banana {i}", "aa") for i in range(60)] + [(i, f"salama {i}", rng) for i in range(2, 400) for rng in ["aa" if i % 2 else "bb"]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for limit in (16, 64):
+        drawn = language_id.sample_of(df, language_id.F.lit(True), limit).collect()
+        assert all(n <= limit for n in Counter(r.lang for r in drawn).values()) and len({r.doc_id for r in drawn}) == len(drawn)
+    assert {r.lang for r in language_id.sample_of(df, language_id.F.lit(True), 64, most_languages=1).collect()} == {"aa"}
+
+
 def plain_segments(v):
     out = []
 
@@ -496,6 +569,127 @@ def test_maximal_segments():
         assert sorted(toxicity.maximal_segments(at, score, 0.5)) == plain_segments(v)
 
 
+def plain_toxicity(drawn, texts):
+    """Scores of texts, from the drawn rows (text, toxic, fold): token by token, with the earlier scan."""
+    token_of = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), m).encode() for m in re.findall(r"[0-9A-Za-z\x80-\U0010FFFF]+", t or "")]
+    keys_of = lambda w: [(w, 0), *((w[:n], n) for n in (6, 5, 4) if len(w) > n)]
+    base = sum(r.toxic > 0 for r in drawn) / len(drawn)
+    seen = [(r.toxic > 0, r.fold, {k for w in token_of(r.text) for k in keys_of(w)}) for r in drawn]
+
+    def table(fold, prior, least):
+        n, count = [0, 0], defaultdict(lambda: [0, 0])
+        for bad, f, keys in seen:
+            if f != fold:
+                n[bad] += len(keys)
+                for k in keys:
+                    count[k][bad] += 1
+        every = Counter(k for _, _, keys in seen for k in keys)
+        out = {}
+        for k, (zero, one) in count.items():
+            share = (zero + one) / sum(n)
+            part = lambda x, y: x * math.log(x / y) if x else 0.0
+            ratio = part(one, share * n[1]) + part(n[1] - one, (1 - share) * n[1]) + part(zero, share * n[0]) + part(n[0] - zero, (1 - share) * n[0])
+            if every[k] >= 3 and math.sqrt(max(0.0, 2 * ratio)) >= least:
+                both = (zero + one) * prior / sum(n)
+                one, zero = one + both * n[1], zero + both * n[0]
+                out[k] = math.log(one / (n[1] * (1 + prior) - one)) - math.log(zero / (n[0] * (1 + prior) - zero)), zero / (n[0] * (1 + prior))
+        return out
+
+    def scan(t, odds, prefixes, gap):
+        w = token_of(t)
+        hits = [(i, next((odds[k][0] for k in (keys_of(x) if prefixes else [(x, 0)]) if k in odds), None)) for i, x in enumerate(w)]
+        hits = [(i, v) for i, v in hits if v is not None]
+        return len(w), [s for _, _, s in earlier_segments([i for i, _ in hits], [v for _, v in hits], gap)]
+
+    def root(odds, gap):
+        f = lambda x: sum(p * math.exp(x * v) for v, p in odds.values()) + max(0.0, 1 - sum(p for _, p in odds.values())) * math.exp(-x * gap) - 1
+        low, high = 1e-6, 1e-3
+        while f(high) < 0 and high < 1e3:
+            low, high = high, high * 2
+        for _ in range(80):
+            low, high = ((low + high) / 2, high) if f((low + high) / 2) < 0 else (low, (low + high) / 2)
+        return high
+
+    evidence = lambda n, s, lam, k: math.log1p(sum(max(0.0, lam * x - math.log(max(k * n, 1e-9))) for x in s))
+    best = None
+    for prior, least, prefixes in toxicity.SETTINGS:
+        odds = {f: table(f, prior, least) for f in range(-1, 4)}
+        gap = {f: max(0.1, 2 * sum(p * v for v, p in odds[f].values())) for f in odds}
+        lam = {f: root(odds[f], gap[f]) if odds[f] else 1.0 for f in odds}
+        got = [(r.toxic > 0, r.fold, *scan(r.text, odds[r.fold], prefixes, gap[r.fold])) for r in drawn]
+        top = [(n, lam[f] * max(s)) for bad, f, n, s in got if not bad and s]
+        k = min(1.0, len(top) / sum(n * math.exp(-x) for n, x in top)) if top else 1.0
+        x = np.array([evidence(n, s, lam[f], k) for _, f, n, s in got])
+        y = np.array([g[0] for g in got])
+        slope, base = toxicity.logistic(x, y)
+        p = np.clip(1 / (1 + np.exp(-np.clip(slope * x + base, -30, 30))), 1e-9, 1 - 1e-9)
+        loss = -np.where(y, np.log(p), np.log(1 - p)).mean()
+        if best is None or loss < best[0] - 1e-12:
+            best = loss, odds[-1], prefixes, gap[-1], lam[-1], k, slope, base
+    _, odds, prefixes, gap, lam, k, slope, base = best
+    return [1 / (1 + math.exp(-(slope * evidence(*scan(t, odds, prefixes, gap), lam, k) + base))) for t in texts]
+
+
+def test_toxicity_against_brute_force(spark):
+    """Scores of the whole query."""
+    rng = random.Random(13)
+    calm, bad = [f"word{i}é" for i in range(80)], ["scoundrel", "scoundrels", "wretch", "villainous"]
+    rows, labels = [], []
+    for i in range(260):
+        w = [rng.choice(calm) for _ in range(rng.choice([5, 30, 60]))]
+        toxic = rng.random() < 0.2
+        for _ in range(3 if toxic else rng.random() < 0.02):
+            w.insert(rng.randrange(len(w)), rng.choice(bad))
+        rows.append((i, rng.choice([" ", ", "]).join(w)))
+        labels.append((i, int(toxic)))
+    rows += [(1000, None), (1001, ""), (1002, "Wretch! scoundrel's villain " * 40), rows[3], (3, "other text"), (None, "wretch")]
+    df = spark.createDataFrame([(*r, 0.5, []) for r in rows], "doc_id long, text string, score double, segments array<int>")
+    lab = spark.createDataFrame([*labels, (5, 1), (None, 1), (7, None)], "doc_id long, toxic int")
+    drawn = toxicity._sample(df, lab, ~toxicity.held_out(4, 2), toxicity.SAMPLE).collect()
+    want = Counter((d, round(s, 7), int(s >= 0.3)) for (d, _), s in zip(rows, plain_toxicity(drawn, [t for _, t in rows]), strict=True))
+    assert Counter((r.doc_id, round(r.score, 7), r.predicted) for r in toxicity.toxicity(df, lab).collect()) == want
+
+
+def earlier_segments(at, score, gap):
+    """The same, by looking at all candidates for each new one."""
+    held, total, here = [], 0.0, 0
+    for p, s in zip(at, score, strict=True):
+        total -= gap * (p - here)
+        here = p + 1
+        before, total = total, total + s
+        if s <= 0:
+            continue
+        first, low = p, before
+        while True:
+            j = len(held) - 1
+            while j >= 0 and held[j][2] >= low:
+                j -= 1
+            if j < 0 or held[j][3] >= total:
+                break
+            first, low = held[j][0], held[j][2]
+            del held[j:]
+        held.append((first, p, low, total))
+    return [(a, b, high - low) for a, b, low, high in held]
+
+
+def test_maximal_segments_takes_linear_time():
+    import time
+
+    rng = random.Random(7)
+    for n in (500, 3000):
+        at = sorted(rng.sample(range(20 * n), n))
+        score = [rng.choice([1.0, 3.0, -2.0, 0.5]) for _ in at]
+        assert toxicity.maximal_segments(at, score, 0.1) == earlier_segments(at, score, 0.1)
+    for gap, step in ((1.0, 50), (0.1, 2)):  # each candidate begins lower than all before; candidates are joined again and again
+        seconds = []
+        for n in (20_000, 200_000):
+            at, score = list(range(0, n * step, step)), [1.0 + (i * 7 % 11) / 10 for i in range(n)]
+            began = time.perf_counter()
+            assert toxicity.maximal_segments(at, score, gap)
+            seconds.append(time.perf_counter() - began)
+        assert seconds[1] < 40 * seconds[0] + 0.2 and seconds[1] < 5
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     calm, bad = [f"word{i}" for i in range(200)], ["scoundrel", "wretch", "villain"]
@@ -541,6 +735,103 @@ def test_slots_must_be_consistent(spark):
     assert {r.doc_id for r in decontamination.matches(docs, items).collect()} == {1}
 
 
+def test_names_and_capitals(spark):
+    """Copies in other capitals, items of few words behind other text, and names that open sentences."""
+    items = [(1, "The old Wolf runs past every quiet farm on the long road to Trier"), (2, "Which river is the longest one in Peru"), (3, "Tom has 3 apples. Sara gives 4 apples more to the boy. How many are left")]
+    rows = [
+        (1, "x " + items[0][1].lower() + " y"), (2, items[0][1].upper()), (3, "He asked, " + items[1][1] + " and left"), (4, "so: which river is the longest one in peru"),
+        (5, "Ann has 12 apples. Bob gives 5 apples more to the boy. How many are left"), (6, "now Ann has 12 apples. Bob gives 5 apples more to the boy. How many are left"), (7, "The boy has apples. How many rivers are left on the long road"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 3)}
+
+
+UNITS = set(decontamination.UNITS)
+
+
+def plain_readings(text):
+    """(kind, value) of the tokens of a text, for each reading."""
+    found = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010FFFF]+", text or "")]
+    low = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x)
+    for openings in (False, True):
+        out, before = [], None
+        for i, (a, b, word) in enumerate(found):
+            opens = i == 0 or re.search(r"[.!?\n]", text[found[i - 1][1] : a]) is not None
+            kind = "number" if word[0] in "0123456789" else None
+            if kind is None and i and low(word) in UNITS and not opens and found[i - 1][2][0] in "0123456789":
+                kind = "unit"
+            if kind is None and (word[0].isascii() and word[0].isupper() or "\xc0" <= word[0] <= "\xde") and (openings or not opens):
+                kind = "name"
+            between = text[found[i - 1][1] : a] if i else ""
+            if kind and kind == before and (kind == "number" and between in (".", ",") or kind == "name" and between == " " and not opens):
+                out[-1] = (kind, out[-1][1] + (low(word),))
+            else:
+                out.append((kind or low(word), (low(word),)))
+            before = kind
+        yield [(k, v, k in ("number", "unit", "name") and v != (k,)) for k, v in out]
+    yield [(low(word), (low(word),), False) for _, _, word in found]
+
+
+def plain_contaminated(docs, items, window=8, literal=4, least=5):
+    out = []
+    for d, text in docs:
+        mine, hit, most = list(plain_readings(text)), set(), 0
+        for item, other in items:
+            if other is None:
+                continue
+            theirs = list(plain_readings(other))
+            for i, x in [(0, 0), (0, 1), (1, 0), (1, 1), (2, 2)]:
+                t, u = mine[i], theirs[x]
+                n = min(window, len(u))
+                if len(u) < least:
+                    continue
+                for shift in range(-len(u), len(t) + 1):
+                    told, covered = {}, set()
+                    for p in range(len(u) - n + 1):
+                        if not 0 <= shift + p <= len(t) - n:
+                            continue
+                        a, b = u[p : p + n], t[shift + p : shift + p + n]
+                        if [k for k, _, _ in a] != [k for k, _, _ in b] or [s for _, _, s in a] != [s for _, _, s in b]:
+                            continue
+                        if sum(not s for _, _, s in a) < literal and [v for _, v, _ in a] != [v for _, v, _ in b]:
+                            continue
+                        trial = dict(told)
+                        if all(trial.setdefault((k, v), w) == w for (k, v, s), (_, w, _) in zip(a, b, strict=True) if s):
+                            told = trial
+                            covered |= set(range(p, p + n))
+                    if len(covered) >= 13 or len(covered) >= 0.6 * len(u) and covered:
+                        hit.add(item)
+                        most = max(most, len(covered))
+        if hit:
+            out.append((d, tuple(sorted(x for x in hit if x is not None)), most))
+    return Counter(out)
+
+
+def test_contaminated_against_brute_force(spark):
+    """All rows of the query, on items and documents that are put together from few words, names, numbers and units."""
+    rng = random.Random(31)
+    pieces = ["Ann", "Bob", "Lee Roy", "3", "17", "4.5", "9 km", "8 kg", "the", "a", "boat", "goes", "to", "town.", "Then", "it", "rains!", "how", "many", "Äpfel", "are", "left?"]
+    say = lambda n: " ".join(rng.choice(pieces) for _ in range(n))
+    items = [(i, say(rng.choice([3, 5, 6, 9, 14, 20]))) for i in range(12)] + [(50, None), (51, "1 2 3 4 5 6 7 8 9 10"), (3, say(9)), (None, say(10))]
+    rows = [(1, None), (2, ""), (3, " ".join(str(i % 10) for i in range(60))), (4, "1 2 3 4 5 6 7 8 9 10 11"), (None, items[0][1])]
+    for i in range(40):
+        other = rng.choice([x for _, x in items if x])
+        w = other.split(" ")
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            w[rng.randrange(len(w))] = rng.choice(pieces)
+        text = f"{say(rng.randrange(4))} {' '.join(w)} {say(rng.randrange(4))}"
+        rows.append((100 + i // 2, rng.choice([text, text, text.lower(), text.upper()])))
+    rows.append((7, " ".join(say(8) for _ in range(150))))
+    df = spark.createDataFrame([(d, t, [1], 2) for d, t in rows], "doc_id long, text string, item_ids array<int>, covered int")
+    it = spark.createDataFrame(items, "item_id long, text string")
+    want = plain_contaminated(rows, items)
+    for options in ({}, {"block_windows": 30}):
+        assert Counter((r.doc_id, tuple(r.item_ids), r.covered) for r in decontamination.contaminated(df, it, **options).collect()) == want
+    kept = decontamination.decontaminate(df, it)
+    assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter(d for d, _ in rows) - Counter(d for d, _, _ in want.elements())
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     kinds = {"clean": ("alpha beta gamma delta", 1, 0), "low": ("junk spam blah filler", 0, 0), "toxic": ("scum idiot moron trash", 1, 1)}
@@ -587,19 +878,6 @@ def test_mixing_with_a_rare_domain(spark):
     assert sum(r.copies > 0 for r in got if truth[r.doc_id] == "clean") >= 0.97 * there["clean"]
 
 
-def test_projected_gradient_matches_a_direct_solution():
-    q = np.array([[0.9, 0.1], [0.2, 0.8], [0.5, 0.5]])
-    n, w = np.array([3.0, 5.0, 2.0]), np.array([0.7, 0.3])
-    share = n / n.sum()
-    history, eta, r = [], 0.5, np.ones(3)
-    for _ in range(4000):
-        history.append((share * r) @ q - w)
-        r = mixing.rates(q, history[-1:], eta) if False else np.maximum(0, r - eta * (q @ history[-1] + mixing.RIDGE * (r - 1)))
-    a = (q * share[:, None]).T
-    exact = np.linalg.solve(a.T @ a / 1 + mixing.RIDGE * np.diag(share), a.T @ w + mixing.RIDGE * share)
-    assert np.abs(mixing.rates(q, history, eta) - r).max() < 1e-12 and np.abs(r - np.maximum(exact, 0)).max() < 1e-3
-
-
 def test_empty_tables(spark, nothing):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([], "item_id long, text string")
