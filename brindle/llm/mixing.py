@@ -7,8 +7,10 @@ bounded sample of labelled documents (``SAMPLE`` rows, those with the least hash
     1/2 sum_d (sum_i r_i n_i q_id / N - w_d)^2 / p_d  +  mu/2 sum_i n_i / N (r_i - 1)^2
 
 (n tokens, q posteriors, w target weights, p expected shares at rate 1, so that rare domains converge as fast as frequent ones): expected domain tokens meet their targets, and rates stay near 1 where targets
-leave a choice.  It is solved by projected gradient steps.  A step needs one small vector of domain totals, summed on the executors over a narrow
-table; rates are never stored, as each is a function of the document's posterior and the vectors so far.
+leave a choice.  It is solved by projected gradient steps with momentum.  A step needs one small vector of domain totals, summed on the executors over a narrow
+table; rates are never stored, as each is a function of the document's posterior and the vectors so far.  The first steps are taken on a summary of the table
+(tokens and mean posteriors in cells of a grid of ``GRID`` steps a domain, of which there are a few hundred), the rest on the table itself, until what a step still moves is below ``ENOUGH`` (as a
+share of all tokens) or ``STEPS`` are done, which warns.  ``totals`` sets what rates give beside the targets.
 With ``repeat`` rates stay as they are, also above 1: ``copies`` is their whole part, and one more by a hash of id and text as often as the rest says.
 Without it documents are kept or dropped only.  The domain with the largest target is then kept whole: rates are divided by its rate, and a domain
 that is rarer beside it than its target gets what is there as its target (or the others would be thinned to make up for documents that don't exist).
@@ -20,19 +22,23 @@ of its own, also with equal or null ``doc_id``; targets of domains that no label
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import text as T
-from brindle.llm.shared import checkpoint, least_hashed
+from brindle.llm.shared import checkpoint, least_hashed, one_text, unused
 
 SAMPLE = 16_000
 SLOTS = 1 << 17
 PREFIX = 5
 RIDGE = 0.01
-STEPS = 30
+STEPS = 60
+GRID = 24
+ENOUGH = 2e-4
 BINS = 16
 SHAPES = 4
 CHOSEN = 1024
@@ -70,10 +76,7 @@ def shapes(w: T.Words) -> np.ndarray:
 
 def _different(w: T.Words, doc: np.ndarray, n: int) -> np.ndarray:
     """Number of different tokens of each text."""
-    both = np.sort(T.mix(w.hash) & np.uint64((1 << 40) - 1) | doc.astype(np.uint64) << np.uint64(40))
-    new = np.ones(len(both), bool)
-    new[1:] = both[1:] != both[:-1]
-    return np.bincount((both[new] >> np.uint64(40)).astype(np.int64), minlength=n)
+    return np.bincount(T.Distinct(w.hash).pairs(doc), minlength=n)
 
 
 def features(column: pa.Array, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,20 +108,49 @@ def _scores(at: np.ndarray, first: np.ndarray, weights: np.ndarray) -> np.ndarra
     return out
 
 
-def regress(at: np.ndarray, first: np.ndarray, own: np.ndarray, n_features: int, n_domains: int, rounds: int = 250, ridge: float = 1e-4) -> np.ndarray:
-    """Weights of a softmax regression (the last row is the intercept), by full-batch Adam steps."""
+def regress(at: np.ndarray, first: np.ndarray, own: np.ndarray, n_features: int, n_domains: int, rounds: int = 60, ridge: float = 1e-4) -> np.ndarray:
+    """Weights of a softmax regression (the last row is the intercept): quasi-Newton steps with the last eight changes (L-BFGS)."""
     docs = len(first) - 1
     row = np.repeat(np.arange(docs), np.diff(first))
-    w = np.zeros((n_features + 1, n_domains))
-    m, v = np.zeros_like(w), np.zeros_like(w)
     truth = np.eye(n_domains)[own]
-    for step in range(1, rounds + 1):
-        gap = (_softmax(_scores(at, first, w[:-1]) + w[-1]) - truth) / docs
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        w = w.reshape(n_features + 1, n_domains)
+        p = _softmax(_scores(at, first, w[:-1]) + w[-1])
+        gap = (p - truth) / docs
         g = np.stack([np.append(np.bincount(at, gap[row, d], n_features), gap[:, d].sum()) for d in range(n_domains)], axis=1)
         g[:-1] += ridge * w[:-1]
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    return w
+        return float(-np.log(np.maximum(p[np.arange(docs), own], 1e-300)).mean() + ridge / 2 * (w[:-1] ** 2).sum()), g.ravel()
+
+    w = np.zeros((n_features + 1) * n_domains)
+    value, g = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        step, back = -g, []
+        for s, y in reversed(past):
+            a = s @ step / (s @ y)
+            back.append(a)
+            step = step - a * y
+        if past:
+            step *= past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1])
+        for (s, y), a in zip(past, reversed(back), strict=True):
+            step = step + (a - y @ step / (s @ y)) * s
+        size, slope = 1.0 if past else min(1.0, 1 / max(1e-12, np.abs(g).sum())), g @ step
+        for _ in range(30):
+            new, h = loss(w + size * step)
+            if new <= value + 1e-4 * size * slope:
+                break
+            size /= 2
+        else:
+            break
+        s, y = size * step, h - g
+        if s @ y > 1e-12:
+            past = [*past[-7:], (s, y)]
+        done = value - new < 1e-7
+        w, value, g = w + s, new, h
+        if done:
+            break
+    return w.reshape(n_features + 1, n_domains)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
@@ -126,8 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     rows = labels.where("doc_id is not null").select("doc_id", domain_of().alias("domain")).where("domain is not null")
     ids = least_hashed(rows, "doc_id", sample, 19).groupBy("doc_id").agg(F.max("domain").alias("domain"))
     # Equal texts are one piece of evidence.
-    drawn = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("text").agg(F.max("domain").alias("domain"))
-    drawn = drawn.withColumn("fit", F.pmod(F.xxhash64(F.lit(23), "text"), F.lit(4)) < 3)
+    drawn = one_text(docs, ids).groupBy("text").agg(F.max("domain").alias("domain"))
+    drawn = checkpoint(drawn.withColumn("fit", F.pmod(F.xxhash64(F.lit(23), "text"), F.lit(4)) < 3))
     shares = {r["domain"]: r["n"] for r in drawn.where("fit").groupBy("domain").agg(F.count("*").alias("n")).collect()}
     names = sorted(shares)
     if len(names) < 2:
@@ -198,10 +230,17 @@ def target_weights(model: dict, targets: dict) -> np.ndarray:
 
 def rates(q: np.ndarray, steps: list[np.ndarray], eta: float) -> np.ndarray:
     """Rates of documents with posteriors q after the given gradient vectors."""
-    r = np.ones(len(q))
+    return ahead(q, steps, eta)[0]
+
+
+def ahead(q: np.ndarray, steps: list[np.ndarray], eta: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rates, and the point at which the next gradient is taken: beyond the rates by the share of the last move that suits a problem as curved as the ridge makes it."""
+    root = np.sqrt(eta * RIDGE)
+    r = y = np.ones(len(q))
     for g in steps:
-        r = np.maximum(0.0, r - eta * (q @ g + RIDGE * (r - 1)))
-    return r
+        new = np.maximum(0.0, y - eta * (q @ g + RIDGE * (y - 1)))
+        r, y = new, new + (1 - root) / (1 + root) * (new - r)
+    return r, y
 
 
 def reachable(weights: np.ndarray, share: np.ndarray) -> np.ndarray:
@@ -211,48 +250,64 @@ def reachable(weights: np.ndarray, share: np.ndarray) -> np.ndarray:
     return kept / kept.sum()
 
 
+def sums(n: np.ndarray, q: np.ndarray, history: list[np.ndarray], eta: float) -> np.ndarray:
+    """Tokens; domain totals at the point ahead, and at the rates; how much the last step moved; second moments of the posteriors."""
+    r, y = ahead(q, history, eta)
+    moved = np.abs(r - rates(q, history[:-1], eta)) @ n if history else 0.0
+    return np.concatenate([[n.sum()], (y * n) @ q, (r * n) @ q, [moved], ((q * n[:, None]).T @ q).ravel()])
+
+
 def solve(narrow: DataFrame, weights: np.ndarray, steps: int = STEPS, repeat: bool = False) -> dict:
     """Projected gradient over ``narrow(n, q)``; the state is one vector for each step."""
     d = len(weights)
 
-    def totals(history: list[np.ndarray], eta: float) -> np.ndarray:
+    def over_table(history: list[np.ndarray], eta: float) -> np.ndarray:
         def run(batches):
-            sums = np.zeros(1 + d + d * d)
+            out = np.zeros(2 + 2 * d + d * d)
             for batch in batches:
                 if batch.num_rows:
-                    n = batch.column("n").to_numpy().astype(float)
-                    q = batch.column("q").flatten().to_numpy().reshape(-1, d)
-                    sums[0] += n.sum()
-                    sums[1 : 1 + d] += (rates(q, history, eta) * n) @ q
-                    sums[1 + d :] += ((q * n[:, None]).T @ q).ravel()
-            yield pa.record_batch([pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["sums"])
+                    out += sums(batch.column("n").to_numpy().astype(float), batch.column("q").flatten().to_numpy().reshape(-1, d), history, eta)
+            yield pa.record_batch([pa.array([out.tolist()], pa.list_(pa.float64()))], names=["sums"])
 
         # One row for each partition, added up on the executors.
         cells = narrow.mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(1 + d + d * d)
+        out = np.zeros(2 + 2 * d + d * d)
         for row in cells:
             out[row["at"]] = row["x"]
         return out
 
-    first = totals([], 0.0)
+    first = over_table([], 0.0)
     total = max(first[0], 1.0)
     share = np.maximum(first[1 : 1 + d] / total, 1e-6)
     main = int(weights.argmax())
     if not repeat:
         weights = reachable(weights, share)
-    gram = first[1 + d :].reshape(d, d) / total / np.sqrt(np.outer(share, share))
+    gram = first[2 + 2 * d :].reshape(d, d) / total / np.sqrt(np.outer(share, share))
     eta = 1.0 / (float(np.linalg.eigvalsh(gram).max()) + RIDGE)
     history: list[np.ndarray] = []
-    reached = first[1 : 1 + d] / total
-    for _ in range(steps):
-        history.append((reached - weights) / share)
-        now = totals(history, eta)[1 : 1 + d] / total
-        if np.abs(now - reached).max() < 1e-5:
-            reached = now
-            break
-        reached = now
+
+    def descend(totals, limit: int) -> tuple[np.ndarray, float]:
+        now, moved = totals(history, eta), np.inf
+        for _ in range(limit):
+            history.append((now[1 : 1 + d] / total - weights) / share)
+            now = totals(history, eta)
+            moved = now[1 + 2 * d] / total
+            if moved < ENOUGH:
+                break
+        return now[1 + d : 1 + 2 * d] / total, moved
+
+    cell = F.transform("q", lambda x: F.round(x * GRID).cast("int"))
+    grid = narrow.where("n > 0").groupBy(cell.alias("cell")).agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * F.col("q")[i]).alias(f"s{i}") for i in range(d))).toArrow()
+    n = grid.column("n").to_numpy().astype(float)
+    mean = np.stack([grid.column(f"s{i}").to_numpy() / n for i in range(d)], axis=1)
+    if len(n):
+        # Each step is worth as many rounds as it takes there; on the table a few remain.
+        descend(lambda history, eta: sums(n, mean, history, eta), 400)
+    reached, moved = descend(over_table, steps)
+    if moved >= ENOUGH:
+        warnings.warn(f"rates still move by {moved:.2g} of all tokens a step", stacklevel=2)
     top = 1.0 if repeat else max(1e-12, float(rates(np.eye(d)[[main]], history, eta)[0]))
-    return {"history": history, "eta": eta, "top": top, "reached": reached}
+    return {"history": history, "eta": eta, "top": top, "reached": reached, "weights": weights, "moved": moved}
 
 
 def fit_mixture(docs: DataFrame, labels: DataFrame, targets: dict | None = None, repeat: bool = False) -> tuple[dict, dict, DataFrame]:
@@ -292,11 +347,21 @@ def mixture(docs: DataFrame, labels: DataFrame, targets: dict | None = None, rep
     return narrow.mapInArrow(run, "doc_id long, n_tokens long, domain string, posterior array<double>, rate double, copies int")
 
 
+def totals(mixed: DataFrame, model_domains: list[str], targets: dict) -> DataFrame:
+    """``domain, target, expected, drawn``: shares of tokens that targets, rates and copies of a ``mixture`` give each domain, by posteriors."""
+    each = mixed.select("n_tokens", "rate", "copies", F.posexplode("posterior").alias("at", "q"))
+    sums = each.groupBy("at").agg(F.sum(F.col("n_tokens") * F.col("rate") * F.col("q")).alias("expected"), F.sum(F.col("n_tokens") * F.col("copies") * F.col("q")).alias("drawn"))
+    every = sums.agg(F.sum("expected").alias("e"), F.sum("drawn").alias("d"))
+    scale = sum(targets.get(x, 0.0) for x in model_domains) or 1.0
+    told = mixed.sparkSession.createDataFrame([(i, x, targets.get(x, 0.0) / scale) for i, x in enumerate(model_domains)], "at int, domain string, target double")
+    return told.join(sums, "at", "left").crossJoin(F.broadcast(every)).select("domain", "target", (F.col("expected") / F.col("e")).alias("expected"), (F.col("drawn") / F.col("d")).alias("drawn"))
+
+
 def mix(docs: DataFrame, labels: DataFrame, targets: dict | None = None) -> DataFrame:
     """The rows of ``docs`` that the fitted rates keep. Posteriors are computed anew, which is cheaper than moving texts to a join."""
     model, fitted, _ = fit_mixture(docs, labels, targets)
     shared = docs.sparkSession.sparkContext.broadcast((model, fitted))
-    mark = "__chance"
+    mark = unused(docs, "chance")
 
     def run(batches):
         m, f = shared.value
