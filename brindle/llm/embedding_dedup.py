@@ -1,7 +1,8 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products, one representative for each group.
 
-Centroids are trained on a bounded sample (``sample`` vectors, those with the least hash of their id); every vector is then put
-into its ``reach`` nearest cells, so that a pair is missed only if no cell is near to both.  Equal vectors are one vector
+There is a cell for each ``per_cell`` vectors, up to ``max_cells``.  Centroids are trained on a bounded sample (``sample`` vectors, four for each cell at
+least, those with the least hash of their id); every vector is then put into its ``reach`` nearest cells, so that a pair is missed only if no
+cell is near to both.  ``reach=None`` is the exact way: all vectors of a label are one cell, and no pair is missed.  Equal vectors are one vector
 with a weight.  A cell is compared block by block: a cell of more than ``block`` vectors is dealt into blocks by a hash, and
 each pair of blocks is one task, whatever the size of the cell.  A pair of vectors counts in the first cell that they share.
 
@@ -25,6 +26,7 @@ from brindle.llm.components import components
 from brindle.llm.shared import checkpoint, least_hashed
 
 SAMPLE = 16384
+MAX_CELLS = 16384
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -103,7 +105,7 @@ def links_within(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, cells: np.n
     return n, root
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, reach: int = 4, block: int = 1024, per_cell: int = 256, max_cells: int = 4096, sample: int = SAMPLE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, reach: int | None = 4, block: int = 1024, per_cell: int = 256, max_cells: int = MAX_CELLS, sample: int = SAMPLE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors(vec_id, embedding, label)``."""
     spark = vectors.sparkSession
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
@@ -112,12 +114,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, reach: int = 4,
     # Equal vectors of a label are one, under the least id.
     distinct = checkpoint(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("weight")))
     n = distinct.count()
-    drawn = least_hashed(distinct.select("id", "embedding"), "id", sample, 31).select("embedding").toPandas()["embedding"]
+    cells = max(1, min(max_cells, n // per_cell))
+    drawn = least_hashed(distinct.select("id", "embedding"), "id", max(sample, 4 * cells), 31).select("embedding").toPandas()["embedding"]
     by_size: dict[int, list] = {}
     for v in drawn:
         by_size.setdefault(len(v), []).append(v)
-    centres = {d: k_means(_unit(np.array(v, np.float64)), max(1, min(max_cells, n // per_cell, len(v)))) for d, v in by_size.items()}
-    tight = {d: leaders(_unit(np.array(v, np.float64)), threshold) for d, v in by_size.items()}
+    centres = {d: k_means(_unit(np.array(v, np.float64)), min(cells, len(v))) for d, v in by_size.items()} if reach else {}
+    # Of a large sample an even part suffices to find spots that hold a hundredth of it.
+    tight = {d: leaders(_unit(np.array(v[:: max(1, len(v) // SAMPLE)], np.float64)), threshold) for d, v in by_size.items()}
     half = np.arccos(threshold) / 2 - 1e-6
     inner, outer = float(np.cos(half)), float(np.cos(np.arccos(threshold) + half + 1e-6))
     shared = spark.sparkContext.broadcast((centres, tight))  # at most max_cells centroids and 100 leaders for each vector length in the sample
