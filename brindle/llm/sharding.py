@@ -1,7 +1,7 @@
 """Contiguous shards of equal bytes, from global prefix sums.
 
-Rows are range-partitioned by ``doc_id`` (ties by checksum and size), so the order of partitions and the order within them make
-one global order.  Each partition's bytes are added up; prefix sums of those totals (one row for each partition) start the running
+Rows are range-partitioned by ``doc_id`` (ties by checksum and size, then by their place in the input, so that rows which are equal in all of these are no
+single range), so the order of partitions and the order within them make one global order.  Each partition's bytes are added up; prefix sums of those totals (one row for each partition) start the running
 sum of each partition.  A row goes to the shard in whose equal share of all bytes its first byte lies, so shards are
 contiguous in ``doc_id`` and differ by less than one document from equal sizes.
 
@@ -17,14 +17,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import checkpoint
+from brindle.llm.shared import checkpoint, unused
 
-ORDER = ("doc_id", "text_crc32", "size")
+ORDER = ("doc_id", "text_crc32", "size", "place")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("place"))
 
 
 def positions(rows: DataFrame) -> DataFrame:
@@ -57,16 +57,17 @@ def shard_slots(docs: DataFrame, shards: int = 16) -> DataFrame:
 def with_shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """All columns of ``docs`` and ``shard`` (replacing a column of that name), without moving texts.
 
-    The first row of each shard is at most ``shards`` keys, and a row's shard follows from comparing its key with them;
-    rows with equal ``doc_id``, checksum and size share a shard.
+    The first row of each shard is at most ``shards`` keys, and a row's shard follows from comparing its key with them.  Of rows that are equal in id,
+    checksum and size it is open which goes where.
     """
     share = F.least(F.expr(f"before * {shards} div total"), F.lit(shards - 1)).cast("int")
-    key = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), F.col("text_crc32"), F.col("size"))
+    key = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), F.col("text_crc32"), F.col("size"), F.col("place"))
     cuts = positions(sizes(docs)).groupBy(share.alias("shard")).agg(F.min(key).alias("least")).collect()
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), F.crc32(text.cast("binary")), (F.octet_length(text) + 1).cast("long"))
+    place = unused(docs, "place")
+    own = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), F.crc32(text.cast("binary")), (F.octet_length(text) + 1).cast("long"), F.col(place))
     shard = F.lit(0)
     for cut in sorted(cuts, key=lambda r: r["shard"]):
         bound = F.struct(*(F.lit(x).cast("long") for x in cut["least"]))
         shard = F.when(own >= bound, F.lit(cut["shard"])).otherwise(shard)
-    return docs.withColumn("shard", shard.cast("int"))
+    return docs.withColumn(place, F.monotonically_increasing_id()).withColumn("shard", shard.cast("int")).drop(place)
