@@ -54,6 +54,29 @@ def confidence(name: Column, candidate: Column) -> Column:
     return F.when((d == 0) | deliberate_variant(name, candidate), F.lit(None).cast("string")).otherwise(near)
 
 
+def _path(path: Column) -> Column:
+    return F.lower(F.translate(path, "\\", "/"))
+
+
+def form_module(path: Column) -> Column:
+    """Whether a path is that of a form's module: in a dump, of a common form, or of an unpacked external one. False for null."""
+    p = _path(path)
+    return F.coalesce(p.rlike(r"(?:^|/)(?:common)?forms/[^/]+/ext/form/module\.bsl$") | p.rlike(r"(?:^|/)form/[^/]+/form\.obj\.bsl$"), F.lit(False))
+
+
+def common_module(path: Column) -> Column:
+    return F.coalesce(_path(path).rlike(r"(?:^|/)commonmodules/[^/]+/ext/module\.bsl$"), F.lit(False))
+
+
+def module_of_xml(path: Column) -> Column:
+    """Path of the module that belongs to a common module's description; null for other paths."""
+    return F.when(path.endswith(".xml"), F.regexp_replace(path, r"\.xml$", "/Ext/Module.bsl"))
+
+
+def xml_of_module(path: Column) -> Column:
+    return F.when(path.endswith("/Ext/Module.bsl"), F.regexp_replace(path, r"/Ext/Module\.bsl$", ".xml"))
+
+
 def range_upper(name: Column) -> Column:
     """Last number of a parameter that stands for several (``Value1-Value10``), else null."""
     return F.nullif(F.regexp_extract(name, r"(\d+)\D*-\D*(\d+)", 2), F.lit("")).cast("int")

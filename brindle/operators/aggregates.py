@@ -23,17 +23,34 @@ def arity(signatures: str) -> tuple[Column, Column]:
     return least, most
 
 
-def accepts(signatures: Column, count: Column) -> Column:
-    """Whether some overload takes ``count`` arguments."""
+# Methods that take any number of arguments, though their signature shows one.
+VARIADIC = "макс мин max min продолжитьвызов continuecall".split()
+
+
+def accepts(signatures: Column, count: Column, name: Column | None = None) -> Column:
+    """Whether some overload takes ``count`` arguments; with the method's ``name``, those that take any number have no upper bound."""
+    free = F.lower(name).isin(VARIADIC) if name is not None else F.lit(False)
 
     def fits(s: Column) -> Column:
         least = F.size(F.filter(s["parameters"], lambda x: x["required"]))
         most = F.aggregate(s["parameters"], F.lit(0), lambda n, x: n + F.coalesce(T.range_upper(x["name"]), F.lit(1)))
-        return (count >= least) & (count <= most)
+        return (count >= least) & (free | (count <= most))
 
     return F.exists(signatures, fits)
 
 
+def expected(signatures: Column, name: Column) -> Column:
+    """What numbers of arguments the overloads take, as text: ``2``, ``1..3`` or ``1+``, with slashes between."""
+    free = F.lower(name).isin(VARIADIC)
+
+    def one(s: Column) -> Column:
+        least = F.size(F.filter(s["parameters"], lambda x: x["required"]))
+        most = F.aggregate(s["parameters"], F.lit(0), lambda n, x: n + F.coalesce(T.range_upper(x["name"]), F.lit(1)))
+        return F.when(free, F.concat(least.cast("string"), F.lit("+"))).when(least == most, least.cast("string")).otherwise(F.concat_ws("..", least.cast("string"), most.cast("string")))
+
+    return F.array_join(F.transform(signatures, one), " / ")
+
+
 def tally(rows: DataFrame, group: Column, name: str, distinct: str, limit: int, sample: str | None = None) -> DataFrame:
     """Count, distinct count and least sample for each group, largest first."""
     aggs = [F.count("*").alias("n"), F.countDistinct(distinct).alias("n_distinct")] + ([F.min(sample).alias("sample")] if sample else [])

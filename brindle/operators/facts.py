@@ -50,10 +50,14 @@ def literal(raw: str) -> str:
 
 
 class Module:
-    """Reads one module into ``rows``: (kind, name, member, object, byte, line, col, end_byte, n_args, flag, extra)."""
+    """Reads one module into ``rows``: (kind, name, member, object, byte, line, col, end_byte, n_args, flag, extra, scope).
+
+    ``scope`` is the number of the row of the procedure around a fact; ``extra`` of a member access is the line and column of the member.
+    """
 
     def __init__(self, source: str):
         self.rows: list[tuple] = []
+        self.scope: int | None = None
         self.t: list[tuple[str, str, int, int, int, int]] = []  # kind, text, byte, line, col, end byte
         if "\0" in source[:8192]:
             return
@@ -70,7 +74,7 @@ class Module:
 
     def add(self, kind: str, name: str, at: int, member=None, owner=None, end=None, n_args=None, flag=None, extra=None) -> None:
         _, _, byte, line, col, _ = self.t[at]
-        self.rows.append((kind, name, member, owner, byte, line, col, end, n_args, flag, extra))
+        self.rows.append((kind, name, member, owner, byte, line, col, end, n_args, flag, extra, self.scope))
 
     def is_sign(self, at: int, sign: str) -> bool:
         return 0 <= at < len(self.t) and self.t[at][0] == "sign" and self.t[at][1] == sign
@@ -100,7 +104,7 @@ class Module:
         return len(self.t) - 1, commas + 1 if some else 0
 
     def read(self) -> None:
-        directive, proc, starts, after_header = None, None, True, -1
+        directive, starts = None, True
         i = 0
         while i < len(self.t):
             kind, text, byte, _, _, end = self.t[i]
@@ -119,14 +123,11 @@ class Module:
                         parameters.append(self.t[j][1])
                     previous = self.t[j][0] == "word" and self.t[j][1].lower() in VAL
                 export = self.is_word(close + 1, EXPORT)
-                proc = len(self.rows)
+                self.scope, inside = None, len(self.rows)
                 self.add("proc", self.t[i + 1][1], i, end=None, n_args=len(parameters), flag=export, extra=",".join([directive or "", low, *map(str.lower, parameters)]))
-                directive, i, starts = None, close + export, True
+                directive, i, starts, self.scope = None, close + export, True, inside
             elif kind == "word" and low in END_PROC:
-                if proc is not None:
-                    row = self.rows[proc]
-                    self.rows[proc] = (*row[:7], end, *row[8:])
-                    proc = None
+                self.leave(end)
                 starts = True
             elif kind == "word" and low in VAR:
                 j = i + 1
@@ -154,9 +155,14 @@ class Module:
             else:
                 starts = kind == "sign" and text == ";" or kind == "word" and low in OPENS | ENDS
             i += 1
-        if proc is not None and self.t:
-            row = self.rows[proc]
-            self.rows[proc] = (*row[:7], self.t[-1][5], *row[8:])
+        if self.t:
+            self.leave(self.t[-1][5])
+
+    def leave(self, end: int) -> None:
+        """A procedure, if any is open, ends here."""
+        if self.scope is not None:
+            row = self.rows[self.scope]
+            self.rows[self.scope], self.scope = (*row[:7], end, *row[8:]), None
 
     def name(self, i: int, starts: bool) -> None:
         if self.is_sign(i - 1, "."):
@@ -166,10 +172,10 @@ class Module:
             self.add("call", text, i, n_args=self.close(i + 1)[1])
         elif self.is_sign(i + 1, ".") and i + 2 < len(self.t) and self.t[i + 2][0] == "word":
             member, call = self.t[i + 2], self.is_sign(i + 3, "(")
-            self.add("dot", text, i, member=member[1], end=member[2], flag=call)
+            self.add("dot", text, i, member=member[1], end=member[2], flag=call, extra=f"{member[3]}:{member[4]}")
             if not call and self.is_sign(i + 3, ".") and i + 4 < len(self.t) and self.t[i + 4][0] == "word" and self.is_sign(i + 5, "("):
                 method = self.t[i + 4]
-                self.rows.append(("manager_call", text, method[1], member[1], method[2], method[3], method[4], None, self.close(i + 5)[1], None, None))
+                self.rows.append(("manager_call", text, method[1], member[1], method[2], method[3], method[4], None, self.close(i + 5)[1], None, None, self.scope))
         elif starts and self.is_sign(i + 1, "="):
             self.add("assign", text, i, flag=False)
 
@@ -195,8 +201,8 @@ class Module:
             i += 1
 
 
-COLUMNS = ["kind", "name", "member", "owner", "byte", "line", "col", "end_byte", "n_args", "flag", "extra"]
-SCHEMA = "kind string, name string, member string, owner string, byte long, line int, col int, end_byte long, n_args int, flag boolean, extra string"
+COLUMNS = ["kind", "name", "member", "owner", "byte", "line", "col", "end_byte", "n_args", "flag", "extra", "scope"]
+SCHEMA = "kind string, name string, member string, owner string, byte long, line int, col int, end_byte long, n_args int, flag boolean, extra string, scope int"
 
 
 def extract(modules: DataFrame, key: str = "module_id", source: str = "source") -> DataFrame:
@@ -205,7 +211,7 @@ def extract(modules: DataFrame, key: str = "module_id", source: str = "source")
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [(k, n, *row) for k, text in zip(frame[key], frame[source], strict=True) for n, row in enumerate(Module(text or "").rows)]
-            yield pd.DataFrame(rows, columns=[key, "emit_ord", *COLUMNS]).astype({"n_args": "Int32", "end_byte": "Int64", "flag": "boolean"})
+            yield pd.DataFrame(rows, columns=[key, "emit_ord", *COLUMNS]).astype({"n_args": "Int32", "scope": "Int32", "end_byte": "Int64", "flag": "boolean"})
 
     kind = modules.schema[key].dataType.simpleString()
     return modules.select(key, source).mapInPandas(run, f"{key} {kind}, emit_ord int, {SCHEMA}")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold at any size; sizes of partitions are left to adaptive execution.
 DEFAULTS = {
@@ -31,3 +32,20 @@ def ship(spark: SparkSession) -> None:
         if package.is_dir():
             context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='brindle-')}/brindle", "zip", package.parent, package.name))
         context._brindle_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints, which all executors see: ``spark.checkpoint.dir``; only where all runs on one machine and it is unset, a temporary one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="brindle-checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Computes ``df`` once and keeps it in the shared folder: what follows reads it as often as it likes."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from brindle.functions import text as X
 from brindle.operators import facts
 from brindle.plans import module_rules as R
 from tests_catalog import catalog
@@ -48,50 +49,112 @@ def test_deleted_and_binary():
 
 
 def source(spark, collections=("Catalogs", "CommonModules"), variables=("параметрыприложения",)):
-    objects = spark.createDataFrame([("Catalogs", "номенклатура"), ("CommonModules", "общегоназначения")], "collection string, name_lower string")
-    known = spark.createDataFrame([(c,) for c in collections], "collection string") if collections is not None else None
+    """Knows nothing of collections that aren't listed; None: of none."""
+    objects = spark.createDataFrame([("Catalogs", "номенклатура", "Номенклатура"), ("CommonModules", "общегоназначения", "ОбщегоНазначения")], "collection string, name_lower string, name string")
+    rest = [(c,) for c, _ in R.MANAGERS.values() if c not in (collections or ())]
     names = spark.createDataFrame([(v,) for v in variables], "name_lower string") if variables is not None else None
-    return R.Source(objects, known, spark.createDataFrame([("глобальная",)], "method_lower string"), names)
+    exports, methods = (spark.createDataFrame([(x,)], "method_lower string") for x in ("глобальная", "загрузить"))
+    return R.Source(objects if collections else None, spark.createDataFrame(rest, "collection string"), exports, names, methods=methods)
 
 
-def findings(spark, text, s=None, **options):
-    found = facts.extract(spark.createDataFrame([(1, text)], "module_id long, source string"))
-    return [(r.kind, r.confidence, r.name, r.suggestion) for r in R.check(found, catalog(spark), s, **options).collect()]
+def findings(spark, cases, s=None, **options):
+    """Findings of each case: a text, or (text, path, attributes of its form or None)."""
+    cases = [c if isinstance(c, tuple) else (c, None, None) for c in ([cases] if isinstance(cases, str) else cases)]
+    modules = spark.createDataFrame([(i, t, p) for i, (t, p, _) in enumerate(cases)], "module_id long, source string, path string")
+    known = spark.createDataFrame([(i, a) for i, (_, _, a) in enumerate(cases) if a is not None], "module_id long, names array<string>")
+    out = [[] for _ in cases]
+    for r in R.validate(modules, catalog(spark), s, attributes=known, **options).collect():
+        out[r.module_id].append((r.kind, r.confidence, r.name, r.suggestion))
+    return out
 
 
 def test_platform_rules(spark):
     text = "&НаКлиэнте\nПроцедура П()\n Сообщит(1);\n СтрНайти(1);\n А = Новый Запросс;\n Б = Цвет.Красны;\n В = Цвет.Red;\n Запрос.Выполнит();\n П();\nКонецПроцедуры"
-    assert findings(spark, text) == [
+    assert findings(spark, text)[0] == [
         ("unknown_directive", "high", "НаКлиэнте", "НаКлиенте"), ("unknown_global_method", "high", "Сообщит", "Сообщить"), ("wrong_argument_count", "high", "СтрНайти", None), ("unknown_new_type", "low", "Запросс", None),
-        ("unknown_enum_value", "high", "Красны", "Красный"), ("unknown_type_member", "low", "Выполнит", None),
+        ("unknown_enum_value", "high", "Красны", "Красный"), ("unknown_type_member", "low", "Выполнит", "Выполнить"),
     ]
-    assert all(c == "high" for _, c, _, _ in findings(spark, text, profile="strict"))
+    assert all(c == "high" for _, c, _, _ in findings(spark, text, profile="strict")[0])
+
+
+FORM, COMMON, OBJECT = "Catalogs/Т/Forms/Ф/Ext/Form/Module.bsl", "CommonModules/М/Ext/Module.bsl", "Catalogs\\Т\\Ext\\ObjectModule.bsl"
+
+
+def kinds(spark, cases, s=None, **options):
+    return [[k for k, *_ in found] for found in findings(spark, cases, s, **options)]
 
 
 def test_configuration_rules(spark):
-    text = "А = Справочники.Нету; Б = Справочники.Номенклатура; В = Справочники.ТипВсеСсылки(); ОбщегоНазначения.Ф(); НетМодуля.Ф(); ПараметрыПриложения.Вставить(1);\nГ = Справочники.Номенклатура.НайтиПоКодуу(1); НеОбъявлена(); Глобальная(); Параметры = 1; РабочаяДата = 2;"
-    got = findings(spark, text, source(spark))
-    assert ("unknown_metadata_object", "high", "Нету", None) in got and ("unknown_common_module", "high", "НетМодуля", None) in got and ("unknown_manager_method", "high", "НайтиПоКодуу", "НайтиПоКоду") in got
-    assert ("undeclared_method", "high", "НеОбъявлена", None) in got and ("shadowed_context_name", "high", "Параметры", None) in got and len(got) == 5
+    text = "А = Справочники.Нету; Б = Справочники.Номенклатура; В = Справочники.ТипВсеСсылки(); ОбщегоНазначения.Ф(); НетМодуля.Ф(); ПараметрыПриложения.Вставить(1); НетМодуля2.Свойство = 1; Справочники.Номенклатура.НайтиПоКодуу(1); Справочники.Номенклатура.Загрузить(); Справочники.Номенклатура.ПустаяСсылка(); НеОбъявлена(); Глобальная(); Загрузить(); Справочники.Номенклатур.Х();"
+    assert findings(spark, text, source(spark))[0] == [
+        ("unknown_metadata_object", "high", "Нету", None), ("unknown_common_module", "high", "НетМодуля", None), ("unknown_manager_method", "high", "НайтиПоКодуу", "НайтиПоКоду"), ("undeclared_method", "high", "НеОбъявлена", None),
+        ("undeclared_method", "low", "Загрузить", None), ("unknown_metadata_object", "high", "Номенклатур", "Номенклатура"),
+    ]
 
 
 def test_unknown_answers_are_silent(spark):
-    text = "А = Справочники.Нету; НетМодуля.Ф();"
-    assert findings(spark, text, source(spark, collections=None)) == []
-    assert [k for k, *_ in findings(spark, text, source(spark, variables=None))] == ["unknown_metadata_object"]
-    bound = "Процедура П(НетМодуля) Экспорт\n НетМодуля.Ф(); Справочники = 1; А = Справочники.Нету;\nКонецПроцедуры"
-    assert [k for k, *_ in findings(spark, bound, source(spark))] == ["shadowed_context_name"]
+    """A collection that a source can tell of has no objects if none is listed; one that it can't tell of may have any."""
+    text, bound = "А = Справочники.Нету; НетМодуля.Ф();", "Процедура П(НетМодуля) Экспорт\n НетМодуля.Ф(); Справочники = 1; А = Справочники.Нету;\nКонецПроцедуры"
+    assert kinds(spark, text, source(spark, collections=None)) == [[]]
+    assert kinds(spark, text, source(spark, variables=None)) == [["unknown_metadata_object"]]
+    assert kinds(spark, [bound, "А = Документы.Нету;"], source(spark)) == [["shadowed_context_name"], []]
+    s = source(spark, collections=("Documents", "Catalogs"))
+    s.suggests = False
+    assert findings(spark, ["А = Документы.Нету;", "А = Справочники.Номенклатур;"], s) == [[("unknown_metadata_object", "high", "Нету", None)], [("unknown_metadata_object", "high", "Номенклатур", None)]]
+
+
+def test_paths_and_forms(spark):
+    text, inside = "НетМодуля.Ф(); Объект.Записать(); ЭтаФорма.Закрыть();", "&НаКлиенте\nПроцедура П()\n Параметры.Вставить(1);\nКонецПроцедуры"
+    cases = [(text, None, None), (text, COMMON, None), (text, FORM, []), (text, FORM, None), (text, OBJECT, None), (text, FORM, ["нетмодуля"]), (inside, FORM, [])]
+    assert kinds(spark, cases, source(spark)) == [["unknown_common_module"]] * 3 + [[]] * 4
+
+
+def test_extensions_declare_elsewhere(spark):
+    cases = ["НеОбъявлена();", '&Вместо("Ф")\nПроцедура П()\n НеОбъявлена(); ПродолжитьВызов(1, 2, 3);\nКонецПроцедуры', "Макс(1, 2, 3); Мин(); СтрНайти(1, 2, 3, 4);"]
+    assert kinds(spark, cases) == [["undeclared_method"], [], ["wrong_argument_count", "wrong_argument_count"]]
 
 
 def test_owner_exports_and_health(spark):
     s = source(spark)
-    s.owner_exports = spark.createDataFrame([(1, "необъявлена")], "module_id long, method_lower string")
-    assert findings(spark, "НеОбъявлена(); Другая();", s) == [("undeclared_method", "high", "Другая", None)]
+    s.owner_exports = spark.createDataFrame([(0, "необъявлена")], "module_id long, method_lower string")
+    assert findings(spark, "НеОбъявлена(); Другая();", s) == [[("undeclared_method", "high", "Другая", None)]]
     s.healthy = False
     with pytest.raises(RuntimeError):
         findings(spark, "А();", s)
 
 
-def test_no_context_procedures(spark):
-    assert [k for k, *_ in findings(spark, "&НаСервереБезКонтекста\nПроцедура П()\n Параметры = 1;\nКонецПроцедуры")] == []
-    assert F is not None
+def test_shadowed_context_names(spark):
+    inside = "&{}\nПроцедура П({})\n {}Параметры = 1;\nКонецПроцедуры"
+    form, one = inside.format("НаСервере", "", ""), "Процедура А()\n Перем Справочники; Справочники = 1;\nКонецПроцедуры\nПроцедура Б()\n Справочники = 2;\nКонецПроцедуры"
+    cases = [
+        ((form, FORM, None), 1), ((form, None, None), 0), ((form, COMMON, None), 0), ((form, FORM, ["параметры"]), 0), ((inside.format("НаСервереБезКонтекста", "", ""), FORM, None), 0),
+        ((inside.format("НаСервере", "Параметры", ""), FORM, None), 0), (("Процедура П()\n Параметры = 1;\nКонецПроцедуры", FORM, None), 0),  # no directive: no managed form
+        # A declaration is itself an attempt; what it declares may be assigned to in its procedure, or everywhere if it stands outside.
+        ((inside.format("НаСервере", "", "Перем Параметры; "), FORM, None), 1), ((one, None, None), 2), (("Перем Справочники;\n" + one, None, None), 2),
+        (("Справочники = 1; РабочаяДата = 2;", None, None), 1), (("Справочники = 1;", FORM, None), 0), (("Справочники = 1;", FORM, []), 1), ((inside.format("НаСервереБезКонтекста", "", "Справочники = 1; "), FORM, None), 1),
+    ]
+    assert kinds(spark, [c for c, _ in cases]) == [["shadowed_context_name"] * n for _, n in cases]
+
+
+def test_types_of_variables_hold_in_their_procedure(spark):
+    text = "Процедура А()\n З = Новый Запрос;\n З.Выполнит();\nКонецПроцедуры\nПроцедура Б(З)\n З.Выполнит();\nКонецПроцедуры"
+    chain = "З = Новый Запрос;\nР = З.Выполнить();\nР.Выбрат();\n// @type Цвет\nЦ = Ф;\nЦ.Синий = 1;"
+    assert findings(spark, [text, chain], level=2) == [[("unknown_type_member", "low", "Выполнит", "Выполнить")], [("unknown_enum_value", "high", "Синий", None)]]
+    assert kinds(spark, [text, chain]) == kinds(spark, [text, chain], level=2, profile="strict") == [[], []]
+    assert kinds(spark, chain, level=3) == [["unknown_type_member", "unknown_enum_value"]]
+
+
+def test_positions_are_those_of_members(spark):
+    modules = spark.createDataFrame([(1, "Перем А;\n А = Цвет.\n  Синий; НеОбъявлена();")], "module_id long, source string")
+    assert [(r.line, r.col, r.name) for r in R.validate(modules, catalog(spark)).collect()] == [(3, 3, "Синий"), (3, 10, "НеОбъявлена")]
+
+
+def test_modules_are_parsed_once(spark):
+    modules = spark.createDataFrame([(1, "А();")], "module_id long, source string")
+    plan = R.check(facts.extract(modules), catalog(spark), source(spark))._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan  # they are read from the table that was cut off
+
+
+def test_paths_of_descriptions(spark):
+    d = spark.createDataFrame([("a/CommonModules/М.xml",), ("a/CommonModules/М/Ext/Module.bsl",)], "p string").select(X.module_of_xml(F.col("p")).alias("m"), X.xml_of_module(F.col("p")).alias("x"))
+    assert [tuple(r) for r in d.collect()] == [("a/CommonModules/М/Ext/Module.bsl", None), (None, "a/CommonModules/М.xml")]
