@@ -77,18 +77,18 @@ def unpack_numbers(raw: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """A bit for each count that isn't 1, then a byte for each of those; those of 255 or more follow as 64-bit numbers."""
+    """A bit for each count that isn't 1, then a byte for each of those; those of 255 or more follow at full length."""
     odd = counts != 1
     rest = counts[odd]
     large = rest >= 255
-    return np.packbits(odd).tobytes() + np.where(large, 255, rest).astype(np.uint8).tobytes() + rest[large].astype("<i8").tobytes()
+    return np.packbits(odd).tobytes() + np.where(large, 255, rest).astype(np.uint8).tobytes() + pack_numbers(rest[large])
 
 
 def unpack_counts(raw: bytes, n: int) -> np.ndarray:
     flags = (n + 7) // 8
     odd = np.flatnonzero(np.unpackbits(np.frombuffer(raw[:flags], np.uint8))[:n])
     rest = np.frombuffer(raw[flags : flags + len(odd)], np.uint8).astype(np.int64)
-    rest[rest == 255] = np.frombuffer(raw[flags + len(odd) :], "<i8")
+    rest[rest == 255] = unpack_numbers(raw[flags + len(odd) :])
     out = np.ones(n, np.int64)
     out[odd] = rest
     return out
@@ -98,19 +98,13 @@ class Keys:
     """Sorted distinct keys, how often each occurs, and with ``members`` its first holder (``bucket << 32 | row``)."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray | None = None, holders: np.ndarray | None = None):
-        if holders is not None:
-            order = np.lexsort((holders, keys))
-            keys, holders = keys[order], holders[order]
-            counts = counts[order] if counts is not None else None
-        elif counts is None:
-            keys = np.sort(keys)
-        else:
-            order = np.argsort(keys)
-            keys, counts = keys[order], counts[order]
+        order = None if counts is None and holders is None else np.argsort(keys)
+        keys = np.sort(keys) if order is None else keys[order]
         at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
         self.keys = keys[at]
-        self.counts = np.diff(np.append(at, len(keys))) if counts is None else np.add.reduceat(counts.astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
-        self.holders = holders[at] if holders is not None else None
+        self.counts = np.diff(np.append(at, len(keys))) if counts is None else np.add.reduceat(counts.astype(np.int64)[order], at) if len(at) else none
+        self.holders = None if holders is None else np.minimum.reduceat(holders[order], at) if len(at) else none
 
 
 CELL = "part long, bucket long, keys binary, counts binary, holders binary"
@@ -149,7 +143,7 @@ def _reply(counts: np.ndarray, holders: np.ndarray | None, flags: bool) -> bytes
     raw = np.packbits(twice).tobytes()
     if flags:
         return raw
-    held = b"" if holders is None else holders[twice].astype("<i8").tobytes()
+    held = b"" if holders is None else pack_numbers(holders[twice])
     return raw + held + pack_counts(counts[twice])
 
 
@@ -166,7 +160,7 @@ def _answers(own: Keys, bounds: np.ndarray, replies: pa.Table, members: bool, fl
             counts[hit] = 2
             continue
         if members:
-            holders[hit] = np.frombuffer(raw[size : size + 8 * len(hit)], "<i8")
+            holders[hit] = unpack_numbers(raw[size : size + 8 * len(hit)])
             size += 8 * len(hit)
         counts[hit] = unpack_counts(raw[size:], len(hit))
     return counts, holders

@@ -32,51 +32,49 @@ ALL = np.uint64(0x5BF0363546BDB1A5)
 
 
 SCHEMA = "doc_id long, n_words long, log_score double, mean_log_score double, unseen long"
-BUCKET = 6 << 20
+BUCKET = 8 << 20
 
 
 class Grams:
-    """n-grams of a bucket: for each order hashes by their first word, whether they lie within one document, and how often they occur in other documents."""
+    """n-grams of a bucket: for each order, how often those that begin at each word occur in other documents."""
 
     def __init__(self, column: pa.Array, order: int):
         self.w, self.order = T.words(column), order
         self.doc, self.total = self.w.doc, len(self.w.hash)
-        self.hash = [T.mix(self.w.hash + np.uint64(1)), *(T.runs(self.w.hash, n, salt=n) for n in range(2, order + 1))]
-        self.ok = [np.flatnonzero(T.inside(self.w.first, n, self.total)) for n in range(1, order + 1)]
-        self.others: list[np.ndarray] = []  # by order, of the n-gram that begins at each word; 0 where there is none
+        self.others: list[np.ndarray] = []  # by order; 0 where no n-gram begins
         self.words = 0  # of all documents
+        self.found: dict[int, tuple[np.ndarray, T.Distinct]] = {}
 
-    def asks(self, n: int) -> np.ndarray:
-        """Where n-grams begin that may occur in other documents."""
-        at = self.ok[n - 1]
-        if n <= 2:
-            return at
-        shorter = self.others[n - 2]
-        return at[(shorter[at] > 0) & (shorter[at + 1] > 0)]
+    def asks(self, n: int) -> tuple[np.ndarray, T.Distinct]:
+        """Where n-grams begin that may occur in other documents, and which they are."""
+        if n not in self.found:
+            at = np.flatnonzero(T.inside(self.w.first, n, self.total))
+            if n > 2:
+                shorter = self.others[n - 2]
+                at = at[(shorter[at] > 0) & (shorter[at + 1] > 0)]
+            self.found[n] = at, T.Distinct((T.runs(self.w.hash, n, salt=n) if n > 1 else T.mix(self.w.hash + np.uint64(1)))[at])
+        return self.found[n]
+
+    def orders(self, turn: int) -> range:
+        return range(turn + 2, turn + 3) if turn else range(1, min(2, self.order) + 1)
 
     def keys(self, turn: int) -> cells.Keys:
         """What a bucket asks for in a round: first for words, pairs and the number of words, then for one order after another."""
+        parts = [self.asks(n)[1] for n in self.orders(turn)]
         if turn:
-            return cells.Keys(self.hash[turn + 1][self.asks(turn + 2)])
-        parts = [self.hash[n - 1][self.asks(n)] for n in range(1, min(2, self.order) + 1)]
-        keys = np.concatenate([*parts, [ALL]]).astype(np.uint64)
-        return cells.Keys(keys, np.append(np.ones(len(keys) - 1, np.int64), self.total))
+            return cells.Keys(parts[0].keys, parts[0].counts)
+        return cells.Keys(np.concatenate([*(x.keys for x in parts), [ALL]]).astype(np.uint64), np.concatenate([*(x.counts for x in parts), [self.total]]))
 
     def learn(self, turn: int, own: cells.Keys, counts: np.ndarray) -> None:
         if not turn:
             self.words = int(cells.lookup(own.keys, counts, np.array([ALL]))[0]) if len(own.keys) else 0
-        for n in (turn + 2,) if turn else range(1, min(2, self.order) + 1):
-            out, at = np.zeros(self.total + 1, np.int64), self.asks(n)
-            h = self.hash[n - 1][at]
-            # A key of 128 bits for each n-gram in each document.
-            order = np.lexsort((h, self.doc[at]))
-            new = np.ones(len(at), bool)
-            new[1:] = (h[order][1:] != h[order][:-1]) | (self.doc[at][order][1:] != self.doc[at][order][:-1])
-            first = np.flatnonzero(new)
-            times = np.empty(len(at), np.int64)
-            times[order] = np.repeat(np.diff(np.append(first, len(at))), np.diff(np.append(first, len(at))))
-            out[at] = cells.lookup(own.keys, counts, h) - times if len(at) else 0
+        for n in self.orders(turn):
+            at, grams = self.asks(n)
+            out = np.zeros(self.total + 1, np.int64)
+            if len(at):
+                out[at] = cells.lookup(own.keys, counts, grams.keys)[grams.which] - grams.own(self.doc[at])
             self.others.append(out)
+            self.found[n] = at, None
 
     def scores(self, backoff: float) -> tuple[np.ndarray, np.ndarray]:
         """Log of S of each word, and whether no other document has the word."""
@@ -100,7 +98,7 @@ def lm_score(docs: DataFrame, order: int = 3, backoff: float = 0.4, bucket_bytes
     def told(table: pa.Table, replies: pa.Table, turns: int) -> Grams:
         g = Grams(table.column("text") if table.num_rows else pa.array([], pa.string()), order)
         for turn in range(turns):
-            own = g.keys(turn) if table.num_rows else cells.Keys(np.zeros(0, np.uint64))
+            own = g.keys(turn) if table.num_rows else cells.Keys(np.zeros(0, np.uint64), np.zeros(0, np.int64))
             mine = replies.filter(pc.equal(replies.column("turn"), turn)) if turns > 1 else replies
             g.learn(turn, own, cells.answers(own, mine, ranges[turn])[0])
         return g

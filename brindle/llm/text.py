@@ -176,6 +176,35 @@ def inside(first: np.ndarray, size: int, total: int) -> np.ndarray:
     return ok
 
 
+class Distinct:
+    """Distinct hashes in order, and which of them each of the given ones is."""
+
+    def __init__(self, h: np.ndarray):
+        order = np.argsort(h)
+        ranked = h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        self.keys, self.counts = ranked[new], np.diff(np.append(np.flatnonzero(new), len(h)))
+        self.which = np.empty(len(h), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+
+    def own(self, doc: np.ndarray) -> np.ndarray:
+        """How often each hash occurs in its own document."""
+        code = doc * len(self.keys) + self.which
+        order = np.argsort(code)
+        ranked = code[order]
+        first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(code) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(code)))
+        out = np.empty(len(code), np.int64)
+        out[order] = np.repeat(size, size)
+        return out
+
+    def pairs(self, doc: np.ndarray) -> np.ndarray:
+        """Documents, once for each of their different hashes."""
+        code = np.sort(doc * max(1, len(self.keys)) + self.which)
+        return code[np.append(True, code[1:] != code[:-1])] // max(1, len(self.keys)) if len(code) else code
+
+
 def batches(rows, limit: int = 2 << 20):
     """Cuts Arrow batches so that each holds at most ``limit`` text bytes, or one text. Column ``text`` must be there."""
     for batch in rows:
