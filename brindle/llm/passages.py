@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,6 @@ class Contexts:
         self.window, self.k, self.words = window, k, T.words(column)
         w, m = self.words, window - k + 1
         total = len(w.hash)
-        self._join()
         self.grams = T.runs(w.hash, k, salt=k)
         starts = np.flatnonzero(T.inside(w.first, window, total))
         if len(starts):
@@ -79,16 +79,23 @@ class Contexts:
         step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         return np.repeat(self.begin[which], each) + step, each, step
 
-    def _join(self) -> None:
-        """``flat``: all words, each followed by a space; ``text_at``: where each word begins there."""
+    @cached_property
+    def text_at(self) -> np.ndarray:
+        """Where each word begins in ``flat``."""
+        w = self.words
+        at = np.zeros(len(w.start) + 1, np.int64)
+        np.cumsum(w.end - w.start + 1, out=at[1:])
+        return at
+
+    @cached_property
+    def flat(self) -> bytes:
+        """All words, each followed by a space."""
         w = self.words
         size = w.end - w.start
-        at = np.zeros(len(size) + 1, np.int64)
-        np.cumsum(size + 1, out=at[1:])
-        out = np.full(at[-1], 32, np.uint8)
-        source = np.repeat(w.start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        out[source - np.repeat(w.start, size) + np.repeat(at[:-1], size)] = w.data[source]
-        self.flat, self.text_at = out, at
+        out = np.full(self.text_at[-1], 32, np.uint8)
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(self.text_at[:-1], size) + step] = w.data[np.repeat(w.start, size) + step]
+        return out.tobytes()
 
 
 def _ordered(table: pa.Table) -> pa.Table:
@@ -121,7 +128,7 @@ def repeated(
         bucket = table.column("bucket")[0].as_py() if table.num_rows else 0
         c = Contexts(_ordered(table).column("text"), window, k)
         c.chosen(keys, counts, hot)
-        raw, at = c.flat.tobytes(), c.text_at
+        raw, at = c.flat, c.text_at
         # Contexts with equal words are sent once, under the first of them.
         first: dict[tuple[int, bytes], list[int]] = {}
         for i, (key, a, b) in enumerate(zip(c.key.tolist(), at[c.begin].tolist(), (at[c.end] - 1).tolist(), strict=True)):
@@ -195,7 +202,7 @@ def _mark(c: Contexts, answers: pa.Table, edge: np.ndarray) -> None:
     read = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in answers.column(name)])
     place, size, mask = read("place", "<i8"), read("size", "<i2").astype(np.int64), np.unpackbits(read("mask", np.uint8))
     off = 8 * (np.cumsum((size + 7) // 8) - (size + 7) // 8)
-    window, raw, at = c.window, c.flat.tobytes(), c.text_at
+    window, raw, at = c.window, c.flat, c.text_at
     window_hash = T.runs(c.words.hash, window, salt=2)
 
     def hashes(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
