@@ -358,6 +358,24 @@ def test_sharding(docs):
     assert with_shard.columns == docs.columns and Counter((r.doc_id, r.shard) for r in with_shard.collect()) == Counter((r.doc_id, r.shard) for r in rows)
 
 
+def test_sharding_splits_equal_rows(spark):
+    """All rows but a few are equal: shards stay balanced, and slots have no gaps."""
+    d = spark.createDataFrame([(None, None, 1)] * 3000 + [(i, "abc", 2) for i in range(100)], "doc_id long, text string, place int").repartition(6)
+    n = Counter(r.shard for r in sharding.shard_slots(d).collect())
+    total = 3000 + 100 * 4
+    assert all(abs(v * (1 if s < 14 else 4) - total / 16) < total / 16 for s, v in n.items()) and len(n) == 16
+    slots = defaultdict(list)
+    for r in sharding.shard_slots(d).collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    out = sharding.with_shard(d)
+    # Of equal rows it is open which are where: sizes are near equal.
+    size = Counter()
+    for r in out.collect():
+        size[r.shard] += len(r.text or "") + 1
+    assert out.columns == ["doc_id", "text", "place", "shard"] and all(abs(v - total / 16) < total / 32 for v in size.values()) and len(size) == 16
+
+
 def test_near_duplicates(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 16))
@@ -366,9 +384,9 @@ def test_near_duplicates(spark):
     every = np.concatenate([x, near, hot, x[:20]]).astype(np.float32)
     labels = np.concatenate([rng.integers(0, 3, 300), rng.integers(0, 3, 60), np.zeros(80), rng.integers(0, 3, 20)]).astype(int)
     rows = [(i * 3, v.tolist(), int(k), "extra") for i, (v, k) in enumerate(zip(every, labels, strict=True))]
-    odd = [(9000, None, 0, ""), (9001, [0.0] * 16, 0, ""), (9002, [float("nan")] * 16, 0, ""), (9003, rows[0][1], None, ""), (9004, [], 0, ""), (9005, [1.0, None] * 8, 0, ""), (9006, [float("inf")] * 16, 0, ""), (9007, [1.0, 0.0], 0, ""), (None, rows[0][1], 0, "")]
+    odd = [(9000, None, 0, ""), (9001, [0.0] * 16, 0, ""), (9002, [float("nan")] * 16, 0, ""), (9003, rows[0][1], None, ""), (9004, [], 0, ""), (9005, [1.0, None] * 8, 0, ""), (9006, [float("inf")] * 16, 0, ""), (9007, [1.0, 0.0], 0, ""), (None, rows[0][1], 0, ""), (9008, [0.93, (1 - 0.93**2) ** 0.5], 0, ""), (9009, [2.0, 0.0], 0, ""), (9009, [2.0, 0.0], 0, "again")]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int, cell string")
-    good = {i: (np.array(v, np.float32).astype(float), k) for i, v, k, _ in rows} | {9007: (np.array([1.0, 0.0]), 0)}
+    good = {i: (np.array(v, np.float32).astype(float), k) for i, v, k, _ in [*rows, *odd[-3:], odd[7]]}
     n, root = Counter(), {i: i for i in [*good, *(r[0] for r in odd)]}
 
     def find(a):
@@ -386,12 +404,31 @@ def test_near_duplicates(spark):
                 p, q = find(a), find(b)
                 root[max(p, q)] = min(p, q)
     want = {i: (n[i], find(i), find(i) == i) for i in root if i is not None} | {None: (0, None, False)}
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df, block=16, per_cell=64).collect()}
+    every = embedding_dedup.near_duplicates(df, block=16, per_cell=64).collect()
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in every}
+    assert Counter(r.vec_id for r in every) == Counter(r[0] for r in rows + odd)
     linked = sum(v[0] for v in want.values())
     assert sum(v[0] for v in got.values()) >= 0.9 * linked and all(got[i][0] <= want[i][0] for i in want)
     assert got == want
 
 
+def test_recall_with_hundreds_of_cells(spark):
+    """Links and classes against brute force: nearly all through the nearest cells, all with the exact way."""
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(4000, 12))
+    x = np.concatenate([x, x[:1500] + rng.normal(size=(1500, 12)) * rng.choice([0.05, 0.2, 0.3], (1500, 1))]).astype(np.float32)
+    label = np.concatenate([np.arange(4000) % 2, np.arange(1500) % 2])
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    alike = (u @ u.T >= 0.93) & (label[:, None] == label[None, :])
+    want = alike.sum(axis=1) - 1
+    for options, least in (({"per_cell": 16}, 0.97), ({"reach": None}, 1.0)):
+        got = np.zeros(len(x), np.int64)
+        for r in embedding_dedup.near_duplicates(df, **options).select("vec_id", "n_links").collect():
+            got[r.vec_id] = r.n_links
+        assert (got <= want).all() and got.sum() >= least * want.sum()
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 200), (200, 150), (7, 7), (None, 3)] + [(500, i) for i in range(501, 560)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -878,6 +915,57 @@ def test_mixing_with_a_rare_domain(spark):
     assert sum(r.copies > 0 for r in got if truth[r.doc_id] == "clean") >= 0.97 * there["clean"]
 
 
+def direct_rates(q, n, w):
+    """Rates with the least objective, by cyclic exact minimisation of one rate after another."""
+    p, total = n @ q / n.sum(), n.sum()
+    r, gap = np.ones(len(q)), n @ q / n.sum() - w
+    for _ in range(4000):
+        before = r.copy()
+        for i in range(len(q)):
+            slope, curve = q[i] @ (gap / p) + mixing.RIDGE * (r[i] - 1), n[i] / total * (q[i] @ (q[i] / p)) + mixing.RIDGE
+            new = max(0.0, r[i] - slope / curve)
+            gap = gap + (new - r[i]) * n[i] / total * q[i]
+            r[i] = new
+        if np.abs(r - before).max() < 1e-10:
+            break
+    return r
+
+
+@pytest.mark.parametrize("sharpness", [0.3, 3.0])
+def test_solve_against_a_direct_solution(spark, sharpness):
+    """Posteriors that overlap a little and much, targets far from what is there; rates of the distributed steps are those of the optimum."""
+    rng = np.random.default_rng(17)
+    z = rng.normal(size=(60, 3)) * sharpness + np.array([1.0, 0.0, -1.0])
+    q = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    n = rng.integers(1, 400, 60).astype(float)
+    narrow = spark.createDataFrame([(i, int(m), x.tolist()) for i, (m, x) in enumerate(zip(n, q, strict=True))] + [(99, 0, [1.0, 0.0, 0.0])], "doc_id long, n long, q array<double>")
+    w = np.array([0.2, 0.5, 0.3])
+    found = mixing.solve(narrow, w, repeat=True)
+    r, best = mixing.rates(q, found["history"], found["eta"]), direct_rates(q, n, w)
+    assert np.abs(r - best).max() < 0.05 and found["moved"] < mixing.ENOUGH and (r >= 0).all()
+    assert np.abs((r * n) @ q / n.sum() - (best * n) @ q / n.sum()).max() < 1e-3 and np.abs(found["reached"] - (r * n) @ q / n.sum()).max() < 1e-9
+
+
+def test_regression_finds_the_least_loss():
+    rng = np.random.default_rng(2)
+    x = rng.random((300, 12)) < 0.3
+    own = (x[:, 0] * 1 + (x[:, 1] & ~x[:, 0]) * 2 + (rng.random(300) < 0.1)).clip(0, 2).astype(np.int64)
+    at, first = np.nonzero(x)[1], np.concatenate(([0], np.cumsum(x.sum(axis=1))))
+    w = mixing.regress(at, first, own, 12, 3, rounds=300)
+
+    def gradient(w):
+        gap = (mixing._softmax(x @ w[:-1] + w[-1]) - np.eye(3)[own]) / 300
+        return np.concatenate([x.T @ gap + 1e-4 * w[:-1], gap.sum(axis=0, keepdims=True)])
+
+    assert np.abs(gradient(w)).max() < 2e-3 < np.abs(gradient(np.zeros((13, 3)))).max()
+
+
+def test_totals_set_rates_beside_targets(spark):
+    m = spark.createDataFrame([(10, 2.0, 2, [0.5, 0.5]), (20, 0.5, 1, [0.0, 1.0])], "n_tokens long, rate double, copies int, posterior array<double>")
+    got = {r.domain: (r.target, round(r.expected, 6), round(r.drawn, 6)) for r in mixing.totals(m, ["a", "b"], {"a": 1.0, "b": 3.0}).collect()}
+    assert got == {"a": (0.25, round(10 / 30, 6), 0.25), "b": (0.75, round(20 / 30, 6), 0.75)}
+
+
 def test_empty_tables(spark, nothing):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([], "item_id long, text string")
