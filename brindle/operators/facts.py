@@ -63,7 +63,7 @@ class Module:
             return
         text, byte, line, col = without_deleted(source), 0, 1, 1
         for m in _TOKEN.finditer(text):
-            raw, size = m[0], len(m[0].encode())
+            raw, size = m[0], len(source[m.start() : m.end()].encode())  # a blanked block keeps its characters, not its bytes
             if m.lastgroup not in ("space", "comment"):
                 self.t.append((m.lastgroup, raw, byte, line, col, byte + size))
             byte += size

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
+from brindle.session import cut
 
 LEAST, MOST, USUAL = 1, 50, 10
+USUAL_DISTANCE = 4
 
 
 def bounded(limit: int | None) -> int:
@@ -35,11 +37,27 @@ def staged(catalog: DataFrame, query: str, limit: int | None = None) -> DataFram
     in_order = (T.words_in_order("name_ru", q) | T.words_in_order("name_en", q)) if len(words) > 1 else F.lit(False)
     stage = F.when(at_front, F.lit(1)).when(in_order, F.lit(2)).when(ru.contains(q) | en.contains(q), F.lit(3))
     found = catalog.withColumns({"name_key": ru, "stage": stage}).where(F.col("stage").isNotNull() & F.lit(bool(q)))
-    # One pass: the last stage counts only if no earlier one has found anything; one value, broadcast as a scalar.
-    earlier = found.agg(F.min("stage").alias("least"))
-    kept = found.join(F.broadcast(earlier), (F.col("stage") < 3) | (F.col("least") == 3)).drop("least")
-    one = kept.groupBy("kind", "name_key").agg(F.min("kind_rank").alias("kind_rank"), F.min("stage").alias("stage"), F.min_by("name_ru", F.struct("stage", "name_ru")).alias("name_ru"))
-    return one.orderBy("stage", "kind_rank", "name_key").limit(bounded(limit))
+    early = F.when(F.col("stage") < 3, F.col("kind_rank"))
+    one = found.groupBy("kind", "name_key").agg(F.coalesce(F.min(early), F.min("kind_rank")).alias("kind_rank"), F.min("stage").alias("stage"), F.min_by("name_ru", F.struct("stage", "name_ru")).alias("name_ru"))
+    # One pass: if an earlier stage has found anything, that is in front, and the last stage's rows leave what is returned.
+    first = one.orderBy("stage", "kind_rank", "name_key", "kind").limit(bounded(limit))
+    least = F.min("stage").over(Window.partitionBy(F.lit(1)))  # of at most MOST rows
+    return first.withColumn("_least", least).where((F.col("stage") < 3) | (F.col("_least") == 3)).drop("_least").orderBy("stage", "kind_rank", "name_key", "kind")
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "nth") -> DataFrame:
+    """Adds the place of each row in an order, from 0: rows are dealt into ranges once, and each range begins where the ones before it end."""
+    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    # One row for each partition.
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("_nth", within).join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_nth") - 1).drop("_part", "_nth", "_before")
+
+
+def paged(df: DataFrame, order: list[str], size: int = 400) -> DataFrame:
+    """Adds ``page``: all pages of a scan in order at once; the last one is the short one."""
+    return numbered(df, order, "page").withColumn("page", F.floor(F.col("page") / size))
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, query: str, name: str, order: str, within: int | None = None, by: list[str] | None = None) -> DataFrame:
@@ -49,12 +67,19 @@ def nearest(queries: DataFrame, candidates: DataFrame, query: str, name: str, or
     that can be near meet: the join is an equality on the length, so it scales with both sides.
     """
     by = by or []
+    if within is None:
+        # What is near is found by lengths; whoever has no near candidate, and only they, is compared with all.
+        near = nearest(queries, candidates, query, name, order, USUAL_DISTANCE, by)
+        rest = queries.join(near.select(*by, query), [*by, query], "left_anti")
+        b = candidates.select(*by, F.col(order).alias("_order"), F.col(name).alias("nearest"))
+        far = (rest.join(b, by) if by else rest.crossJoin(b)).withColumn("distance", F.levenshtein(F.lower(query), F.lower("nearest")))
+        far = far.groupBy(*by, query).agg(F.min(F.struct("distance", "_order", "nearest")).alias("best")).select(*by, query, "best.nearest", "best.distance")
+        return near.unionByName(far)
     a = queries.withColumn("_len", F.length(query))
     b = candidates.withColumn("_len", F.length(name))
-    if within is not None:
-        a = a.withColumn("_len", F.explode(F.sequence(F.greatest(F.col("_len") - within, F.lit(0)), F.col("_len") + within)))
-    pairs = a.join(b, ["_len", *by]) if within is not None else a.drop("_len").join(b.drop("_len"), by) if by else a.drop("_len").crossJoin(b.drop("_len"))
-    d = F.levenshtein(F.lower(query), F.lower(name), within) if within is not None else F.levenshtein(F.lower(query), F.lower(name))
+    a = a.withColumn("_len", F.explode(F.sequence(F.greatest(F.col("_len") - within, F.lit(0)), F.col("_len") + within)))
+    pairs = a.join(b, ["_len", *by])
+    d = F.levenshtein(F.lower(query), F.lower(name), within)
     scored = pairs.withColumn("distance", d).where("distance >= 0")
     return scored.groupBy(*by, query).agg(F.min(F.struct("distance", F.col(order).alias("_order"), F.col(name).alias("nearest"))).alias("best")).select(*by, query, "best.nearest", "best.distance")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.session import cut
+
 
 def rooted(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:
     """Nodes without id 0; a parent that doesn't exist is the root (0)."""
@@ -13,31 +15,37 @@ def rooted(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> Dat
     return real.join(parents, F.col(parent) == F.col("_p"), "left").withColumn(parent, F.coalesce("_p", F.lit(0))).drop("_p")
 
 
-def paths(nodes: DataFrame, node: str, parent: str, order: str, name: str, through: Column | None = None, max_depth: int = 64) -> DataFrame:
+def _levels(first: DataFrame, below, what: str, max_depth: int) -> DataFrame:
+    """All levels of a tree from the first one down. Each is computed once and kept, so a round joins one level only; more than ``max_depth`` levels are an error, not an end."""
+    level, out = cut(first), None
+    for _ in range(max_depth):
+        out = level if out is None else out.unionByName(level)
+        level = cut(below(level))
+        if level.isEmpty():
+            return out
+    raise ValueError(f"{what} is deeper than {max_depth} levels, or runs in a circle")
+
+
+def paths(nodes: DataFrame, node: str, parent: str, order: str, name: str, through: Column | None = None, max_depth: int = 1000) -> DataFrame:
     """``node, depth, path`` (orders from the root) and ``names`` of every node that the root reaches, in rounds over the levels.
 
-    ``through`` says which nodes are descended into; the others are leaves. A round joins one level with its children: rows of a level leave the loop once.
+    ``through`` says which nodes are descended into; the others are leaves.
     """
-    all_nodes = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(order).alias("ord"), F.col(name).cast("string").alias("name"), (through if through is not None else F.lit(True)).alias("open"))
-    level = all_nodes.where("parent = 0").select("node", F.lit(1).alias("depth"), F.array("ord").alias("path"), "name", F.col("name").alias("names"), "open")
-    out = level
-    for depth in range(2, max_depth + 1):
-        above = level.where("open").select(F.col("node").alias("parent"), "path", "names")
-        level = all_nodes.join(above, "parent").select("node", F.lit(depth).alias("depth"), F.concat("path", F.array("ord")).alias("path"), "name", F.concat_ws("/", "names", "name").alias("names"), "open")
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+    every = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(order).alias("ord"), F.col(name).cast("string").alias("name"), (through if through is not None else F.lit(True)).alias("open"))
+    first = every.where("parent = 0").select("node", F.lit(1).alias("depth"), F.array("ord").alias("path"), "name", F.col("name").alias("names"), "open")
 
+    def below(level: DataFrame) -> DataFrame:
+        above = level.where("open").select(F.col("node").alias("parent"), F.col("depth").alias("_depth"), F.col("path").alias("_path"), F.col("names").alias("_names"))
+        return every.join(above, "parent").select("node", (F.col("_depth") + 1).alias("depth"), F.concat("_path", F.array("ord")).alias("path"), "name", F.concat_ws("/", "_names", "name").alias("names"), "open")
 
-def trail(nodes: DataFrame, node: str, parent: str, max_depth: int = 64) -> DataFrame:
+    return _levels(first, below, "the hierarchy", max_depth)
+
+
+def trail(nodes: DataFrame, node: str, parent: str, max_depth: int = 1000) -> DataFrame:
     """``node, trail``: ids from the top (parent 0) down to each node that the root reaches."""
     links = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
-    level = links.where("parent = 0").select("node", F.array("node").alias("trail"))
-    out = level
-    for _ in range(max_depth):
-        level = links.join(level.select(F.col("node").alias("parent"), F.col("trail").alias("above")), "parent").select("node", F.concat("above", F.array("node")).alias("trail"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+
+    def below(level: DataFrame) -> DataFrame:
+        return links.join(level.select(F.col("node").alias("parent"), F.col("trail").alias("above")), "parent").select("node", F.concat("above", F.array("node")).alias("trail"))
+
+    return _levels(links.where("parent = 0").select("node", F.array("node").alias("trail")), below, "the hierarchy", max_depth)

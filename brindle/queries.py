@@ -137,9 +137,9 @@ def semi_known(spark, folder):
     return J.known(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), c, ["o_custkey"]).select("o_orderkey", "o_custkey")
 
 
-@query("select c_custkey, c_name from customer where not exists (select 1 from orders where c_custkey = o_custkey)")
+@query("select c_custkey, c_name from customer where not exists (select 1 from orders where c_custkey = o_custkey and o_orderpriority like '1%' and o_orderstatus = 'F')")
 def anti_unknown(spark, folder):
-    o = table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = table(spark, folder, "orders").where("o_orderpriority like '1%' and o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     return J.unknown(table(spark, folder, "customer").select("c_custkey", "c_name"), o, ["c_custkey"])
 
 
@@ -199,15 +199,14 @@ def merge_copies(spark, folder):
     return A.merge_copies(rows, ["l_orderkey", "l_suppkey"], "ord", ["l_partkey"], ["returned"])
 
 
-@query("""select o_orderkey, count(*) as n_lines, count(*) filter (where l_returnflag <> 'N') as least, bool_or(l_quantity >= 10 and l_quantity <= 12) as fits
+@query("""select o_orderkey, count(*) as n_lines, count(*) filter (where l_returnflag <> 'N') as least, bool_or(l_quantity >= 10) as fits
 from orders join lineitem on o_orderkey = l_orderkey group by o_orderkey""")
 def arity_exists(spark, folder):
-    lines = F.collect_list(F.struct((F.col("l_returnflag") != "N").alias("required"), F.col("l_quantity").alias("q")))
-    o = table(spark, folder, "orders").join(table(spark, folder, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(lines.alias("ps"))
-    return o.select(
-        "o_orderkey", F.size("ps").cast("long").alias("n_lines"), F.size(F.filter("ps", lambda x: x["required"])).cast("long").alias("least"),
-        F.exists("ps", lambda x: (x["q"] >= 10) & (x["q"] <= 12)).alias("fits"),
-    )
+    # Lines are overloads of one parameter range each; the operator asks whether one takes 10 to 12 arguments.
+    one = F.struct(F.array(F.struct(F.concat(F.lit("А1-А"), F.col("l_quantity").cast("int").cast("string")).alias("name"), F.lit(False).alias("required"))).alias("parameters"))
+    o = table(spark, folder, "orders").join(table(spark, folder, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey")
+    o = o.agg(F.collect_list(one).alias("signatures"), F.count("*").alias("n_lines"), F.count_if(F.col("l_returnflag") != "N").alias("least"))
+    return o.select("o_orderkey", "n_lines", "least", A.accepts(F.col("signatures"), F.lit(10)).alias("fits"))
 
 
 @query("""select nullif(regexp_extract(p_name, '^(\\w+) ', 1), '') as head, count(*) as n, count(distinct p_brand) as n_distinct, min(p_name) as sample from part group by 1 order by n desc, head nulls last limit 25""")
@@ -252,17 +251,10 @@ def union_distinct_names(spark, folder):
     return names[0].union(names[1]).union(names[2]).distinct()
 
 
-@query("select s_suppkey, s_name from supplier")
+@query("select s_suppkey, s_name, (row_number() over (order by s_name, s_suppkey) - 1) // 40 as page from supplier")
 def paged_scan_complete(spark, folder):
-    """Pages of 400 in name order until a short page; the union is the whole table."""
-    ordered = table(spark, folder, "supplier").select("s_suppkey", "s_name").orderBy("s_name", "s_suppkey")
-    pages, out = 0, None
-    while True:
-        page = ordered.offset(400 * pages).limit(400)
-        out = page if out is None else out.union(page)
-        pages += 1
-        if page.count() < 400:
-            return out
+    """Pages of 40 in name order, numbered in one pass; together they are the whole table."""
+    return L.paged(table(spark, folder, "supplier").select("s_suppkey", "s_name"), ["s_name", "s_suppkey"], 40)
 
 
 @query("""with recursive nodes as (select r_regionkey + 1 as id, 0 as parent, r_regionkey as ord, r_name as name from region union all select n_nationkey + 101, n_regionkey + 1, n_nationkey, n_name from nation
@@ -306,10 +298,10 @@ def line_split(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.length("line").cast("long").alias("n_chars"))
 
 
-@query("""select event_id, user_id from events e where not exists (select 1 from customer where c_custkey = user_id) and not exists (select 1 from supplier where s_suppkey = user_id)""")
+@query("""select event_id, user_id from events e where not exists (select 1 from customer where c_custkey = user_id and c_nationkey < 12) and not exists (select 1 from supplier where s_suppkey = user_id)""")
 def chained_anti(spark, folder):
     e = table(spark, folder, "events").select("event_id", "user_id")
-    c = table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"))
+    c = table(spark, folder, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("user_id"))
     s = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("user_id"))
     return J.unknown(J.unknown(e, c, ["user_id"]), s, ["user_id"]).select("event_id", "user_id")
 

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RESERVED = 2**31 - 1
 
@@ -113,10 +114,16 @@ def contents(text: str) -> list[tuple[int, int, int, str, str, str]]:
 
 
 TOC = "id int, parent_id int, ord int, ru string, en string, html_path string"
+BROKEN = (BadContainer, KeyError, zlib.error, IndexError, struct.error, zipfile.BadZipFile, UnicodeDecodeError, ValueError)
 
 
-def read_contents(spark: SparkSession, path: str, entity: str = "PackBlock") -> DataFrame:
-    """``path`` and the rows of ``TOC`` of all containers under a path; files that are no containers give none."""
+def containers(spark: SparkSession, path: str) -> DataFrame:
+    """``path, content`` of all files under a path."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def contents_of(files: DataFrame, entity: str = "PackBlock") -> DataFrame:
+    """``path`` and the rows of ``TOC`` of all containers among ``files(path, content)``; files that are no containers give none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -124,8 +131,55 @@ def read_contents(spark: SparkSession, path: str, entity: str = "PackBlock") ->
             for p, data in zip(frame["path"], frame["content"], strict=True):
                 try:
                     rows += [(p, *row) for row in contents(inflate_block(entities(bytes(data))[entity]))]
-                except (BadContainer, KeyError, zlib.error, IndexError, struct.error):
+                except BROKEN:
                     continue
             yield pd.DataFrame(rows, columns=["path", "id", "parent_id", "ord", "ru", "en", "html_path"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"path string, {TOC}")
+    return files.select("path", "content").mapInPandas(run, f"path string, {TOC}")
+
+
+def read_contents(spark: SparkSession, path: str, entity: str = "PackBlock") -> DataFrame:
+    return contents_of(containers(spark, path), entity)
+
+
+def pages_of(files: DataFrame, toc: DataFrame | None = None, entity: str = "FileStorage") -> DataFrame:
+    """``path, html_path, html``: pages in the archives of containers; with ``toc(path, html_path)`` those that it names, under its spelling of their paths."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for p, data in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    archive = entities(bytes(data))[entity]
+                    with zipfile.ZipFile(io.BytesIO(archive)) as z:
+                        names = [n for n in z.namelist() if not n.endswith("/")]
+                    rows = [(p, *row) for row in pages(archive, names)]
+                except BROKEN:
+                    continue
+                yield pd.DataFrame(rows, columns=["path", "html_path", "html"])
+
+    every = files.select("path", "content").mapInPandas(run, "path string, html_path string, html string")
+    if toc is None:
+        return every
+    bare = F.regexp_replace("html_path", "^/+", "")
+    named = toc.where("html_path <> ''").select("path", bare.alias("bare"), "html_path").distinct()
+    return named.join(every.select("path", bare.alias("bare"), "html"), ["path", "bare"]).select("path", "html_path", "html")
+
+
+def pack(bodies: dict[str, bytes]) -> bytes:
+    """A container with these entities (the format in the other direction)."""
+    number = lambda n: b"%08x\r" % n
+    head = bytes(18) + number(12 * len(bodies)) + number(12 * len(bodies)) + bytes(11)
+    at, records, tail = len(head) + 12 * len(bodies), b"", b""
+    for name, body in bodies.items():
+        raw = name.encode("utf-16-le")
+        first, second = bytes(2) + number(len(raw) + 24) + bytes(40) + raw, bytes(2) + number(len(body)) + bytes(20) + body
+        records += struct.pack("<iii", at, at + len(first), RESERVED)
+        tail += first + second
+        at += len(first) + len(second)
+    return head + records + tail
+
+
+def deflate_block(text: str) -> bytes:
+    """A zip stream of one entry, without a directory."""
+    c = zlib.compressobj(wbits=-15)
+    return b"PK\x03\x04" + bytes(22) + struct.pack("<HH", 0, 0) + c.compress(text.encode()) + c.flush()

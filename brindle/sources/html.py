@@ -43,13 +43,20 @@ class _Events(HTMLParser):
         self.events.append(("text", "", data))
 
 
+def _text(events: list) -> str:
+    return one_space("".join(x for what, _, x in events if what == "text"))
+
+
 def text_of(html: str) -> str:
-    return one_space("".join(x for what, _, x in _Events(html or "").events if what == "text"))
+    return _text(_Events(html or "").events)
 
 
 def chapters(html: str) -> list[tuple[str, str]]:
     """(title, html) of each chapter of the body: one begins at every rule and at every chapter heading; the first has no title."""
-    events = _Events(html or "").events
+    return _chapters(_Events(html or "").events)
+
+
+def _chapters(events: list) -> list[tuple[str, str]]:
     names = [n for w, n, _ in events if w == "open"]
     inside, depth, out, body, title, skipping = "body" not in names, 0, [], [], "", None
     for what, name, x in events:
@@ -83,9 +90,13 @@ def chapters(html: str) -> list[tuple[str, str]]:
 
 
 def markdown(html: str) -> str:
+    return _markdown(_Events(html or "").events)
+
+
+def _markdown(events: list) -> str:
     out: list[str] = []
     level, pre, anchor = 0, False, None
-    for what, name, x in _Events(html or "").events:
+    for what, name, x in events:
         if what == "text":
             (anchor[1] if anchor else out).append(x)
         elif name == "a":
@@ -120,13 +131,14 @@ def markdown(html: str) -> str:
 
 
 def parse_pages(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """``key, text, markdown, chapters array<struct<ord, title, body>>`` of each page."""
+    """``key, text, markdown, chapters array<struct<ord, title, body>>`` of each page; a page is read once for all three."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            read = [_Events(x or "").events for x in frame[html]]
             yield pd.DataFrame({
-                key: frame[key], "text": frame[html].map(text_of), "markdown": frame[html].map(markdown),
-                "chapters": frame[html].map(lambda x: [{"ord": i, "title": t, "body": b} for i, (t, b) in enumerate(chapters(x))]),
+                key: frame[key], "text": [_text(e) for e in read], "markdown": [_markdown(e) for e in read],
+                "chapters": [[{"ord": i, "title": t, "body": b} for i, (t, b) in enumerate(_chapters(e))] for e in read],
             })
 
     kind = pages.schema[key].dataType.simpleString()
