@@ -12,12 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle import corpus
+from brindle import api, corpus
 from brindle.operators import aggregates as A
 from brindle.operators import facts, inference
 from brindle.plans import module_rules, query_rules, query_text
-from brindle.session import cut, ship
-from brindle.sources import dump, help_container, help_pages, html
+from brindle.functions import text as X
+from brindle.session import cut, shared_folder, ship
+from brindle.sources import catalog as help_catalog
+from brindle.sources import dump, help_container, help_pages, html, payloads, remote, sqlite_index
 from brindle.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -471,3 +473,159 @@ def arity_overloads(spark, folder):
     two = F.struct(F.array(F.struct(F.lit("А").alias("name"), F.lit(True).alias("required")), F.struct(F.lit("Б1-Б2").alias("name"), F.lit(True).alias("required"))).alias("parameters"))
     rows = table(spark, folder, "lineitem").withColumns({"n": (1 + F.col("l_orderkey") % 3).cast("int"), "s": F.when(F.col("l_linenumber") % 2 == 0, F.array(first, second)).otherwise(F.array(two))})
     return rows.select("l_orderkey", "l_linenumber", A.accepts(F.col("s"), F.col("n")).alias("fits"), A.accepts(F.array(second), F.col("n"), F.lit("Макс")).alias("fits_any"), A.expected(F.col("s"), F.lit("Ф")).alias("expected"))
+
+
+@query("""with t as (select c_custkey, c_custkey % 5 as k, 'РегистрСведений.' || c_mktsegment as full_name, c_name from customer)
+select c_custkey, case when k in (0, 1) then [regexp_replace(full_name, '^[^.]*\\.', ''), c_name] end as names, k in (0, 1) as trusted from t""")
+def payload_rows(spark, folder):
+    """Answers of a remote index, plain and as a stream of events; those that were cut in any way are unknown, not empty."""
+    c = table(spark, folder, "customer").select("c_custkey", (F.col("c_custkey") % 5).alias("k"), F.concat(F.lit("РегистрСведений."), F.col("c_mktsegment")).alias("full_name"), "c_name")
+    rows = F.array(F.array("full_name"), F.array("c_name"))
+    inner = F.to_json(F.struct(rows.alias("rows"), F.when(F.col("k") == 2, F.lit(True)).alias("truncated"), F.when(F.col("k") == 3, F.lit(7)).alias("rows_truncated")))
+    text = F.to_json(F.struct(inner.alias("result"), F.when(F.col("k") == 4, F.lit(1)).alias("response_truncated")))
+    whole = F.to_json(F.struct(F.struct(F.array(F.struct(text.alias("text"))).alias("content")).alias("result")))
+    payload = F.when(F.col("k") == 1, F.concat(F.lit("event: message\ndata:\ndata: "), whole, F.lit("\n\n"))).otherwise(whole)
+    return c.select("c_custkey", payloads.object_names(payload).alias("names"), payloads.trusted(payload).alias("trusted"))
+
+
+@query("""select s_suppkey, case s_suppkey % 3 when 0 then 'known' when 1 then 'unknown' else 'unrecognized' end as answer from supplier""")
+def source_probe(spark, folder):
+    """What a source answers when it is asked for a repository at connect."""
+    k = F.col("s_suppkey") % 3
+    inner = F.when(k == 0, F.to_json(F.struct(F.col("s_name").alias("repo")))).when(k == 1, F.to_json(F.struct(F.concat(F.lit("Неизвестный repo: "), F.col("s_name"), F.lit(". Есть: a, b")).alias("message")))).otherwise(F.lit("{}"))
+    payload = F.to_json(F.struct(F.struct(F.array(F.struct(F.to_json(F.struct(inner.alias("result"))).alias("text"))).alias("content")).alias("result")))
+    return table(spark, folder, "supplier").select("s_suppkey", payloads.repository_answer(payload, F.col("s_name")).alias("answer"))
+
+
+@query("""select p_partkey, p_size % 2 = 0 as is_export, case when p_size % 2 = 0 then lower(p_name) end as name_lower from part""")
+def export_marks(spark, folder):
+    """Names whose signature ends in the export mark; a parameter of that name doesn't count."""
+    summary = table(spark, folder, "part").select("p_partkey", F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string")).alias("name"), F.when(F.col("p_size") % 2 == 0, "(А) Экспорт").otherwise("(Экспорт, Б)").alias("args"))
+    found = payloads.exported(summary).withColumn("p_partkey", F.element_at(F.split("name_lower", "#"), -1).cast("long"))
+    told = summary.select("p_partkey").join(found, "p_partkey", "left")
+    return told.select("p_partkey", F.col("name_lower").isNotNull().alias("is_export"), F.regexp_replace("name_lower", "#[0-9]+$", "").alias("name_lower"))
+
+
+@query("""select s_suppkey, ['А' || s_suppkey, 'В'] as names from supplier where s_suppkey % 2 = 0 union all select s_suppkey, [] from supplier where s_suppkey % 2 = 1""")
+def declared_variables(spark, folder):
+    """Variables that lines of an application module export; a comment declares none."""
+    line = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "Перем А").otherwise("// Перем А"), F.col("s_suppkey").cast("string"), F.lit(" Экспорт, Б, В Экспорт; // x"))
+    return table(spark, folder, "supplier").select("s_suppkey", payloads.global_variables(line).alias("names"))
+
+
+@query("""select c_custkey, case when c_custkey % 4 = 0 then [lower(c_mktsegment)] else [] end as dimensions, 'Balance' as register_type from customer""")
+def object_schemas(spark, folder):
+    """Fields of objects out of a JSON description."""
+    dimension = F.when(F.col("c_custkey") % 4 == 0, F.array(F.struct(F.col("c_mktsegment").alias("name"), F.lit("Index").alias("indexing")))).otherwise(F.array().cast("array<struct<name: string, indexing: string>>"))
+    json = F.to_json(F.struct(dimension.alias("dimensions"), F.struct(F.lit("Balance").alias("RegisterType")).alias("properties")))
+    schema = payloads.object_schema(json)
+    return table(spark, folder, "customer").select("c_custkey", F.transform(schema["dimensions"], lambda x: F.lower(x["name"])).alias("dimensions"), schema["properties"]["RegisterType"].alias("register_type"))
+
+
+@query("""select n_name as asked, lower(n_name) as name_lower, n_nationkey % 2 = 0 as found from nation""")
+def remote_search(spark, folder):
+    """Fuzzy answers of a remote search are filtered exactly: the name itself, exported, of a global common module."""
+    n = table(spark, folder, "nation").select("n_name", "n_nationkey")
+    hits = n.select(F.col("n_name").alias("asked"), F.explode(F.array(
+        F.struct(F.upper("n_name").alias("name"), F.concat(F.lit("base/CommonModules/М"), F.col("n_nationkey").cast("string"), F.lit("/Ext/Module.bsl")).alias("path"), F.when(F.col("n_nationkey") % 2 == 0, "(А) Экспорт").otherwise("(А)").alias("args")),
+        F.struct(F.concat("n_name", F.lit("2")).alias("name"), F.lit("base/CommonModules/М0/Ext/Module.bsl").alias("path"), F.lit("() Экспорт").alias("args")),
+        F.struct(F.col("n_name").alias("name"), F.lit("base/Documents/Д/Ext/ObjectModule.bsl").alias("path"), F.lit("() Экспорт").alias("args")),
+    )).alias("h")).select("asked", "h.*")
+    marks = n.select(F.concat(F.lit("base/CommonModules/М"), F.col("n_nationkey").cast("string"), F.lit(".xml")).alias("path"), F.lit("<Global>true</Global>").alias("source"))
+    found = remote.global_exports(hits, marks)
+    return n.select(F.col("n_name").alias("asked")).join(found.withColumn("found", F.lit(True)), "asked", "left").select("asked", F.lower("asked").alias("name_lower"), F.coalesce("found", F.lit(False)).alias("found"))
+
+
+@query("""select 'ф' || n_nationkey as method_lower from nation where n_nationkey % 2 = 0 and n_nationkey % 3 > 0""")
+def foreign_global_exports(spark, folder):
+    """A foreign SQLite index with compressed texts: exports of the modules whose description marks them as global, in one join."""
+    import sqlite3
+    import uuid
+
+    import zstandard
+
+    ship(spark)
+    path = f"{shared_folder(spark).removeprefix('file:')}/foreign-{uuid.uuid4().hex}.db"
+    rows = table(spark, folder, "nation").select("n_nationkey").collect()  # a table of 25 rows
+    with sqlite3.connect(path) as con:
+        con.execute("create table files(id integer, path text)")
+        con.execute("create table file_contents(file_id integer, content_blob blob, oversize integer)")
+        con.execute("create table functions(file_id integer, name text, args text)")
+        for (k,) in rows:
+            con.executemany("insert into files values (?, ?)", [(2 * k, f"base/CommonModules/М{k}.xml"), (2 * k + 1, f"base/CommonModules/М{k}/Ext/Module.bsl")])
+            con.execute("insert into file_contents values (?, ?, ?)", (2 * k, zstandard.compress(f"<x><Global>{'true' if k % 2 == 0 else 'false'}</Global></x>".encode()), 0))
+            con.executemany("insert into functions values (?, ?, ?)", [(2 * k + 1, f"Ф{k}", "(А) Экспорт" if k % 3 else "(Экспорт)"), (2 * k + 1, "Внутри", "()")])
+    con.close()
+    return sqlite_index.global_exports(spark, path)
+
+
+_PATHS = ["base/Catalogs/К{n}/Forms/Ф/Ext/Form/Module.bsl", "BASE\\COMMONFORMS\\Ф{n}\\Ext\\Form\\Module.bsl", "external/О{n}/Form/Ф/Form.obj.bsl", "base/CommonModules/М{n}/Ext/Module.bsl", "base/CommonModules/М{n}.xml", "base/Catalogs/К{n}/Ext/ManagerModule.bsl"]
+
+
+@query(f"""with p as (select c_custkey as id, replace(path, '{{n}}', c_custkey::varchar) as path, case_no from customer join {values(list(enumerate(_PATHS)), "case_no, path")} on case_no = c_custkey % {len(_PATHS)})
+select id, path, case_no <= 2 as is_form, case_no = 3 as is_common, case when case_no = 4 then 'base/CommonModules/М' || id || '/Ext/Module.bsl' end as module_path, case when case_no = 3 then 'base/CommonModules/М' || id || '.xml' end as xml_path,
+case case_no when 0 then 'Form' when 1 then 'Other' when 2 then 'Form' when 3 then 'Module' when 4 then 'Other' else 'ManagerModule' end as module_type from p""")
+def path_kinds(spark, folder):
+    """What paths of modules say: forms, common modules, pairs of module and description."""
+    cases = spark.createDataFrame(list(enumerate(_PATHS)), "case_no int, path string")
+    c = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % len(_PATHS)).cast("int").alias("case_no")).join(F.broadcast(cases), "case_no")
+    c = c.withColumn("path", F.replace("path", F.lit("{n}"), F.col("id").cast("string")))
+    p = F.col("path")
+    kind = F.when(F.col("case_no") == 1, F.lit("Other")).otherwise(dump.classify(p)["module_type"])
+    return c.select("id", "path", X.form_module(p).alias("is_form"), X.common_module(p).alias("is_common"), X.module_of_xml(p).alias("module_path"), X.xml_of_module(p).alias("xml_path"), kind.alias("module_type"))
+
+
+@query("""select p_partkey, case when p_partkey % 3 = 0 then p_name when p_partkey % 3 = 1 then p_name || ' (' || p_type || ')' else p_name end as ru, case when p_partkey % 3 = 0 then p_type else '' end as en, case when p_partkey % 2 = 0 then p_size end as upper, p_name || ' ' || p_type as one_space from part""")
+def name_parts(spark, folder):
+    """Two names of a title (letters of the second are Latin), the upper end of a range parameter, single spaces."""
+    k = F.col("p_partkey") % 3
+    title = F.when(k == 0, F.format_string("%s (%s)", "p_name", "p_type")).when(k == 1, F.format_string("%s (%s) (Ж)", "p_name", "p_type")).otherwise(F.col("p_name"))
+    both = X.two_names(title)
+    parameter = F.when(F.col("p_partkey") % 2 == 0, F.format_string("Значение1-Значение%d", "p_size")).otherwise("Значение")
+    ru = F.regexp_replace(both["ru"], r" \(Ж\)$", "")
+    return table(spark, folder, "part").select("p_partkey", ru.alias("ru"), both["en"].alias("en"), X.range_upper(parameter).alias("upper"), X.one_space(F.format_string("  %s \n\t %s ", "p_name", "p_type")).alias("one_space"))
+
+
+@query("""select 'type' as what, lower(r_name) as owner, r_name as name, null as detail from region union all select 'method', lower(r_name), n_name, 'Тип' || n_nationkey from nation join region on n_regionkey = r_regionkey where n_nationkey % 2 = 0
+union all select 'property', lower(r_name), n_name, 'Вид' || n_nationkey from nation join region on n_regionkey = r_regionkey where n_nationkey % 2 = 1""")
+def catalog_of_help(spark, folder):
+    """Types of the regions with their nations as members, out of contents and pages."""
+    ship(spark)
+    r, n = table(spark, folder, "region"), table(spark, folder, "nation")
+    part = F.when(F.col("n_nationkey") % 2 == 0, "methods").otherwise("properties")
+    toc = spark.createDataFrame([(1, 0, 0, "Прочее", "", "/objects/catalog1.html")], "id long, parent_id long, ord long, ru string, en string, html_path string")
+    toc = toc.unionByName(r.select((F.col("r_regionkey") + 10).cast("long").alias("id"), F.lit(1).cast("long").alias("parent_id"), F.col("r_regionkey").cast("long").alias("ord"), F.col("r_name").alias("ru"), F.lit("").alias("en"), F.format_string("/objects/r%d.html", "r_regionkey").alias("html_path")))
+    toc = toc.unionByName(n.select((F.col("n_nationkey") + 100).cast("long").alias("id"), (F.col("n_regionkey") + 10).cast("long").alias("parent_id"), F.col("n_nationkey").cast("long").alias("ord"), F.col("n_name").alias("ru"), F.lit("").alias("en"), F.format_string("/objects/r%d/%s/n%d.html", "n_regionkey", part, "n_nationkey").alias("html_path")))
+    head = '<html><body><p class="V8SH_heading">%s</p>'
+    method = F.format_string(head + '<p class="V8SH_chapter">Синтаксис:</p>Ф()<p class="V8SH_chapter">Возвращаемое значение:</p>Тип: Тип%d. Д.</body></html>', "n_name", "n_nationkey")
+    other = F.format_string(head + '<p class="V8SH_chapter">Описание:</p>Тип: Вид%d. Д.</body></html>', "n_name", "n_nationkey")
+    pages = r.select(F.format_string("objects/r%d.html", "r_regionkey").alias("html_path"), F.format_string(head + "</body></html>", "r_name").alias("html"))
+    pages = pages.unionByName(n.select(F.format_string("objects/r%d/%s/n%d.html", "n_regionkey", part, "n_nationkey").alias("html_path"), F.when(F.col("n_nationkey") % 2 == 0, method).otherwise(other).alias("html")))
+    t = help_catalog.load(toc, pages)
+    types = t["types"].select(F.lit("type").alias("what"), F.col("type_lower").alias("owner"), F.col("type_name").alias("name"), F.lit(None).cast("string").alias("detail"))
+    return types.unionByName(t["members"].select(F.col("kind").alias("what"), F.col("type_lower").alias("owner"), F.col("member_name").alias("name"), F.col("value_type").alias("detail")))
+
+
+@query("""select c_nationkey, count(*) as n, count(distinct c_mktsegment) as kinds from customer group by c_nationkey order by n desc, c_nationkey limit 10""")
+def most_findings(spark, folder):
+    """The ten with most rows, as a run lists modules."""
+    found = corpus.most_findings(table(spark, folder, "customer").select(F.col("c_nationkey").alias("module_id"), F.col("c_mktsegment").alias("kind")))
+    return found.withColumnRenamed("module_id", "c_nationkey")
+
+
+@query("""select count(distinct c_mktsegment) as enumerations, count(distinct c_nationkey) - count(distinct case when c_nationkey < 5 then c_nationkey end) as others from customer""")
+def catalog_counts(spark, folder):
+    """Types of a catalog that have values, and those that have none."""
+    c = table(spark, folder, "customer")
+    types = c.select(F.lower("c_mktsegment").alias("type_lower"), F.lit(True).alias("is_enum")).union(c.where("c_nationkey >= 5").select(F.col("c_nationkey").cast("string"), F.lit(False))).distinct()
+    return A.type_counts(types)
+
+
+@query("""select n_name, '# ' || n_name || ' (' || r_name || ')' || chr(10) || chr(10) || '*method*' || chr(10) || chr(10) || '`' || n_name || '(А, [Б' || n_nationkey || '])`' || chr(10) || '- `А`' || chr(10) || '- `Б' || n_nationkey || '` (optional)' || chr(10) || chr(10) || 'Returns: Тип' || n_regionkey as card
+from nation join region on n_regionkey = r_regionkey""")
+def method_cards(spark, folder):
+    """Cards of methods as Markdown."""
+    n = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    one = F.struct(F.array(F.struct(F.lit("А").alias("name"), F.lit(True).alias("required")), F.struct(F.format_string("Б%d", "n_nationkey").alias("name"), F.lit(False).alias("required"))).alias("parameters"))
+    rows = n.select(F.col("n_name").alias("name_ru"), F.col("r_name").alias("name_en"), F.lit("method").alias("kind"), F.array(one).alias("signatures"), F.format_string("Тип%d", "n_regionkey").alias("return_type")).collect()  # 25 rows
+    return spark.createDataFrame([(r.name_ru, api.card(r)) for r in rows], "n_name string, card string")

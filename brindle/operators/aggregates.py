@@ -51,6 +51,11 @@ def expected(signatures: Column, name: Column) -> Column:
     return F.array_join(F.transform(signatures, one), " / ")
 
 
+def type_counts(types: DataFrame) -> DataFrame:
+    """One row: how many types of a catalog are enumerations, and how many others there are."""
+    return types.agg(F.count_if("is_enum").alias("enumerations"), F.count_if(~F.col("is_enum")).alias("others"))
+
+
 def tally(rows: DataFrame, group: Column, name: str, distinct: str, limit: int, sample: str | None = None) -> DataFrame:
     """Count, distinct count and least sample for each group, largest first."""
     aggs = [F.count("*").alias("n"), F.countDistinct(distinct).alias("n_distinct")] + ([F.min(sample).alias("sample")] if sample else [])

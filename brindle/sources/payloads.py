@@ -45,7 +45,7 @@ def object_schema(json: Column) -> Column:
     return F.from_json(json, FIELDS)
 
 
-def repository_answer(payload: Column, name: str) -> Column:
+def repository_answer(payload: Column, name: Column | str) -> Column:
     """``known``, ``unknown`` (with names to choose from in its message) or ``unrecognized``, which must not block."""
     inner = body(payload)
     return F.when(F.get_json_object(inner, "$.repo") == name, "known").when(F.get_json_object(inner, "$.message").contains("Неизвестный repo"), "unknown").otherwise("unrecognized")
