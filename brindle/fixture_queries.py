@@ -629,3 +629,16 @@ def method_cards(spark, folder):
     one = F.struct(F.array(F.struct(F.lit("А").alias("name"), F.lit(True).alias("required")), F.struct(F.format_string("Б%d", "n_nationkey").alias("name"), F.lit(False).alias("required"))).alias("parameters"))
     rows = n.select(F.col("n_name").alias("name_ru"), F.col("r_name").alias("name_en"), F.lit("method").alias("kind"), F.array(one).alias("signatures"), F.format_string("Тип%d", "n_regionkey").alias("return_type")).collect()  # 25 rows
     return spark.createDataFrame([(r.name_ru, api.card(r)) for r in rows], "n_name string, card string")
+
+
+_JOINED = 'Т = "ВЫБРАТЬ ""{n}""\n\t|ИЗ Справочник.А КАК А\n\t// {s}\n\t|" + "¦ЛЕВОЕ СОЕДИНЕНИЕ Справочник.Б КАК Б\n\t|ПО А.Х = Б.Х ИЛИ А.У = Б.У"; Сообщить(1);'
+
+
+@query(f"""with m as (select id, split_part(replace(replace('{_JOINED}', '{{n}}', id::varchar), '{{s}}', s), '¦', 1) as before from ({CUSTOMERS}))
+select id as module_id, (length(before) - length(replace(before, chr(10), '')) + 1)::int as line, (length(before) - length(regexp_replace(before, '[^\n]*$', '')) + 1)::int as col, 'or_in_join_condition' as kind, 'Б' as name from m""")
+def query_findings_in_modules(spark, folder):
+    """Findings of query texts at their places in modules: over several lines, with comments between, doubled quotes and joined literals."""
+    ship(spark)
+    text = F.replace(F.replace(F.lit(_JOINED.replace("¦", "")), F.lit("{n}"), F.col("id").cast("string")), F.lit("{s}"), F.col("s"))
+    modules = customers(spark, folder).select(F.col("id").alias("module_id"), text.alias("source"))
+    return corpus.validate(modules, catalog(spark)).select("module_id", "line", "col", "kind", "name")

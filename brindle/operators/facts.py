@@ -43,10 +43,20 @@ def without_deleted(source: str) -> str:
     return _DELETED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
 
 
+_JOINT = re.compile(r'""|\n[ \t]*(?://[^\n]*\n[ \t]*)*\|')
+
+
+def pieces(raw: str) -> list[tuple[int, str]]:
+    """Parts of a string literal as (byte in it, value): doubled quotes are one, continuation bars and comments between lines go, and each begins a part of its own."""
+    end, at, out = len(raw) - (len(raw) > 1 and raw.endswith('"')), 1, []
+    for m in _JOINT.finditer(raw, 1, end):
+        out += [(at, raw[at : m.start()]), (m.start(), m[0][0])]
+        at = m.end()
+    return [(len(raw[:i].encode()), x) for i, x in [*out, (at, raw[at:end])] if x]
+
+
 def literal(raw: str) -> str:
-    """Value of a string literal: doubled quotes are one, continuation bars and comments between lines go."""
-    body = raw[1:-1] if len(raw) > 1 and raw.endswith('"') else raw[1:]
-    return re.sub(r"\n[ \t]*(?://[^\n]*\n[ \t]*)*\|", "\n", body).replace('""', '"')
+    return "".join(x for _, x in pieces(raw))
 
 
 class Module:
@@ -188,9 +198,9 @@ class Module:
                 continue
             first, text, spans = i, "", []
             while True:
-                value = literal(self.t[i][1])
-                spans.append(f"{len(text.encode())}:{self.t[i][2] + 1}:{len(value.encode())}")
-                text += value
+                for byte, value in pieces(self.t[i][1]):
+                    spans.append(f"{len(text.encode())}:{self.t[i][2] + byte}:{len(value.encode())}")
+                    text += value
                 if self.is_sign(i + 1, "+") and i + 2 < len(self.t) and self.t[i + 2][0] == "text":
                     i += 2
                     continue

@@ -117,17 +117,14 @@ def _by_groups(modules: DataFrame, types: DataFrame, methods: DataFrame, members
 
 def infer(modules: DataFrame, types: DataFrame, methods: DataFrame, members: DataFrame, level: int = 3) -> DataFrame:
     """``module_id, start, end, name_lower, type_lower``. types(type_lower, is_enum), methods(method_lower, return_type), members(type_lower, member_lower, value_type)."""
-    words = None
-    told = []
-    for catalog, name in ((types, "type_lower"), (methods, "method_lower"), (members, "member_lower")):
-        if catalog.limit(MOST + 1).count() > MOST:
-            if words is None:
-                words = cut(modules.select(F.explode(F.array_distinct(F.split(F.lower("source"), r"(?U)\W+"))).alias("word")).distinct())
-            catalog = catalog.join(words.withColumnRenamed("word", name), name, "left_semi")
-        told.append(catalog)
-    types, methods, members = told
-    if any(x.limit(MOST + 1).count() > MOST for x in told):
-        return _by_groups(modules, types, methods, members, level)
+    every, words = (types, methods, members), None
+    if any(x.limit(MOST + 1).count() > MOST for x in (methods, members)):
+        # Types aren't cut: members give types that no module mentions.
+        words = cut(modules.select(F.explode(F.array_distinct(F.split(F.lower("source"), r"(?U)\W+"))).alias("word")).distinct())
+        methods = methods.join(words.withColumnRenamed("word", "method_lower"), "method_lower", "left_semi")
+        members = members.join(words.withColumnRenamed("word", "member_lower"), "member_lower", "left_semi")
+    if any(x.limit(MOST + 1).count() > MOST for x in (types, methods, members)):
+        return _by_groups(modules, *every, level)
     spark = modules.sparkSession
     listed = types.select("type_lower", "is_enum").collect()
     told = spark.sparkContext.broadcast((

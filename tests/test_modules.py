@@ -39,8 +39,10 @@ def test_query_texts_and_spans():
     source = 'Т = "ВЫБРАТЬ\n\t|  ""а""\n\t// примечание\n\t|ИЗ Б" + " ГДЕ В"; Х = "не запрос";'
     (q,) = rows(source, "query")
     assert q[1] == 'ВЫБРАТЬ\n  "а"\nИЗ Б ГДЕ В'
-    offset, module, length = map(int, q[10].split(",")[1].split(":"))
-    assert q[1].encode()[offset : offset + length].decode() == " ГДЕ В" == source.encode()[module : module + length].decode()
+    spans = [tuple(map(int, x.split(":"))) for x in q[10].split(",")]
+    assert all(q[1].encode()[o : o + n] == source.encode()[m : m + n] for o, m, n in spans) and sum(n for _, _, n in spans) == len(q[1].encode())
+    offset, _, length = spans[-1]
+    assert q[1].encode()[offset : offset + length].decode() == " ГДЕ В"
 
 
 def test_deleted_and_binary():

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators import aggregates as A
@@ -64,3 +65,25 @@ def test_tree_reparents_orphans(spark):
     n = spark.createDataFrame([(1, 0, 0, "a"), (2, 1, 1, "b"), (3, 99, 2, "c"), (0, 0, 3, "root")], "id long, parent_id long, ord long, name string")
     got = {r.node: (r.depth, r.names) for r in tree.paths(tree.rooted(n), "id", "parent_id", "ord", "name").collect()}
     assert got == {1: (1, "a"), 2: (2, "a/b"), 3: (1, "c")}
+
+
+def test_deep_trees_are_whole_and_circles_an_error(spark):
+    chain = spark.createDataFrame([(i, i - 1, 0, str(i)) for i in range(1, 8)], "id long, parent_id long, ord long, name string")
+    assert tree.paths(chain, "id", "parent_id", "ord", "name").count() == 7 == tree.trail(chain, "id", "parent_id").count()
+    for few in (tree.paths, tree.trail):
+        with pytest.raises(ValueError):
+            few(chain, "id", "parent_id", *(["ord", "name"] if few is tree.paths else []), max_depth=4)
+    part = tree.paths(chain, "id", "parent_id", "ord", "name", through=F.col("id") < 3)
+    assert {r.node for r in part.collect()} == {1, 2, 3}
+
+
+def test_pages_and_places(spark):
+    rows = spark.createDataFrame([(i * 7 % 50, "x") for i in range(50)], "k int, x string").repartition(5)
+    assert {r.k: r.nth for r in L.numbered(rows, ["k"]).collect()} == {k: k for k in range(50)}
+    assert {r.k: r.page for r in L.paged(rows, ["k"], 20).collect()} == {k: k // 20 for k in range(50)}
+
+
+def test_nearest_without_a_bound(spark):
+    q = spark.createDataFrame([("abcd",), ("zzzzzzzzzzzzzzzz",)], "q string")
+    c = spark.createDataFrame([(1, "abce"), (2, "abcdefghijk")], "ord int, name string")
+    assert {(r.q, r.nearest, r.distance) for r in L.nearest(q, c, "q", "name", "ord").collect()} == {("abcd", "abce", 1), ("zzzzzzzzzzzzzzzz", "abce", 16)}

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from brindle import api, config, corpus
 from brindle.operators import inference
-from brindle.sources import dump, help_container, help_pages, html, payloads, sqlite_index
+from brindle.plans import module_rules
+from brindle.sources import dump, help_container, help_pages, html, payloads, remote, sqlite_index
 from brindle.streaming import watch
 from tests_catalog import catalog
 
@@ -124,8 +125,74 @@ def test_dump(spark, tmp_path):
     assert {(r.name_lower, r.field, r.kind, r.indexing) for r in t["object_fields"].collect()} == {("остатки", "Р", "resource", None), ("остатки", "Склад", "dimension", "Index"), ("остатки", "А", "attribute", None), ("сломан", "Я", "attribute", None)}
     assert {(r.name, r.register_type) for r in t["objects"].where("collection != 'CommonModules'").collect()} == {("Остатки", "Balance"), ("Сломан", None)}
     assert [r.name for r in t["global_vars"].collect()] == ["Г"]
-    where = dump.publish({"objects": t["objects"]}, str(tmp_path / "out"), "1")
-    assert spark.read.parquet(f"{where}/objects").count() == t["objects"].count()
+    folder = str(tmp_path / "out")
+    assert dump.health(spark, folder, 0.0)["status"] == "no index"
+    dump.publish(t, folder, "1")
+    with pytest.raises(ZeroDivisionError):  # a build that fails changes nothing
+        dump.publish(t | {"global_vars": 1 // 0}, folder, "2")
+    assert dump.load(spark, folder)["meta"].first().version == "1" and dump.load(spark, folder)["objects"].count() == t["objects"].count()
+    told = dump.health(spark, folder, 0.0)
+    assert told["status"] == "ok" and told["schema_version"] == dump.SCHEMA_VERSION and told["index"]["modules"] == 4 and told["uptime_seconds"] > 10**9
+    s = module_rules.preloaded(dump.load(spark, folder))
+    assert {r.method_lower for r in s.exports.collect()} == {"ф"} and {r.method_lower for r in s.methods.collect()} == {"ф", "п", "б"}
+    c = catalog(spark)
+    entries = spark.createDataFrame([("type", 1, "Цвет", "Color", "Цвета")], "kind string, kind_rank int, name_ru string, name_en string, description string")
+    tools = api.Tools(entries, c.members, c.methods, c.properties, catalog=c, sources={"a": s}, roots={"a": (str(root), folder)})
+    got = tools.validate_module(code="А = Справочники.Товары1; Ф(); Б();", repo="a", level=7)
+    assert [(e["kind"], e["confidence"], e["name"]) for e in got["errors"]] == [("unknown_metadata_object", "high", "Товары1"), ("undeclared_method", "low", "Б")] and got["level"] == 3 and not got["valid"]
+    assert tools.validate_module(source="Сообщить(1);")["valid"] and json.loads(tools.as_json("validate_enum", type_name="Цвет", value="red"))["valid"]
+    for bad in ({}, {"code": "", "text": ""}, {"nope": ""}, {"code": "", "repo": "b"}, {"code": "", "profile": "x"}):
+        with pytest.raises(ValueError):
+            tools.validate_module(**bad)
+    (root / "base/CommonModules/Общий/Ext/Module.bsl").write_text("Функция Ф2() Экспорт\nКонецФункции", encoding="utf-8")
+    built = tools.rebuild_symbol_index("a")
+    assert built["status"] == "ok" and dump.load(spark, folder)["meta"].first().version == built["version"] and {r.method_lower for r in tools.sources["a"].exports.collect()} == {"ф2"}
+    with pytest.raises(ZeroDivisionError):
+        tools.rebuild_symbol_index("a", lambda spark, root: 1 // 0)
+    assert {r.method_lower for r in tools.sources["a"].exports.collect()} == {"ф2"} and not tools.building
+    tools.building.add("a")
+    assert tools.rebuild_symbol_index("a")["status"] == "already building"
+
+
+def test_remote_source(spark):
+    answers = {"get_stats": answer({"repo": "a"}), "sql": [answer({"rows": [[f"Справочник.О{i:03}"] for i in range(400)]}), answer({"rows": [["Справочник.Я"]]})]}
+    asked = []
+
+    def post(tool, options):
+        asked.append(options.get("query", tool))
+        return answers[tool] if tool != "sql" else answers["sql"]["OFFSET 400" in options["query"]] if "Catalog'" in options["query"] else answer({"rows": [], "truncated": True})
+
+    r = remote.Remote(post, "a")
+    objects, unknown = r.object_table(spark, {"Catalogs": "Catalog", "Documents": "Document"})
+    assert objects.count() == 401 and [x.collection for x in unknown.collect()] == ["Documents"] and objects.where("name_lower = 'я'").count() == 1
+    n = len(asked)
+    assert r.objects("Catalog") and len(asked) == n and r.healthy  # answers are kept
+    with pytest.raises(ValueError):
+        remote.Remote(lambda *a: answer({"message": "Неизвестный repo: b. Есть: a"}), "b")
+    assert remote.Remote(lambda *a: "odd", "b").healthy
+
+    def broken(*a):
+        raise OSError
+
+    assert not remote.Remote(broken, "a").healthy
+
+
+def test_sqlite_by_key_ranges(spark, tmp_path):
+    path = tmp_path / "k.db"
+    with sqlite3.connect(path) as con:
+        con.execute("create table f(id integer, x text)")
+        con.executemany("insert into f values (?, ?)", [(i, str(i)) for i in range(3, 40, 3)] + [(None, "none")])
+    df = sqlite_index.read(spark, str(path), "select id, x from f", "id long, x string", "id", 5)
+    assert df.rdd.getNumPartitions() == 5 and {r.x for r in df.collect()} == {str(i) for i in range(3, 40, 3)} | {"none"} and df.count() == 14
+
+
+def test_inference_with_a_large_catalog(spark, monkeypatch):
+    c = catalog(spark)
+    modules = spark.createDataFrame([(i, f"З{i} = Новый Запрос;\nР = З{i}.Выполнить();\nЦ = Цвет.Red;\nЧ = Макс(1);") for i in range(5)], "module_id long, source string")
+    methods, types = c.methods.selectExpr("method_lower", "if(method_lower = 'макс', 'Цвет', '') as return_type"), c.types
+    want = {tuple(r) for r in inference.infer(modules, types, methods, c.members).collect()}
+    monkeypatch.setattr(inference, "MOST", 1)
+    assert {tuple(r) for r in inference.infer(modules, types, methods, c.members).collect()} == want and len(want) == 20
 
 
 def test_config(tmp_path):
@@ -153,15 +220,20 @@ def test_corpus_and_tools(spark, tmp_path):
     modules = spark.createDataFrame([(1, source), (2, "А = 1;"), (3, None)], "module_id long, source string")
     c = catalog(spark)
     found = corpus.validate(modules, c)
-    assert {(r.module_id, r.line, r.kind) for r in found.collect()} == {(1, 1, "unknown_global_method"), (1, 2, "or_in_join_condition")} or {(r.kind) for r in found.collect()} == {"unknown_global_method", "or_in_join_condition"}
+    assert {(r.module_id, r.line, r.col, r.kind) for r in found.collect()} == {(1, 1, 1, "unknown_global_method"), (1, 3, 2, "or_in_join_condition")}
     assert tuple(corpus.totals(modules, found).first()) == (3, 1, 2) and [r.n for r in corpus.by_kind(found).collect()] == [1, 1]
     corpus.baseline(found, str(tmp_path / "b"))
     corpus.append_run(found, 1, str(tmp_path / "r"))
+    corpus.append_run(found, 1, str(tmp_path / "r"))  # a run that is written again replaces itself
+    corpus.progress(modules, found, 1, "done", str(tmp_path / "p"))
+    (state,) = spark.read.parquet(str(tmp_path / "p")).collect()
+    assert (state.run_id, state.modules_total, state.modules_with_errors, state.errors_total, state.status) == (1, 3, 1, 2, "done")
+    assert [(r.module_id, r.n, r.kinds) for r in corpus.most_findings(found).collect()] == [(1, 2, 2)]
     assert spark.read.json(str(tmp_path / "b")).count() == 1 and spark.read.parquet(str(tmp_path / "r")).where("run_id = 1").count() == 2
     entries = spark.createDataFrame([("type", 1, "Цвет", "Color", "Цвета"), ("method", 2, "Сообщить", "Message", "")], "kind string, kind_rank int, name_ru string, name_en string, description string")
     t = api.Tools(entries, c.members, c.methods, c.properties, ["search", "info", "validate_enum", "validate_method_call", "reserved_names", "get_enum_values"])
     assert "**Цвет** (type)" in t.search("цв") and t.info("цвет").startswith("# Цвет (Color)") and t.validate_enum("Цвет", "Красны")["similar"][0] == "красный"
-    assert t.validate_method_call("Сообщить", 1) == {"known": True, "valid": True} and not t.validate_method_call("Сообщить", 3)["valid"] and t.reserved_names()["form_readonly"]["count"] == 1
+    assert t.validate_method_call("Сообщить", 1) == {"known": True, "valid": True, "expected": "1", "signatures": ["Сообщить(Текст)"]} and t.validate_method_call("Макс", 4)["expected"] == "1+" and not t.validate_method_call("Сообщить", 3)["valid"] and t.reserved_names()["form_readonly"]["count"] == 1
     with pytest.raises(PermissionError):
         t.get_members("Цвет")
     with pytest.raises(ValueError):
