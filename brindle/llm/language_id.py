@@ -7,9 +7,9 @@ what texts of that language and length show in a calibration sample: above its 9
 stray documents of the sample don't set the limit.  Languages with fewer than 20 calibration documents take spreads and limit of all
 languages together; one without any (a single labelled document) also takes the highest usual entropy of the others.
 
-Models are fitted on a bounded sample of labelled documents: of each language ``per_language`` for the model and as many for calibration at most, those
-with the least hash of their id in each of ``SLICES`` slices of the hash's range, and the ``most_languages`` languages with most documents.  Documents that share
-an id count once.  n-grams of the sample are counted on the executors; the driver gets distinct n-grams, and a few numbers for each calibration document.
+Models are fitted on a bounded sample of labelled documents: of each language ``per_language`` for the model and about as many for calibration, twice as many in all at most, those
+with the least hash of their id, and the ``most_languages`` languages with most documents.  How small a hash must be is read off a histogram of ``CELLS`` cells a
+language, so nothing is ranked.  Documents that share an id count once.  n-grams of the sample are counted on the executors; the driver gets distinct n-grams, and a few numbers for each calibration document.
 
 Defined results: a text that is null or has no letter, or any text if nothing could be learned, is ``und`` with score 0 and rejected;
 without any calibration document in any language only those are rejected; letters beyond the first 65,536 code points share 2048 symbols;
@@ -24,7 +24,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import text as T
@@ -34,7 +34,7 @@ ORDER = 4
 BREAK = 1  # symbol of all that is no letter
 SYMBOLS = 1 << 16
 PER_LANGUAGE = 2000
-SLICES = 16
+CELLS = 1024
 LANGUAGES = 200
 STRAY = 0.005  # share of a language's calibration documents that may be noise or wrongly labelled
 LIMITS = (8.0, 16.0)  # least and largest rejection limit, in spreads
@@ -181,19 +181,25 @@ def crc_of_id() -> Column:
 
 
 def sample_of(docs: DataFrame, may_learn: Column, per_language: int, most_languages: int = LANGUAGES) -> DataFrame:
-    """``doc_id, lang, text, nth`` of a bounded number of labelled documents of each language; ``nth`` counts within a slice."""
+    """``doc_id, lang, text, nth`` of at most ``per_language`` labelled documents of each language; ``nth`` counts cells of the hash's range from the first that has any."""
     ids = docs.where(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
     # Of a language with many documents only those with a small hash can be drawn: about four times as many as are wanted.
     sizes = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
     share = F.least(F.lit(1.0), F.lit(4.0 * per_language + 400) / F.col("n"))
     place = F.xxhash64(F.lit(11), "doc_id").cast("double") / float(1 << 64) + 0.5
-    near = ids.join(F.broadcast(sizes), "lang").where(place <= share).groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    # Ranks are within slices of the hash's range, so that no language is one large group.
-    slices = near.withColumn("slice", F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(SLICES)))
-    nth = F.row_number().over(Window.partitionBy("lang", "slice").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id"))
-    ids = slices.withColumn("nth", nth).where(F.col("nth") <= max(1, per_language // SLICES)).select("doc_id", "lang", "nth")
-    drawn = docs.select("doc_id", "lang", "text").where("text is not null").join(F.broadcast(ids), ["doc_id", "lang"])
-    return drawn.groupBy("doc_id", "lang", "nth").agg(F.min("text").alias("text"))
+    near = ids.join(F.broadcast(sizes), "lang").where(place <= share).withColumn("cell", F.floor(place / share * CELLS).cast("int"))
+    near = checkpoint(near.groupBy("doc_id").agg(F.min(F.struct("lang", "cell")).alias("x")).select("doc_id", "x.lang", "x.cell"))
+    drawn: dict[str, list] = {}
+    for r in near.groupBy("lang", "cell").agg(F.count("*").alias("n")).orderBy("lang", "cell").collect():  # CELLS rows a language at most
+        own = drawn.setdefault(r.lang, [r.cell, -1, 0, False])  # first and last cell, documents, whether it is full
+        if not own[3] and own[2] + r.n <= per_language:
+            own[1], own[2] = r.cell, own[2] + r.n
+        else:
+            own[3] = True
+    cut = docs.sparkSession.createDataFrame([(lang, first, last) for lang, (first, last, _, _) in drawn.items()], "lang string, first int, last int")
+    chosen = near.join(F.broadcast(cut), "lang").where(F.col("cell") <= F.col("last")).select("doc_id", "lang", (F.col("cell") - F.col("first") + 1).alias("nth"))
+    texts = docs.select("doc_id", "lang", "text").where("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"])
+    return texts.groupBy("doc_id", "lang", "nth").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE, most_languages: int = LANGUAGES) -> dict:
