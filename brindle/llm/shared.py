@@ -35,11 +35,18 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def rewritten(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again."""
+def rewritten(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared folder, read again; and its path."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def removed(session: SparkSession, path: str) -> None:
+    """Deletes a table that ``rewritten`` made and that nothing reads any more."""
+    jvm, context = session.sparkContext._jvm, session.sparkContext
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def setting(session: SparkSession) -> str | None:
