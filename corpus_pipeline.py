@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import decontamination, language_id, mixing, ngram_jaccard, sharding
-from brindle.llm.shared import rewritten
+from brindle.llm.shared import removed, rewritten
 from brindle.session import ship
 from brindle.tables import table
 
@@ -53,7 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = rewritten(stage(spark, docs, sf_dir), name)
+        docs, path = rewritten(stage(spark, docs, sf_dir), name)
+        if before:  # no later stage reads it
+            removed(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
