@@ -82,18 +82,21 @@ def sets_of(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct n-gram hashes of all texts, end to end, and where each text's begin."""
     w = T.words(column, lower=True)
     size = np.diff(w.first)
-    grams, ok = T.runs(w.hash, n, salt=n), T.inside(w.first, n, len(w.hash))
-    h, doc = grams[ok], w.doc[: len(grams)][ok]
+    count = np.where(size >= n, size - n + 1, size > 0)
+    first = np.concatenate(([0], np.cumsum(count)))
+    h = np.empty(first[-1], U64)
+    h[np.repeat(size >= n, count)] = T.runs(w.hash, n, salt=n)[T.inside(w.first, n, len(w.hash))]
     for m in range(1, n):
         short = np.flatnonzero(size == m)
         if len(short):
-            h = np.append(h, T.runs(w.hash, m, salt=m)[w.first[short]])
-            doc = np.append(doc, short)
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
+            h[first[short]] = T.runs(w.hash, m, salt=m)[w.first[short]]
+    # Text by text: far faster than one sort by text and hash.
+    for d in np.flatnonzero(count > 1).tolist():
+        h[first[d] : first[d + 1]].sort()
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return h[new], np.searchsorted(doc[new], np.arange(len(size) + 1))
+    new[1:] = h[1:] != h[:-1]
+    new[first[:-1][count > 0]] = True
+    return h[new], np.concatenate(([0], np.cumsum(new)))[first]
 
 
 class Bucket:
