@@ -382,7 +382,10 @@ def _found(docs: DataFrame, n: int, threshold: Fraction, total: int, bucket_byte
             hots = np.bincount(unit, hot, len(must)).astype(np.int64)
             use = (count > 1) & (must[unit] > 0) & ~equal[row] & (~hot | ((empty + hots) >= must)[unit] | (holder == node))
             pieces = np.where(count > hot_at, 1 << np.ceil(np.log2(np.maximum(count, 1) / piece_of)).astype(np.int64).clip(0), 1)
-            asked = np.unique(np.stack([row[use], holder[use], pieces[use]], axis=1), axis=0)
+            # Each row once with each holder and number of pieces (powers of two): one number for the three.
+            names, which = np.unique(holder[use], return_inverse=True)
+            code = np.unique((row[use] * len(names) + which) * 64 + np.log2(pieces[use]).astype(np.int64))
+            asked = np.stack([code // 64 // max(1, len(names)), names[code // 64 % max(1, len(names))] if len(names) else code, 1 << code % 64], axis=1)
             own = T.mix(np.int64(bucket).astype(U64) << U64(32) | asked[:, 0].astype(U64))
             bits: dict[int, bytes] = {}
             for (r, h, m), o in zip(asked.tolist(), own.tolist(), strict=True):
