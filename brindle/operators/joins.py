@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+MOST = 200_000
+
+
+def small(names: DataFrame | None, most: int = MOST) -> DataFrame | None:
+    """A table of names, to be broadcast if it has ``most`` rows at most; a larger one is joined as Spark sees fit."""
+    if names is None:
+        return None
+    return F.broadcast(names) if names.limit(most + 1).count() <= most else names
+
+
 def known(facts: DataFrame, catalog: DataFrame, on: list[str]) -> DataFrame:
     return facts.join(catalog.select(*on), on, "left_semi")
 

@@ -3,12 +3,12 @@
 ``Catalog`` holds what is known of the platform; ``Source`` what is known of a configuration, with a flag for each question it can answer: where it can't,
 the answer is null and the rule is silent.  ``prepared`` adds to each fact what is known of its module (is it a form, a common module, an extension, which
 attributes does its form have) and keeps the result, so modules are parsed once however many rules there are.  Findings are ``module_id, line, col,
-kind, confidence, name, suggestion, emit_ord``.  Catalogs are tables of names; Spark decides whether they are broadcast.
+kind, confidence, name, suggestion, emit_ord``.  Catalogs are tables of names: those that are small are broadcast, so facts stay where they are.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -287,6 +287,9 @@ def check(
         raise RuntimeError("the source of symbols does not answer: nothing is validated")
     level = 1 if profile == "strict" else max(1, min(3, level))
     facts = prepared(facts, modules, attributes)
+    c = Catalog(*(J.small(x) for x in (c.types, c.members, c.methods, c.properties)))
+    if source is not None:
+        source = replace(source, **{k: J.small(getattr(source, k)) for k in ("objects", "unknown", "exports", "variables", "methods")})
     dots = typed_dots(facts, c, typed if level > 1 else None)
     parts = [unknown_directive(facts), unknown_enum_value(dots, c), unknown_type_member(dots, c), unknown_new_type(facts, c), wrong_argument_count(facts, c), unknown_calls(facts, c, source, strict), shadowed_context_name(facts, c)]
     if source is not None:

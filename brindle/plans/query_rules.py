@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators import joins as J
 from brindle.plans import query_text
+from brindle.session import cut
 
 # Fields that are indexed everywhere, and fields that only movements have.
 INDEXED = "ссылка ref код code наименование description владелец owner родитель parent дата date номер number период period регистратор recorder номерстроки linenumber счетдт счеткт".split()
@@ -92,7 +94,8 @@ def join_on_unindexed_field(sources: DataFrame, fields: DataFrame, objects: Data
 
 
 def check(parsed: DataFrame, objects: DataFrame | None = None, object_fields: DataFrame | None = None, key: str = "text_id") -> DataFrame:
-    """All findings on parsed texts."""
+    """All findings on parsed texts, which are kept first: no rule parses them again."""
+    parsed, objects, object_fields = cut(parsed), J.small(objects), J.small(object_fields)
     queries, sources, fields = (query_text.relation(parsed, x, key) for x in ("queries", "sources", "fields"))
     found = temp_table_without_index(queries, sources, key).unionByName(or_in_join_condition(sources, key)).unionByName(join_with_subquery(sources, key))
     found = found.unionByName(virtual_table_without_filter(sources, fields, objects, object_fields, key))
