@@ -34,7 +34,7 @@ WORDS = PROC | END_PROC | NEW | FOR | EACH | VAR | EXPORT | VAL | OPENS | ENDS |
 
 _DELETED = re.compile(r"(?im)^[ \t]*#(?:удаление|delete)\b.*?(?:^[ \t]*#(?:конецудаления|enddelete)\b[^\n]*|\Z)", re.S)
 _TOKEN = re.compile(
-    r'(?P<space>\s+)|(?P<comment>//[^\n]*)|(?P<text>"(?:[^"\n]|""|\n[ \t]*(?://[^\n]*\n[ \t]*)*\|)*"?)|(?P<date>\'[^\'\n]*\'?)|(?P<mark>[#&~][^\W\d]\w*[^\n]*)|(?P<number>\d[\d.]*)|(?P<word>[^\W\d]\w*)|(?P<sign>.)', re.S
+    r'(?P<space>\s+)|(?P<comment>//[^\n]*)|(?P<text>"(?:[^"\n]|""|\n[ \t]*(?://[^\n]*\n[ \t]*)*\|)*"?)|(?P<date>\'[^\'\n]*\'?)|(?P<mark>(?:#[ \t]*|[&~])[^\W\d]\w*[^\n]*)|(?P<number>\d[\d.]*)|(?P<word>[^\W\d]\w*)|(?P<sign>.)', re.S
 )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators import facts
 from brindle.session import cut
+from brindle.sources import payloads
 
 # Folders of a dump that hold objects; file names of modules.
 COLLECTIONS = (
@@ -131,6 +132,12 @@ def index(code: DataFrame, xml: DataFrame) -> dict[str, DataFrame]:
     return {"modules": modules, "methods": methods, "objects": objects, "object_fields": fields, "global_vars": variables}
 
 
+def grep_variables(spark: SparkSession, root: str) -> DataFrame:
+    """``name_lower``: variables that application modules of a dump export, found line by line without parsing them."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*ApplicationModule.bsl").text(root)
+    return lines.where(F.col("value").rlike(r"(?iU)^\s*(?:Перем|Var)\s")).select(F.explode(payloads.global_variables(F.col("value"))).alias("name")).select(F.lower("name").alias("name_lower")).distinct()
+
+
 def methods_of(tables: dict[str, DataFrame], path: str) -> DataFrame:
     """Methods of one module, by its path."""
     return tables["methods"].join(tables["modules"].where(F.col("path") == path).select("module_id"), "module_id", "left_semi")

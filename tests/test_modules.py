@@ -45,6 +45,15 @@ def test_query_texts_and_spans():
     assert q[1].encode()[offset : offset + length].decode() == " ГДЕ В"
 
 
+def test_forms_that_other_parsers_stumble_over():
+    """Letters like ё, no-break spaces, a blank behind ? and #, raising without an argument, negative defaults."""
+    assert [(r[1], r[6]) for r in rows("\u00a0Ёлка(1);\nЗелёный = Учёт.Чёрный(2);", "call")] == [("Ёлка", 2)] and [r[2] for r in rows("Зелёный = Учёт.Чёрный(2);", "dot")] == ["Чёрный"]
+    assert rows("Х = ? (А, Б, В);", "call") == [] and [r[1] for r in rows("Попытка\n А();\nИсключение\n ВызватьИсключение;\nКонецПопытки; Б();", "call")] == ["А", "Б"]
+    assert [r[1] for r in rows("# Если Сервер() Тогда\nА();\n# КонецЕсли\n#Область Имя()\nБ();", "call")] == ["А", "Б"]
+    (p,) = rows("Функция Ф(А = -1, Знач Б = - 2.5, В = Неопределено) Экспорт\nКонецФункции", "proc")
+    assert p[10].split(",")[2:] == ["а", "б", "в"] and p[9] is True
+
+
 def test_deleted_and_binary():
     assert [r[1] for r in rows("#Удаление\nА();\n#КонецУдаления\nБ();", "call")] == ["Б"]
     assert rows("А();\0") == [] and rows("") == [] and rows('"не закрыто') == []

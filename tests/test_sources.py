@@ -124,7 +124,7 @@ def test_dump(spark, tmp_path):
     assert {(r.name, r.is_function, r.is_export) for r in t["methods"].collect()} == {("Ф", True, True), ("П", False, False), ("Б", False, False)}
     assert {(r.name_lower, r.field, r.kind, r.indexing) for r in t["object_fields"].collect()} == {("остатки", "Р", "resource", None), ("остатки", "Склад", "dimension", "Index"), ("остатки", "А", "attribute", None), ("сломан", "Я", "attribute", None)}
     assert {(r.name, r.register_type) for r in t["objects"].where("collection != 'CommonModules'").collect()} == {("Остатки", "Balance"), ("Сломан", None)}
-    assert [r.name for r in t["global_vars"].collect()] == ["Г"]
+    assert [r.name for r in t["global_vars"].collect()] == ["Г"] and [r.name_lower for r in dump.grep_variables(spark, str(root)).collect()] == ["г"]
     folder = str(tmp_path / "out")
     assert dump.health(spark, folder, 0.0)["status"] == "no index"
     dump.publish(t, folder, "1")
