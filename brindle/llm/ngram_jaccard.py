@@ -44,6 +44,7 @@ HOT = 256
 PIECE = 128
 LEVELS = 4
 BITS = 1024
+WEIGHT = 1 << 19  # n-grams in a piece, about
 EQUALS = 4096
 TILE = 512
 FOLD = 128 << 20
@@ -144,9 +145,9 @@ EQUAL = U64(0x51ED270B9F1C3A77)
 
 def signatures(s: Sets, bands: Bands) -> tuple[np.ndarray, ...]:
     """Keys of all kept sets of a bucket, the row of each, and its unit (a set in one band and level); for each unit the number of its parts
-    that are empty, and how many parts similar sets must share. The first unit of a set is its digest. Keys of digests are odd, those of parts
+    that are empty, how many parts similar sets must share, and the least size in its band. The first unit of a set is its digest. Keys of digests are odd, those of parts
     even: equal sets are linked by their digest alone, so no part may take its place."""
-    keys, row, unit, empties, musts, cache = [], [], [], [], [], {}
+    keys, row, unit, empties, musts, lows, cache = [], [], [], [], [], [], {}
     for r in s.kept.tolist():
         x = s.set(r)
         keys.append(T.mix(s.digest[r : r + 1] + EQUAL) | U64(1))
@@ -154,6 +155,7 @@ def signatures(s: Sets, bands: Bands) -> tuple[np.ndarray, ...]:
         unit.append(1)
         empties.append(0)
         musts.append(0)
+        lows.append(1)
         for c in bands.of(len(x)):
             if c not in cache:
                 cache[c] = bands.parts(c)
@@ -177,12 +179,13 @@ def signatures(s: Sets, bands: Bands) -> tuple[np.ndarray, ...]:
                 unit.append(len(got))
                 empties.append(empty)
                 musts.append(n - k)
+                lows.append(int(bands.low[c]))
                 if empty < n - k:
                     break
     sizes = np.array(unit, np.int64)
     return (
         np.concatenate(keys) if keys else np.zeros(0, U64), np.repeat(np.array(row, np.int64), sizes), np.repeat(np.arange(len(sizes)), sizes),
-        np.array(empties, np.int64), np.array(musts, np.int64),
+        np.array(empties, np.int64), np.array(musts, np.int64), np.array(lows, np.int64),
     )
 
 
@@ -274,7 +277,7 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], step: int = 4096) -> np.n
     return out
 
 
-def relatives(sets: list[np.ndarray], t: Fraction, tile: int = TILE) -> np.ndarray:
+def relatives(sets: list[np.ndarray], t: Fraction, tile: int = 128) -> np.ndarray:
     """The least set that each is connected with by similarity. Of many, those that are like one of a few leaders need no comparison with each other."""
     size, forest = np.array([len(x) for x in sets]), Forest(len(sets))
     alike = lambda both, x, y: both * t.denominator >= (size[x][:, None] + size[y][None, :] - both) * t.numerator
@@ -362,7 +365,7 @@ def _found(docs: DataFrame, n: int, threshold: Fraction, total: int, bucket_byte
         # holder, pieces, piece, node, bucket, size, bits, a, b, shard
         rows = [(0, -1, 0, 0, bucket, 0, None, i, m, sh) for i, m, sh in zip(ids, s.size.tolist(), spread, strict=True)]
         rows += [(0, 0, 0, 0, bucket, 0, None, ids[r], ids[first], spread[r]) for r, first in s.copies.tolist()]
-        got, row, unit, empty, must = signatures(s, bands)
+        got, row, unit, empty, must, low = signatures(s, bands)
         if len(got):
             at = np.searchsorted(keys, got)
             count, holder = counts[at], holders[at]
@@ -381,7 +384,9 @@ def _found(docs: DataFrame, n: int, threshold: Fraction, total: int, bucket_byte
             hot = count > hot_at
             hots = np.bincount(unit, hot, len(must)).astype(np.int64)
             use = (count > 1) & (must[unit] > 0) & ~equal[row] & (~hot | ((empty + hots) >= must)[unit] | (holder == node))
-            pieces = np.where(count > hot_at, 1 << np.ceil(np.log2(np.maximum(count, 1) / piece_of)).astype(np.int64).clip(0), 1)
+            # Members of a band are of like sizes: a piece has ``piece_of`` long sets, or up to 32 times as many short ones.
+            each = np.clip(WEIGHT // low[unit], piece_of, 32 * piece_of)
+            pieces = np.where(count > hot_at, 1 << np.ceil(np.log2(np.maximum(count, 1) / each)).astype(np.int64).clip(1), 1)
             # Each row once with each holder and number of pieces (powers of two): one number for the three.
             names, which = np.unique(holder[use], return_inverse=True)
             code = np.unique((row[use] * len(names) + which) * 64 + np.log2(pieces[use]).astype(np.int64))

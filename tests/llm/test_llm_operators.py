@@ -227,7 +227,7 @@ def test_jaccard_join_keeps_digests_apart():
     """Digests link sets by 128 bits and not by their elements, so they must not meet part signatures."""
     ids = [i for i, t in corpus() if t]
     b = ngram_jaccard.Bucket(pa.table({"doc_id": ids, "text": [t for _, t in corpus() if t]}))
-    keys, _, unit, _, must = ngram_jaccard.signatures(ngram_jaccard.Sets(b, 5), ngram_jaccard.Bands(Fraction(4, 5)))
+    keys, _, unit, _, must, _ = ngram_jaccard.signatures(ngram_jaccard.Sets(b, 5), ngram_jaccard.Bands(Fraction(4, 5)))
     assert ((keys & np.uint64(1) == 1) == (must[unit] == 0)).all()
 
 
