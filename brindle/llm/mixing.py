@@ -63,7 +63,7 @@ def shapes(w: T.Words) -> np.ndarray:
     safe = np.maximum(n, 1)
     doc = w.doc
     different = _different(w, doc, len(n))
-    bytes_of = np.append(w.start, len(w.data))[w.first]
+    bytes_of = w.off
     upto = lambda flag: np.concatenate(([0], np.cumsum(flag)))
     capital = upto((w.data >= 65) & (w.data <= 90))
     sign = upto((w.data >= 33) & (w.data <= 47) | (w.data >= 58) & (w.data <= 64) | (w.data >= 91) & (w.data <= 96) | (w.data >= 123) & (w.data <= 126))

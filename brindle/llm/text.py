@@ -49,13 +49,14 @@ _FRONT = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 @dataclass
 class Words:
-    """Words of n_docs texts: byte spans in ``data``, hashes, and word range of each text in ``first``."""
+    """Words of n_docs texts: byte spans in ``data``, hashes, word range of each text in ``first``, and its byte range in ``off``."""
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray  # n_docs + 1
+    off: np.ndarray  # n_docs + 1
 
     @property
     def doc(self) -> np.ndarray:
@@ -86,7 +87,7 @@ def words(column: pa.Array, lower: bool = False, plain: bool = False) -> Words:
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(data, none, none, np.zeros(0, U64), np.zeros(len(off), np.int64))
+        return Words(data, none, none, np.zeros(0, U64), np.zeros(len(off), np.int64), off)
     solid = ~(_PUNCT if plain else _SPACE)[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
@@ -99,7 +100,7 @@ def words(column: pa.Array, lower: bool = False, plain: bool = False) -> Words:
     inner = inner[inner > 0] - 1
     ends[inner] = solid[inner]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return Words(data, start, end, _word_hashes(data, start, end, lower), np.searchsorted(start, off))
+    return Words(data, start, end, _word_hashes(data, start, end, lower), np.searchsorted(start, off), off)
 
 
 def prefix_hashes(w: Words, size: int, lower: bool = False) -> np.ndarray:
