@@ -946,6 +946,64 @@ def test_solve_against_a_direct_solution(spark, sharpness):
     assert np.abs((r * n) @ q / n.sum() - (best * n) @ q / n.sum()).max() < 1e-3 and np.abs(found["reached"] - (r * n) @ q / n.sum()).max() < 1e-9
 
 
+def plain_posterior(text, model):
+    """Tokens, and the posterior of a text: tokens and prefixes by their slots, shapes by their bins, one document at a time."""
+    chosen, present = {int(x): i for i, x in enumerate(model["slots"])}, set()
+    found = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[0-9A-Za-z\x80-\U0010FFFF]+", text or "")]
+    if not found:
+        return 0, model["prior"]
+    for x in found:
+        w = T.words(pa.array([x]), plain=True)
+        present |= {int(w.hash[0] % np.uint64(mixing.SLOTS)), int(T.mix(T.prefix_hashes(w, mixing.PREFIX) + np.uint64(mixing.PREFIX))[0] % np.uint64(mixing.SLOTS))}
+    size = len(text.encode())
+    capitals, signs = (len(re.findall(p, text)) for p in ("[A-Z]", r"[!-/:-@\[-`{-~]"))
+    share = [len(set(found)) / len(found), capitals / size * 4, signs / size * 4, sum(len(x.encode()) for x in found) / len(found) / mixing.BINS]
+    present |= {mixing.SLOTS + i * mixing.BINS + min(mixing.BINS - 1, int(x * mixing.BINS)) for i, x in enumerate(share)}
+    z = model["heat"] * (sum(model["weights"][chosen[x]] for x in present if x in chosen) + model["weights"][-1])
+    return len(found), np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+
+@pytest.mark.parametrize("repeat", [True, False])
+def test_mixture_against_brute_force(spark, repeat):
+    """Tokens, posteriors, domains and rates of the whole query: posteriors text by text, rates one by one to the optimum."""
+    rng = random.Random(26)
+    kinds = {"clean": ("Alpha beta gamma delta, epsilon", 1, 0), "low": ("junk!! spam## blah filler", 0, 0), "toxic": ("scum idiot MORON trash", 1, 1)}
+    rows, labels = [], []
+    for i in range(150):
+        kind = rng.choices(list(kinds), [6, 2, 2])[0]
+        pool = kinds[kind][0].split() + (kinds["clean"][0].split() if rng.random() < 0.4 else [])
+        rows.append((i, " ".join(rng.choice(pool) + rng.choice(["", str(rng.randrange(9))]) for _ in range(rng.choice([3, 20, 60]))), "x", 0.5))
+        labels.append((i, *kinds[kind][1:]))
+    rows += [(500, None, "x", 0.5), (501, "", "x", 0.5), (501, "!!", "x", 0.5), (None, "Alpha beta", "x", 0.5), rows[4]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, q string, u double")
+    lab = spark.createDataFrame([*labels, labels[0], (1, None, None)], "doc_id long, quality int, toxic int")
+    targets = {"clean": 0.6, "low": 0.2, "toxic": 0.2}
+    model = mixing.fit(df, lab)
+    n, q = zip(*(plain_posterior(t, model) for _, t, *_ in rows), strict=True)
+    n, q = np.array(n, float), np.array(q)
+    weights = mixing.target_weights(model, targets)
+    r = direct_rates(q[n > 0], n[n > 0], weights if repeat else mixing.reachable(weights, n @ q / n.sum()))
+    if not repeat:
+        main = int(weights.argmax())
+        p = n[n > 0] @ q[n > 0] / n.sum()
+        gap = (n[n > 0] * r) @ q[n > 0] / n.sum() - mixing.reachable(weights, p)
+        r = np.minimum(1.0, r / max(1e-12, 1 - gap[main] / p[main] / mixing.RIDGE))  # a document that is wholly of the main domain has rate 1
+    want = {}
+    for (d, t, *_), m, x in zip([row for row, k in zip(rows, n, strict=True) if k], n[n > 0], zip(q[n > 0], r, strict=True), strict=True):
+        want[d, t] = (m, *x)
+    got = mixing.mixture(df, lab, targets, repeat=repeat).collect()
+    assert len(got) == len(rows)
+    texts = defaultdict(list)
+    for row, k, x in zip(rows, n, q, strict=True):
+        texts[row[0], int(k), tuple(np.round(x, 6))].append(row)
+    for g in got:
+        key = g.doc_id, g.n_tokens, tuple(np.round(g.posterior, 6))
+        assert key in texts and g.domain == model["domains"][int(np.argmax(g.posterior))]
+        if g.n_tokens:
+            _, _, rate = want[texts[key][0][0], texts[key][0][1]]
+            assert abs(g.rate - rate) < 0.05 and math.floor(g.rate) <= g.copies <= math.ceil(g.rate)
+
+
 def test_regression_finds_the_least_loss():
     rng = np.random.default_rng(2)
     x = rng.random((300, 12)) < 0.3
