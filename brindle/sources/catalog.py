@@ -6,11 +6,12 @@ A top page is the global context, a catalog of enumerations, or a catalog of typ
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.operators import tree
-from brindle.sources import help_pages
+from brindle.session import cut
+from brindle.sources import help_container, help_pages
 
 # Page of the global context, titles of enumeration catalogs, paths of catalog pages.
 GLOBAL, ENUMERATIONS, CATALOG_PAGE = "Global context.html", ("Системные наборы значений", "Системные перечисления"), r"/catalog\d+\.html"
@@ -43,9 +44,16 @@ def load(toc: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
     types = named.where("id = owner").withColumn("type_lower", F.lower("name_ru")).withColumn("_n", F.row_number().over(first)).where("_n = 1")
     types = types.select("id", "type_lower", F.col("name_ru").alias("type_name"), "name_en", "description", (F.col("root") == "enum").alias("is_enum"))
     kind = F.when(F.col("root") == "enum", "enum_value").when(F.col("role") == "object", "enum_value").otherwise(F.col("role"))
-    under = named.where("id <> owner").select("owner", kind.alias("kind"), F.lower("name_ru").alias("ru"), F.lower("name_en").alias("en"), F.col("name_ru").alias("member_name"), "return_type", "value_type", "readonly")
+    under = named.where("id <> owner").select("owner", kind.alias("kind"), F.lower("name_ru").alias("ru"), F.lower("name_en").alias("en"), F.col("name_ru").alias("member_name"), "name_en", "description", "signatures", "return_type", "value_type", "readonly")
     under = under.join(types.select(F.col("id").alias("owner"), "type_lower"), "owner")
     value = F.when(F.col("kind") == "method", F.col("return_type")).otherwise(F.col("value_type"))
-    members = under.select("type_lower", F.explode(F.filter(F.array("ru", "en"), lambda x: x != "")).alias("member_lower"), "member_name", "kind", value.alias("value_type"), "readonly").dropDuplicates(["type_lower", "member_lower", "kind"])
+    members = under.select("type_lower", F.explode(F.filter(F.array("ru", "en"), lambda x: x != "")).alias("member_lower"), "member_name", "name_en", "kind", "description", "signatures", value.alias("value_type"), "readonly").dropDuplicates(["type_lower", "member_lower", "kind"])
     tables = help_pages.catalog_tables(named.where("root = 'global'").select(parsed.columns))
     return {"types": types.drop("id"), "members": members, "methods": tables["methods"], "properties": tables["properties"].withColumn("scope", F.lit("global"))}
+
+
+def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The catalog of a help container: its contents and, of its archive, the pages that they name."""
+    files = cut(help_container.containers(spark, path))
+    toc = cut(help_container.contents_of(files))
+    return load(toc.drop("path"), help_container.pages_of(files, toc).drop("path"))

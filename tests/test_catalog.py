@@ -1,4 +1,5 @@
-from brindle.sources import catalog
+from brindle import api
+from brindle.sources import catalog, help_container
 
 
 def page(name, *chapters):
@@ -25,3 +26,25 @@ def test_catalog_from_help(spark):
     }
     assert [(r.method_lower, r.signatures[0].parameters[0].required) for r in t["methods"].collect()] == [("сообщить", True)]
     assert [(r.property_lower, r.type_name, r.readonly) for r in t["properties"].collect()] == [("справочники", "СправочникиМенеджер", True)]
+
+
+def test_catalog_from_a_container(spark, tmp_path):
+    import io
+    import zipfile
+
+    entry = lambda i, parent, kids, title, path: "{%d,%d,%d%s,{0,0,{0,0,{\"ru\",\"%s\"}},\"%s\"}}" % (i, parent, len(kids), "".join(f",{k}" for k in kids), title, path)  # noqa: E731, UP031
+    toc = [entry(1, 0, [2], "Прочее", "/objects/catalog1.html"), entry(2, 1, [3, 4], "Поток", "/objects/s.html"), entry(3, 2, [], "Читать", "/objects/s/methods/r.html"), entry(4, 2, [], "Нет страницы", "/objects/s/methods/none.html")]
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as z:
+        z.writestr("objects/s.html", page("Поток (Stream)"))
+        z.writestr("objects/s/methods/r.html", page("Читать (Read)", ("Синтаксис:", "Читать()"), ("Параметры:", '<div class="V8SH_rubric">&lt;Размер&gt; (необязательный)</div>'), ("Возвращаемое значение:", "Тип: Число. Д.")))
+        z.writestr("objects/unused.html", page("Лишняя"))
+    data = help_container.pack({"PackBlock": help_container.deflate_block("{%d,%s}" % (len(toc), ",".join(toc))), "FileStorage": archive.getvalue()})  # noqa: UP031
+    (tmp_path / "help.hbk").write_bytes(data)
+    t = catalog.read(spark, str(tmp_path))
+    assert [(r.type_lower, r.name_en) for r in t["types"].collect()] == [("поток", "Stream")]
+    assert {(r.member_lower, r.kind, r.value_type) for r in t["members"].collect()} == {("читать", "method", "Число"), ("read", "method", "Число")}
+    entries = t["types"].selectExpr("'type' as kind", "1 as kind_rank", "type_name as name_ru", "name_en", "description")
+    tools = api.Tools(entries, t["members"], t["methods"], t["properties"])
+    assert tools.get_member("Поток", "читать") == "# Поток.Читать (Read)\n\n*method*\n\n`Читать([Размер])`\n- `Размер` (optional)\n\nType: Число" and "no member" in tools.get_member("Поток", "read")
+    assert tools.info("поток") == "# Поток (Stream)\n\n*type*\n\n- Читать (method)" and tools.get_constructors("Поток").endswith("has no constructors")
