@@ -102,11 +102,17 @@ def read_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
 
 
 def build(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The tables of the index of a dump on disk; descriptions are pruned by their folder before content is read."""
-    xml = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[xX][mM][lL]").load(root)
-    xml = xml.where(F.col("path").rlike(f"/(?:{'|'.join(COLLECTIONS)})/[^/]+$"))
-    content = F.when(F.element_at(F.split("path", "/"), -2).isin(DESCRIBED), F.decode(F.col("content"), "UTF-8"))
-    return index(read_files(spark, root, "*.[bB][sS][lL]"), xml.select("path", content.alias("source")))
+    """The tables of the index of a dump on disk. Of descriptions the paths are listed first; content is read of the folders that need it only."""
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[xX][mM][lL]").load(root).select("path")
+    parent = F.element_at(F.split("path", "/"), -2)
+    listed = every.where(parent.isin(COLLECTIONS) & ~parent.isin(DESCRIBED)).select("path", F.lit(None).cast("string").alias("source"))
+    # A folder for each described collection of each part of the dump.
+    folders = [r[0] for r in every.where(parent.isin(DESCRIBED)).select(F.regexp_replace("path", "/[^/]+$", "")).distinct().collect()]
+    xml = listed
+    if folders:
+        read = spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][mM][lL]").load(folders)
+        xml = listed.unionByName(read.select("path", F.decode(F.col("content"), "UTF-8").alias("source")))
+    return index(read_files(spark, root, "*.[bB][sS][lL]"), xml)
 
 
 def index(code: DataFrame, xml: DataFrame) -> dict[str, DataFrame]:
