@@ -20,7 +20,7 @@ def validate(modules: DataFrame, catalog: module_rules.Catalog, source: module_r
     pieces = texts.select("text_id", F.explode(F.split("extra", ",")).alias("piece")).withColumn("piece", F.split("piece", ":"))
     spans = pieces.select("text_id", F.col("piece")[0].cast("long").alias("text_offset"), F.col("piece")[1].cast("long").alias("module_at"), F.col("piece")[2].cast("long").alias("len"))
     placed = J.piecewise(bad.select("text_id", "module_id", "offset", "kind", "confidence", F.coalesce("detail", F.lit("")).alias("name")).distinct(), spans, ["text_id"], "offset", key=["text_id", "offset", "kind", "name"])
-    text = modules.select("module_id", "source")
+    text = modules.select("module_id", "source").hint("merge")  # texts are larger than Spark guesses from packed files
     lines = placed.join(text, "module_id").withColumn("before", F.decode(F.substring(F.encode("source", "UTF-8"), F.lit(1), F.col("mapped").cast("int")), "UTF-8"))
     line, col = F.size(F.split("before", "\n")), F.length(F.substring_index("before", "\n", -1)) + 1
     queries = lines.select("module_id", line.alias("line"), col.alias("col"), "kind", "confidence", "name")

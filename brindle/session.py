@@ -47,6 +47,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once and keeps it in the shared folder: what follows reads it as often as it likes."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Computes ``df`` once and keeps it in the shared folder: what follows reads it as often as it likes.
+
+    A checkpoint carries on the size that Spark guesses from the files read, which knows nothing of how well they are packed nor of rows that Python makes: a large table would be broadcast.
+    So the size is left unknown, and adaptive execution broadcasts what it has measured.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    kept = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)

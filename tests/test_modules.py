@@ -1,9 +1,13 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from brindle import corpus
 from brindle.functions import text as X
 from brindle.operators import facts
 from brindle.plans import module_rules as R
+from brindle.session import cut
 from tests_catalog import catalog
 
 
@@ -169,3 +173,27 @@ def test_modules_are_parsed_once(spark):
 def test_paths_of_descriptions(spark):
     d = spark.createDataFrame([("a/CommonModules/М.xml",), ("a/CommonModules/М/Ext/Module.bsl",)], "p string").select(X.module_of_xml(F.col("p")).alias("m"), X.xml_of_module(F.col("p")).alias("x"))
     assert [tuple(r) for r in d.collect()] == [("a/CommonModules/М/Ext/Module.bsl", None), (None, "a/CommonModules/М.xml")]
+
+
+def broadcast_tables(df):
+    """Lines of a plan under a broadcast that read modules, or facts and texts that were kept; catalogs may be broadcast."""
+    lines, out, inside = df._jdf.queryExecution().executedPlan().toString().splitlines(), [], None
+    for line in lines:
+        depth = len(re.match(r"[\s:+-]*", line)[0])
+        inside = None if inside is not None and depth <= inside else inside
+        inside = depth if inside is None and "BroadcastExchange" in line else inside
+        if inside is not None and re.search(r"(FileScan|Scan ExistingRDD).*(module_id|text_id)", line):
+            out.append(line)
+    return out
+
+
+def test_large_tables_are_not_broadcast_by_a_guess(spark, tmp_path):
+    # Files of one text many times are small, and so is Spark's guess of what is made of them.
+    source = "Т = \"ВЫБРАТЬ 1 ИЗ Справочник.А КАК А ЛЕВОЕ СОЕДИНЕНИЕ Справочник.Б КАК Б ПО А.Х = Б.Х ИЛИ А.У = Б.У\"; Сообщить(1);"
+    spark.range(20000).select(F.col("id").alias("module_id"), F.lit(source).alias("source")).write.parquet(f"{tmp_path}/modules")
+    modules = spark.read.parquet(f"{tmp_path}/modules")
+    found = cut(facts.extract(modules))
+    assert broadcast_tables(found.groupBy("module_id").agg(F.count("*").alias("n")).join(found, "module_id")) == []
+    got = corpus.validate(modules, catalog(spark))
+    assert broadcast_tables(got) == []
+    assert got.groupBy("kind").count().collect() == [("or_in_join_condition", 20000)]
