@@ -5,10 +5,11 @@ import struct
 import zipfile
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from brindle import api, config, corpus
+from brindle import api, config, corpus, fixture_queries
 from brindle.operators import inference
 from brindle.plans import module_rules
 from brindle.sources import dump, help_container, help_pages, html, payloads, remote, sqlite_index
@@ -73,6 +74,29 @@ def test_pages(spark):
     assert [t for t, _ in html.chapters("<body>a<hr>b<p class='V8SH_chapter'>T <i>x</i></p>c</body>")] == ["", "", "T x"]
 
 
+# A title that was cut off inside a reference, references that only begin like one, ampersands of scripts and links, and a page with the sign that stands for ampersands.
+REFERENCES = [
+    ("<title>a&amp;&lt;b&amp</title><p>c", "a&<b&ampc", "a&<b&amp\nc"), ("x &ampy; &notit; &lt &gt;&copy", "x &ampy; &notit; &lt >&copy", "x &ampy; &notit; &lt >&copy"), ("&amp;lt; &amp;amp", "&lt; &amp", "&lt; &amp"),
+    ('<a href="/?a=1&amp;copy=2&lt">t&#33;&#33&#x21;</a>', "t!&#33!", "[t!&#33!](/?a=1&copy=2&lt)"), ("<script>a&&b&amp;&amp</script>&", "a&&b&amp;&amp&", "a&&b&amp;&amp&"), ("\ue000&\ue001&amp", "\ue000&\ue001&amp", "\ue000&\ue001&amp"),
+]
+
+
+def test_references_end_with_a_semicolon():
+    for page, text, markdown in REFERENCES:
+        assert (html.text_of(page), html.markdown(page)) == (text, markdown)
+    ((_, body),) = html.chapters("<body><b title='&lt'>a&amp</b></body>")
+    assert html.text_of(body) == "a&amp"
+
+
+@pytest.mark.parametrize("name", ["html_markdown"])
+def test_pages_with_cut_off_references(spark, tmp_path, name):
+    pages = [(1, "u", "<title>Q&amp;A and&amp</title><p>x&lt;y</p>"), (2, "u", '<h1>a &copy; &copy</h1><a href="/a&amp;b&amp">c&lt</a>'), (3, "u", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert sorted(map(tuple, fixture_queries.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(fixture_queries.SQL[name]).fetchall())
+
+
 def answer(inner, **outer):
     return json.dumps({"result": {"content": [{"text": json.dumps({"result": inner} | outer)}]}})
 
