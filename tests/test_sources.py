@@ -88,7 +88,7 @@ def test_references_end_with_a_semicolon():
     assert html.text_of(body) == "a&amp"
 
 
-@pytest.mark.parametrize("name", ["html_markdown"])
+@pytest.mark.parametrize("name", ["html_text", "html_markdown"])
 def test_pages_with_cut_off_references(spark, tmp_path, name):
     pages = [(1, "u", "<title>Q&amp;A and&amp</title><p>x&lt;y</p>"), (2, "u", '<h1>a &copy; &copy</h1><a href="/a&amp;b&amp">c&lt</a>'), (3, "u", None)]
     spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
