@@ -97,6 +97,22 @@ def test_pages_with_cut_off_references(spark, tmp_path, name):
     assert sorted(map(tuple, fixture_queries.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(fixture_queries.SQL[name]).fetchall())
 
 
+# Spaces that HTML doesn't collapse, inside and at the ends, spaces that it does, and pages of nothing else; numbers that a double can't hold, beside a page without one.
+PAGES = {
+    "spaces": [(1, "u", "<p>a\xa0\xa0b\u2003c\x0bd\x1c\u2028e\x85 f</p>\u3000"), (2, "u", "\xa0 \n\xa0"), (3, "u", "\u2028<b> x </b>\u2028"), (4, "u", "\ta\r\n\f b\n"), (5, "u", "\u202f\n\x1fa \u200b\u2007")],
+    "numbers": [(None, "u", "<p>x"), (2**53 + 1, "u", "<p>y"), (-(2**63), "u", None), (1, "u", ""), (1, "u", "z")],
+}
+
+
+@pytest.mark.parametrize("odd", PAGES)
+def test_text_of_odd_pages(spark, tmp_path, odd):
+    spark.createDataFrame(PAGES[odd], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = map(tuple, fixture_queries.QUERIES["html_text"](spark, str(tmp_path)).collect())
+    assert sorted(got, key=repr) == sorted(con.execute(fixture_queries.SQL["html_text"]).fetchall(), key=repr)
+
+
 def answer(inner, **outer):
     return json.dumps({"result": {"content": [{"text": json.dumps({"result": inner} | outer)}]}})
 
